@@ -6,8 +6,9 @@ its dart of least rank. Two texts agree in a coordinate with probability equal t
 similarity, so bands of coordinates are join keys.
 
 Null texts have no class but their own. Equal texts (empty ones too) share a class. Texts under five words
-are one shingle of all their words; texts without words are linked to equal texts only. Repeated rows of
-one doc_id give that id once. A class id is the smallest doc_id of the class. Other columns are ignored.
+are one shingle of all their words; texts without words are linked to equal texts only. A class id is the
+smallest doc_id of the class. A repeated row returns as often as it stands; rows without doc_id have no
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, s
 BANDS, ROWS = 24, 4
 #: Buckets of up to so many different texts are compared pair by pair; larger ones through hubs.
 SMALL_BUCKET = 12
+#: Texts that one call sketches together.
+AT_ONCE = 64
 _U64 = np.uint64
 
 
@@ -42,51 +45,54 @@ def _region(level: int) -> tuple[float, float]:
     return (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
 
 
-def signature(ids: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """The `size` dart hashes of a weighted set with at least one element."""
-    total = float(weights.sum())
-    limit = size * (math.log(size) + 2) / total
-    heaviest = float(weights.max())
-    while True:
-        found, ranks, places = [], [], []
+def sketch(ids: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: int, size: int) -> np.ndarray:
+    """The (sets, size) dart hashes of several weighted sets at once.
+
+    owner names the set of each element, ascending from 0; each set has an element at least. A set's rank
+    limit is doubled until each of its coordinates holds a dart; the limit doesn't change which is earliest.
+    """
+    out = np.zeros((sets, size), dtype=_U64)
+    limit = size * (math.log(size) + 2) / np.bincount(owner, weights, minlength=sets)
+    todo = np.ones(sets, dtype=bool)
+    while todo.any():
+        found, ranks, cells = [], [], []
+        open_ = todo[owner]
         nu = 0
-        while _region(nu)[0] < heaviest:
+        while (at_w := np.flatnonzero(open_ & (weights > _region(nu)[0]))).size:
             low_w, wide_w = _region(nu)
-            at = np.flatnonzero(weights > low_w) if nu else np.arange(len(ids))
             rho = 0
-            while _region(rho)[0] < limit:
+            while (at := at_w[limit[owner[at_w]] > _region(rho)[0]]).size:
                 low_r, wide_r = _region(rho)
                 base = mix64(ids[at] + _U64((0x9E3779B97F4A7C15 * (1 + nu * 64 + rho)) & 0xFFFFFFFFFFFFFFFF))
                 count = np.searchsorted(_poisson_cdf(wide_w * wide_r), uniform(base), side="right")
-                which = np.repeat(np.arange(len(at)), count)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                which = np.repeat(np.arange(at.size), count)
+                nth = np.arange(which.size) - np.repeat(np.cumsum(count) - count, count)
                 dart = mix64(base[which] ^ ((nth.astype(_U64) + _U64(1)) * _U64(0xD6E8FEB86659FD93)))
+                which = at[which]
                 rank = low_r + wide_r * uniform(mix64(dart + _U64(1)))
-                keep = rank < limit
-                if nu or heaviest > 1 or weights.min() < 1:
-                    keep &= low_w + wide_w * uniform(mix64(dart + _U64(2))) < weights[at][which]
-                dart = dart[keep]
+                keep = (rank < limit[owner[which]]) & (low_w + wide_w * uniform(mix64(dart + _U64(2))) < weights[which])
+                dart, which = dart[keep], which[keep]
                 found.append(dart)
                 ranks.append(rank[keep])
-                places.append((mix64(dart + _U64(3)) % _U64(size)).astype(np.int64))
+                cells.append(owner[which] * size + (mix64(dart + _U64(3)) % _U64(size)).astype(np.int64))
                 rho += 1
             nu += 1
-        dart, rank, place = np.concatenate(found), np.concatenate(ranks), np.concatenate(places)
+        dart, rank, cell = np.concatenate(found), np.concatenate(ranks), np.concatenate(cells)
         order = np.argsort(-rank, kind="stable")
-        filled = np.zeros(size, dtype=bool)
-        filled[place] = True
-        if filled.all():
-            out = np.zeros(size, dtype=_U64)
-            out[place[order]] = dart[order]  # the last one written is the earliest dart
-            return out
-        limit *= 2
-
-
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    keys = np.arange(1, bands + 1, dtype=_U64) * _U64(0xA24BAED4963EE407)
-    grid = sig.reshape(bands, rows)
+        out.reshape(-1)[cell[order]] = dart[order]  # the last one written is the earliest dart
+        filled = np.zeros(sets * size, dtype=bool)
+        filled[cell] = True
+        todo &= ~filled.reshape(sets, size).all(axis=1)
+        limit[todo] *= 2
+    return out
+
+
+def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands) join keys of (sets, bands * rows) signatures."""
+    keys = np.tile(np.arange(1, bands + 1, dtype=_U64) * _U64(0xA24BAED4963EE407), (len(sigs), 1))
+    grid = sigs.reshape(len(sigs), bands, rows)
     for k in range(rows):
-        keys = mix64(keys ^ grid[:, k]) + _U64(k + 1)
+        keys = mix64(keys ^ grid[:, :, k]) + _U64(k + 1)
     return keys.view(np.int64)
 
 
@@ -109,12 +115,17 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for pdf in batches:
-            prints, keys = [], []
-            for text in pdf["text"]:
-                prints.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
-                ids, counts = weighted_set(text, cache, size)
-                keys.append(band_keys(signature(ids, counts.astype(np.float64), bands * rows), bands, rows) if len(ids) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints, "bands": keys})
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                sets = [weighted_set(text, cache, size) for text in part["text"]]
+                full = [s for s in sets if len(s[0])]
+                keys: Iterator[np.ndarray] = iter(())
+                if full:
+                    ids, counts = np.concatenate([s[0] for s in full]), np.concatenate([s[1] for s in full])
+                    owner = np.repeat(np.arange(len(full)), [len(s[0]) for s in full])
+                    keys = iter(band_keys(sketch(ids, counts.astype(np.float64), owner, len(full), bands * rows), bands, rows))
+                prints = [xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": prints, "bands": [next(keys) if len(s[0]) else np.empty(0, np.int64) for s in sets]})
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, fp binary, bands array<long>")
 
@@ -178,10 +189,7 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small:
         many = sized.where(F.col("n") > small)
         top = many.groupBy("key", (F.xxhash64("id", F.lit(hubs)) % hubs).alias("slot")).agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
         rays = many.join(top, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "key")
-        if hubs == 1:
-            todo = pairs.union(rays.select("a", "b")).distinct()
-        else:
-            todo = pairs.union(rays.select("a", "b")).distinct()
+        todo = pairs.union(rays.select("a", "b")).distinct()
         good = materialize(verified(todo, docs, threshold, size), "near-links")
         found = good if found is None else found.union(good)
         if not many.limit(1).count():
