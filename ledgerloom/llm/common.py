@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -42,6 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], ddl: str) -> DataFrame:
+    """mapInArrow for functions from columns to columns as Python lists: integers with nulls stay integers."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batch.to_pydict() for batch in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+
+    return df.mapInArrow(go, ddl)
+
+
 def held_out(doc_id="doc_id"):
     """True for documents that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -16,11 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, WordHashes, mix64, shingle_hashes, word_hashes
+from .common import SIMILARITY, WordHashes, map_columns, mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
 #: Bounds of one block of items: rows and characters, as expected values of a hash split.
@@ -100,20 +99,20 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
         index = ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], permutations)
         shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict]:
             index: ItemIndex = shared.value
             cache = WordHashes()
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                for at in range(0, len(pdf) if index.ids else 0, AT_ONCE):
-                    part = pdf.iloc[at : at + AT_ONCE]
-                    sets = [(d, s) for d, t in zip(part["doc_id"].tolist(), part["text"], strict=True) if len(s := shingle_hashes(word_hashes(t, cache), whole_if_short=False))]
+                for at in range(0, len(batch["text"]) if index.ids else 0, AT_ONCE):
+                    part = zip(batch["doc_id"][at : at + AT_ONCE], batch["text"][at : at + AT_ONCE], strict=True)
+                    sets = [(d, s) for d, t in part if len(s := shingle_hashes(word_hashes(t, cache), whole_if_short=False))]
                     for i, j in sorted(index.candidates([s for _, s in sets])) if sets else ():
                         n, both = len(index.sets[j]), int(np.isin(index.sets[j], sets[i][1]).sum())
                         if both >= threshold * n - 1e-9:
                             rows.append((sets[i][0], index.ids[j], both, n, both / n))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "shared", "shingles", "containment"])
+                yield dict(zip(("doc_id", "item_id", "shared", "shingles", "containment"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
 
-        found = texts.mapInPandas(run, MATCHES)
+        found = map_columns(texts, run, MATCHES)
         out = found if out is None else out.union(found)
     return out

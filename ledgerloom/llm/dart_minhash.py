@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingle_hashes, uniform, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, uniform, word_hashes
 
 BANDS, ROWS = 24, 4
 #: Buckets of up to so many different texts are compared pair by pair; larger ones through hubs.
@@ -112,22 +112,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint of the exact text (16 bytes), band keys (empty if there are no words)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         cache = WordHashes()
-        for pdf in batches:
-            for at in range(0, len(pdf), AT_ONCE):
-                part = pdf.iloc[at : at + AT_ONCE]
-                sets = [weighted_set(text, cache, size) for text in part["text"]]
+        for batch in batches:
+            for at in range(0, len(batch["text"]), AT_ONCE):
+                texts = batch["text"][at : at + AT_ONCE]
+                sets = [weighted_set(text, cache, size) for text in texts]
                 full = [s for s in sets if len(s[0])]
                 keys: Iterator[np.ndarray] = iter(())
                 if full:
                     ids, counts = np.concatenate([s[0] for s in full]), np.concatenate([s[1] for s in full])
                     owner = np.repeat(np.arange(len(full)), [len(s[0]) for s in full])
                     keys = iter(band_keys(sketch(ids, counts.astype(np.float64), owner, len(full), bands * rows), bands, rows))
-                prints = [xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": prints, "bands": [next(keys) if len(s[0]) else np.empty(0, np.int64) for s in sets]})
+                prints = [xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text in texts]
+                yield {"doc_id": batch["doc_id"][at : at + AT_ONCE], "fp": prints, "bands": [next(keys) if len(s[0]) else [] for s in sets]}
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, fp binary, bands array<long>")
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return map_columns(known, run, "doc_id long, fp binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:

@@ -17,10 +17,11 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_columns
+
 #: Characters that a leaf holds at least, and the multiple at which a document's tree is built anew.
 LEAF, REBUILD = 512, 8
 EDITS = "array<struct<start:long,remove:long,insert:string>>"
@@ -132,17 +133,17 @@ class Tree:
 
 
 def build_state(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """doc_id, text and the two arrays of its tree; further columns of docs stay at the right."""
+    """doc_id, text and the two arrays of its tree, and the column edits if docs has it."""
     path = vocabulary or vocabulary_path()
     more = [c for c in docs.columns if c == "edits"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         count = Counter(path)
-        for pdf in batches:
-            trees = [Tree.build(text or "", count, leaf) for text in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "chars": [t.chars for t in trees], "tokens": [t.tokens for t in trees]} | {c: pdf[c] for c in more})
+        for batch in batches:
+            trees = [Tree.build(text or "", count, leaf) for text in batch["text"]]
+            yield batch | {"chars": [t.chars for t in trees], "tokens": [t.tokens for t in trees]}
 
-    return docs.select("doc_id", "text", *more).mapInPandas(run, STATE + f", edits {EDITS}" * bool(more))
+    return map_columns(docs.select("doc_id", "text", *more), run, STATE + f", edits {EDITS}" * bool(more))
 
 
 def with_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
@@ -156,18 +157,20 @@ def apply_edits(state: DataFrame, vocabulary: str | None = None, leaf: int = LEA
     """state after its edits, and tokens_before, tokens_after, n_edits, encoded_chars (what was re-encoded)."""
     path = vocabulary or vocabulary_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("doc_id", "text", "chars", "tokens", "tokens_before", "tokens_after", "n_edits", "encoded_chars")
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         count = Counter(path)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text, chars, tokens, edits in zip(*(pdf[c] for c in ("doc_id", "text", "chars", "tokens", "edits")), strict=True):
+            for doc_id, text, chars, tokens, edits in zip(*(batch[c] for c in ("doc_id", "text", "chars", "tokens", "edits")), strict=True):
                 tree, before, encoded, done = Tree(chars, tokens), int(tokens[1]), 0, 0
-                for e in edits if edits is not None and text is not None else ():
+                for e in edits or () if text is not None else ():
                     if e is None:
                         continue
                     text, n = tree.edit(text, int(e["start"] or 0), int(e["remove"] or 0), e["insert"] or "", count, leaf)
                     encoded, done = encoded + n, done + 1
                 rows.append((doc_id, text, tree.chars, tree.tokens, before, int(tree.tokens[1]), done, encoded))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "chars", "tokens", "tokens_before", "tokens_after", "n_edits", "encoded_chars"])
+            yield dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
 
-    return state.select("doc_id", "text", "chars", "tokens", "edits").mapInPandas(run, STATE + ", tokens_before long, tokens_after long, n_edits int, encoded_chars long")
+    return map_columns(state.select("doc_id", "text", "chars", "tokens", "edits"), run, STATE + ", tokens_before long, tokens_after long, n_edits int, encoded_chars long")

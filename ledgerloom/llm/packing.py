@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_columns, materialize
 from .word_bpe import WordBpe, default_vocabulary
 
 SEQUENCE = 2048
@@ -32,19 +32,19 @@ PACKED = PIECES + ", sequence_id long, offset long"
 def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, end_id: int = 0) -> DataFrame:
     """Each document's ids and then end_id, cut only where longer than `most`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         words = WordBpe(vocabulary)
         end = end_id.to_bytes(4, "little")
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = words.ids(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, PIECES)
+    return map_columns(docs.where("doc_id is not null").select("doc_id", "text"), run, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -19,15 +19,17 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_columns
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")  # runs are taken whole, so shorter ones need no look
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 
 WEAK_ID = re.compile(r"""\b(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
@@ -43,13 +45,9 @@ Span = tuple[str, int, int]
 def base_spans(text: str) -> list[Span]:
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    # a run shorter than the least is no match, so the shorter pattern's greedy runs need not be made one by one
     return out + [("hex", m.start(), m.end()) for m in LONG_HEX.finditer(text)]
 
 
-LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
-
-
 def bits(token: str) -> float:
     """Shannon entropy of its characters."""
     n = len(token)
@@ -100,20 +98,20 @@ def listed(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: an array of kind, start and end (code points, end exclusive), base kinds first."""
+    """doc_id, its base spans and all spans as lists of kind:start:end (code points, end exclusive)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for batch in batches:
+            out = {"doc_id": batch["doc_id"], "base": [], "base_sha256": [], "spans": []}
+            for text in batch["text"]:
                 text = text or ""
                 base = base_spans(text)
-                rows.append((listed(base), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + linked_spans(text, base))))
-            out = pd.DataFrame(rows, columns=["base", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+                out["base"].append(listed(base))
+                out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
+                out["spans"].append(listed(base + linked_spans(text, base)))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, base string, base_sha256 string, spans string")
+    return map_columns(docs.select("doc_id", "text"), run, "doc_id long, base string, base_sha256 string, spans string")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -121,26 +119,30 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in KINDS[:3]), "base_sha256", "spans")
 
 
+def without_spans(text: str | None, mark: str) -> str | None:
+    """The text with every span replaced by the mark; overlapping spans share one."""
+    if not text:
+        return text
+    base = base_spans(text)
+    at, out = 0, []
+    for _, a, b in sorted(base + linked_spans(text, base), key=lambda s: s[1:]):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by the mark (overlapping spans by one) and n_chars, if any, following."""
+    """docs with their secrets replaced by the mark, and n_chars, if there is one, following."""
     names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for text in pdf["text"]:
-                if text:
-                    base = base_spans(text)
-                    at, out = 0, []
-                    for _, a, b in sorted(base + linked_spans(text, base), key=lambda s: s[1:]):
-                        if a >= at:
-                            out += [text[at:a], mark]
-                        at = max(at, b)
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            pdf = pdf.assign(text=texts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [without_spans(text, mark) for text in batch.column("text").to_pylist()]
+            batch = batch.set_column(names.index("text"), "text", pa.array(texts, type=batch.schema.field("text").type))
             if "n_chars" in names:
-                pdf["n_chars"] = [None if t is None else len(t) for t in texts]
-            yield pdf[names]
+                n = pa.array([None if t is None else len(t) for t in texts], type=batch.schema.field("n_chars").type)
+                batch = batch.set_column(names.index("n_chars"), "n_chars", n)
+            yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

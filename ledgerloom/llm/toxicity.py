@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_sample, held_out, mix64, word_hashes
+from .common import WordHashes, bounded_sample, held_out, map_columns, mix64, word_hashes
 
 #: Rows that train at most: those whose salted id hashes lowest.
 TRAIN_ROWS = 4000
@@ -86,22 +86,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **settings)
     return train([(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["id"], r["text"] or ""))], **settings)
 
 
+def logits(texts: list[str | None], model: Model, dense: np.ndarray, cache: WordHashes) -> list[float]:
+    out = []
+    for text in texts:
+        at = features(word_hashes(text, cache), model.bits)
+        at = np.unique(at[np.flatnonzero(dense[at])])  # most grams have no weight, so few are left to sort
+        out.append(model.bias + float(dense[at].sum(dtype=np.float64)))
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         cache, model = WordHashes(), shared.value
         dense = model.dense()
-        for pdf in batches:
-            sums = []
-            for text in pdf["text"]:
-                at = features(word_hashes(text, cache), model.bits)
-                w = dense[at]
-                some = np.flatnonzero(w)
-                sums.append(model.bias + dense[np.unique(at[some])].sum(dtype=np.float64) if some.size else model.bias)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -35, 35)))})
+        for batch in batches:
+            x = np.array(logits(batch["text"], model, dense, cache), dtype=np.float64)
+            yield {"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x, -35, 35)))}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return map_columns(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -114,15 +118,11 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that score 0.5 or more, in one pass over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, model = WordHashes(), shared.value
         dense = model.dense()
-        for pdf in batches:
-            keep = []
-            for text in pdf["text"]:
-                at = features(word_hashes(text, cache), model.bits)
-                at = at[np.flatnonzero(dense[at])]
-                keep.append(model.bias + dense[np.unique(at)].sum(dtype=np.float64) < 0)
-            yield pdf[np.array(keep, dtype=bool)]
-
-    return docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            keep = np.array(logits(batch.column("text").to_pylist(), model, dense, cache)) < 0
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
