@@ -30,21 +30,53 @@ LETTERS = re.compile(r"[^\W\d_]+")
 TRAIN_ROWS, SNIPPETS, SNIPPET = 250, 6, 24
 #: Languages beyond so many (the most frequent first) have no state.
 MOST_LANGUAGES = 64
-#: Hash places, features of a word at most, and lexicon words of a language.
-BITS, SLOTS, LEXICON = 17, 24, 400
+#: Hash places, lexicon words of a language, trigrams of a word at most and characters that these take.
+BITS, LEXICON = 17, 400
+TRIGRAMS, WIDTH = 12, 13
+SLOTS = 10 + TRIGRAMS
 #: Texts whose chains run side by side.
-AT_ONCE = 256
+AT_ONCE = 512
+#: Steps between rescalings of the sums: a step takes e^-40 at most, so they can't vanish.
+RESCALE = 8
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    w = f"^{word}$"
-    grams = [f"w{word[:40]}", "l%d" % min(len(word), 12)]
-    grams += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    grams += [f"3{w[i:i + 3]}" for i in range(min(len(w) - 2, SLOTS - 12))]
-    grams.append("x" + "".join(sorted({c for c in word if c > "\x7f"})[:3]))
-    if word in lexicon:
-        grams.append(f"d{lexicon[word]}")
-    return [xxhash.xxh3_64_intdigest(g) & ((1 << BITS) - 1) for g in grams[:SLOTS]]
+def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    """(words, SLOTS) hash places: the word, its length, affixes, trigrams with the ends marked, lexicon entry.
+
+    What a word hasn't stands at the last place. All words go together: a matrix of their first characters
+    (cut at WIDTH; the word's own hash covers all) and one of their last.
+    """
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    start = np.cumsum(n) - n
+    place = start[:, None] + np.arange(WIDTH)
+    head = np.where(np.arange(WIDTH) < n[:, None], flat[np.minimum(place, len(flat) - 1)], np.uint64(2))
+    tail = [flat[start + np.maximum(n - k, 0)] for k in (1, 2, 3, 4)]
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    named = np.fromiter((lexicon.get(w, -1) + 1 for w in words), dtype=np.int64, count=len(words))
+    out = np.full((len(words), SLOTS), 1 << BITS, dtype=np.int64)
+    slot = 0
+
+    def put(kind: int, codes: list[np.ndarray], there: np.ndarray | bool = True) -> None:
+        nonlocal slot
+        x = np.full(len(words), kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        for c in codes:
+            x = (x ^ c) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+        out[:, slot] = np.where(there, (x >> np.uint64(64 - BITS)).astype(np.int64), 1 << BITS)
+        slot += 1
+
+    put(1, [whole])
+    put(2, [np.minimum(n, 12).astype(np.uint64)])
+    put(3, [named.astype(np.uint64)], named > 0)
+    for k in (1, 2, 3):
+        put(10 + k, [head[:, i] for i in range(k)], n >= k)
+    for k in (1, 2, 3, 4):
+        put(20 + k, tail[:k], n >= k)
+    first = np.full(len(words), 1, dtype=np.uint64)
+    for i in range(TRIGRAMS):
+        put(30, [head[:, i - 1] if i else first, head[:, i], head[:, i + 1]], n > i)
+    return out
 
 
 @dataclass
@@ -63,21 +95,26 @@ class Emissions(dict):
         self.model, self.most = model, most
         self.table = np.empty((1024, len(model.languages)))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at >= len(self.table):
+    def learn(self, words: list[str]) -> None:
+        """Adds the words that aren't in it, all at once."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(dict.fromkeys(words))
+        while len(self) + len(new) > len(self.table):
             self.table = np.vstack([self.table, np.empty_like(self.table)])
-        score = self.model.weights[word_features(word, self.model.lexicon)].sum(axis=0)
-        self.table[at] = np.exp(np.clip(score - score.max(), -30, 0))
-        self[word] = at
-        return at
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            score = self.model.weights[word_features(part, self.model.lexicon)].sum(axis=1)
+            self.table[len(self) : len(self) + len(part)] = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
+            self.update(zip(part, range(len(self), len(self) + len(part)), strict=True))
 
     def rows(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward sums, scaled to 1 at each step and 0 past a chain's end.
+    """Forward and backward sums up to a factor of each position, and 0 past a chain's end.
 
     emit: (time, chains, states), chains sorted by length, longest first; transition is exponentiated.
     """
@@ -88,7 +125,8 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarra
     alpha[0] = a
     for t in range(1, steps):
         a = (a[: live[t]] @ transition) * emit[t, : live[t]]
-        a /= a.sum(axis=1, keepdims=True)
+        if t % RESCALE == 0:
+            a /= a.sum(axis=1, keepdims=True)
         alpha[t, : live[t]] = a
     b = np.full((chains, states), 1 / states)
     for t in range(steps - 1, -1, -1):
@@ -96,7 +134,7 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarra
         beta[t, :n] = b[:n]
         if t:
             back = (emit[t, :n] * b[:n]) @ transition.T
-            b[:n] = back / back.sum(axis=1, keepdims=True)
+            b[:n] = back / back.sum(axis=1, keepdims=True) if t % RESCALE == 0 else back
     return alpha, beta
 
 
@@ -107,7 +145,7 @@ def marginals(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.divide(p, total, out=p, where=total > 0)
 
 
-def train(snippets: list[tuple[str, list[str]]], epochs: int = 6, batch: int = 64, rate: float = 0.3, l2: float = 1e-5, seed: int = 11) -> Model:
+def train(snippets: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64, rate: float = 0.3, l2: float = 1e-5, seed: int = 11) -> Model:
     """Maximum likelihood by AdaGrad on (language, words) snippets; pairs of snippets are spliced at random."""
     languages = [x for x, _ in sorted(Counter(x for x, _ in snippets).items(), key=lambda x: (-x[1], x[0]))][:MOST_LANGUAGES]
     number = {x: i for i, x in enumerate(languages)}
@@ -124,13 +162,7 @@ def train(snippets: list[tuple[str, list[str]]], epochs: int = 6, batch: int = 6
     states, places = len(languages), (1 << BITS) + 1
     w, w_sum = np.zeros((places, states)), np.full((places, states), 1e-2)
     t, t_sum = np.zeros((states, states)), np.full((states, states), 1e-2)
-    coded = []
-    for y, words in data:
-        at = np.full((len(words), SLOTS), places - 1, dtype=np.int64)
-        for i, word in enumerate(words):
-            f = word_features(word, lexicon)
-            at[i, : len(f)] = f
-        coded.append((y, at))
+    coded = [(y, word_features(words, lexicon)) for y, words in data]
     rng = np.random.default_rng(seed)
     for _ in range(epochs if coded else 0):
         order = rng.permutation(len(coded))
@@ -156,16 +188,19 @@ def train(snippets: list[tuple[str, list[str]]], epochs: int = 6, batch: int = 6
             move = np.exp(t - t.max())
             alpha, beta = forward_backward(emit, length, move)
             g = (marginals(alpha, beta) - gold)[:, :, None, :] / len(chains)
-            grad = np.zeros_like(w)
-            np.add.at(grad, at.reshape(-1), np.broadcast_to(g, (*at.shape, states)).reshape(-1, states))
-            grad[-1] = 0
+            used, where = np.unique(at, return_inverse=True)
+            by_slot = np.broadcast_to(g, (*at.shape, states)).reshape(-1, states)
+            grad = np.column_stack([np.bincount(where.reshape(-1), by_slot[:, s], len(used)) for s in range(states)])
+            grad[used == places - 1] = 0
             both = alpha[:-1, :, :, None] * move * (emit * beta)[1:, :, None, :]
             norm = both.sum(axis=(2, 3), keepdims=True)
             both = np.divide(both, norm, out=np.zeros_like(both), where=norm > 0)
             t_grad = (both.sum(axis=(0, 1)) - np.einsum("tci,tcj->ij", gold[:-1], gold[1:])) / len(chains)
-            for x, total, d in ((w, w_sum, grad + l2 * w), (t, t_sum, t_grad)):
-                total += d * d
-                x -= rate * d / np.sqrt(total)
+            grad += l2 * w[used]
+            w_sum[used] += grad * grad
+            w[used] -= rate * grad / np.sqrt(w_sum[used])
+            t_sum += t_grad * t_grad
+            t -= rate * t_grad / np.sqrt(t_sum)
     return Model(languages, w.astype(np.float32), t, lexicon)
 
 
@@ -200,12 +235,13 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
 def label_words(texts: list[str | None], model: Model, cache: Emissions) -> list[tuple[list[str], np.ndarray]]:
     """Each text's words and the (words, languages) probabilities of their languages."""
     words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-    if len(cache) > cache.most:
-        cache.clear()
+    if not model.languages:
+        return [(w, np.zeros((len(w), 0))) for w in words]
+    cache.learn([x for w in words for x in w])
     flat = [cache.rows(w) for w in words]
     order = sorted((i for i in range(len(texts)) if words[i]), key=lambda i: -len(words[i]))
     out = [(w, np.zeros((len(w), len(model.languages)))) for w in words]
-    if not order or not model.languages:
+    if not order:
         return out
     move = np.exp(model.transitions - model.transitions.max())
     at = 0

@@ -36,7 +36,7 @@ def test_toxicity_awkward_rows(spark):
 
 def test_ftrl_keeps_few_weights():
     rows = [(f"plain words number {i} and some more", 0) for i in range(200)] + [(f"plain awful number {i} and some more", 1) for i in range(200)]
-    model = T.train(rows, bits=16)
+    model = T.train(rows, bits=16, l1=1.0)
     assert len(model.places) < 60
     dense, cache = model.dense(), T.WordHashes()
     bad, good = T.logits(["an awful thing", "a plain thing"], model, dense, cache)

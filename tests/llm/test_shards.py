@@ -12,7 +12,7 @@ def texts(frame):
 
 def test_appends_compaction_and_versions(spark, tmp_path):
     frame = docs(spark, AWKWARD)
-    store = S.ShardStore(spark, str(tmp_path), target=1 << 20, unit=1 << 30, fan=3)
+    store = S.ShardStore(spark, str(tmp_path), target=64 << 20, unit=1 << 30, fan=3)
     assert store.versions() == [] and store.read(frame.schema).count() == 0
     for _ in range(5):
         store.append(frame)
