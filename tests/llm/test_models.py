@@ -39,7 +39,7 @@ def test_ftrl_keeps_few_weights():
     model = T.train(rows, bits=16, l1=1.0)
     assert len(model.places) < 60
     dense, cache = model.dense(), T.WordHashes()
-    bad, good = T.logits(["an awful thing", "a plain thing"], model, dense, cache)
+    bad, good = T.logits(["plain awful number x and some more", "plain words number x and some more"], model, dense, cache)
     assert bad > 0 > good
 
 
