@@ -28,6 +28,8 @@ from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_columns, material
 BANDS, ROWS = 24, 4
 #: Buckets of up to so many different texts are compared pair by pair; larger ones through hubs.
 SMALL_BUCKET = 12
+#: Frequent elements that the order of prefixes knows.
+KNOWN_ELEMENTS = 100_000
 #: Texts that one call sketches together.
 AT_ONCE = 64
 _U64 = np.uint64
@@ -169,40 +171,89 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, cls, ...) of the keys whose members aren't all of one class."""
+    mixed = rows.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
+    return rows.join(mixed.select("key"), "key", "left_semi")
+
+
+def elements(text: str | None, cache: WordHashes, size: int) -> np.ndarray:
+    """A text's shingle multiset as a set: the k-th copy of a shingle is an element of its own."""
+    ids, counts = weighted_set(text, cache, size)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix64(np.repeat(ids, counts) ^ (nth.astype(_U64) * _U64(0xD6E8FEB86659FD93)))
+
+
+def prefix_pairs(rows: DataFrame, docs: DataFrame, threshold: float, size: int, known: int = KNOWN_ELEMENTS) -> DataFrame:
+    """Distinct pairs (a, b) of different classes that can be similar enough. rows: id and cls.
+
+    Prefix filtering: with elements in one order for all texts, similar sets share an element among their
+    first n - ceil(threshold * n) + 1, and from the first they share on each must have as many elements left
+    as similar sets have in common. Any order is right; rare elements first leaves few pairs, so the
+    `known` most frequent ones come last. Edits of one text that have strayed apart start with their own
+    edits, and meet nobody.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(rows.select("id"), "id", "left_semi")
+    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")).join(rows, "id"), "near-texts")
+
+    def tally(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        cache = WordHashes()
+        for batch in batches:
+            every = [elements(text, cache, size) for text in batch["text"]]
+            ids, counts = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, dtype=_U64),) * 2
+            yield {"e": ids[counts > 1].view(np.int64), "n": counts[counts > 1].astype(np.int64)}
+
+    counts = map_columns(texts.select("text"), tally, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    often = [r["e"] for r in counts.orderBy(F.desc("n"), "e").limit(known).collect()]  # at most `known` numbers
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(often[::-1], dtype=np.int64).view(_U64))
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        cache, often = WordHashes(), shared.value
+        place = np.argsort(often)
+        for batch in batches:
+            prefixes, lengths = [], []
+            for text in batch["text"]:
+                own = elements(text, cache, size)
+                at = np.searchsorted(often, own, sorter=place)
+                rank = place[np.minimum(at, len(often) - 1)] if len(often) else at
+                rank = np.where(often[rank] == own, rank + 1, 0) if len(often) else np.zeros(len(own), dtype=np.int64)
+                keep = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1 if len(own) else 0
+                prefixes.append(own[np.lexsort((own, rank))[:keep]].view(np.int64))
+                lengths.append(len(own))
+            yield {"id": batch["id"], "cls": batch["cls"], "n": lengths, "prefix": prefixes}
+
+    sides = map_columns(texts, run, "id long, cls long, n long, prefix array<long>")
+    sides = across(materialize(sides.select(F.posexplode("prefix").alias("at", "key"), "id", "cls", "n"), "near-prefixes")).select("key", "id", "cls", "n", "at")
+    x, y = sides.toDF("key", "a", "cls_a", "n_a", "at_a"), sides.toDF("key", "b", "cls_b", "n_b", "at_b")
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    apart = (F.col("a") < F.col("b")) & (F.col("cls_a") != F.col("cls_b")) & enough
+    return x.join(y, (x.key == y.key) & apart).select("a", "b").distinct()
+
+
 def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small: int = SMALL_BUCKET) -> DataFrame:
-    """Verified pairs (a, b) between different texts. reps: doc_id and bands, a row for each different text.
+    """Verified pairs (a, b) that connect all texts whose class a shared bucket can tell; reps: doc_id and
+    bands, a row for each different text.
 
-    Buckets of at most `small` texts give all their pairs. A larger bucket gives its members' pairs with
-    hubs: the members that share most buckets with others. Members that no hub accepts go on to the next
-    round, with twice as many hubs, until none is left or the rest is small enough for all pairs, so the
-    pairs made stay near the number of rows and no bucket is dropped.
+    Buckets of at most `small` texts give all their pairs. A larger bucket gives its members' pairs with a
+    hub, the member that shares most buckets with others. Whoever is in such a bucket with members of
+    another class after that is compared by prefix_pairs, which misses no similar pair.
     """
-    rows = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    rows = materialize(rows, "near-bands")
-    found: DataFrame | None = None
-    hubs = 1
-    while True:
-        sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-        own = Window.partitionBy("id")
-        sized = materialize(sized.withColumn("central", F.sum("n").over(own)), "near-buckets")
-        few = sized.where(F.col("n") <= small).select("key", "id")
-        pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b")
-        many = sized.where(F.col("n") > small)
-        top = many.groupBy("key", (F.xxhash64("id", F.lit(hubs)) % hubs).alias("slot")).agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
-        rays = many.join(top, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "key")
-        todo = pairs.union(rays.select("a", "b")).distinct()
-        good = materialize(verified(todo, docs, threshold, size), "near-links")
-        found = good if found is None else found.union(good)
-        if not many.limit(1).count():
-            return found
-        linked = good.select(F.col("a").alias("id"), F.col("b").alias("hub"))
-        # what a hub accepted, and the hubs, need no further comparison in that bucket
-        done = rays.join(linked, (rays.a == linked.id) & (rays.b == linked.hub), "left_semi").select(F.col("a").alias("id"), "key")
-        done = done.union(top.select(F.col("hub").alias("id"), "key"))
-        rows = materialize(many.select("id", "key").join(done, ["id", "key"], "left_anti"), "near-bands")
-        if not rows.limit(1).count():
-            return found
-        hubs *= 2
+    rows = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "near-bands")
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    sized = materialize(sized.withColumn("central", F.sum("n").over(Window.partitionBy("id"))), "near-buckets")
+    few = sized.where(F.col("n") <= small).select("key", "id")
+    pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b")
+    many = sized.where(F.col("n") > small)
+    hubs = many.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
+    rays = many.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    todo = materialize(pairs.union(rays).distinct(), "near-candidates")
+    found = materialize(verified(todo, docs, threshold, size), "near-links")
+    if not many.limit(1).count():
+        return found
+    named = many.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("cls", "id").alias("cls"))
+    left = materialize(across(named).select("id", "cls").distinct(), "near-mixed")
+    more = prefix_pairs(left, docs, threshold, size).join(todo, ["a", "b"], "left_anti")
+    return found.union(verified(materialize(more, "near-candidates"), docs, threshold, size))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
