@@ -270,9 +270,9 @@ def topk_findings(v):
     return reports.top_findings(plain(first_rules(v)[1]), 40)
 
 
-@register("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS number FROM orders")
+@register("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '000' ELSE CAST(o_orderkey AS VARCHAR) END AS number FROM orders")
 def norm_invoice(v):
-    """Three ways to write an order's number, which all have the bare number as key."""
+    """Three ways to write an order's number, which all have the bare number as key; zeros stay where nothing else is left."""
     n = F.col("o_orderkey").cast("string")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("inv/2026-27/00"), n)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" Invoice No. "), n)).otherwise(F.concat(F.lit("bill-"), n, F.lit("/FY 26/27")))
     return v["orders"].select("o_orderkey", text.norm_invoice_no(raw).alias("number"))
