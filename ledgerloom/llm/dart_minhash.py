@@ -133,11 +133,19 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     return map_columns(known, run, "doc_id long, fp binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough, by their exact shingle multisets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi"), "near-texts").groupBy("id").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of these distinct ids, a row for each; of several texts under one id the least.
+
+    Ids grow with the input, so this is a merge join at every size, and the only time that texts of all
+    documents are shuffled.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(ids.hint("merge"), "id", "left_semi")
+    return materialize(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are similar enough, by their exact shingle multisets."""
+    both = pairs.hint("merge").join(texts.toDF("a", "text_a"), "a").hint("merge").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -184,7 +192,7 @@ def elements(text: str | None, cache: WordHashes, size: int) -> np.ndarray:
     return mix64(np.repeat(ids, counts) ^ (nth.astype(_U64) * _U64(0xD6E8FEB86659FD93)))
 
 
-def prefix_pairs(rows: DataFrame, docs: DataFrame, threshold: float, size: int, known: int = KNOWN_ELEMENTS) -> DataFrame:
+def prefix_pairs(rows: DataFrame, texts: DataFrame, threshold: float, size: int, known: int = KNOWN_ELEMENTS) -> DataFrame:
     """Distinct pairs (a, b) of different classes that can be similar enough. rows: id and cls.
 
     Prefix filtering: with elements in one order for all texts, similar sets share an element among their
@@ -193,8 +201,7 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, threshold: float, size: int,
     `known` most frequent ones come last. Edits of one text that have strayed apart start with their own
     edits, and meet nobody.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(rows.select("id"), "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")).join(rows, "id"), "near-texts")
+    texts = materialize(rows.hint("merge").join(texts, "id"), "near-mixed-texts")
 
     def tally(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         cache = WordHashes()
@@ -205,7 +212,7 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, threshold: float, size: int,
 
     counts = map_columns(texts.select("text"), tally, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
     often = [r["e"] for r in counts.orderBy(F.desc("n"), "e").limit(known).collect()]  # at most `known` numbers
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(often[::-1], dtype=np.int64).view(_U64))
+    shared = texts.sparkSession.sparkContext.broadcast(np.array(often[::-1], dtype=np.int64).view(_U64))
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         cache, often = WordHashes(), shared.value
@@ -247,13 +254,14 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small:
     hubs = many.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
     rays = many.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     todo = materialize(pairs.union(rays).distinct(), "near-candidates")
-    found = materialize(verified(todo, docs, threshold, size), "near-links")
+    texts = texts_of(sized.select("id").distinct(), docs)
+    found = materialize(verified(todo, texts, threshold, size), "near-links")
     if not many.limit(1).count():
         return found
     named = many.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("cls", "id").alias("cls"))
     left = materialize(across(named).select("id", "cls").distinct(), "near-mixed")
-    more = prefix_pairs(left, docs, threshold, size).join(todo, ["a", "b"], "left_anti")
-    return found.union(verified(materialize(more, "near-candidates"), docs, threshold, size))
+    more = prefix_pairs(left, texts, threshold, size).join(todo, ["a", "b"], "left_anti")
+    return found.union(verified(materialize(more, "near-candidates"), texts, threshold, size))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
