@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,6 +271,72 @@ def topk_findings(v):
     return reports.top_findings(plain(first_rules(v)[1]), 40)
 
 
+# The same over the whole reconciliation (equal and fuzzy numbers) and, in the reports, all rules that are on. The
+# choice among fuzzy pairs is sequential, so these have no SQL; the queries above stay the equal-number part that SQL can tell.
+
+
+def whole(v) -> DataFrame:
+    return matching.stored(matching.reconcile(v["books"], v["portal"]))
+
+
+def all_rules(v) -> tuple[DataFrame, DataFrame]:
+    """The matches and the drafts of every rule that is on by default, R1 to R8."""
+    m, paid = whole(v), matching.stored(matching.reconcile_bank(v["bank"], v["ledger"]))
+    drafts = [
+        rules.r1_unmatched_credit(v["books"], m, AS_OF, LATEST), rules.r2_amount_mismatch(v["books"], v["portal"], m), rules.r3_duplicate(v["books"], v["portal"], m),
+        rules.r4_reversal(v["portal"], AS_OF), rules.r5_variance(rules.variance_parts(v["bank"], v["ledger"], paid)), rules.r6_unidentified_deposit(v["bank"], paid),
+        rules.r7_concentration(v["ledger"]), rules.r8_ageing(v["ledger"], periods_of(v)),
+    ]
+    return m, matching.stored(reduce(DataFrame.union, drafts))
+
+
+def whole_month_rows(v) -> DataFrame:
+    m, d = all_rules(v)
+    return reports.period_range(m, d, reports.spine(m.where("left_type = 'purchase_invoice'").select("company_id", "period").union(d.select("company_id", "period"))))
+
+
+@register()
+def whole_coverage_by_period(v):
+    return reports.coverage(whole(v)).drop("pct")
+
+
+@register()
+def whole_rule_r1(v):
+    return plain(rules.r1_unmatched_credit(v["books"], whole(v), AS_OF, LATEST))
+
+
+@register()
+def whole_rule_r2(v):
+    return plain(rules.r2_amount_mismatch(v["books"], v["portal"], whole(v)))
+
+
+@register()
+def whole_rule_r3(v):
+    return plain(rules.r3_duplicate(v["books"], v["portal"], whole(v)))
+
+
+@register()
+def whole_range_report(v):
+    return whole_month_rows(v)
+
+
+@register()
+def whole_range_totals(v):
+    return reports.totals(whole_month_rows(v)).withColumn("pct", F.col("pct").cast("double"))
+
+
+@register()
+def whole_firm_dashboard(v):
+    m, d = all_rules(v)
+    lost = rules.of_status(v["books"], m, "unmatched").select("company_id", dates.credit_deadline(F.col("invoice_date")).alias("deadline"), rules.tax().alias("amount"))
+    return reports.dashboard(d, lost).withColumn("deadline", F.col("deadline").cast("string"))
+
+
+@register()
+def whole_topk_findings(v):
+    return reports.top_findings(plain(all_rules(v)[1]), 40)
+
+
 @register("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '000' ELSE CAST(o_orderkey AS VARCHAR) END AS number FROM orders")
 def norm_invoice(v):
     """Three ways to write an order's number, which all have the bare number as key; zeros stay where nothing else is left."""
