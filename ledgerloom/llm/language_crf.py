@@ -5,7 +5,9 @@ into a table of weights per language; learned transitions tie neighbours togethe
 every word's language probabilities, and a text's language is the one with the largest mean probability.
 
 Training takes snippets of a bounded sample of documents outside the held-out fold, spliced pairwise so that
-switches inside a text are seen and transitions learned. Words are runs of letters, lower-cased.
+switches inside a text are seen and transitions learned. Words are runs of letters, lower-cased. A run of more
+than TRIGRAMS letters (a compound, or text without spaces) goes into the chain as consecutive chunks, so features
+see every letter of it and long runs weigh by their length.
 
 Texts that are null or have no letter are `und` with score 0. Without any labelled document all texts are
 `und`. Rows return as often as they stand; other columns are ignored.
@@ -40,11 +42,20 @@ AT_ONCE = 512
 RESCALE = 8
 
 
+def chunked(words: list[str]) -> list[str]:
+    """The positions of a chain: words, those beyond TRIGRAMS letters in chunks. Neighbouring chunks share two
+    letters, so that each trigram of the word lies in one of them."""
+    if not words or len(max(words, key=len)) <= TRIGRAMS:
+        return words
+    step = TRIGRAMS - 2
+    return [c for w in words for c in ((w,) if len(w) <= TRIGRAMS else [w[a : a + TRIGRAMS] for a in range(0, len(w) - 2, step)])]
+
+
 def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """(words, SLOTS) hash places: the word, its length, affixes, trigrams with the ends marked, lexicon entry.
 
-    What a word hasn't stands at the last place. All words go together: a matrix of their first characters
-    (cut at WIDTH; the word's own hash covers all) and one of their last.
+    What a word hasn't stands at the last place. All words go together, as chunked() gives them: a matrix of their
+    first WIDTH characters (all, with the end's mark) and one of their last.
     """
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -223,7 +234,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
         for batch in batches:
             out: list[tuple[int, str, list[str]]] = []
             for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
-                words = LETTERS.findall(text.lower())
+                words = chunked(LETTERS.findall(text.lower()))
                 starts = np.random.default_rng(doc_id & 0x7FFFFFFF).integers(0, max(1, len(words) - SNIPPET + 1), SNIPPETS)
                 out += [(doc_id, lang, words[a : a + SNIPPET]) for a in sorted({*starts.tolist()}) if words]
             yield dict(zip(("doc_id", "lang", "words"), zip(*out, strict=True) if out else [[]] * 3, strict=True))
@@ -233,14 +244,15 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
 
 
 def label_words(texts: list[str | None], model: Model, cache: Emissions) -> list[tuple[list[str], np.ndarray]]:
-    """Each text's words and the (words, languages) probabilities of their languages."""
-    words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    """Each text's words and the (positions, languages) probabilities of the languages of its chain's positions."""
+    whole = [LETTERS.findall(t.lower()) if t else [] for t in texts]
     if not model.languages:
-        return [(w, np.zeros((len(w), 0))) for w in words]
+        return [(w, np.zeros((len(w), 0))) for w in whole]
+    words = [chunked(w) for w in whole]
     cache.learn([x for w in words for x in w])
     flat = [cache.rows(w) for w in words]
     order = sorted((i for i in range(len(texts)) if words[i]), key=lambda i: -len(words[i]))
-    out = [(w, np.zeros((len(w), len(model.languages)))) for w in words]
+    out = [(w, np.zeros((len(w), len(model.languages)))) for w in whole]
     if not order:
         return out
     move = np.exp(model.transitions - model.transitions.max())
@@ -255,12 +267,12 @@ def label_words(texts: list[str | None], model: Model, cache: Emissions) -> list
             emit[: length[k], k] = cache.table[flat[i]]
         p = marginals(*forward_backward(emit, length, move))
         for k, i in enumerate(part):
-            out[i] = (words[i], p[: length[k], k])
+            out[i] = (whole[i], p[: length[k], k])
     return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, n_words and switches (neighbouring words of different likeliest languages)."""
+    """doc_id, lang_pred, score, n_words and switches (neighbouring positions of different likeliest languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:

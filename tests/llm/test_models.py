@@ -67,6 +67,17 @@ def test_words_of_a_mixed_text_get_their_languages():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+def test_every_letter_of_a_long_run_counts():
+    en, de = "thehouseandgardenwereverysmall", "dashausundgartenwarensehrklein"
+    model = L.train([("en", L.chunked([en] * 4))] * 40 + [("de", L.chunked([de] * 4))] * 40, epochs=4)
+    (words, p), (_, q) = L.label_words([en + de * 6, en + "ab" + de * 6], model, L.Emissions(model))
+    assert len(words) == 1 and model.languages[p.mean(axis=0).argmax()] == model.languages[q.mean(axis=0).argmax()] == "de"
+    for n in (12, 13, 14, 22, 23, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = L.chunked([run])
+        assert {run[i : i + 3] for i in range(n - 2)} == {c[i : i + 3] for c in parts for i in range(len(c) - 2)}
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     emit, move = rng.random((4, 2, 3)), rng.random((3, 3))
