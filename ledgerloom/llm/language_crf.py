@@ -9,6 +9,10 @@ switches inside a text are seen and transitions learned. Words are runs of lette
 than TRIGRAMS letters (a compound, or text without spaces) goes into the chain as consecutive chunks, so features
 see every letter of it and long runs weigh by their length.
 
+Every value of lang that a row outside the held-out fold has is a state. Up to MANY languages the model has
+2^BITS places and TRAIN_ROWS documents of each; beyond that places, documents and what runs at once shrink in
+proportion (a document of each at least), so that memory stays what it is with MANY.
+
 Texts that are null or have no letter are `und` with score 0. Without any labelled document all texts are
 `und`. Rows return as often as they stand; other columns are ignored.
 """
@@ -22,16 +26,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_columns
+from .common import held_out, map_columns
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents that train at most for each language, snippets of each, words of a snippet.
 TRAIN_ROWS, SNIPPETS, SNIPPET = 250, 6, 24
-#: Languages beyond so many (the most frequent first) have no state.
-MOST_LANGUAGES = 64
+#: Languages up to which tables have their full size.
+MANY = 64
+#: Groups by a hash in which a language's documents are first ranked.
+RANKED = 64
 #: Hash places, lexicon words of a language, trigrams of a word at most and characters that these take.
 BITS, LEXICON = 17, 400
 TRIGRAMS, WIDTH = 12, 13
@@ -42,6 +48,11 @@ AT_ONCE = 512
 RESCALE = 8
 
 
+def share(full: int, languages: int) -> int:
+    """A size for so many languages: `full` up to MANY, then in inverse proportion."""
+    return full if languages <= MANY else max(1, full * MANY // languages)
+
+
 def chunked(words: list[str]) -> list[str]:
     """The positions of a chain: words, those beyond TRIGRAMS letters in chunks. Neighbouring chunks share two
     letters, so that each trigram of the word lies in one of them."""
@@ -96,6 +107,7 @@ class Model:
     weights: np.ndarray  # (places + 1, languages); the last place is for padding and stays 0
     transitions: np.ndarray
     lexicon: dict[str, int]
+    shift: int = 0  # places are the hash places without so many low bits
 
 
 class Emissions(dict):
@@ -103,7 +115,7 @@ class Emissions(dict):
 
     def __init__(self, model: Model, most: int = 200_000):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most, self.part = model, share(most, len(model.languages)), share(20_000, len(model.languages))
         self.table = np.empty((1024, len(model.languages)))
 
     def learn(self, words: list[str]) -> None:
@@ -114,9 +126,9 @@ class Emissions(dict):
             new = list(dict.fromkeys(words))
         while len(self) + len(new) > len(self.table):
             self.table = np.vstack([self.table, np.empty_like(self.table)])
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            score = self.model.weights[word_features(part, self.model.lexicon)].sum(axis=1)
+        for at in range(0, len(new), self.part):
+            part = new[at : at + self.part]
+            score = self.model.weights[word_features(part, self.model.lexicon) >> self.model.shift].sum(axis=1)
             self.table[len(self) : len(self) + len(part)] = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
             self.update(zip(part, range(len(self), len(self) + len(part)), strict=True))
 
@@ -158,22 +170,31 @@ def marginals(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
 
 def train(snippets: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 64, rate: float = 0.3, l2: float = 1e-5, seed: int = 11) -> Model:
     """Maximum likelihood by AdaGrad on (language, words) snippets; pairs of snippets are spliced at random."""
-    languages = [x for x, _ in sorted(Counter(x for x, _ in snippets).items(), key=lambda x: (-x[1], x[0]))][:MOST_LANGUAGES]
+    languages = [x for x, _ in sorted(Counter(x for x, _ in snippets).items(), key=lambda x: (-x[1], x[0]))]
     number = {x: i for i, x in enumerate(languages)}
-    data = [(number[x], words) for x, words in snippets if x in number and words]
+    data = [(number[x], words) for x, words in snippets if words]
     counts: dict[int, Counter] = {i: Counter() for i in number.values()}
     for y, words in data:
         counts[y].update(words)
+    totals = {y: sum(c.values()) or 1 for y, c in counts.items()}
+    first, second = {}, {}  # a word's greatest share of a language's words, and the greatest beside that
+    for y, c in counts.items():
+        for word, n in c.items():
+            low = min(n / totals[y], first.get(word, (0.0, -1))[0])
+            if n / totals[y] > first.get(word, (0.0, -1))[0]:
+                first[word] = (n / totals[y], y)
+            second[word] = max(second.get(word, 0.0), low)
     lexicon: dict[str, int] = {}
     for y, c in counts.items():
-        total = sum(c.values()) or 1
         for word, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            if all(n / total > 3 * o[word] / (sum(o.values()) or 1) for z, o in counts.items() if z != y):
+            if first[word][1] == y and n / totals[y] > 3 * second[word]:
                 lexicon[word] = y
-    states, places = len(languages), (1 << BITS) + 1
+    states = len(languages)
+    shift = max(0, min(BITS - 10, (max(1, -(-states // MANY)) - 1).bit_length()))
+    places = (1 << BITS - shift) + 1
     w, w_sum = np.zeros((places, states)), np.full((places, states), 1e-2)
     t, t_sum = np.zeros((states, states)), np.full((states, states), 1e-2)
-    coded = [(y, word_features(words, lexicon)) for y, words in data]
+    coded = [(y, word_features(words, lexicon) >> shift) for y, words in data]
     rng = np.random.default_rng(seed)
     for _ in range(epochs if coded else 0):
         order = rng.permutation(len(coded))
@@ -194,41 +215,43 @@ def train(snippets: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 6
             for k, (y, f) in enumerate(chains):
                 at[: len(y), k] = f
                 gold[np.arange(len(y)), k, y] = 1
-            score = w[at].sum(axis=2)
+            score = sum(w[at[:, :, k]] for k in range(SLOTS))
             emit = np.exp(score - score.max(axis=2, keepdims=True))
             move = np.exp(t - t.max())
             alpha, beta = forward_backward(emit, length, move)
-            g = (marginals(alpha, beta) - gold)[:, :, None, :] / len(chains)
+            g = (marginals(alpha, beta) - gold).reshape(-1, states) / len(chains)
             used, where = np.unique(at, return_inverse=True)
-            by_slot = np.broadcast_to(g, (*at.shape, states)).reshape(-1, states)
-            grad = np.column_stack([np.bincount(where.reshape(-1), by_slot[:, s], len(used)) for s in range(states)])
+            grad = np.column_stack([np.bincount(where.reshape(-1), np.repeat(g[:, s], SLOTS), len(used)) for s in range(states)])
             grad[used == places - 1] = 0
-            both = alpha[:-1, :, :, None] * move * (emit * beta)[1:, :, None, :]
-            norm = both.sum(axis=(2, 3), keepdims=True)
-            both = np.divide(both, norm, out=np.zeros_like(both), where=norm > 0)
-            t_grad = (both.sum(axis=(0, 1)) - np.einsum("tci,tcj->ij", gold[:-1], gold[1:])) / len(chains)
+            here, there = alpha[:-1].reshape(-1, states), (emit * beta)[1:].reshape(-1, states)
+            norm = ((here @ move) * there).sum(axis=1, keepdims=True)
+            here = np.divide(here, norm, out=np.zeros_like(here), where=norm > 0)
+            t_grad = (move * (here.T @ there) - np.einsum("tci,tcj->ij", gold[:-1], gold[1:])) / len(chains)
             grad += l2 * w[used]
             w_sum[used] += grad * grad
             w[used] -= rate * grad / np.sqrt(w_sum[used])
             t_sum += t_grad * t_grad
             t -= rate * t_grad / np.sqrt(t_sum)
-    return Model(languages, w.astype(np.float32), t, lexicon)
+    return Model(languages, w.astype(np.float32), t, lexicon, shift)
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
     """Learns from text and lang of documents outside the held-out fold.
 
-    The languages and their document counts come from all rows; a language's sample is its `rows` documents
-    whose salted id hashes lowest, each giving SNIPPETS runs of words from all over its text.
+    A language's sample is its `rows` documents (its share of them beyond MANY languages) whose salted id hashes
+    lowest, each giving SNIPPETS runs of words from all over its text. Documents are ranked within RANKED groups of
+    a language first, so that the last ranking of one sees a bounded number.
     """
     known = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    samples = [bounded_sample(known.where(F.col("lang") == r["lang"]), "doc_id", rows, "language") for r in counts]
-    if not samples:
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return Model([], np.zeros((1, 0)), np.zeros((0, 0)), {})
-    sample = samples[0]
-    for more in samples[1:]:
-        sample = sample.union(more)
+    rows = share(rows, languages)
+    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("language")).alias("rank"))
+    for group in (["lang", F.pmod("rank", F.lit(RANKED))], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("rank", "doc_id"))
+        ranked = ranked.withColumn("nth", nth).where(F.col("nth") <= rows).drop("nth")
+    sample = known.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for batch in batches:
@@ -277,11 +300,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         model = shared.value
-        cache = Emissions(model)
+        cache, at_once = Emissions(model), share(AT_ONCE, len(model.languages))
         for batch in batches:
             out = {"doc_id": batch["doc_id"], "lang_pred": [], "score": [], "n_words": [], "switches": []}
-            for at in range(0, len(batch["text"]), AT_ONCE):
-                for words, p in label_words(batch["text"][at : at + AT_ONCE], model, cache):
+            for at in range(0, len(batch["text"]), at_once):
+                for words, p in label_words(batch["text"][at : at + at_once], model, cache):
                     out["n_words"].append(len(words))
                     if not p.size:
                         out["lang_pred"].append("und")

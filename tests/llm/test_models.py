@@ -78,6 +78,15 @@ def test_every_letter_of_a_long_run_counts():
         assert {run[i : i + 3] for i in range(n - 2)} == {c[i : i + 3] for c in parts for i in range(len(c) - 2)}
 
 
+def test_every_language_has_a_state(spark):
+    named = lambda k: " ".join(f"{chr(97 + k // 9)}{chr(107 + k % 9)}{x}" for x in ("ab", "cod", "ef", "gim", "op", "ur"))
+    rows = [(100 * k + i, named(k), f"l{k:02}") for k in range(70) for i in range(5)]
+    model = L.fit(docs(spark, rows), epochs=3)
+    assert sorted(model.languages) == [f"l{k:02}" for k in range(70)]
+    got = {(r.lang_pred, r.doc_id // 100) for r in L.identify(docs(spark, rows), model).collect()}
+    assert sum(pred == f"l{k:02}" for pred, k in got) >= 68
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     emit, move = rng.random((4, 2, 3)), rng.random((3, 3))
