@@ -7,29 +7,41 @@ written as Parquet and read again. All stages but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import containment, dart_minhash, packing, secrets, toxicity
 from ledgerloom.llm.common import materialize, table
 
 
+#: A number for each row of a stage's input.
+ROW = "__row"
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; those without text stay."""
     return toxicity.reject_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; rows without an id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id stays."""
-    return without(docs, dart_minhash.near_duplicates(docs).where("doc_id <> class_id"))
+    """Of near copies one row stays: that of the smallest doc_id, of rows without an id only if there are no others.
+
+    Every row is compared under a number of its own, so repeated rows of a doc_id and rows without one are copies
+    like any other. A null text equals none, but repeats of its doc_id go; without text and doc_id a row stays.
+    """
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    found = dart_minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "class_id")
+    member = rows.select(ROW, "doc_id", F.col("text").isNull().alias("t")).join(found.hint("merge"), ROW)
+    null = F.col("t")
+    key = F.struct(F.when(null, F.coalesce("doc_id", ROW)).otherwise(F.col("class_id")).alias("k"), F.when(null, F.col("doc_id").isNull()).alias("bare"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))[ROW].alias(ROW)
+    kept = materialize(member.groupBy(key.alias("key")).agg(first).select(ROW), "pipeline-kept")
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths of a benchmark item's shingles go."""
-    return without(docs, materialize(containment.contained_items(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+    leaks = materialize(containment.contained_items(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

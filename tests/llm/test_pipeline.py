@@ -34,3 +34,12 @@ def test_toxic_documents_go(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.where("offset + length > 2048").count() == 0 and out.count() > 100
+
+
+def test_one_row_of_exact_copies_stays(spark):
+    rows = [*[(5, "the very same text that was loaded again", "en")] * 4, *[(None, "the very same text that was loaded again", "en")] * 2, *[(None, "one more text without any id", "en")] * 3]
+    rows += [*[(8, None, "en")] * 2, *[(None, None, "en")] * 2, (9, "a text that stands alone here", "en")]
+    kept = corpus_pipeline.one_of_each_class(spark, docs(spark, rows).select(COLUMNS), SF)
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted(
+        [(5, rows[0][1]), (0, rows[6][1]), (8, ""), (0, ""), (0, ""), (9, rows[-1][1])]
+    )
