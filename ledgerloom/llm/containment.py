@@ -8,7 +8,8 @@ containment (share of the item's shingles that the whole document has) decides.
 
 Items come in blocks of bounded size, each of which meets all documents in one scan; nothing is shuffled.
 Null texts and texts under five words have no shingles and give no rows. Columns other than the ids and text
-are ignored. Equal items and repeated documents return a row for each.
+are ignored. Equal items and repeated documents return a row for each. contained_items leaves out rows without doc_id;
+without_contained decides for each row by its own text, with or without an id.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, WordHashes, map_columns, mix64, shingle_hashes, word_hashes
+from .common import SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
 #: Bounds of one block of items: rows and characters, as expected values of a hash split.
@@ -87,32 +90,55 @@ class ItemIndex:
         return found
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document and item with containment of at least `threshold`."""
-    spark = docs.sparkSession
+def matches(index: ItemIndex, texts: list[str | None], cache: WordHashes, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(place of a text, place of an item, shared shingles, the item's shingles) of containments over the threshold."""
+    for at in range(0, len(texts) if index.ids else 0, AT_ONCE):
+        sets = [(k, s) for k, t in enumerate(texts[at : at + AT_ONCE], at) if len(s := shingle_hashes(word_hashes(t, cache), whole_if_short=False))]
+        for i, j in sorted(index.candidates([s for _, s in sets])) if sets else ():
+            n, both = len(index.sets[j]), int(np.isin(index.sets[j], sets[i][1]).sum())
+            if both >= threshold * n - 1e-9:
+                yield sets[i][0], j, both, n
+
+
+def item_blocks(items: DataFrame, permutations: int, block_items: int, block_chars: int) -> Iterator[Broadcast]:
+    """The indexes of the blocks of items, one after another."""
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["n"] // block_items), -(-size["chars"] // block_chars))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    out: DataFrame | None = None
     for b in range(blocks):
         index = ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], permutations)
-        shared = spark.sparkContext.broadcast(index)
+        yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document and item with containment of at least `threshold`."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    out: DataFrame | None = None
+    for shared in item_blocks(items, permutations, block_items, block_chars):
 
         def run(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict]:
             index: ItemIndex = shared.value
             cache = WordHashes()
             for batch in batches:
-                rows = []
-                for at in range(0, len(batch["text"]) if index.ids else 0, AT_ONCE):
-                    part = zip(batch["doc_id"][at : at + AT_ONCE], batch["text"][at : at + AT_ONCE], strict=True)
-                    sets = [(d, s) for d, t in part if len(s := shingle_hashes(word_hashes(t, cache), whole_if_short=False))]
-                    for i, j in sorted(index.candidates([s for _, s in sets])) if sets else ():
-                        n, both = len(index.sets[j]), int(np.isin(index.sets[j], sets[i][1]).sum())
-                        if both >= threshold * n - 1e-9:
-                            rows.append((sets[i][0], index.ids[j], both, n, both / n))
+                rows = [(batch["doc_id"][k], index.ids[j], both, n, both / n) for k, j, both, n in matches(index, batch["text"], cache, threshold)]
                 yield dict(zip(("doc_id", "item_id", "shared", "shingles", "containment"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
 
         found = map_columns(texts, run, MATCHES)
         out = found if out is None else out.union(found)
     return out
+
+
+def without_contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows whose own text holds an item; nothing is joined. What a block leaves is written before the next."""
+    out = docs
+    for b, shared in enumerate(item_blocks(items, permutations, block_items, block_chars)):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            cache = WordHashes()
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[k for k, *_ in matches(shared.value, batch.column("text").to_pylist(), cache, threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = (materialize(out, "uncontained") if b else out).mapInArrow(run, docs.schema)
+    return out

@@ -5,7 +5,7 @@ square of its length). Pieces are placed longest first; of the open sequences wi
 the chosen one has the least weighted residual norm after it ("norm") or the largest weighted dot product of
 piece and residual ("dot").
 
-Null and empty texts are one end token. A repeated row is packed as often as it stands, under the same
+Null and empty texts are one end token. Rows without doc_id are packed like others, under a null doc_id. A repeated row is packed as often as it stands, under the same
 doc_id and piece. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, end_id: int =
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
 
-    return map_columns(docs.where("doc_id is not null").select("doc_id", "text"), run, PIECES)
+    return map_columns(docs.select("doc_id", "text"), run, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -83,21 +83,23 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
 def pack(
     cut: DataFrame, tokens: int = SEQUENCE, documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm", group: int = GROUP
 ) -> DataFrame:
-    """The pieces with sequence_id and offset. The pieces are dealt into even groups by a hash, so that the
-    work of a group is bounded and the groups grow in number only; what is shuffled is a few numbers a piece."""
-    cut = materialize(cut, "pieces")
+    """The pieces with sequence_id and offset. The pieces are dealt into even groups by a hash of their number in the
+    written table, not of doc_id, which may be null or stand on many rows; so the work of a group is bounded and
+    the groups grow in number only. What is shuffled is a few numbers a piece."""
+    cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group))
     capacity = np.array([tokens, documents or tokens, attention or float(tokens) ** 2], dtype=np.float64)
     share = np.array(weights, dtype=np.float64)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
-        length = pdf["length"].to_numpy(dtype=np.float64)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:  # Arrow keeps integers beside nulls
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        length = rows["length"].to_numpy().astype(np.float64)
         bins, offsets = best_fit(np.column_stack([length, np.ones_like(length), length**2]), capacity, share, rule)
-        return pdf.drop(columns="part").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
+        rows = rows.drop_columns(["row", "part"]).append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32)))
+        return rows.append_column("offset", pa.array(offsets))
 
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
-    return cut.withColumn("part", part).groupBy("part").applyInPandas(run, PACKED)
+    part = F.pmod(F.xxhash64("row"), F.lit(groups))
+    return cut.withColumn("part", part).groupBy("part").applyInArrow(run, PACKED)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str | None = None, **limits) -> DataFrame:
