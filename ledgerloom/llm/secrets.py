@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +61,7 @@ class Parts:
     def __init__(self, spans: list[Span]):
         self.spans = sorted(spans, key=lambda s: s[1:])
         self.starts = [s[1] for s in self.spans]
+        self.furthest = list(accumulate((s[2] for s in self.spans), max, initial=0))  # the largest end of the first k
         self.longest = max((s[2] - s[1] for s in self.spans), default=0)
 
     def near(self, span: Span, scopes: list[int], reach: int) -> bool:
@@ -81,8 +83,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     for m in WEAK_SECRET.finditer(text):
         token = m[0]
         if re.search(r"\d", token) and re.search(r"[A-Za-z]", token) and bits(token) >= LEAST_BITS:
-            at = bisect_left(taken.starts, m.end())
-            if not any(s[2] > m.start() for s in taken.spans[max(0, at - 8) : at]):
+            if taken.furthest[bisect_left(taken.starts, m.end())] <= m.start():
                 weak_secret.append(("link_secret", m.start(), m.end()))
     scopes = [m.end() for m in SCOPE_END.finditer(text)]
     ids, ends, secrets = Parts(strong_id + weak_id), Parts(endpoint), Parts(strong + weak_secret)

@@ -43,6 +43,11 @@ def test_weak_parts_count_only_together():
     assert kinds("see https://example.com/page for more") == []
 
 
+def test_a_token_inside_a_long_address_counts_once():
+    text = "see https://example.com/?" + "&".join(f"token=abcdef{i:02}" for i in range(12)) + "&ab12CD34ef56GH78ij90 here"
+    assert "link_secret" not in [k for k, _, _ in S.linked_spans(text, S.base_spans(text))]
+
+
 def test_redaction(spark):
     rows = [*AWKWARD, (200, 'see token = "' + HEX + '" end', "en")]
     out = {r.doc_id: r for r in S.redact(docs(spark, rows)).collect()}
