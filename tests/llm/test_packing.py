@@ -20,8 +20,8 @@ def expected(text):
 
 def check(spark, rows):
     out = packing.best_fit_packing(docs(spark, rows)).collect()
-    want = sorted((i, k, 2048 * k, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for i, t, _ in rows if i is not None for k, p in enumerate(expected(t)))
-    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    want = sorted((-1 if i is None else i, k, 2048 * k, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for i, t, _ in rows for k, p in enumerate(expected(t)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
     bins = defaultdict(list)
     for r in out:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -64,3 +64,47 @@ def test_every_capacity_holds():
 def test_cache_that_overflows():
     small, large = WordBpe(PATH, most=3), WordBpe(PATH)
     assert small.ids("one two three four five one") == large.ids("one two three four five one")
+    texts = ["one two", None, "\x1c odd \x85", "x" * 5000 + " z1z1 " * 40, "“smart” – don’t", "a <|ENDOFTEXT|> b", ""]
+    assert small.ids_of(texts) == [large.ids(t) for t in texts] == [np.array(expected(t)[0][:-1] if len(expected(t)) == 1 else sum(expected(t), [])[:-1], dtype="<u4").tobytes() for t in texts]
+
+
+def one_by_one(sizes, capacity, weights, rule):
+    """Best fit as it is told: each piece looks at every open sequence."""
+    bins, left, used = [], [], []
+    for size in sizes:
+        best = None
+        for b, room in enumerate(left):
+            if (room >= size).all():
+                rest = room - size
+                score = -(room * weights / capacity * (size * weights / capacity)).sum() if rule == "dot" else ((rest * weights / capacity) ** 2).sum()
+                if best is None or score < best[0]:
+                    best = (score, b)
+        if best is None:
+            left.append(capacity.copy())
+            used.append(0)
+            best = (0, len(left) - 1)
+        b = best[1]
+        left[b] = left[b] - size
+        bins.append((b, used[b]))
+        used[b] += int(size[0])
+    return bins
+
+
+def test_like_one_by_one():
+    """Small pieces, so that each of the three capacities turns pieces away; and ties."""
+    rng = np.random.default_rng(3)
+    for capacity in ([256, 512, 1.25 * 256**2], [256, 3, 1e9], [256, 512, 256.0**2]):
+        for rule in ("norm", "dot"):
+            length = np.sort(np.concatenate([rng.integers(1, 256, 150), rng.integers(1, 9, 150), np.full(40, 64)]))[::-1].astype(float)
+            sizes, room, weights = packing.sizes_of(length), np.array(capacity, dtype=float), np.array(packing.WEIGHTS)
+            bins, offsets = packing.best_fit(sizes, room, weights, rule)
+            assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == one_by_one(sizes, room, weights, rule)
+
+
+def test_documents_and_attention_bind():
+    tiny = np.full(2048, 1.0)
+    sizes = packing.sizes_of(tiny)
+    bins, _ = packing.best_fit(sizes, np.array([2048, packing.DOCUMENTS, 1.25 * 2048**2]), np.array(packing.WEIGHTS))
+    assert np.bincount(bins).max() == 320  # tiles of 128 x 128 fill the attention before 512 documents do
+    bins, _ = packing.best_fit(sizes, np.array([2048, 100, 1.25 * 2048**2]), np.array(packing.WEIGHTS))
+    assert np.bincount(bins).max() == 100
