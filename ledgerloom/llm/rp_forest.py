@@ -7,10 +7,15 @@ are taken from it until they hold the share of the sample that recall needs. Tha
 the sample itself, against brute force there, so it adapts to how hard the vectors are. All rows in the
 taken leaves are candidates, and exact distances in double precision rank them.
 
-Queries come in blocks of bounded size that meet all rows in one scan; each task keeps its k best a query,
-and those are merged by a window over at most k rows a task. Vectors that are null, zero, of another length
-than most, or hold null or non-finite components take no part. Ties go to the smaller vec_id; repeated rows
-count once each. Other columns are ignored.
+Rows and queries meet in cells: a cell is a leaf of one tree, cut into blocks of rows and of queries where it holds
+more than a block of either, so no task holds more than a block of each and only rows of taken leaves are
+compared. Each cell gives its k best a query, and a window merges those. Of equal vectors (copies may be a third
+of the table) only the k + 1 least ids take part, which is all that any query can need, and equal queries are
+searched once; so a vector that stands often makes no large leaf.
+
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ties
+go to the smaller vec_id. Repeated rows count once; of different vectors under one vec_id the least counts. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +25,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_columns, materialize
 
-#: Vectors that fit the forest at most, trees, vectors of the sample in a leaf, and queries in a block.
-SAMPLE, TREES, LEAF, BLOCK = 16_384, 8, 64, 4096
+#: Vectors that fit the forest at most, trees, vectors of the sample in a leaf; queries and rows of a cell's blocks.
+SAMPLE, TREES, LEAF, BLOCK, ROWS = 16_384, 8, 64, 1024, 4096
+#: Parts that the copies of one vector are ranked in first.
+SALTS = 32
 #: Recall that calibration asks for on the sample, and its trial queries.
 RECALL, TRIALS = 0.97, 200
 
@@ -119,11 +127,19 @@ def calibrate(forest: list[Tree], x: np.ndarray, k: int, recall: float, trials:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles, of rows that take part."""
+    """vec_id and the vector as doubles, of rows that take part, a row for each vec_id."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
-    return rows.where(F.coalesce(fine, F.lit(False)))
+    return rows.where(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("x").alias("x"))
+
+
+def least_copies(rows: DataFrame, most: int) -> DataFrame:
+    """rows without those whose vector stands under `most` smaller ids; copies are ranked in SALTS parts first."""
+    for group in (["x", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))], ["x"]):
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("vec_id"))
+        rows = rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    return rows
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, trials: int = TRIALS, seed: int = 5) -> tuple[list[Tree], float, int]:
@@ -139,12 +155,42 @@ def fit(rows: DataFrame, k: int, sample: int = SAMPLE, trees: int = TREES, leaf:
     return forest, calibrate(forest, x, k, recall, trials, rng) if len(x) > k else float(trees) + 1, dim
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK, **settings) -> DataFrame:
+def best_of(key: tuple, rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of a cell to each of its queries."""
+    q_id, v_id = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(q_id) and len(v_id):
+        matrix = lambda t: t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        q, x = matrix(queries), matrix(rows)
+        rough = np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * (q @ x.T), 0)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(v_id) > k else np.full(len(q_id), np.inf)
+        slack = 1e-9 * ((q**2).sum(axis=1) + (x**2).sum(axis=1).max())
+        for j in range(len(q_id)):  # exact distances of what rounding could still bring among the k best
+            near = np.flatnonzero(rough[j] <= kth[j] * (1 + 1e-9) + slack[j])
+            d = np.sqrt(((x[near] - q[j]) ** 2).sum(axis=1))
+            best = np.lexsort((v_id[near], d))[:k]
+            out.append((np.full(len(best), q_id[j]), v_id[near][best], d[best]))
+    each = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+    return pa.table({"query_id": pa.array(each[0], pa.int64()), "vec_id": pa.array(each[1], pa.int64()), "score": pa.array(each[2], pa.float64())})
+
+
+def in_blocks(side: DataFrame, own: str, key: str, own_size: int, sizes: DataFrame, other_size: int) -> DataFrame:
+    """side, dealt into the blocks of its cells and repeated for each block of the other side.
+
+    sizes: cell, rows, queries - a row a leaf, so its number is bounded by the forest's size.
+    """
+    others = "queries" if own == "rows" else "rows"
+    blocks = lambda c, n: F.greatest(F.ceil(F.col(c) / n), F.lit(1)).cast("int")
+    met = side.join(F.broadcast(sizes), "cell").withColumn(own, F.pmod(F.xxhash64(key), blocks(own, own_size)).cast("int"))
+    return met.withColumn(others, F.explode(F.sequence(F.lit(0), blocks(others, other_size) - 1))).select("cell", "rows", "queries", key, "x")
+
+
+def nearest(vectors: DataFrame, is_query: str | Column, k: int = 10, block: int = BLOCK, rows_block: int = ROWS, **settings) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    forest, share, dim = fit(rows, k, **settings)
-    ddl = "query_id long, vec_id long, score double"
+    every = materialize(usable(vectors), "forest-vectors")
+    few = least_copies(every, k + 1)
+    forest, share, dim = fit(few, k, **settings)
     if not forest:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     trees = spark.sparkContext.broadcast(forest)
@@ -152,52 +198,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK, **set
     def index(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for b in batches:
             x = np.array(b["x"], dtype=np.float64).reshape(-1, dim)
-            yield b | {"leaves": np.column_stack([t.leaves(x) for t in trees.value]).tolist()}
+            yield b | {"cells": np.column_stack([t.leaves(x) + (n << 32) for n, t in enumerate(trees.value)]).tolist()}
 
     def take(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for b in batches:
             found = [search(trees.value, np.array(x), share) for x in b["x"]]
-            yield b | {"taken": [[a * (1 << 32) + leaf for a, leaf in f] for f in found]}
-
-    rows = rows.where(F.size("x") == dim)
-    indexed = materialize(map_columns(rows, index, "vec_id long, x array<double>, leaves array<int>"), "forest-index")
-    queries = materialize(map_columns(rows.where(is_query), take, "vec_id long, x array<double>, taken array<long>"), "forest-queries")
-    blocks = max(1, -(-queries.count() // block))
-    out: DataFrame | None = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # about `block` queries
-        ids, q = np.array([r["vec_id"] for r in part], dtype=np.int64), np.array([r["x"] for r in part], dtype=np.float64).reshape(-1, dim)
-        masks = mask(forest, [[(t >> 32, t & 0xFFFFFFFF) for t in r["taken"]] for r in part])
-        shared = spark.sparkContext.broadcast((ids, q, [np.packbits(m, axis=1) for m in masks]))
-
-        def rerank(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict]:
-            ids, q, packed = shared.value
-            masks = [np.unpackbits(m, axis=1, count=len(ids)).view(bool) for m in packed]
-            best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
-            norms = (q**2).sum(axis=1)
-            for b in batches:
-                every_id, every_x, every_leaf = np.array(b["vec_id"], dtype=np.int64), np.array(b["x"], dtype=np.float64).reshape(-1, dim), np.array(b["leaves"], dtype=np.int64)
-                for at in range(0, len(every_id), 2048):
-                    vec, x, leaves = every_id[at : at + 2048], every_x[at : at + 2048], every_leaf[at : at + 2048]
-                    seen = np.zeros((len(vec), len(ids)), dtype=bool)
-                    for t, m in enumerate(masks):
-                        seen |= m[leaves[:, t]]
-                    seen &= vec[:, None] != ids[None]
-                    rough = np.where(seen, np.maximum((x**2).sum(axis=1)[:, None] + norms[None] - 2 * (x @ q.T), 0), np.inf)
-                    kth = np.partition(rough, k - 1, axis=0)[k - 1] if len(vec) > k else np.full(len(ids), np.inf)
-                    for j in range(len(ids)):
-                        # exact distances for what rounding could still bring among the k best
-                        bound = min(kth[j], best[j][0][-1] ** 2 if len(best[j][0]) == k else np.inf)
-                        near = np.flatnonzero(seen[:, j] & (rough[:, j] <= bound * (1 + 1e-9) + 1e-9 * norms[j]))
-                        if near.size:
-                            d = np.concatenate([best[j][0], np.sqrt(((x[near] - q[j]) ** 2).sum(axis=1))])
-                            v = np.concatenate([best[j][1], vec[near]])
-                            order = np.lexsort((v, d))[:k]
-                            best[j] = (d[order], v[order])
-            counts = [len(v) for _, v in best]
-            yield {"query_id": np.repeat(ids, counts), "vec_id": np.concatenate([v for _, v in best] or [[]]), "score": np.concatenate([d for d, _ in best] or [[]])}
-
-        found = map_columns(indexed, rerank, ddl)
-        out = found if out is None else out.union(found)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield b | {"cells": [[leaf + (n << 32) for n, leaf in f] for f in found]}
+
+    rows = materialize(map_columns(few.where(F.size("x") == dim), index, "vec_id long, x array<double>, cells array<long>"), "forest-rows")
+    asked = every.where(F.size("x") == dim).where(is_query)
+    leaders = asked.groupBy("x").agg(F.min("vec_id").alias("query_id"))
+    queries = materialize(map_columns(leaders, take, "query_id long, x array<double>, cells array<long>"), "forest-queries")
+    of_rows, of_queries = rows.withColumn("cell", F.explode("cells")), queries.withColumn("cell", F.explode("cells"))
+    sizes = of_rows.groupBy("cell").agg(F.count("*").alias("rows")).join(of_queries.groupBy("cell").agg(F.count("*").alias("queries")), "cell")
+    sizes = materialize(sizes, "forest-cells")
+    cell = ["cell", "rows", "queries"]
+    left = in_blocks(of_rows, "rows", "vec_id", rows_block, sizes, block).groupBy(*cell)
+    right = in_blocks(of_queries, "queries", "query_id", block, sizes, rows_block).groupBy(*cell)
+    found = left.cogroup(right).applyInArrow(lambda key, x, q: best_of(key, x, q, k + 1), "query_id long, vec_id long, score double")
+
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    once = found.withColumn("before", F.lag("vec_id").over(order)).where("before is null or before <> vec_id")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).select(F.col("query_id").alias("leader"), "vec_id", "score")
+    named = asked.select(F.col("vec_id").alias("query_id"), "x").join(leaders.withColumnRenamed("query_id", "leader"), "x").select("query_id", "leader")
+    met = named.join(ranked, "leader").where("vec_id <> query_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -56,3 +56,43 @@ def test_calibrated_leaves_hold_the_neighbours():
     assert 0 < share <= 7
     taken = R.search(forest, x[0], share)
     assert len(set(taken)) == len(taken) and (0, int(forest[0].leaves(x[:1])[0])) in taken
+
+
+def test_repeated_rows_and_hot_vectors(spark):
+    """Rows that stand twice, queries among them, and a vector that half of the rows share."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x[rng.permutation(400)[:200]] = x[0]
+    ids = np.concatenate([np.arange(400), [0, 0, 100, 7]])
+    out = R.nearest(frame(spark, ids, x[ids]), "vec_id % 100 = 0", block=2, rows_block=16, sample=300, leaf=8).collect()
+    recall = 0
+    for q in range(0, 400, 100):
+        mine = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q)
+        want = brute(np.arange(400), x, q)
+        assert [r for r, *_ in mine] == list(range(1, 11)) and len({v for _, v, _ in mine}) == 10
+        recall += len({v for _, v, _ in mine} & {v for v, _ in want})
+        if (x[q] == x[0]).all():
+            assert [(v, s) for _, v, s in mine] == want
+    assert recall >= 36
+
+
+def test_recall_on_the_table(spark):
+    """The registered query over the whole test table, against brute force."""
+    from ledgerloom.llm.queries import op10_projection_forest
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    found = {(r.query_id, r.vec_id) for r in op10_projection_forest(spark, "/root/testdata/sf0.1").collect()}
+    queries = np.flatnonzero(ids % 100 == 0)
+    want = {(int(ids[q]), v) for q in queries for v, _ in brute(ids, x, q)}
+    assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)
+
+
+def test_work_is_that_of_the_taken_leaves(spark):
+    """Pairs compared: far fewer than rows by queries, where neighbours lie close."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((200, 8)) * 20, 20, axis=0) + rng.standard_normal((4000, 8))
+    forest = [R.grow(x, 32, rng) for _ in range(4)]
+    share = R.calibrate(forest, x, 10, R.RECALL, 100, rng)
+    met = sum((t.leaves(x) == leaf).sum() for q in x[::100] for n, leaf in R.search(forest, q, share) for t in [forest[n]])
+    assert met < 0.25 * 4000 * 40
