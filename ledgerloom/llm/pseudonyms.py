@@ -2,10 +2,12 @@
 
 Card numbers (Luhn-valid), phone numbers, social security numbers, IPv4 addresses, calendar dates and the
 local parts of e-mail addresses are found, validated and permuted under a key inside their own format: a
-Feistel network over the digits (of an address also the letters), so equal values get equal pseudonyms in every
-document, different values different ones, and the key's owner can undo it (but for the case of an e-mail address).
-Marks between the digits stay; a card's last digit is recomputed; dates move inside a 400-year cycle, whose
-146,097 days are 189 x 773; address bytes move inside 256.
+Feistel network over the digits (of an address also the letters) whose rounds are HMAC-SHA256, so equal values
+get equal pseudonyms in every document, different values different ones, and the key's owner can undo it (but for
+the case of an e-mail address). Marks between the digits stay and results are valid in their turn: a card's last
+digit is recomputed; social security numbers have no area 000, 666 or 9xx, no group 00 and no serial 0000; area
+codes of North American phone numbers start with 2 to 9, other numbers have 7 to 15 digits; dates move inside
+a 400-year cycle, whose 146,097 days are 189 x 773; address bytes move inside 256.
 
 Null stays null, empty stays empty; a candidate that isn't valid stays as it is. Rows return as often as
 they stand, other columns unchanged.
@@ -13,6 +15,8 @@ they stand, other columns unchanged.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,13 @@ LETTERS = ALPHABET[10:]
 
 
 def digest(key: str, tag: Column, turn: Column, half: Column) -> Column:
-    """A round's keyed number below 2^60."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tag, turn.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    """A round's number below 2^60: the head of the HMAC-SHA256 of tag, turn and half."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in secret)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("|", tag, turn.cast("string"), half.cast("string")).cast("binary")
+    mac = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+    return F.conv(F.substring(mac, 1, 15), 16, 10).cast("long")
 
 
 def feistel(a: Column, b: Column, wide_a: Column, wide_b: Column, key: str, tag: Column, undo: bool = False) -> Column:
@@ -55,14 +64,15 @@ def power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*(F.lit(base**k) for k in range(13))), n + 1)
 
 
-def permute(text: Column, base: int, key: str, tag: str, undo: bool = False) -> Column:
+def permute(text: Column, base: int, key: str, tag: str | Column, undo: bool = False) -> Column:
     """A string of up to 24 digits of this base (lower case) to one of the same length."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
     n = F.length(text)
     u = F.ceil(n / 2).cast("int")
     v = n - u
     left, right = F.substr(text, F.lit(1), u), F.substr(text, u + 1, v)
     number = lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0))
-    out = feistel(number(left), number(right), power(base, u), power(base, v), key, F.concat(F.lit(tag), n.cast("string")), undo)
+    out = feistel(number(left), number(right), power(base, u), power(base, v), key, F.concat(tag, n.cast("string")), undo)
     digits = lambda x, m: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), m, "0")
     both = lambda s: F.concat(digits(s["a"], u), F.when(v > 0, digits(s["b"], v)).otherwise(""))
     return F.element_at(F.transform(F.array(out), both), 1)
@@ -89,11 +99,41 @@ def card(m: Column, key: str, undo: bool) -> Column:
     return F.when(luhn_sum(digits, 1) % 10 == 0, refill(m, fresh)).otherwise(m)
 
 
+def number(digits: Column, start: int, size: int) -> Column:
+    return F.substr(digits, F.lit(start), F.lit(size)).cast("long")
+
+
+def padded(x: Column, size: int) -> Column:
+    return F.lpad(x.cast("string"), size, "0")
+
+
+def each(values: Column, show) -> Column:
+    """show of one value, which is computed once."""
+    return F.element_at(F.transform(F.array(values), show), 1)
+
+
 def phone(m: Column, key: str, undo: bool) -> Column:
-    """The country code of a number with + stays."""
-    head = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?", 0)
+    """The country code of a number with + stays; without marks after it its first digit does."""
+    head = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?|^\+[0-9]", 0)
     rest = F.substr(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, refill(rest, permute(F.regexp_replace(rest, "[^0-9]", ""), 10, key, "phone", undo)))
+    digits = F.regexp_replace(rest, "[^0-9]", "")
+    american = ((head == "") | head.rlike(r"^\+1[^0-9]*$")) & (F.length(digits) == 10)
+    moved = each(digits, lambda d: feistel(number(d, 1, 6) - 200_000, number(d, 7, 4), F.lit(800_000), F.lit(10_000), key, F.lit("phone"), undo))
+    fresh = each(moved, lambda s: F.concat(padded(s["a"] + 200_000, 6), padded(s["b"], 4)))
+    valid = digits.rlike("^[2-9][0-9]{9}$")
+    size = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    free = F.when(size.between(7, 15), permute(digits, 10, key, "phone", undo))
+    return F.concat(head, refill(rest, F.when(american, F.when(valid, fresh).otherwise(digits)).otherwise(F.coalesce(free, digits))))
+
+
+def social(m: Column, key: str, undo: bool) -> Column:
+    """Area, group and serial in their valid ranges: 898 areas by 99 groups, and 9,999 serials."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    area = lambda d: number(d, 1, 3) - F.when(number(d, 1, 3) > 666, 2).otherwise(1)
+    moved = each(digits, lambda d: feistel(area(d) * 99 + number(d, 4, 2) - 1, number(d, 6, 4) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn"), undo))
+    back = lambda x: F.when(x >= 665, x + 2).otherwise(x + 1)
+    shown = each(moved, lambda s: F.concat(padded(back(F.floor(s["a"] / 99)), 3), F.lit("-"), padded(s["a"] % 99 + 1, 2), F.lit("-"), padded(s["b"] + 1, 4)))
+    return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), shown).otherwise(m)
 
 
 def address(m: Column, key: str, undo: bool) -> Column:
@@ -109,8 +149,8 @@ def address(m: Column, key: str, undo: bool) -> Column:
 def date(m: Column, key: str, undo: bool) -> Column:
     """Year first, or day first; dates of the years 1800 to 2199 move anywhere in these years.
 
-    A date that reads month-first only (its day is over 12) must stay one to be undone: days 13 to 28 move
-    with month and year, for 29 to 31 the year moves alone, and 29 February stays.
+    A date that reads month-first only (its day is over 12) must stay one to be undone, so these 88,497 = 9 x 9,833
+    days of the cycle move among themselves.
     """
     year_first = m.rlike("^[0-9]{4}")
     mark = F.when(year_first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.lit(3), F.lit(1)))
@@ -124,27 +164,36 @@ def date(m: Column, key: str, undo: bool) -> Column:
     iso = F.element_at(F.transform(F.array(moved), shown), 1)
     text = F.when(year_first, iso).otherwise(F.concat_ws("-", F.substr(iso, F.lit(9), F.lit(2)), F.substr(iso, F.lit(6), F.lit(2)), F.substr(iso, F.lit(1), F.lit(4))))
 
-    year, month, mday = F.year(mdy) - 1800, F.month(mdy) - 1, F.dayofmonth(mdy)
-    early = mday <= 28
-    other = feistel(F.when(early, year * 16 + mday - 13).otherwise(year), F.when(early, month).otherwise(0), F.when(early, 6400).otherwise(400), F.when(early, 12).otherwise(1), key, F.when(early, "mdy").otherwise("year"), undo)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    put = lambda s: F.concat_ws("-", two(F.when(early, s["b"] + 1).otherwise(month + 1)), two(F.when(early, s["a"] % 16 + 13).otherwise(mday)), (F.when(early, F.floor(s["a"] / 16)).otherwise(s["a"]) + 1800).cast("string"))
-    american = F.element_at(F.transform(F.array(other), put), 1)
+    months = (F.year(mdy) - 1800) * 12 + F.month(mdy) - 1
+    late = F.datediff(mdy, start) - 12 * (months + 1)  # its number among the days over 12
+    other = feistel(F.floor(late / 9833), late % 9833, F.lit(9), F.lit(9833), key, F.lit("mdy"), undo)
+    before = lambda n: F.datediff(F.add_months(start, n.cast("int")), start) - 12 * n  # noqa: E731 - days over 12 before month n
+
+    def put(x: Column) -> Column:
+        near = F.floor(x / 18.436875)  # the month is this one or a neighbour
+        found = F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(4799))), lambda n: (before(n) <= x) & (x < before(n + 1)))
+        text_of = lambda n: F.concat_ws("-", padded(n % 12 + 1, 2), padded(x - before(n) + 13, 2), (F.floor(n / 12) + 1800).cast("string"))
+        return F.element_at(F.transform(found, text_of), 1)
 
-    known = F.when(day.between(0, 146096), text).when(value.isNull() & ~year_first & year.between(0, 399) & ~plain.rlike("^02-29"), american)
+    american = each(each(other, lambda s: s["a"] * 9833 + s["b"]), put)
+
+    known = F.when(day.between(0, 146096), text).when(value.isNull() & ~year_first & months.between(0, 4799), american)
     same_marks = m.rlike(r"^[0-9]+([-/.])[0-9]+\1[0-9]+$")
     return F.when(known.isNotNull() & same_marks, F.replace(known, F.lit("-"), mark)).otherwise(m)
 
 
+def in_chunks(text: Column, base: int, key: str, undo: bool) -> Column:
+    """permute over consecutive runs of 24, each under its own tweak; empty stays empty."""
+    runs = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(text) / 24), F.lit(1)).cast("int"))
+    return F.array_join(F.transform(runs, lambda i: permute(F.substr(text, i * 24 - 23, F.lit(24)), base, key, F.concat(F.lit("mail"), i.cast("string"), F.lit("/")), undo)), "")
+
+
 def email(m: Column, key: str, undo: bool) -> Column:
-    """The local part's letters and its digits move among themselves (the first 24 of each, in lower case);
-    other marks and the domain stay."""
+    """The local part's letters and its digits move among themselves, in lower case; other marks and the domain stay."""
     local = F.lower(F.substring_index(m, "@", 1))
     letters, digits = F.regexp_replace(local, "[^a-z]", ""), F.regexp_replace(local, "[^0-9]", "")
-    coded = F.translate(letters, LETTERS, ALPHABET[:26])
-    first, rest = (lambda s: F.substr(s, F.lit(1), F.lit(24))), (lambda s: F.substr(s, F.lit(25), F.length(s)))
-    new_letters = F.concat(F.translate(permute(first(coded), 26, key, "mail", undo), ALPHABET[:26], LETTERS), rest(letters))
-    new_digits = F.concat(permute(first(digits), 10, key, "mail", undo), rest(digits))
+    new_letters = F.translate(in_chunks(F.translate(letters, LETTERS, ALPHABET[:26]), 26, key, undo), ALPHABET[:26], LETTERS)
+    new_digits = in_chunks(digits, 10, key, undo)
     at = F.filter(F.split(local, ""), lambda c: c != "")
     state = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit("").alias("s"))
 
@@ -161,7 +210,7 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), email(m, key, undo))
         .when(m.rlike(f"^(?:{DATE})$"), date(m, key, undo))
-        .when(m.rlike(f"^(?:{SSN})$"), refill(m, permute(F.regexp_replace(m, "[^0-9]", ""), 10, key, "ssn", undo)))
+        .when(m.rlike(f"^(?:{SSN})$"), social(m, key, undo))
         .when(m.rlike(f"^(?:{IP})$"), address(m, key, undo))
         .when(m.rlike(r"^[+(]") | m.rlike(f"^(?:{PHONE})$"), phone(m, key, undo))
         .otherwise(card(m, key, undo))
