@@ -127,8 +127,9 @@ def calibrate(forest: list[Tree], x: np.ndarray, k: int, recall: float, trials:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles, of rows that take part, a row for each vec_id."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
+    """vec_id and the vector (floats as such, other numbers as doubles) of rows that take part, a row for each vec_id."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    x = F.col("embedding") if kind == "float" else F.transform("embedding", lambda v: v.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
     return rows.where(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("x").alias("x"))
@@ -160,7 +161,7 @@ def best_of(key: tuple, rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     q_id, v_id = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(q_id) and len(v_id):
-        matrix = lambda t: t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        matrix = lambda t: t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         q, x = matrix(queries), matrix(rows)
         rough = np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * (q @ x.T), 0)
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(v_id) > k else np.full(len(q_id), np.inf)
@@ -193,7 +194,7 @@ def nearest(vectors: DataFrame, is_query: str | Column, k: int = 10, block: int
     forest, share, dim = fit(few, k, **settings)
     if not forest:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    trees = spark.sparkContext.broadcast(forest)
+    trees, kind = spark.sparkContext.broadcast(forest), every.schema["x"].dataType.simpleString()
 
     def index(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for b in batches:
@@ -202,13 +203,13 @@ def nearest(vectors: DataFrame, is_query: str | Column, k: int = 10, block: int
 
     def take(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for b in batches:
-            found = [search(trees.value, np.array(x), share) for x in b["x"]]
+            found = [search(trees.value, np.array(x, dtype=np.float64), share) for x in b["x"]]
             yield b | {"cells": [[leaf + (n << 32) for n, leaf in f] for f in found]}
 
-    rows = materialize(map_columns(few.where(F.size("x") == dim), index, "vec_id long, x array<double>, cells array<long>"), "forest-rows")
+    rows = materialize(map_columns(few.where(F.size("x") == dim), index, f"vec_id long, x {kind}, cells array<long>"), "forest-rows")
     asked = every.where(F.size("x") == dim).where(is_query)
     leaders = asked.groupBy("x").agg(F.min("vec_id").alias("query_id"))
-    queries = materialize(map_columns(leaders, take, "query_id long, x array<double>, cells array<long>"), "forest-queries")
+    queries = materialize(map_columns(leaders, take, f"query_id long, x {kind}, cells array<long>"), "forest-queries")
     of_rows, of_queries = rows.withColumn("cell", F.explode("cells")), queries.withColumn("cell", F.explode("cells"))
     sizes = of_rows.groupBy("cell").agg(F.count("*").alias("rows")).join(of_queries.groupBy("cell").agg(F.count("*").alias("queries")), "cell")
     sizes = materialize(sizes, "forest-cells")
