@@ -5,10 +5,11 @@ regions of (weight, rank) space that its weight covers; each dart has a coordina
 its dart of least rank. Two texts agree in a coordinate with probability equal to their weighted Jaccard
 similarity, so bands of coordinates are join keys.
 
-Null texts have no class but their own. Equal texts (empty ones too) share a class. Texts under five words
-are one shingle of all their words; texts without words are linked to equal texts only. A class id is the
-smallest doc_id of the class. A repeated row returns as often as it stands; rows without doc_id have no
-result. Other columns are ignored.
+What is compared are the different texts, each under a number of its own. Null texts have no class but their
+doc_id's. Equal texts (empty ones too) share a class. Texts under five words are one shingle of all their words;
+texts without words are linked to equal texts only. All rows of a doc_id are one document, so several texts under
+one doc_id are linked. A class id is the smallest doc_id of the class. A repeated row returns as often as it
+stands; rows without doc_id have no result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,36 +111,39 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
 
 
+def printed(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint of the exact text (16 bytes) and text, of rows that have both."""
+    known = docs.where("doc_id is not null and text is not null")
+    return known.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), "text")
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fingerprint of the exact text (16 bytes), band keys (empty if there are no words)."""
+    """doc_id, fingerprint of the text, band keys (empty if there are no words)."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         cache = WordHashes()
         for batch in batches:
             for at in range(0, len(batch["text"]), AT_ONCE):
-                texts = batch["text"][at : at + AT_ONCE]
-                sets = [weighted_set(text, cache, size) for text in texts]
+                sets = [weighted_set(text, cache, size) for text in batch["text"][at : at + AT_ONCE]]
                 full = [s for s in sets if len(s[0])]
                 keys: Iterator[np.ndarray] = iter(())
                 if full:
                     ids, counts = np.concatenate([s[0] for s in full]), np.concatenate([s[1] for s in full])
                     owner = np.repeat(np.arange(len(full)), [len(s[0]) for s in full])
                     keys = iter(band_keys(sketch(ids, counts.astype(np.float64), owner, len(full), bands * rows), bands, rows))
-                prints = [xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text in texts]
-                yield {"doc_id": batch["doc_id"][at : at + AT_ONCE], "fp": prints, "bands": [next(keys) if len(s[0]) else [] for s in sets]}
+                yield {"doc_id": batch["doc_id"][at : at + AT_ONCE], "fp": batch["fp"][at : at + AT_ONCE], "bands": [next(keys) if len(s[0]) else [] for s in sets]}
 
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return map_columns(known, run, "doc_id long, fp binary, bands array<long>")
+    return map_columns(printed(docs), run, "doc_id long, fp binary, bands array<long>")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and text of these distinct ids, a row for each; of several texts under one id the least.
+    """id and text of these distinct texts; ids: id and fp.
 
-    Ids grow with the input, so this is a merge join at every size, and the only time that texts of all
-    documents are shuffled.
+    Equal texts are reduced to one in each task before they are shuffled, the only time that texts of all documents
+    are. The ids grow with the input, so this is a merge join at every size.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(ids.hint("merge"), "id", "left_semi")
-    return materialize(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    texts = printed(docs).groupBy("fp").agg(F.first("text").alias("text"))
+    return materialize(texts.join(ids.hint("merge"), "fp").select("id", "text"), "near-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -238,14 +241,14 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, threshold: float, size: int,
 
 
 def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small: int = SMALL_BUCKET) -> DataFrame:
-    """Verified pairs (a, b) that connect all texts whose class a shared bucket can tell; reps: doc_id and
+    """Verified pairs (a, b) that connect all texts whose class a shared bucket can tell; reps: id, fp and
     bands, a row for each different text.
 
     Buckets of at most `small` texts give all their pairs. A larger bucket gives its members' pairs with a
     hub, the member that shares most buckets with others. Whoever is in such a bucket with members of
     another class after that is compared by prefix_pairs, which misses no similar pair.
     """
-    rows = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "near-bands")
+    rows = materialize(reps.select("id", F.explode("bands").alias("key")), "near-bands")
     sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     sized = materialize(sized.withColumn("central", F.sum("n").over(Window.partitionBy("id"))), "near-buckets")
     few = sized.where(F.col("n") <= small).select("key", "id")
@@ -254,7 +257,7 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small:
     hubs = many.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
     rays = many.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     todo = materialize(pairs.union(rays).distinct(), "near-candidates")
-    texts = texts_of(sized.select("id").distinct(), docs)
+    texts = texts_of(reps.select("id", "fp").join(sized.select("id").distinct().hint("merge"), "id", "left_semi"), docs)
     found = materialize(verified(todo, texts, threshold, size), "near-links")
     if not many.limit(1).count():
         return found
@@ -264,13 +267,33 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small:
     return found.union(verified(materialize(more, "near-candidates"), texts, threshold, size))
 
 
+def same_documents(sigs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of texts that stand under one doc_id, each with the document's least; None if there are none."""
+    print_ = F.xxhash64("fp")
+    several = sigs.groupBy("doc_id").agg(F.min(print_).alias("least"), F.max(print_).alias("most")).where("least <> most").select("doc_id")
+    several = materialize(several, "near-several")
+    if not several.limit(1).count():
+        return None
+    theirs = materialize(sigs.select("doc_id", "fp").join(several, "doc_id", "left_semi").distinct().join(reps.select("fp", "id"), "fp").select("doc_id", "id"), "near-several")
+    least = theirs.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return theirs.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), rep_id (least doc_id with the same text)."""
     sigs = materialize(signatures(docs, bands, rows, size), "near-signatures")
     reps = sigs.groupBy("fp").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"))
-    reps = materialize(reps, "near-texts-ids")
-    classes = components(links(reps.select(F.col("rep_id").alias("doc_id"), "bands"), docs, threshold, size))
-    named = reps.select("fp", "rep_id").join(classes, F.col("rep_id") == F.col("id"), "left").select("fp", "rep_id", F.coalesce("cls", "rep_id").alias("class_id"))
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "near-reps")
+    edges = links(reps.select("id", "fp", "bands"), docs, threshold, size)
+    more = same_documents(sigs, reps)
+    linked = reps.select("id", "rep_id").join(components(edges if more is None else edges.union(more)), "id")
+    least = linked.groupBy("cls").agg(F.min("rep_id").alias("class_id"))
+    classes = materialize(linked.join(least, "cls").select("id", "class_id"), "near-classes")
+    named = reps.select("fp", "id", "rep_id").join(classes, "id", "left").select("fp", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"))
     members = sigs.select("doc_id", "fp").join(named, "fp").select("doc_id", "class_id", "rep_id")
-    alone = docs.where("doc_id is not null and text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"))
-    return members.union(alone)
+    bare = docs.where("doc_id is not null and text is null").select("doc_id")
+    if more is None and not bare.limit(1).count():
+        return members
+    own = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    bare = bare.join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"))
+    return members.union(bare)

@@ -72,3 +72,22 @@ def test_sets_sketched_together_equal_sets_sketched_alone():
     both = D.sketch(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), owner, 4, 96)
     for k, (i, w) in enumerate(parts):
         assert (both[k] == D.sketch(i, w, np.zeros(len(i), dtype=np.int64), 1, 96)[0]).all()
+
+
+def test_several_texts_under_one_id(spark):
+    """Rows of a doc_id are one document: what resembles any of its texts is linked, and each text is compared."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    rows = [(1, a, "en"), (1, b, "en"), (2, a + " x", "en"), (3, b + " y", "en"), (4, c, "en"), (5, c + " z", "en"), (1, None, "en"), (6, None, "en"), (7, b, "en")]
+    out = D.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in out) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 1)]
+
+
+def test_smallest_id_names_a_class_whatever_the_order(spark):
+    """Class ids are doc_ids, not the numbers of texts."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(1000 - 3 * i - k, t + " more" * k, "en") for i, t in enumerate(texts) for k in range(3)]
+    rows += [(2000 + i, texts[i], "en") for i in range(5)]
+    got = {r.doc_id: r.class_id for r in D.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows)
