@@ -6,10 +6,15 @@ blocks are a window, so a passage falls into few windows whatever the document's
 MinHash agrees with an item's under any of the permutations makes the document a candidate; its exact
 containment (share of the item's shingles that the whole document has) decides.
 
-Items come in blocks of bounded size, each of which meets all documents in one scan; nothing is shuffled.
-Null texts and texts under five words have no shingles and give no rows. Columns other than the ids and text
-are ignored. Equal items and repeated documents return a row for each. contained_items leaves out rows without doc_id;
-without_contained decides for each row by its own text, with or without an id.
+An item under five words is one shingle of all its words, which is looked up among the document's runs of as many
+words; without_contained takes it only where the document has no other words, as a phrase of a few words stands in
+clean texts too.
+
+Items come in blocks of bounded size, dealt by a row number, so repeated items spread. Each block meets all
+documents in one scan and is done before the next is read; nothing is shuffled. Null texts and texts without words
+have no shingles and give no rows. Columns other than the ids and text are ignored. Equal items and repeated
+documents return a row for each. contained_items leaves out rows without doc_id; without_contained decides for each
+row by its own text, with or without an id.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
 #: Bounds of one block of items: rows and characters, as expected values of a hash split.
@@ -41,8 +46,15 @@ class ItemIndex:
         self.multipliers = (mix64(np.arange(1, permutations + 1, dtype=_U64)) | _U64(1)).tolist()
         self.ids, self.sets, keys, which = [], [], [], []
         self.uppers: list[int] = []
+        self.short: dict[int, dict[int, list[int]]] = {}  # number of words -> hash of them -> places of items
         for item_id, text in items:
-            s = np.unique(shingle_hashes(word_hashes(text, cache), whole_if_short=False))
+            words = word_hashes(text, cache)
+            s = np.unique(shingle_hashes(words, whole_if_short=False))
+            if 0 < len(words) < SHINGLE_WORDS:
+                whole = shingle_hashes(words)
+                self.short.setdefault(len(words), {}).setdefault(int(whole[0]), []).append(len(self.ids))
+                self.ids.append(item_id)
+                self.sets.append(whole)
             if len(s):
                 upper = 1 << (len(s) - 1).bit_length()
                 self.uppers = sorted({*self.uppers, upper})
@@ -90,31 +102,43 @@ class ItemIndex:
         return found
 
 
-def matches(index: ItemIndex, texts: list[str | None], cache: WordHashes, threshold: float) -> Iterator[tuple[int, int, int, int]]:
-    """(place of a text, place of an item, shared shingles, the item's shingles) of containments over the threshold."""
+def matches(index: ItemIndex, texts: list[str | None], cache: WordHashes, threshold: float, whole: bool = False) -> Iterator[tuple[int, int, int, int]]:
+    """(place of a text, place of an item, shared shingles, the item's shingles) of containments over the threshold.
+
+    whole: items under five words count only in texts of just their words.
+    """
     for at in range(0, len(texts) if index.ids else 0, AT_ONCE):
-        sets = [(k, s) for k, t in enumerate(texts[at : at + AT_ONCE], at) if len(s := shingle_hashes(word_hashes(t, cache), whole_if_short=False))]
+        words = [(k, word_hashes(t, cache)) for k, t in enumerate(texts[at : at + AT_ONCE], at)]
+        for size, items in index.short.items():
+            for k, w in words:
+                if len(w) == size or len(w) > size and not whole:
+                    for h in np.intersect1d(shingle_hashes(w, size), np.fromiter(items, dtype=_U64, count=len(items))).tolist():
+                        yield from ((k, j, 1, 1) for j in items[h])
+        sets = [(k, s) for k, w in words if len(s := shingle_hashes(w, whole_if_short=False))]
         for i, j in sorted(index.candidates([s for _, s in sets])) if sets else ():
             n, both = len(index.sets[j]), int(np.isin(index.sets[j], sets[i][1]).sum())
             if both >= threshold * n - 1e-9:
                 yield sets[i][0], j, both, n
 
 
-def item_blocks(items: DataFrame, permutations: int, block_items: int, block_chars: int) -> Iterator[Broadcast]:
-    """The indexes of the blocks of items, one after another."""
-    items = items.where("item_id is not null and text is not null").select("item_id", "text")
+def item_blocks(items: DataFrame, permutations: int, block_items: int, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The indexes of the blocks of items, one after another, and whether more follow. One is given up with the next."""
+    items = materialize(items.where("item_id is not null and text is not null").select("item_id", "text", F.monotonically_increasing_id().alias("row")), "items")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["n"] // block_items), -(-size["chars"] // block_chars))
     for b in range(blocks):
-        index = ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], permutations)
-        yield items.sparkSession.sparkContext.broadcast(index)
+        part = items.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).select("item_id", "text").collect()
+        shared = items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in part], permutations))
+        yield shared, b + 1 < blocks
+        if b + 1 < blocks:
+            shared.unpersist()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document and item with containment of at least `threshold`."""
+    """A row for each document and item with containment of at least `threshold`. With several blocks each one's rows are written."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     out: DataFrame | None = None
-    for shared in item_blocks(items, permutations, block_items, block_chars):
+    for shared, more in item_blocks(items, permutations, block_items, block_chars):
 
         def run(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict]:
             index: ItemIndex = shared.value
@@ -124,6 +148,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
                 yield dict(zip(("doc_id", "item_id", "shared", "shingles", "containment"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
 
         found = map_columns(texts, run, MATCHES)
+        found = materialize(found, "contained") if more else found
         out = found if out is None else out.union(found)
     return out
 
@@ -131,14 +156,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
 def without_contained(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the rows whose own text holds an item; nothing is joined. What a block leaves is written before the next."""
     out = docs
-    for b, shared in enumerate(item_blocks(items, permutations, block_items, block_chars)):
+    for shared, more in item_blocks(items, permutations, block_items, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[k for k, *_ in matches(shared.value, batch.column("text").to_pylist(), cache, threshold)]] = False
+                keep[[k for k, *_ in matches(shared.value, batch.column("text").to_pylist(), cache, threshold, whole=True)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = (materialize(out, "uncontained") if b else out).mapInArrow(run, docs.schema)
+        out = out.mapInArrow(run, docs.schema)
+        out = materialize(out, "uncontained") if more else out
     return out

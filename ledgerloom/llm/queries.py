@@ -97,7 +97,9 @@ isx AS (SELECT item_id, unnest(list_distinct([array_to_string(w[k:k+4], ' ') FOR
 n AS (SELECT item_id, count(*) AS shingles FROM isx GROUP BY 1),
 m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN isx USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(shingles AS INTEGER) AS shingles, round(CAST(shared AS DOUBLE) / shingles, 6) AS containment
-FROM m JOIN n USING (item_id) WHERE shared * 5 >= shingles * 4""",
+FROM m JOIN n USING (item_id) WHERE shared * 5 >= shingles * 4
+UNION ALL SELECT doc_id, item_id, 1, 1, CAST(1 AS DOUBLE) FROM d JOIN (SELECT item_id, array_to_string(w, ' ') AS phrase, len(w) AS n FROM i WHERE len(w) BETWEEN 1 AND 4)
+  ON list_contains([array_to_string(d.w[k:k+n-1], ' ') FOR k IN range(1, len(d.w) - n + 2)], phrase)""",
     "op6_dart_minhash": r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
 reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep_id, w FROM d),
