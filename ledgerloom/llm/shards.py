@@ -2,17 +2,21 @@
 
 An arrival is written as a run: a folder of small shards that never change. A manifest version names the
 runs that make up the table. Runs of similar size (the same power of `fan` above `target`/fan^k) are merged
-into one run of target-sized files once there are `fan` of them. A version is committed by creating its
-file, which fails if another writer has created it; readers take the highest version, and files that no
-version names don't exist for them. A failed write leaves a folder that no manifest names.
+into one run of target-sized files once there are `fan` of them. A version is committed by giving its file its
+name, which fails if another writer has taken it; readers take the highest version, and files that no version
+names don't exist for them. That is exclusive on HDFS (a rename without overwriting) and on a local disk (a hard
+link). An object store whose rename copies can't promise it: there one writer at a time must commit.
+A failed write leaves a folder that no manifest names; vacuum removes it once it is old enough.
 
-Rows are kept as they are, nulls and repeats too. An empty arrival is a run without rows.
+Rows are kept as they are, nulls and repeats too, and columns of any name. An empty arrival is a run without rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -42,7 +46,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, unit: int = 16 << 20, fan: int = 4):
         self.spark, self.root, self.target, self.unit, self.fan = spark, root.rstrip("/"), target, unit, fan
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
@@ -65,11 +69,28 @@ class ShardStore:
         out = self._fs.create(aside, False)
         out.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) for r in runs]}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
+        try:
+            self._rename_if_free(aside, final)
+        except Exception as e:
+            raise CommitConflict(version) from e
+        finally:
             self._fs.delete(aside, False)
-            raise CommitConflict(version)
         return version
 
+    def _rename_if_free(self, aside, final) -> None:
+        """Gives a file its name; an error if the name is taken."""
+        if self._fs.getUri().getScheme() == "file":
+            os.link(aside.toUri().getPath(), final.toUri().getPath())
+            return
+        self._rename(aside, final)
+
+    def _rename(self, aside, final) -> None:
+        """A rename that fails if the name is taken."""
+        choice = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(choice, 1)
+        options[0] = choice.NONE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(aside, final, options)
+
     def _measured(self, name: str) -> Run:
         files = [s for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().endswith(".parquet")]
         return Run(name, sum(s.getLen() for s in files), len(files))
@@ -83,8 +104,8 @@ class ShardStore:
 
     def append_each(self, df: DataFrame, arrival) -> list[int]:
         """Arrivals that lie in one table, split by the integer column `arrival`: one write, a version each."""
-        batch = f"runs/{uuid.uuid4().hex}"
-        df.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(f"{self.root}/{batch}")
+        batch, part = f"runs/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        df.withColumn(part, arrival).write.partitionBy(part).parquet(f"{self.root}/{batch}")
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{batch}")) if s.isDirectory() and "=" in s.getPath().getName())
         out = []
         for name in names or [""]:
@@ -119,8 +140,11 @@ class ShardStore:
             at = min(runs.index(r) for r in due)
             done.append(self._commit([*(r for r in runs[:at] if r not in due), merged, *(r for r in runs[at:] if r not in due)], after))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes run folders that none of the newest `keep` versions names, and older manifests."""
+    def vacuum(self, keep: int = 1, orphan_hours: float = 24.0) -> int:
+        """Deletes run folders that none of the newest `keep` versions names, and older manifests.
+
+        A folder that no version names may be a write under way, so it goes only once it is `orphan_hours` old.
+        """
         versions = self.versions()
         live = {r.name for v in versions[-keep:] for r in self.runs(v)}
         old = {r.name for v in versions[:-keep] for r in self.runs(v)} - live
@@ -128,6 +152,11 @@ class ShardStore:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/{v:012d}.json"), False)
+        folder, before = self._path(f"{self.root}/runs"), (time.time() - 3600 * orphan_hours) * 1000
+        for s in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+            name = f"runs/{s.getPath().getName()}"
+            if s.getModificationTime() <= before and not any(n == name or n.startswith(name + "/") for n in live):
+                self._fs.delete(s.getPath(), True)
         return len(old)
 
 

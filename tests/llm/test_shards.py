@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,47 @@ def test_a_version_is_committed_once(spark, tmp_path):
     other._commit(other.runs(), 1)
     with pytest.raises(S.CommitConflict):
         store._commit(store.runs(1), 1)
+
+
+def test_writers_at_once_lose_no_version(spark, tmp_path):
+    """Of many commits of one version at once exactly one succeeds; writers that try again get all theirs in."""
+    rows = [S.Run(f"runs/{k}", k, 1) for k in range(24)]
+    stores = [S.ShardStore(spark, str(tmp_path)) for _ in range(8)]
+
+    def add(k):
+        store, refused = stores[k % 8], 0
+        while True:
+            after = max(store.versions(), default=0)
+            try:
+                store._commit([*store.runs(after), rows[k]], after)
+                return refused
+            except S.CommitConflict:
+                refused += 1
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, range(24)))
+    assert stores[0].versions() == list(range(1, 25))
+    assert {r.name for r in stores[0].runs()} == {r.name for r in rows}
+
+
+def test_failed_writes_and_clashing_columns(spark, tmp_path):
+    frame = docs(spark, AWKWARD).withColumn("__arrival", F.lit(3)).withColumn("arrival", F.lit("x"))
+    store = S.ShardStore(spark, str(tmp_path))
+    store.append_each(frame, S.arrivals(count=4))
+    frame.write.parquet(f"{tmp_path}/runs/left-by-a-failed-write")
+    assert texts(store.read(frame.schema)) == texts(frame) and store.read(frame.schema).columns == frame.columns
+    store.vacuum()
+    assert (tmp_path / "runs/left-by-a-failed-write").exists()
+    store.vacuum(orphan_hours=0)
+    assert not (tmp_path / "runs/left-by-a-failed-write").exists()
+    assert texts(store.read(frame.schema)) == texts(frame)
+
+
+def test_rename_refuses_a_taken_name(spark, tmp_path):
+    store = S.ShardStore(spark, str(tmp_path))
+    for name in "ab":
+        (tmp_path / name).write_text(name)
+    store._rename(store._path(f"{tmp_path}/a"), store._path(f"{tmp_path}/c"))
+    with pytest.raises(Exception, match="exist"):
+        store._rename(store._path(f"{tmp_path}/b"), store._path(f"{tmp_path}/c"))
+    assert (tmp_path / "c").read_text() == "a"
