@@ -42,8 +42,8 @@ RANKED = 64
 BITS, LEXICON = 17, 400
 TRIGRAMS, WIDTH = 12, 13
 SLOTS = 10 + TRIGRAMS
-#: Texts whose chains run side by side.
-AT_ONCE = 512
+#: Texts whose chains run side by side, and numbers (positions by languages) that they may hold, but for one long text.
+AT_ONCE, CELLS = 512, 2_000_000
 #: Steps between rescalings of the sums: a step takes e^-40 at most, so they can't vanish.
 RESCALE = 8
 
@@ -282,7 +282,8 @@ def label_words(texts: list[str | None], model: Model, cache: Emissions) -> list
     at = 0
     while at < len(order):  # chains of a round differ at most twofold in length, so little is padded
         top = len(words[order[at]])
-        part = [i for i in order[at:] if 2 * len(words[i]) >= top or top <= 64]
+        most = max(1, CELLS // (top * len(model.languages)))
+        part = [i for i in order[at : at + most] if 2 * len(words[i]) >= top or top <= 64]
         at += len(part)
         length = np.array([len(words[i]) for i in part])
         emit = np.ones((top, len(part), len(model.languages)))

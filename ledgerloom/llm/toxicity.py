@@ -5,8 +5,8 @@ Features are the words, neighbouring pairs, and pairs with one or two words betw
 with a learning rate of its own for each coordinate and an L1 penalty that keeps most weights at nought;
 the few others are broadcast, at most 2^bits numbers. Scoring covers every text whole.
 
-Null and empty texts get the score of the bias alone. Labels are 0 or 1; null labels don't train, and if a
-document has several labels the largest counts. Without any labelled row every score is 0.5 - a hair, so
+Null and empty texts get the score of the bias alone. Labels are 0 or 1; null labels don't train; if a document has
+several labels the largest counts, and of several texts the least. Without any labelled row every score is 0.5 - a hair, so
 nothing is rejected. Rows return as often as they stand; other columns are ignored.
 """
 
@@ -17,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded_sample, held_out, map_columns, mix64, word_hashes
 
 #: Rows that train at most, a third of them toxic at most: those whose salted id hashes lowest.
 TRAIN_ROWS = 4500
+#: Characters of texts that train at most: rows after these many, in the order of their hash, don't train.
+TRAIN_CHARS = 64_000_000
 _U64 = np.uint64
 
 
@@ -82,13 +84,15 @@ def train(rows: list[tuple[str | None, int]], bits: int = 20, alpha: float = 3.0
     return Model(bits, -bias_z / ((beta + bias_n**0.5) / alpha) if sets else -1e-6, at, w[at].astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
-    """Learns from documents outside the held-out fold; labels: doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, **settings) -> Model:
+    """Learns from documents outside the held-out fold; labels: doc_id and toxic. One text of each document, at most
+    `rows` of them with about `chars` characters together, come to the driver."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = [bounded_sample(marks.where(F.col("toxic") == y), "doc_id", n, "toxicity").limit(n) for y, n in ((1, rows // 3), (0, rows - rows // 3))]
     picked = few[0].union(few[1]).withColumnRenamed("doc_id", "id")
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
-    found = sample.collect()  # at most `rows` labelled documents
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id", F.lit("order")), "id"))  # over at most `rows` rows
+    found = sample.withColumn("upto", upto).where(F.col("upto") <= chars).collect()
     return train([(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["id"], r["text"] or ""))], **settings)
 
 

@@ -100,3 +100,72 @@ def test_forward_backward_equals_enumeration():
                 total[t, s] += weight
         assert np.allclose(p[:n, chain], total / total.sum(axis=1, keepdims=True))
         assert (p[n:, chain] == 0).all()
+
+
+def plain_ftrl(rows, bits, alpha, beta, l1, l2, epochs, least, seed):
+    """FTRL-proximal as it is published, a coordinate at a time with dicts."""
+    cache = T.WordHashes()
+    sets = [(sorted({*T.features(T.word_hashes(t, cache), bits).tolist()}), y) for t, y in rows]
+    seen = {}
+    for at, _ in sets:
+        for i in at:
+            seen[i] = seen.get(i, 0) + 1
+    z, n = {}, {}
+
+    def weight(i, penalty):
+        x = z.get(i, 0.0)
+        if penalty and abs(x) <= l1:
+            return 0.0
+        return -(x - (np.sign(x) * l1 if penalty else 0)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + (l2 if penalty else 0))
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in rng.permutation(len(sets)):
+            at, y = sets[r]
+            at = [i for i in at if seen[i] >= least] + ["bias"]
+            w = {i: weight(i, i != "bias") for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: v for i in z if (v := weight(i, i != "bias"))}
+
+
+def test_ftrl_like_plain_ftrl():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(rng.choice(words[y * 15 :], 12)), y) for y in rng.integers(0, 2, 120).tolist()]
+    args = dict(bits=12, alpha=0.5, beta=1.0, l1=0.3, l2=0.1, epochs=3, least=2, seed=4)
+    model, want = T.train(rows, **args), plain_ftrl(rows, **args)
+    got = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    bias = want.pop("bias")
+    assert abs(model.bias - bias) < 1e-9 and got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    rows = [(i % 40, f"text {i} of words", "en") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    plain, T.train = T.train, lambda found, **_: seen.extend(found) or plain([])
+    try:
+        T.fit(docs(spark, rows), labels, rows=12)
+        few = len(seen)
+        T.fit(docs(spark, rows), labels, rows=12, chars=60)
+    finally:
+        T.train = plain
+    assert few <= 12 and 0 < sum(len(t) for t, _ in seen[few:]) <= 60
+
+
+def test_language_repeated_rows_and_batches(spark):
+    """A row that stands twice returns twice alike; texts labelled together equal texts labelled alone."""
+    frame = spark.read.parquet(f"{BIG}/documents.parquet").limit(300)
+    model = L.fit(frame)
+    rounded = lambda found: sorted((r.doc_id, r.lang_pred, round(r.score, 9), r.n_words, r.switches) for r in found.collect())
+    once = rounded(L.identify(frame, model))
+    assert rounded(L.identify(frame.union(frame), model)) == sorted(once * 2)
+    texts = [r.text for r in frame.limit(20).collect()]
+    cache = L.Emissions(model)
+    together, alone = L.label_words(texts, model, cache), [L.label_words([t], model, cache)[0] for t in texts]
+    assert all(a[0] == b[0] and np.allclose(a[1], b[1]) for a, b in zip(together, alone, strict=True))
