@@ -1,7 +1,8 @@
 """Edit-aware token counts: a segment tree of pre-token runs per document.
 
-A text is cut only at a single space between two other characters: there every pre-token ends whatever stands
-around it, so token counts of the runs add up to the text's count. The leaves of a document's tree hold the
+A text is cut only where every pre-token ends whatever stands around: at a single space between two other
+characters, and after a letter that no letter follows (so texts without spaces have cuts too). There the token counts
+of the runs add up to the text's count. The leaves of a document's tree hold the
 characters and tokens of one run each, its inner nodes the sums. An edit finds the leaves that it touches
 by their character sums, takes in neighbours while a border isn't such a space any more, re-encodes this
 region alone, and updates the sums above.
@@ -14,6 +15,8 @@ deletes nothing there. Other columns are ignored. Repeated rows return as often
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from .common import map_columns
 
 #: Characters that a leaf holds at least, and the multiple at which a document's tree is built anew.
 LEAF, REBUILD = 512, 8
+#: Where a cut may be: before anything but a letter.
+CUT = re.compile(r"[\W\d_]|[^\x00-\x7f]")
 EDITS = "array<struct<start:long,remove:long,insert:string>>"
 STATE = "doc_id long, text string, chars array<int>, tokens array<int>"
 
@@ -50,17 +55,20 @@ class Counter:
 
 
 def is_border(text: str, at: int) -> bool:
-    """Whether pre-tokens end before position `at`: a lone space between two characters that aren't white."""
-    return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
+    """Whether pre-tokens end before position `at`: after a letter without a letter behind it, or at a lone space
+    between two characters that aren't white."""
+    if not 0 < at < len(text):
+        return False
+    before, here = text[at - 1], text[at]
+    if before.isalpha() and not here.isalpha():
+        return unicodedata.category(here) != "Cn"  # a later version of Unicode might call it a letter
+    return here == " " and at < len(text) - 1 and not before.isspace() and not text[at + 1].isspace()
 
 
 def runs(text: str, leaf: int = LEAF) -> list[str]:
     out, at = [], 0
     while at < len(text):
-        end = text.find(" ", at + leaf)
-        while end >= 0 and not is_border(text, end):
-            end = text.find(" ", end + 1)
-        end = len(text) if end < 0 else end
+        end = next((m.start() for m in CUT.finditer(text, at + leaf) if is_border(text, m.start())), len(text))
         out.append(text[at:end])
         at = end
     return out

@@ -42,3 +42,16 @@ def test_tables(spark):
         assert (r.text, r.tokens_before, r.tokens_after) == (new, count(old or ""), count(new or ""))
     assert max(r.encoded_chars for r in out if r.doc_id == 10) < 10_000
     assert E.build_state(docs(spark, [])).count() == 0
+
+
+def test_texts_without_spaces_have_many_leaves():
+    """Cuts between letters and marks: counts still add up, and an edit re-encodes its neighbourhood alone."""
+    count = E.Counter(E.vocabulary_path())
+    rng = random.Random(5)
+    for piece in ("漢字テスト、次の文。", "path/to/file_name.txt\n", "don't,I'll;we've's\t", "a1b2_c3²½"):
+        text = "".join(piece[rng.randrange(len(piece)) :] for _ in range(2000))
+        parts = E.runs(text)
+        assert "".join(parts) == text and len(parts) > 5 and sum(map(count, parts)) == count(text)
+        tree = E.Tree.build(text, count)
+        new, encoded = tree.edit(text, 5000, 10, "new 1, text's", count)
+        assert tree.tokens[1] == count(new) and encoded < 5 * E.LEAF
