@@ -24,10 +24,12 @@ _U64 = np.uint64
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where that setting is absent (local tests) a temporary folder is made and set.
+    Only where that setting is absent and the master is local (tests) a temporary folder is made and set.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
