@@ -1,15 +1,17 @@
 """Register rows against portal rows, bank lines against vouchers: blocked pairs, scores, one-to-one choice.
 
 Left and right rows carry id, company_id, period, supplier_gstin, norm_invoice_no, invoice_date and paise amounts
-taxable, cgst, sgst, igst, cess. A choice among pairs is greedy in one total order, found by rounds of mutually
-best pairs: a round is a shuffle by left and one by right, never a group held in one task.
+taxable, cgst, sgst, igst, cess. A choice among pairs is greedy in one total order; it streams through sorted pairs
+of a block, and blocks with very many pairs are first split into their connected parts.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ DATE_HORIZON, SCORE_FLOOR, FUZZY_RANKS, FUZZY_FLOOR = 30, 0.70, 3, 60
 #: Equal up to one rupee, in paise.
 TOLERANCE = 100
 BANK_PAISE, BANK_DAYS = 100, 5
+#: Pairs of a block from which it is split into connected parts, and left numbers of a block that one task compares.
+MOST_PAIRS, MOST_NUMBERS = 1_000_000, 2_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -30,6 +34,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/match-{uuid.uuid4().hex}"
@@ -86,10 +92,21 @@ def number_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
 
 def fuzzy_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
     """Pairs of one supplier whose numbers resemble each other: for each left number the FUZZY_RANKS best
-    distinct right numbers of its block (an equal one takes a rank), if they are over the floor and not equal."""
+    distinct right numbers of its block (an equal one takes a rank), if they are over the floor and not equal.
+
+    Numbers of too different lengths can't reach the floor and aren't compared. A supplier with more than MOST_NUMBERS
+    left numbers is dealt over several tasks, each with all its right numbers.
+    """
     keys = ["company_id", "supplier_gstin"]
     numbers = lambda df, name: df.where("supplier_gstin <> '' and norm_invoice_no <> ''").select(*keys, F.col("norm_invoice_no").alias(name)).distinct()
-    both = numbers(books, "l_no").join(numbers(portal, "r_no"), keys).withColumn("ratio", indel_ratio("l_no", "r_no")).where(F.col("ratio") >= FUZZY_FLOOR)
+    left = numbers(books, "l_no")
+    many = left.groupBy(*keys).agg(F.ceil(F.count("*") / MOST_NUMBERS).cast("int").alias("parts"))
+    right = numbers(portal, "r_no").join(many, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = left.join(many, keys).withColumn("part", F.pmod(F.xxhash64("l_no"), F.col("parts")).cast("int")).drop("parts")
+    room = 200.0 / FUZZY_FLOOR - 1  # the longer may be so many times the shorter
+    n, m = F.length("l_no"), F.length("r_no")
+    near = left.join(right, [*keys, "part"]).where(F.greatest(n, m) <= room * F.least(n, m))
+    both = near.withColumn("ratio", F.when(F.col("l_no") == F.col("r_no"), 100.0).otherwise(indel_ratio("l_no", "r_no"))).where(F.col("ratio") >= FUZZY_FLOOR)
     best = Window.partitionBy(*keys, "l_no").orderBy(F.desc("ratio"), "r_no")
     top = both.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= FUZZY_RANKS) & (F.col("ratio") < 100))
     top = top.select(F.col("company_id").alias("c"), F.col("supplier_gstin").alias("g"), "l_no", "r_no", (F.col("ratio") / 100).alias("number_ratio"))
@@ -99,23 +116,65 @@ def fuzzy_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
     return scored(met.drop("c", "g", "l_no", "r_no", "rc"))
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
-    """The greedy one-to-one choice in the given order (made total by the two ids).
-
-    A pair that is first for its left and for its right is what greedy takes too; its rows leave, and the rest
-    goes on. Every round takes the first pair at least, and rounds shrink fast where chains are short.
-    """
-    rest = stored(pairs)
-    chosen: DataFrame | None = None
+def connected(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Each left row's part: the least left id that pairs connect it with. Rounds of least labels over both sides,
+    each a written table; the number of rounds grows with the logarithm of the longest way, as labels jump."""
+    edges = stored(pairs.select(F.col(left).alias("l"), F.col(right).alias("r")).distinct())
+    labels = stored(edges.select("l", F.col("l").alias("part")).distinct())
     while True:
-        first_left = Window.partitionBy(left).orderBy(*order, left, right)
-        first_right = Window.partitionBy(right).orderBy(*order, left, right)
-        took = stored(rest.withColumn("__l", F.row_number().over(first_left)).withColumn("__r", F.row_number().over(first_right)).where("__l = 1 and __r = 1").drop("__l", "__r"))
-        chosen = took if chosen is None else chosen.union(took)
-        rest = rest.join(took.select(left), left, "left_anti").join(took.select(right), right, "left_anti").select(rest.columns)
-        rest = stored(rest)
-        if not rest.limit(1).count():
-            return chosen
+        of_right = edges.join(labels, "l").groupBy("r").agg(F.min("part").alias("part"))
+        near = edges.join(of_right, "r").groupBy("l").agg(F.min("part").alias("to"))
+        onward = labels.select(F.col("l").alias("to"), F.col("part").alias("jump"))
+        new = labels.join(near, "l").join(onward, "to").select("l", F.least("to", "jump").alias("part"), (F.least("to", "jump") < F.col("part")).alias("moved"))
+        new = stored(new)
+        labels = new.select("l", "part")
+        if not new.where("moved").limit(1).count():
+            return labels.withColumnRenamed("l", left)
+
+
+def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column], block: list[str] | None = None, most: int = MOST_PAIRS) -> DataFrame:
+    """The greedy one-to-one choice in the given order (made total by the two ids). Equal pairs count once.
+
+    block: columns whose values no pair crosses. Pairs of a block are sorted by Spark and stream through a task that
+    remembers the ids it has given away. A block with more than `most` pairs is split into connected parts first; if
+    no block is named, everything is.
+    """
+    pairs = stored(pairs)
+    if block:
+        keys = {f"__k{i}": F.col(c) for i, c in enumerate(block)}
+        keyed = pairs.withColumns(keys)
+        large = keyed.groupBy(*keys).count().where(F.col("count") > most).drop("count")
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col("o" + k))
+        others = stored(large.toDF(*("o" + k for k in keys)))
+        whole = keyed.withColumn("__part", F.lit(None).cast("long"))
+        if others.limit(1).count():
+            rest = keyed.join(others, same, "left_semi")
+            whole = keyed.join(others, same, "left_anti").withColumn("__part", F.lit(None).cast("long")).unionByName(rest.join(connected(rest, left, right).withColumnRenamed("part", "__part"), left).select(*keyed.columns, "__part"))
+    else:
+        keys = {}
+        whole = pairs.join(connected(pairs, left, right).withColumnRenamed("part", "__part"), left).select(*pairs.columns, "__part")
+    group = [*keys, "__part"]
+    names, schema = pairs.columns, pairs.schema
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        lefts: set = set()
+        rights: set = set()
+        for batch in batches:
+            keep = []
+            for key, a, b in zip(zip(*(batch.column(g).to_pylist() for g in group), strict=True), batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True):
+                if key != now:
+                    now, lefts, rights = key, set(), set()
+                free = a not in lefts and b not in rights
+                keep.append(free)
+                if free:
+                    lefts.add(a)
+                    rights.add(b)
+            yield batch.select(names).filter(pa.array(keep, type=pa.bool_()))
+
+    return whole.repartition(*group).sortWithinPartitions(*group, *order, left, right).mapInArrow(choose, schema)
 
 
 def reconcile(books: DataFrame, portal: DataFrame, fuzzy: bool = True, tolerance: int = TOLERANCE) -> DataFrame:
@@ -124,8 +183,8 @@ def reconcile(books: DataFrame, portal: DataFrame, fuzzy: bool = True, tolerance
     pairs = number_pairs(books, portal)
     if fuzzy:
         pairs = pairs.unionByName(fuzzy_pairs(books, portal))
-    matched = one_to_one(pairs.where(F.col("score") >= SCORE_FLOOR), "l_id", "r_id", [F.desc("score")])
-    return decisions(books, portal, matched)
+    matched = one_to_one(pairs.where(F.col("score") >= SCORE_FLOOR), "l_id", "r_id", [F.desc("score")], ["company_id", "l_supplier_gstin"])
+    return decisions(books, portal, stored(matched))
 
 
 def decisions(books: DataFrame, portal: DataFrame, matched: DataFrame) -> DataFrame:
@@ -175,7 +234,7 @@ def reconcile_bank(bank: DataFrame, ledger: DataFrame) -> DataFrame:
     """Bank lines in statement order (day, id) each take the free voucher of least gap, then offset, then order."""
     pairs = bank_pairs(bank, ledger)
     order = [F.asc("b_day"), F.asc("b_id"), F.asc("gap"), F.asc("offset"), F.asc("v_day"), F.asc("v_id")]
-    taken = stored(one_to_one(pairs, "b_id", "v_id", order))
+    taken = stored(one_to_one(pairs, "b_id", "v_id", order, ["company_id", "direction", "party"]))
     strong = (F.col("gap") == 0) & (F.col("party") >= 0)
     hit = taken.select("company_id", F.lit("bank_txn").alias("left_type"), F.col("b_id").alias("left_id"), F.col("v_id").alias("right_id"), F.lit("matched").alias("status"),
                        F.when(strong, "strong").otherwise("amount_date").alias("method"), F.when(strong, 1.0).otherwise(0.85).alias("score"), "gap")
