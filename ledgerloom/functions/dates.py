@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted layouts in order, day before month; those with two-digit years last.
+# The accepted layouts in order, day before month.
 LAYOUTS = (
     "yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "d MMM yyyy", "d MMMM yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd", "d-M-yyyy H:m:s", "yyyy-M-d H:m:s", "d-M-yy", "d/M/yy", "d-MMM-yy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d-M-yy", "d/M/yy", "d-MMM-yy", "yyyyMMdd", "d-M-yyyy H:m:s", "yyyy-M-d H:m:s",
 )
 
 
@@ -60,3 +60,28 @@ def financial_year(day: Column) -> Column:
 def statement_period(rtnprd: Column) -> Column:
     """YYYY-MM of a statement's MMYYYY."""
     return F.when(rtnprd.rlike(r"^\d{6}$"), F.concat(F.substring(rtnprd, 3, 4), F.lit("-"), F.substring(rtnprd, 1, 2)))
+
+
+def named_period(name: Column) -> Column:
+    """YYYY-MM of a file name that holds a year from 2000 and a month, with or without a mark between."""
+    at = lambda g: F.regexp_extract(name, r"(20\d{2})[-_]?(0[1-9]|1[0-2])", g)
+    return F.when(at(0) != "", F.concat(at(1), F.lit("-"), at(2)))
+
+
+def days_left(day: Column, as_of: Column) -> Column:
+    """The credit deadline of a document's day as seen on as_of: deadline, financial year, days left, whether it has passed."""
+    limit = credit_deadline(day)
+    return F.struct(limit.alias("deadline"), financial_year(day).alias("financial_year"), F.datediff(limit, as_of).alias("days_left"), (F.datediff(limit, as_of) < 0).alias("passed"))
+
+
+def valid_range(start: Column, end: Column, most: int = 60) -> Column:
+    """Whether both are periods, in order, and span `most` months at most."""
+    shape = r"^\d{4}-(0[1-9]|1[0-2])$"
+    return F.coalesce(start.rlike(shape) & end.rlike(shape) & (start <= end) & (F.when(start.rlike(shape) & end.rlike(shape), periods_between(start, end)) < most), F.lit(False))
+
+
+def range_presets(first: Column, latest: Column) -> Column:
+    """name -> (from, to): the latest period, the last 3 and 6, the financial year so far, all; from the first on."""
+    year = F.when(F.substring(latest, 6, 2) >= "04", F.substring(latest, 1, 4)).otherwise((F.substring(latest, 1, 4).cast("int") - 1).cast("string"))
+    starts = {"latest": latest, "last_3": shift_period(latest, -2), "last_6": shift_period(latest, -5), "financial_year": F.concat(year, F.lit("-04")), "all": first}
+    return F.create_map(*(x for n, s in starts.items() for x in (F.lit(n), F.struct(F.greatest(s, first).alias("start"), latest.alias("end")))))

@@ -43,6 +43,13 @@ def percent(part: Column, whole: Column, places: int) -> Column:
     return F.coalesce(F.bround(exact, places), F.lit(0)).cast(f"decimal(9,{places})")
 
 
+def half_even(n: Column, d: Column) -> Column:
+    """n / d of whole numbers, not negative, to the nearest whole number, halves to the even one."""
+    rest = n % d
+    low = F.round((n - rest) / d).cast("bigint")
+    return (low + F.when((2 * rest > d) | ((2 * rest == d) & (low % 2 == 1)), 1).otherwise(0)).cast("int")
+
+
 def format_inr(paise: Column) -> Column:
     """Rupees with two decimals, grouped by lakh and crore."""
     whole = (F.abs(paise) / 100).cast("decimal(25,2)").cast("string")

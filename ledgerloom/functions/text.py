@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .money import format_inr
+
 # Document words before a number, in order of preference.
 DOCUMENT_WORDS = ("INVOICE", "TAXINV", "GSTINV", "PURCHASE", "PURCH", "INV", "BILL", "TAX", "GST", "PUR", "PINV", "SINV", "TI", "PI", "SI")
 
@@ -115,6 +117,57 @@ def document_key(rule: str, supplier: Column, number: Column, row_id: Column) ->
     return F.concat_ws(":", F.lit(rule), known(supplier, "gstin"), known(number, "number"))
 
 
+#: Fixed value: the namespace of stable ids.
+NAMESPACE = "6f9b2b1e7c2a5d3f8a4b1c2d3e4f5a6b"
+
+
+def stable_id(*parts: Column | str) -> Column:
+    """The name-based (version 5) UUID of the parts joined by colons; null parts read None."""
+    name = F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), name.cast("binary")))
+    variant = F.element_at(F.split(F.lit("8,9,a,b"), ","), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+# Names of the statement's sections beside the supplies, and of notes by their direction.
+SECTION_LABELS = {
+    "CDNR": "Credit and debit notes", "CDNRA": "Credit and debit notes, amended", "ISD": "Input service distributor", "ISDA": "Input service distributor, amended",
+    "IMPG": "Imports of goods", "IMPGSEZ": "Imports from an SEZ unit", "ECO": "Supplies through an e-commerce operator", "ECOA": "E-commerce supplies, amended",
+    "ITC_REVERSED": "Credit reversed", "B2B_DNR": "Notes, supplier not registered",
+}
+NOTE_LABELS = {"C": "Credit notes", "D": "Debit notes"}
+
+
+def section_label(section: Column, note_type: Column) -> Column:
+    """A section's name; notes are named by their direction and keep what stands after a comma."""
+    names = lambda table, x: F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)
+    base = F.coalesce(names(SECTION_LABELS, section), section)
+    rest = F.regexp_extract(base, r",.*$", 0)
+    return F.coalesce(F.concat(names(NOTE_LABELS, note_type), rest), base)
+
+
+def short_inr(paise: Column) -> Column:
+    """Rupees in crore or lakh with two decimals, as a headline shows them; smaller ones exactly."""
+    size = F.abs(paise).cast("decimal(25,2)")
+    shown = lambda unit, name: F.concat(F.round(size / unit, 2).cast("decimal(25,2)").cast("string"), F.lit(name))
+    return F.concat(F.when(paise < 0, "\u2212").otherwise(""), F.lit("\u20b9"), F.when(size >= 10**9, shown(10**9, " Cr")).when(size >= 10**7, shown(10**7, " L")).otherwise(format_inr(F.abs(paise))))
+
+
+def exact_inr(paise: Column) -> Column:
+    """The exact rupees where short_inr rounds, else null."""
+    return F.when(F.abs(paise) >= 10**7, F.concat(F.when(paise < 0, "\u2212").otherwise(""), F.lit("\u20b9"), format_inr(F.abs(paise))))
+
+
+def facts_text(metrics: Column) -> Column:
+    """A finding's metrics as lines `name: value`, by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(metrics)), lambda k: F.concat(k, F.lit(": "), F.coalesce(F.try_element_at(metrics, k), F.lit("none")))), "\n")
+
+
+def plain_explanation(title: Column, severity: Column, calculation: Column, rule: Column) -> Column:
+    """What a finding says without any model: its title, weight, arithmetic and rule."""
+    return F.concat_ws(" ", F.concat(title, F.lit(" ("), severity, F.lit("):")), F.concat(calculation, F.lit(".")), rule)
+
+
 def numbers_in(text: Column) -> Column:
     """The numbers of a text as decimals, statutory names left out."""
     rest = F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(STATUTORY)})(?!\w)", " ")

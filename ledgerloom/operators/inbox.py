@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import LIMITS
+from .rules import THRESHOLDS, paise
 
 
 def pending_allowed(doc_type: Column, is_amendment: Column, direction: Column) -> Column:
     return (doc_type != "credit_note") & ~(is_amendment & (F.coalesce(direction, F.lit("")) == "downward"))
 
 
-def recommend(inbox: DataFrame, books: DataFrame, tolerance: int = LIMITS["R10"]["tolerance"]) -> DataFrame:
+def recommend(inbox: DataFrame, books: DataFrame, tolerance: int = paise(THRESHOLDS["R10"]["tolerance_inr"])) -> DataFrame:
     """inbox with action (accept, pending, reject or null) and booked (paise, null if not booked).
 
     Of several register rows under a number the one with the least id counts; they are reduced before the join.

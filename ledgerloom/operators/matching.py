@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import half_even
 from ..functions.text import doc_type, indel_ratio
 
 HEADS = ("cgst", "sgst", "igst", "cess")
 AMOUNTS = ("taxable", *HEADS)
-# Weights of a pair's score, days beyond which dates count as apart, least score, fuzzy ranks and floor.
-W_GSTIN, W_NUMBER, W_AMOUNT, W_DATE = 0.45, 0.30, 0.15, 0.10
+# Weights of a pair's score in thousandths, days beyond which dates count as apart, least score, fuzzy ranks and floor.
+W_GSTIN, W_NUMBER, W_AMOUNT, W_DATE = 450, 300, 150, 100
 DATE_HORIZON, SCORE_FLOOR, FUZZY_RANKS, FUZZY_FLOOR = 30, 0.70, 3, 60
 #: Equal up to one rupee, in paise.
 TOLERANCE = 100
@@ -57,29 +58,33 @@ def comparable(portal: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Adds score (3 decimals), category, amount_delta, date_delta_days, parameters_matched. number_ratio is 0..1."""
+    """Adds score (3 decimals, half to even, from whole numbers), category, amount_delta, date_delta_days,
+    parameters_matched and the breakdown. number_ratio is 0..1, amounts go up to 6e13 paise."""
     col = F.col
     near = lambda n: F.abs(col(f"l_{n}") - col(f"r_{n}")) <= tolerance
     total = lambda p: sum((col(f"{p}_{h}") for h in HEADS[1:]), col(f"{p}_cgst"))
-    close = lambda delta, scale: F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.abs(delta) / scale))
     both = (F.coalesce("l_norm_invoice_no", F.lit("")) != "") & (F.coalesce("r_norm_invoice_no", F.lit("")) != "")
     same_gstin = F.coalesce((col("l_supplier_gstin") != "") & (col("l_supplier_gstin") == col("r_supplier_gstin")), F.lit(False))
+    same_type = doc_type(col("l_norm_invoice_no")) == doc_type(col("r_norm_invoice_no"))
     same_number = F.coalesce(both & (col("l_norm_invoice_no") == col("r_norm_invoice_no")), F.lit(False))
-    number = F.when(same_number, 1.0).when(both, F.round("number_ratio", 4)).otherwise(0.0)
+    likeness = F.when(same_number, 10_000).when(both, F.bround(col("number_ratio") * 10_000)).otherwise(0).cast("bigint")
     delta, days = col("l_taxable") - col("r_taxable"), F.datediff("l_invoice_date", "r_invoice_date")
-    scale = F.greatest(F.abs(col("l_taxable")), F.lit(100)).cast("double")
-    score = F.when(same_gstin, W_GSTIN).otherwise(0.0) + W_NUMBER * number + W_AMOUNT * close(delta, scale) + W_DATE * close(days, F.lit(float(DATE_HORIZON)))
-    identity = same_gstin & (doc_type(col("l_norm_invoice_no")) == doc_type(col("r_norm_invoice_no")))
+    scale = F.greatest(F.abs(col("l_taxable")), F.lit(100)).cast("bigint")
+    amount, day = F.greatest(F.lit(0), scale - F.abs(delta)), F.greatest(F.lit(0), DATE_HORIZON - F.abs(days))
+    # thousandths times 300 scale: 1000 (0.45 gstin + 0.30 likeness / 10^4 + 0.15 amount / scale + 0.10 day / 30)
+    parts = F.when(same_gstin, 300 * W_GSTIN * scale).otherwise(0) + 300 * W_NUMBER // 10_000 * likeness * scale + 300 * W_AMOUNT * amount + 300 * W_DATE // DATE_HORIZON * day * scale
+    identity = same_gstin & same_type
     rest = [same_number, days == 0, near("taxable"), F.abs(total("l") - total("r")) <= tolerance, near("cgst") & near("sgst") & near("igst") & near("cess")]
     agree = sum((r.cast("int") for r in rest[1:]), rest[0].cast("int"))
     category = (
         F.when(identity & (agree == 5), "exact").when(identity & (agree == 4), "partial").when(~identity & (agree == 5), "probable")
         .when(identity & rest[0] & rest[1], "value_mismatch").otherwise("fuzzy")
     )
+    told = F.struct(same_gstin.cast("double").alias("gstin"), (likeness / 10_000).alias("invno"), F.bround(amount / scale, 4).alias("amount"), F.bround(day / DATE_HORIZON, 4).alias("date"))
     return pairs.select(
-        "*", F.bround(score, 3).alias("score"), category.alias("category"), delta.alias("amount_delta"), days.alias("date_delta_days"),
-        (agree + same_gstin.cast("int") + (doc_type(col("l_norm_invoice_no")) == doc_type(col("r_norm_invoice_no"))).cast("int")).alias("parameters_matched"),
-    )
+        "*", half_even(parts, 300 * scale).alias("score_milli"), category.alias("category"), delta.alias("amount_delta"), days.alias("date_delta_days"),
+        (agree + same_gstin.cast("int") + same_type.cast("int")).alias("parameters_matched"), told.alias("breakdown"),
+    ).withColumn("score", F.col("score_milli") / 1000)
 
 
 def number_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def decisions(books: DataFrame, portal: DataFrame, matched: DataFrame) -> DataFr
     dup = F.coalesce("claimed", F.lit(False))
     miss = alone.select(
         "company_id", "period", F.lit("purchase_invoice"), "id", F.lit(None).cast("bigint"), F.when(dup, "duplicate").otherwise("unmatched"), F.when(dup, "none").otherwise("orphan_pr"),
-        F.when(~dup, F.when(F.col("seen"), W_GSTIN).otherwise(0.0)), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0),
+        F.when(~dup, F.when(F.col("seen"), W_GSTIN / 1000).otherwise(0.0)), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0),
     )
     extra = portal.join(matched.select(F.col("r_id").alias("id")), "id", "left_anti").select(
         "company_id", "period", F.lit("gstr2b_line"), "id", F.lit(None).cast("bigint"), F.lit("unmatched"), F.lit("orphan_2b"), F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0)

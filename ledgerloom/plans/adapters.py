@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.matching import stored
+
 VIEWS = {
     "amounts": """
 SELECT o_orderkey AS id, o_custkey AS party_id, CAST(o_orderdate AS date) AS day, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS bigint)) AS taxable,
@@ -54,17 +56,41 @@ SELECT id, company_id, substring(CAST(CAST(entry_date + INTERVAL 2 DAY AS date)
 FROM {ledger} WHERE voucher_type <> 'Sales' AND id % 13 <> 0 UNION ALL
 SELECT id + 5000000000000, company_id, period, entry_date, CAST(NULL AS bigint), debit + 7, CAST(NULL AS bigint) FROM {ledger} WHERE voucher_type = 'Sales' AND id % 19 = 0""",
     "filings": "SELECT DISTINCT company_id, period, (company_id + CAST(substring(period, 6, 2) AS int)) % 4 <> 0 AS filed FROM {ledger}",
+    "parties": """
+SELECT CAST(c_custkey % 5 AS int) AS company_id, c_custkey AS party_id, CASE WHEN c_custkey % 7 <> 0 THEN concat('G', CAST(c_custkey AS string)) END AS gstin, concat('Party ', CAST(c_custkey AS string), ' Ltd') AS name,
+  CASE WHEN c_custkey % 2 = 0 THEN 'vendor' ELSE 'customer' END AS kind FROM {customer}""",
+    "sources": """
+SELECT 'purchase_invoice' AS record_type, id AS record_id, company_id, period, concat('purchases_', CAST(company_id AS string), '_', period, '.csv') AS document, CAST(row_number() OVER (PARTITION BY company_id, period ORDER BY id) + 1 AS int) AS source_row FROM {books} UNION ALL
+SELECT 'gstr2b_line', id, company_id, period, concat('gstr2b_', CAST(company_id AS string), '_', period, '.json'), CAST(row_number() OVER (PARTITION BY company_id, period ORDER BY id) AS int) FROM {portal} UNION ALL
+SELECT 'ims_record', id, company_id, period, concat('ims_', CAST(company_id AS string), '_', period, '.json'), CAST(row_number() OVER (PARTITION BY company_id, period ORDER BY id) AS int) FROM {inbox} UNION ALL
+SELECT 'bank_txn', id, company_id, period, concat('bank_', CAST(company_id AS string), '_', period, '.csv'), CAST(row_number() OVER (PARTITION BY company_id, period ORDER BY id) + 1 AS int) FROM {bank}""",
+    "periods": """
+SELECT f.company_id, f.period, f.filed, g.period IS NOT NULL AS generated, CASE WHEN f.filed THEN 'filed' ELSE 'open' END AS status
+FROM {filings} f LEFT JOIN (SELECT DISTINCT company_id, period FROM {portal} WHERE period < '2001-08') g ON g.company_id = f.company_id AND g.period = f.period""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All views as lazy DataFrames; what a query doesn't use is never read."""
-    known = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, text in VIEWS.items():
-        known[name] = spark.sql(text, **{t: df for t, df in known.items() if "{" + t + "}" in text})
-    return known
+class Views(dict):
+    """name -> lazy DataFrame, made when it is asked for. `amounts`, which most views start from, is written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            text = VIEWS[name]
+            made = self.spark.sql(text, **{t: self[t] for t in (*TABLES, *VIEWS) if "{" + t + "}" in text})
+        self[name] = stored(made) if name == "amounts" else made
+        return self[name]
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(spark, sf_dir)
 
 
 def oracle(text: str) -> str:

@@ -2,65 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import AS_OF, LATEST, ORACLES, QUERIES, register
 from .functions import dates, money, text
 from .operators import inbox as inbox_ops
-from .operators import matching, rules
+from .operators import matching, rules, runner
 from .plans import reports
-from .plans.adapters import oracle, views
+from .plans.twins import AGEING, BANK, DRAFTS, EXACT, PCT, REC, WHOLE
 from .streaming import events as event_windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-#: Day of reckoning of the registered rules: the tables' last year.
-AS_OF, LATEST = "2001-09-01", "2001-08"
-
-CMP = """WITH cmp AS (SELECT * FROM portal p WHERE section IN ('B2B', 'B2BA') AND NOT (section = 'B2B' AND EXISTS (SELECT 1 FROM portal q WHERE q.section = 'B2BA'
-  AND q.company_id = p.company_id AND q.supplier_gstin = p.supplier_gstin AND q.amends_invoice_no = p.norm_invoice_no))),
-sp AS (SELECT b.company_id, b.period AS lp, r.period AS rp, b.supplier_gstin AS g, b.norm_invoice_no AS no, b.id AS l_id, r.id AS r_id, b.taxable - r.taxable AS amount_delta, date_diff('day', r.invoice_date, b.invoice_date) AS date_delta_days,
-  CAST(round(1000 * round_even(0.45::DOUBLE + 0.30::DOUBLE + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - least(1.0::DOUBLE, abs(b.taxable - r.taxable) / CAST(greatest(abs(b.taxable), 100) AS DOUBLE)))
-    + 0.10::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - least(1.0::DOUBLE, abs(date_diff('day', r.invoice_date, b.invoice_date)) / 30.0::DOUBLE)), 3)) AS INTEGER) AS score_milli_raw,
-  CAST(b.invoice_date = r.invoice_date AS INT) AS k1, CAST(abs(b.taxable - r.taxable) <= 100 AS INT) AS k2, CAST(abs(b.cgst + b.sgst + b.igst + b.cess - r.cgst - r.sgst - r.igst - r.cess) <= 100 AS INT) AS k3,
-  CAST(abs(b.cgst - r.cgst) <= 100 AND abs(b.sgst - r.sgst) <= 100 AND abs(b.igst - r.igst) <= 100 AND abs(b.cess - r.cess) <= 100 AS INT) AS k4
-  FROM books b JOIN cmp r ON b.company_id = r.company_id AND b.supplier_gstin = r.supplier_gstin AND b.norm_invoice_no = r.norm_invoice_no),
-sc AS (SELECT *, CASE k1 + k2 + k3 + k4 WHEN 4 THEN 'exact' WHEN 3 THEN 'partial' ELSE CASE WHEN k1 = 1 THEN 'value_mismatch' ELSE 'fuzzy' END END AS category FROM sp),
-mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY score_milli_raw DESC, l_id) AS nth FROM sc WHERE score_milli_raw >= 700) WHERE nth = 1),
-st AS (SELECT b.*, m.category, m.r_id, m.rp, CASE WHEN m.l_id IS NOT NULL THEN 'matched' WHEN EXISTS (SELECT 1 FROM mt c WHERE c.company_id = b.company_id AND c.g = b.supplier_gstin AND c.no = b.norm_invoice_no) THEN 'duplicate' ELSE 'unmatched' END AS status
-  FROM books b LEFT JOIN mt m ON m.l_id = b.id),
-dl AS (SELECT st.*, make_date(CASE WHEN month(invoice_date) >= 4 THEN year(invoice_date) ELSE year(invoice_date) - 1 END + 1, 11, 30) AS deadline FROM st),
-r1 AS (SELECT company_id, period, 'R1' AS rule_code, 'R1:' || supplier_gstin || ':' || norm_invoice_no AS risk_key, CASE WHEN date_diff('day', DATE '2001-09-01', deadline) <= 60 OR age >= 3 THEN 'high' WHEN age >= 2 THEN 'medium' ELSE 'low' END AS severity,
-  cgst + sgst + igst + cess AS headline, deadline FROM (SELECT *, (2001 * 12 + 8) - (CAST(substring(period, 1, 4) AS INT) * 12 + CAST(substring(period, 6, 2) AS INT)) AS age FROM dl WHERE status = 'unmatched')),
-r2 AS (SELECT b.company_id, b.period, 'R2' AS rule_code, 'R2:' || b.supplier_gstin || ':' || b.norm_invoice_no AS risk_key, 'medium' AS severity, abs(b.taxable - p.taxable) AS headline FROM st b JOIN portal p ON p.id = b.r_id
-  WHERE abs(b.taxable - p.taxable) > 100 OR abs(b.cgst - p.cgst) > 100 OR abs(b.sgst - p.sgst) > 100 OR abs(b.igst - p.igst) > 100 OR abs(b.cess - p.cess) > 100),
-r3 AS (SELECT company_id, period, 'R3' AS rule_code, 'R3:' || supplier_gstin || ':' || norm_invoice_no || ':' || CAST(id AS VARCHAR) AS risk_key, 'high' AS severity, cgst + sgst + igst + cess AS headline FROM st WHERE status = 'duplicate'
-  AND NOT EXISTS (SELECT 1 FROM portal q WHERE q.section IN ('B2BA', 'CDNRA') AND q.company_id = st.company_id AND q.supplier_gstin = st.supplier_gstin AND q.norm_invoice_no = st.norm_invoice_no)),
-dr AS (SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
-"""
-REC = """WITH kn AS (SELECT company_id, supplier_gstin, norm_invoice_no, arg_min(taxable + cgst + sgst + igst + cess, id) AS booked FROM books WHERE supplier_gstin <> '' GROUP BY 1, 2, 3),
-rec AS (SELECT i.*, k.booked, CASE WHEN NOT supplier_filed THEN NULL WHEN doc_type = 'credit_note' THEN CASE WHEN o.booked IS NOT NULL THEN 'accept' END WHEN k.booked IS NULL THEN 'reject'
-  WHEN abs(total - k.booked) > 100 THEN CASE WHEN doc_type <> 'credit_note' AND NOT (is_amendment AND coalesce(direction, '') = 'downward') THEN 'pending' ELSE 'reject' END ELSE 'accept' END AS action
-  FROM inbox i LEFT JOIN kn k USING (company_id, supplier_gstin, norm_invoice_no) LEFT JOIN kn o ON o.company_id = i.company_id AND o.supplier_gstin = i.supplier_gstin AND o.norm_invoice_no = i.orig_norm_invoice_no)
-"""
-PCT = "CAST(CASE WHEN {w} = 0 THEN 0 ELSE round_even(CAST({p} AS DOUBLE) * 100 / {w}, {n}) END AS DOUBLE)"
-
-
-def register(sql: str | None = None, with_: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(views(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = oracle(with_ + sql)
-        return f
-
-    return add
-
-
-def milli(score="score"):
-    return F.round(F.col(score) * 1000).cast("int").alias("score_milli")
+def milli():
+    return F.round(F.col("score") * 1000).cast("int").alias("score_milli")
 
 
 def exact(v) -> DataFrame:
@@ -72,27 +26,37 @@ def first_rules(v) -> tuple[DataFrame, DataFrame]:
     return m, rules.r1_unmatched_credit(v["books"], m, AS_OF, LATEST).union(rules.r2_amount_mismatch(v["books"], v["portal"], m)).union(rules.r3_duplicate(v["books"], v["portal"], m))
 
 
+BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
+
+
 def plain(drafts: DataFrame) -> DataFrame:
-    return drafts.drop("pct")
+    return drafts.select(*BASE)
+
+
+def pct_double(drafts: DataFrame) -> DataFrame:
+    return drafts.select(*BASE, F.col("pct").cast("double").alias("pct"))
 
 
-@register("SELECT company_id, period, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) AS total FROM st GROUP BY 1, 2", CMP)
+@register("SELECT company_id, period, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) AS total FROM st GROUP BY 1, 2", EXACT)
 def gst_coverage_by_period(v):
     return reports.coverage(exact(v)).drop("pct")
 
 
-@register("SELECT company_id, l_id, r_id, CAST(score_milli_raw AS INT) AS score_milli, category, amount_delta, CAST(date_delta_days AS INT) AS date_delta_days FROM sc", CMP)
+@register("SELECT company_id, l_id, r_id, CAST(score_milli AS INT) AS score_milli, category, amount_delta, CAST(date_delta_days AS INT) AS date_delta_days FROM sc", EXACT)
 def gst_score_pairs(v):
     return matching.number_pairs(v["books"], matching.comparable(v["portal"])).select("company_id", "l_id", "r_id", milli(), "category", "amount_delta", "date_delta_days")
 
 
 @register("""SELECT company_id, period, id AS left_id, r_id AS right_id, status, 'purchase_invoice' AS left_type FROM st UNION ALL
-SELECT company_id, period, id, NULL, 'unmatched', 'gstr2b_line' FROM cmp WHERE id NOT IN (SELECT r_id FROM mt)""", CMP)
+SELECT company_id, period, id, NULL, 'unmatched', 'gstr2b_line' FROM cmp WHERE id NOT IN (SELECT r_id FROM mt)""", EXACT)
 def gst_exact_match(v):
     return exact(v).select("company_id", "period", "left_id", "right_id", "status", "left_type")
 
 
-@register()
+@register("""SELECT company_id, period, 'purchase_invoice' AS left_type, id AS left_id, r_id AS right_id, status, CASE status WHEN 'matched' THEN category WHEN 'duplicate' THEN 'none' ELSE 'orphan_pr' END AS method,
+CASE status WHEN 'matched' THEN score_milli WHEN 'unmatched' THEN CASE WHEN EXISTS (SELECT 1 FROM cmp WHERE cmp.company_id = st.company_id AND cmp.supplier_gstin = st.supplier_gstin) THEN 450 ELSE 0 END END AS score_milli, amount_delta, CAST(date_delta_days AS INT) AS date_delta_days,
+CAST(CASE WHEN rp IS NULL THEN 0 ELSE (CAST(substring(rp, 1, 4) AS INT) - CAST(substring(period, 1, 4) AS INT)) * 12 + CAST(substring(rp, 6, 2) AS INT) - CAST(substring(period, 6, 2) AS INT) END AS INT) AS period_gap FROM st
+UNION ALL SELECT company_id, period, 'gstr2b_line', id, NULL, 'unmatched', 'orphan_2b', NULL, NULL, NULL, 0 FROM cmp WHERE id NOT IN (SELECT r_id FROM mt)""", WHOLE)
 def gst_reconcile(v):
     return matching.reconcile(v["books"], v["portal"]).select("company_id", "period", "left_type", "left_id", "right_id", "status", "method", milli(), "amount_delta", "date_delta_days", "period_gap")
 
@@ -103,27 +67,27 @@ def bank_band_pairs(v):
     return matching.bank_pairs(v["bank"], v["ledger"]).select("company_id", "b_id", "v_id", "gap")
 
 
-@register()
+@register("SELECT * FROM bm", BANK)
 def bank_reconcile(v):
     return matching.reconcile_bank(v["bank"], v["ledger"])
 
 
-@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", CMP)
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", EXACT)
 def rule_r1(v):
     return plain(rules.r1_unmatched_credit(v["books"], exact(v), AS_OF, LATEST))
 
 
-@register("SELECT * FROM r2", CMP)
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r2", EXACT)
 def rule_r2(v):
     return plain(rules.r2_amount_mismatch(v["books"], v["portal"], exact(v)))
 
 
-@register("SELECT * FROM r3", CMP)
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r3", EXACT)
 def rule_r3(v):
     return plain(rules.r3_duplicate(v["books"], v["portal"], exact(v)))
 
 
-KEYED = "'{0}:' || coalesce(nullif(supplier_gstin, ''), 'no-gstin-' || CAST(id AS VARCHAR)) || ':' || norm_invoice_no || ':' || CAST(id AS VARCHAR) AS risk_key"
+KEYED = "'{0}:' || coalesce(nullif(supplier_gstin, ''), 'no-gstin-' || CAST(id AS VARCHAR)) || ':' || norm_invoice_no AS risk_key"
 
 
 @register(f"""SELECT company_id, period, 'R4' AS rule_code, {KEYED.format("R4")}, CASE WHEN date_diff('day', DATE '{AS_OF}', make_date(CASE WHEN month(invoice_date) >= 4 THEN year(invoice_date) ELSE year(invoice_date) - 1 END + 1, 11, 30)) <= 60
@@ -138,12 +102,12 @@ def rule_r4b(v):
     return plain(rules.r4b_reclaimable(v["portal"]))
 
 
-@register()
+@register(f", q AS (SELECT *, {PCT.format(p='abs(variance)', w='turnover', n=2)} AS pct FROM vp) SELECT company_id, period, 'R5' AS rule_code, 'R5:bank_books_variance' AS risk_key, CASE WHEN pct > 1 AND abs(residual) > 5000000 THEN 'high' ELSE 'medium' END AS severity, abs(variance) AS headline, pct FROM q WHERE pct > 1 OR abs(residual) > 5000000", BANK)
 def rule_r5(v):
-    return rules.r5_variance(rules.variance_parts(v["bank"], v["ledger"], matching.stored(matching.reconcile_bank(v["bank"], v["ledger"]))))
+    return pct_double(rules.r5_variance(rules.variance_parts(v["bank"], v["ledger"], matching.stored(matching.reconcile_bank(v["bank"], v["ledger"])))))
 
 
-@register()
+@register("SELECT * FROM vp", BANK)
 def variance_decomposition(v):
     return rules.variance_parts(v["bank"], v["ledger"], matching.stored(matching.reconcile_bank(v["bank"], v["ledger"])))
 
@@ -156,18 +120,9 @@ def rule_r6(v):
 @register(f"""WITH p AS (SELECT company_id, period, party_id, sum(debit) AS amount FROM ledger WHERE voucher_type = 'Sales' GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY company_id, period ORDER BY amount DESC, party_id) AS n FROM p),
 s AS (SELECT company_id, period, sum(amount) AS w, sum(amount) FILTER (WHERE n <= 3) AS t FROM k GROUP BY 1, 2), q AS (SELECT *, {PCT.format(p="t", w="w", n=2)} AS pct FROM s)
-SELECT company_id, period, 'R7' AS rule_code, 'R7:concentration' AS risk_key, CASE WHEN pct > 65 THEN 'high' ELSE 'medium' END AS severity, CAST(t AS BIGINT) AS headline, pct FROM q WHERE pct > 50""")
+SELECT company_id, period, 'R7' AS rule_code, 'R7:customer_concentration' AS risk_key, CASE WHEN pct > 65 THEN 'high' ELSE 'medium' END AS severity, CAST(t AS BIGINT) AS headline, pct FROM q WHERE pct > 50""")
 def rule_r7(v):
-    return rules.r7_concentration(v["ledger"]).withColumn("pct", F.col("pct").cast("double"))
-
-
-AGEING = """WITH pd AS (SELECT DISTINCT company_id, period, last_day(CAST(period || '-01' AS DATE)) AS as_of FROM ledger),
-m AS (SELECT l.company_id, pd.period, party_id, id, entry_date, voucher_type, debit, credit, as_of FROM ledger l JOIN pd ON pd.company_id = l.company_id AND entry_date <= as_of WHERE party_id IS NOT NULL),
-w AS (SELECT *, coalesce(sum(credit) FILTER (WHERE voucher_type = 'Receipt') OVER (PARTITION BY company_id, period, party_id), 0) AS paid,
-  coalesce(sum(debit) FILTER (WHERE voucher_type = 'Sales') OVER (PARTITION BY company_id, period, party_id ORDER BY entry_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
-o AS (SELECT company_id, period, party_id, debit - greatest(0, least(debit, paid - before)) AS open, date_diff('day', entry_date, as_of) AS age FROM w WHERE voucher_type = 'Sales' AND debit > 0),
-a AS (SELECT company_id, period, CAST(sum(open) AS BIGINT) AS total, CAST(coalesce(sum(open) FILTER (WHERE age > 90), 0) AS BIGINT) AS aged FROM o GROUP BY 1, 2)
-"""
+    return pct_double(rules.r7_concentration(v["ledger"]))
 
 
 def periods_of(v) -> DataFrame:
@@ -176,12 +131,12 @@ def periods_of(v) -> DataFrame:
 
 @register("SELECT * FROM a", AGEING)
 def fifo_ageing(v):
-    return rules.open_items(v["ledger"], periods_of(v)).groupBy("company_id", "period").agg(F.sum("open").alias("total"), F.sum(F.when(F.col("age") > 90, F.col("open")).otherwise(0)).alias("aged"))
+    return rules.ageing(v["ledger"], periods_of(v), 90)
 
 
-@register(f", q AS (SELECT *, {PCT.format(p='aged', w='total', n=2)} AS pct FROM a WHERE total > 0) SELECT company_id, period, 'R8' AS rule_code, 'R8:ageing' AS risk_key, CASE WHEN pct > 40 THEN 'high' ELSE 'medium' END AS severity, aged AS headline, pct FROM q WHERE pct > 20", AGEING)
+@register(f", q AS (SELECT *, {PCT.format(p='aged', w='total', n=2)} AS pct FROM a WHERE total > 0) SELECT company_id, period, 'R8' AS rule_code, 'R8:receivables_ageing' AS risk_key, CASE WHEN pct > 40 THEN 'high' ELSE 'medium' END AS severity, aged AS headline, pct FROM q WHERE pct > 20", AGEING)
 def rule_r8(v):
-    return rules.r8_ageing(v["ledger"], periods_of(v)).withColumn("pct", F.col("pct").cast("double"))
+    return pct_double(rules.r8_ageing(v["ledger"], periods_of(v)))
 
 
 def advised(v) -> DataFrame:
@@ -193,7 +148,7 @@ def ims_recommend(v):
     return advised(v).select("id", "booked", "action")
 
 
-@register("""SELECT company_id, period, 'R9' AS rule_code, 'R9:action_required' AS risk_key, CASE WHEN count(*) FILTER (WHERE action = 'reject') > 0 THEN 'high' WHEN count(*) FILTER (WHERE action = 'pending') > 0 THEN 'medium' ELSE 'low' END AS severity,
+@register("""SELECT company_id, period, 'R9' AS rule_code, 'R9:deemed_accepted' AS risk_key, CASE WHEN count(*) FILTER (WHERE action = 'reject') > 0 THEN 'high' WHEN count(*) FILTER (WHERE action = 'pending') > 0 THEN 'medium' ELSE 'low' END AS severity,
 CAST(sum(total) AS BIGINT) AS headline FROM rec WHERE portal_status = 'no_action' GROUP BY 1, 2""", REC)
 def rule_r9(v):
     return plain(rules.r9_action_required(advised(v)))
@@ -204,7 +159,7 @@ def rule_r10(v):
     return plain(rules.r10_recommend_reject(advised(v)))
 
 
-@register("SELECT company_id, period, 'R11' AS rule_code, 'R11:stale' AS risk_key, 'high' AS severity, count(*) AS headline FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2")
+@register("SELECT company_id, period, 'R11' AS rule_code, 'R11:recompute_required' AS risk_key, 'high' AS severity, count(*) AS headline FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2")
 def rule_r11(v):
     return plain(rules.r11_stale_statement(v["inbox"]))
 
@@ -246,33 +201,39 @@ def month_rows(v) -> DataFrame:
     return reports.period_range(m, d, reports.spine(v["books"]))
 
 
-@register(RANGE + "SELECT * FROM rg", CMP)
+@register(RANGE + "SELECT * FROM rg", EXACT)
 def range_report(v):
     return month_rows(v)
 
 
 @register(RANGE + f"""SELECT company_id, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CAST(sum(n_high) AS BIGINT) AS n_high, CAST(sum(n_medium) AS BIGINT) AS n_medium, CAST(sum(n_low) AS BIGINT) AS n_low,
-CAST(sum(headline) AS BIGINT) AS headline, count(*) AS months, {PCT.format(p="sum(matched)", w="sum(total)", n=1)} AS pct FROM rg GROUP BY 1""", CMP)
+CAST(sum(headline) AS BIGINT) AS headline, count(*) AS months, {PCT.format(p="sum(matched)", w="sum(total)", n=1)} AS pct FROM rg GROUP BY 1""", EXACT)
 def range_totals(v):
     return reports.totals(month_rows(v)).withColumn("pct", F.col("pct").cast("double"))
 
 
-@register(""", o AS (SELECT company_id, count(*) AS n_open, count(*) FILTER (WHERE severity = 'high') AS n_high, CAST(coalesce(sum(headline) FILTER (WHERE rule_code = 'R1'), 0) AS BIGINT) AS exposure FROM dr GROUP BY 1),
+DASHBOARD = """, od AS (SELECT company_id, count(*) AS n_open, count(*) FILTER (WHERE severity = 'high') AS n_high, CAST(coalesce(sum(headline) FILTER (WHERE rule_code = 'R1'), 0) AS BIGINT) AS exposure FROM dr GROUP BY 1),
 du AS (SELECT company_id, deadline, CAST(sum(headline) AS BIGINT) AS due, count(*) AS n_due, row_number() OVER (PARTITION BY company_id ORDER BY deadline) AS nth FROM r1 GROUP BY 1, 2)
-SELECT o.company_id, n_open, n_high, exposure, CAST(deadline AS VARCHAR) AS deadline, due, n_due FROM o LEFT JOIN du ON du.company_id = o.company_id AND nth = 1""", CMP)
+SELECT od.company_id, n_open, n_high, exposure, CAST(deadline AS VARCHAR) AS deadline, due, n_due FROM od LEFT JOIN du ON du.company_id = od.company_id AND nth = 1"""
+
+
+@register(DASHBOARD, EXACT)
 def firm_dashboard(v):
     m, d = first_rules(v)
     lost = rules.of_status(v["books"], m, "unmatched").select("company_id", dates.credit_deadline(F.col("invoice_date")).alias("deadline"), rules.tax().alias("amount"))
     return reports.dashboard(d, lost).withColumn("deadline", F.col("deadline").cast("string"))
 
 
-@register("""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY company_id ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, headline DESC NULLS LAST, rule_code, risk_key, period) AS INT) AS rank FROM dr) WHERE rank <= 40""", CMP)
+TOP = """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY company_id ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, headline DESC NULLS LAST, rule_code, risk_key, period) AS INT) AS rank FROM dr) WHERE rank <= 40"""
+
+
+@register(TOP, EXACT)
 def topk_findings(v):
     return reports.top_findings(plain(first_rules(v)[1]), 40)
 
 
-# The same over the whole reconciliation (equal and fuzzy numbers) and, in the reports, all rules that are on. The
-# choice among fuzzy pairs is sequential, so these have no SQL; the queries above stay the equal-number part that SQL can tell.
+# The same over the whole reconciliation (equal and fuzzy numbers) and, in the reports, all rules that are on; the queries
+# above are the equal-number part.
 
 
 def whole(v) -> DataFrame:
@@ -281,13 +242,7 @@ def whole(v) -> DataFrame:
 
 def all_rules(v) -> tuple[DataFrame, DataFrame]:
     """The matches and the drafts of every rule that is on by default, R1 to R8."""
-    m, paid = whole(v), matching.stored(matching.reconcile_bank(v["bank"], v["ledger"]))
-    drafts = [
-        rules.r1_unmatched_credit(v["books"], m, AS_OF, LATEST), rules.r2_amount_mismatch(v["books"], v["portal"], m), rules.r3_duplicate(v["books"], v["portal"], m),
-        rules.r4_reversal(v["portal"], AS_OF), rules.r5_variance(rules.variance_parts(v["bank"], v["ledger"], paid)), rules.r6_unidentified_deposit(v["bank"], paid),
-        rules.r7_concentration(v["ledger"]), rules.r8_ageing(v["ledger"], periods_of(v)),
-    ]
-    return m, matching.stored(reduce(DataFrame.union, drafts))
+    return whole(v), runner.run_rules(v, runner.enabled(runner.registry(v.spark)), AS_OF, LATEST, evidence=False)
 
 
 def whole_month_rows(v) -> DataFrame:
@@ -295,44 +250,48 @@ def whole_month_rows(v) -> DataFrame:
     return reports.period_range(m, d, reports.spine(m.where("left_type = 'purchase_invoice'").select("company_id", "period").union(d.select("company_id", "period"))))
 
 
-@register()
+WHOLE_RANGE = RANGE.replace("FROM books GROUP BY 1)", "FROM (SELECT company_id, period FROM st UNION ALL SELECT company_id, period FROM fo) GROUP BY 1)").replace("FROM dr GROUP BY", "FROM fo GROUP BY")
+
+
+@register("SELECT company_id, period, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) AS total FROM st GROUP BY 1, 2", WHOLE)
 def whole_coverage_by_period(v):
     return reports.coverage(whole(v)).drop("pct")
 
 
-@register()
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", WHOLE)
 def whole_rule_r1(v):
     return plain(rules.r1_unmatched_credit(v["books"], whole(v), AS_OF, LATEST))
 
 
-@register()
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r2", WHOLE)
 def whole_rule_r2(v):
     return plain(rules.r2_amount_mismatch(v["books"], v["portal"], whole(v)))
 
 
-@register()
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r3", WHOLE)
 def whole_rule_r3(v):
     return plain(rules.r3_duplicate(v["books"], v["portal"], whole(v)))
 
 
-@register()
+@register(WHOLE_RANGE + "SELECT * FROM rg", DRAFTS)
 def whole_range_report(v):
     return whole_month_rows(v)
 
 
-@register()
+@register(WHOLE_RANGE + f"""SELECT company_id, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CAST(sum(n_high) AS BIGINT) AS n_high, CAST(sum(n_medium) AS BIGINT) AS n_medium, CAST(sum(n_low) AS BIGINT) AS n_low,
+CAST(sum(headline) AS BIGINT) AS headline, count(*) AS months, {PCT.format(p="sum(matched)", w="sum(total)", n=1)} AS pct FROM rg GROUP BY 1""", DRAFTS)
 def whole_range_totals(v):
     return reports.totals(whole_month_rows(v)).withColumn("pct", F.col("pct").cast("double"))
 
 
-@register()
+@register(DASHBOARD.replace("FROM dr ", "FROM fo "), DRAFTS)
 def whole_firm_dashboard(v):
     m, d = all_rules(v)
     lost = rules.of_status(v["books"], m, "unmatched").select("company_id", dates.credit_deadline(F.col("invoice_date")).alias("deadline"), rules.tax().alias("amount"))
     return reports.dashboard(d, lost).withColumn("deadline", F.col("deadline").cast("string"))
 
 
-@register()
+@register(TOP.replace("FROM dr)", "FROM (SELECT company_id, period, rule_code, risk_key, severity, headline FROM fo))"), DRAFTS)
 def whole_topk_findings(v):
     return reports.top_findings(plain(all_rules(v)[1]), 40)
 
@@ -379,3 +338,6 @@ def numeric_guard(v):
     facts = F.concat(F.lit("1234.50 7 "), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderkey").cast("string")).otherwise(""))
     odd = text.unsupported_numbers(said, facts)
     return v["orders"].select("o_orderkey", odd.alias("odd")).where(F.size("odd") > 0).select("o_orderkey", F.col("odd")[0].cast("bigint").alias("unsupported"))
+
+
+from . import queries_findings, queries_sources  # noqa: E402, F401 - they register theirs
