@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 WORD = re.compile(r"\w+")
 _U64 = np.uint64
 
@@ -48,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; sets the session's Arrow batches to BATCH_BYTES at most, as a worker holds several copies of one as it goes
+    from Arrow to Python and back, and texts differ a thousandfold in length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "") != f"{BATCH_BYTES}b":
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], ddl: str) -> DataFrame:
     """mapInArrow for functions from columns to columns as Python lists: integers with nulls stay integers."""
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
@@ -56,7 +67,7 @@ def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterat
         for out in run(batch.to_pydict() for batch in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(go, ddl)
+    return small_batches(df).mapInArrow(go, ddl)
 
 
 def held_out(doc_id="doc_id"):
