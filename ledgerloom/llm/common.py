@@ -53,9 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """df; sets the session's Arrow batches to BATCH_BYTES at most, as a worker holds several copies of one as it goes
     from Arrow to Python and back, and texts differ a thousandfold in length."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, "") != f"{BATCH_BYTES}b":
-        conf.set(name, f"{BATCH_BYTES}b")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df
 
 
