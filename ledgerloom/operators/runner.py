@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import inbox, matching, rules
@@ -29,8 +29,14 @@ def skipped(table: DataFrame) -> DataFrame:
     return table.where(~F.coalesce("enabled", F.lit(False)) | ~F.col("code").isin([code for code, *_ in rules.REGISTRY])).select("code", "title")
 
 
-def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, latest: str, evidence: bool = True) -> DataFrame:
-    """The drafts of the rules that are on. t: books, portal, bank, ledger, inbox, filings.
+def one_each(drafts: DataFrame) -> DataFrame:
+    """One finding for each company, period and key: of several drafts that with the least headline, then the least record."""
+    own = Window.partitionBy("company_id", "period", "risk_key").orderBy(F.col("headline").asc_nulls_first(), F.try_element_at("evidence", F.lit(1))["record_id"].asc_nulls_first())
+    return drafts.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth")
+
+
+def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, latest: str, evidence: bool = True) -> DataFrame:
+    """What the rules that are on draft. t: books, portal, bank, ledger, inbox, filings.
 
     Matches are made once, as the registry's tolerance says, and shared by the rules that read them.
     """
@@ -57,7 +63,12 @@ def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: s
         out.append(rules.r12_filing_blocked(t["filings"]))
     for code, made in (("R4", lambda: rules.r4_reversal(t["portal"], as_of)), ("R4b", lambda: rules.r4b_reclaimable(t["portal"])), ("R13", lambda: rules.r13_blocked_credit(t["portal"]))):
         out += [made()] if code in on else []
-    return matching.stored(reduce(DataFrame.union, out))
+    return reduce(DataFrame.union, out)
+
+
+def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, latest: str, evidence: bool = True) -> DataFrame:
+    """The findings of the rules that are on, written."""
+    return matching.stored(one_each(drafts(t, on, as_of, latest, evidence)))
 
 
 def tallies(drafts: DataFrame) -> DataFrame:

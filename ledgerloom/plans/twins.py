@@ -106,7 +106,7 @@ BANK = "WITH " + BANK_STATE + VARIANCE
 
 NUMBERED = "coalesce(nullif(supplier_gstin, ''), 'no-gstin-' || CAST(id AS VARCHAR)) || ':' || norm_invoice_no"
 
-#: The drafts of all rules (fa, with the least record behind each) and of those that are on by default (fo).
+#: The drafts of all rules (fb) and of those that are on by default (fx), and the findings of either (fa, fo): one a key.
 DRAFTS = (
     WHOLE + ", " + BANK_STATE + VARIANCE + ", " + AGEING.removeprefix("WITH ").rstrip() + ", " + REC.removeprefix("WITH ").rstrip()
     + f""",
@@ -114,7 +114,7 @@ r5p AS (SELECT *, {PCT.format(p="abs(variance)", w="turnover", n=2)} AS pct FROM
 r7p AS (SELECT company_id, period, party_id, amount, row_number() OVER (PARTITION BY company_id, period ORDER BY amount DESC, party_id) AS n FROM (SELECT company_id, period, party_id, sum(debit) AS amount FROM ledger WHERE voucher_type = 'Sales' GROUP BY 1, 2, 3)),
 r7s AS (SELECT *, {PCT.format(p="t", w="w", n=2)} AS pct FROM (SELECT company_id, period, sum(amount) AS w, sum(amount) FILTER (WHERE n <= 3) AS t FROM r7p GROUP BY 1, 2)),
 r8s AS (SELECT *, {PCT.format(p="aged", w="total", n=2)} AS pct FROM a WHERE total > 0),
-fa AS (
+fb AS (
 SELECT company_id, period, rule_code, risk_key, severity, CAST(headline AS BIGINT) AS headline, CAST(NULL AS DOUBLE) AS pct, 'purchase_invoice' AS record_type, id AS record_id FROM r1
 UNION ALL SELECT company_id, period, rule_code, risk_key, severity, headline, NULL, 'purchase_invoice', id FROM r2
 UNION ALL SELECT company_id, period, rule_code, risk_key, severity, headline, NULL, 'purchase_invoice', id FROM r3
@@ -129,9 +129,11 @@ UNION ALL SELECT company_id, period, 'R10', 'R10:' || {NUMBERED}, 'high', total,
 UNION ALL SELECT company_id, period, 'R11', 'R11:recompute_required', 'high', count(*), NULL, NULL, NULL FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2
 UNION ALL SELECT f.company_id, f.period, 'R12', 'R12:filing_chain', 'high', 0, NULL, NULL, NULL FROM filings f JOIN filings b ON b.company_id = f.company_id AND strftime(CAST(b.period || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = f.period AND NOT b.filed
 UNION ALL SELECT company_id, period, 'R13', 'R13:' || {NUMBERED}, 'medium', cgst + sgst + igst + cess, NULL, 'gstr2b_line', id FROM portal WHERE NOT itc_available),
+fa AS (SELECT * EXCLUDE (nth_of_key) FROM (SELECT *, row_number() OVER (PARTITION BY company_id, period, risk_key ORDER BY headline NULLS FIRST, record_id NULLS FIRST) AS nth_of_key FROM fb) WHERE nth_of_key = 1),
+fx AS (SELECT * FROM fb WHERE rule_code IN ('R1', 'R2', 'R3', 'R4', 'R5', 'R6', 'R7', 'R8')),
 fo AS (SELECT * FROM fa WHERE rule_code IN ('R1', 'R2', 'R3', 'R4', 'R5', 'R6', 'R7', 'R8')),
 ev AS (SELECT company_id, period, rule_code, risk_key, 0 AS nth, record_type, record_id FROM fa WHERE record_id IS NOT NULL
-UNION ALL SELECT company_id, period, rule_code, risk_key, 1, 'gstr2b_line', p_id FROM r2
+UNION ALL SELECT fa.company_id, fa.period, fa.rule_code, fa.risk_key, 1, 'gstr2b_line', p_id FROM fa JOIN r2 ON fa.rule_code = 'R2' AND r2.id = fa.record_id
 UNION ALL SELECT s.company_id, s.period, 'R7', 'R7:customer_concentration', CAST(n - 1 AS INT), 'party', party_id FROM r7s s JOIN r7p p ON p.company_id = s.company_id AND p.period = s.period AND n <= 3 WHERE pct > 50
 UNION ALL SELECT company_id, period, 'R8', 'R8:receivables_ageing', CAST(k - 1 AS INT), 'party', party_id FROM (SELECT s.company_id, s.period, p.party_id, row_number() OVER (PARTITION BY s.company_id, s.period ORDER BY p.aged DESC, p.party_id) AS k
   FROM r8s s JOIN (SELECT company_id, period, party_id, sum(open) AS aged FROM o WHERE age > 90 GROUP BY 1, 2, 3) p ON p.company_id = s.company_id AND p.period = s.period AND p.aged > 0 WHERE pct > 20) WHERE k <= 5)

@@ -242,7 +242,7 @@ def whole(v) -> DataFrame:
 
 def all_rules(v) -> tuple[DataFrame, DataFrame]:
     """The matches and the drafts of every rule that is on by default, R1 to R8."""
-    return whole(v), runner.run_rules(v, runner.enabled(runner.registry(v.spark)), AS_OF, LATEST, evidence=False)
+    return whole(v), matching.stored(runner.drafts(v, runner.enabled(runner.registry(v.spark)), AS_OF, LATEST, evidence=False))
 
 
 def whole_month_rows(v) -> DataFrame:
@@ -250,7 +250,7 @@ def whole_month_rows(v) -> DataFrame:
     return reports.period_range(m, d, reports.spine(m.where("left_type = 'purchase_invoice'").select("company_id", "period").union(d.select("company_id", "period"))))
 
 
-WHOLE_RANGE = RANGE.replace("FROM books GROUP BY 1)", "FROM (SELECT company_id, period FROM st UNION ALL SELECT company_id, period FROM fo) GROUP BY 1)").replace("FROM dr GROUP BY", "FROM fo GROUP BY")
+WHOLE_RANGE = RANGE.replace("FROM books GROUP BY 1)", "FROM (SELECT company_id, period FROM st UNION ALL SELECT company_id, period FROM fx) GROUP BY 1)").replace("FROM dr GROUP BY", "FROM fx GROUP BY")
 
 
 @register("SELECT company_id, period, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) AS total FROM st GROUP BY 1, 2", WHOLE)
@@ -284,14 +284,14 @@ def whole_range_totals(v):
     return reports.totals(whole_month_rows(v)).withColumn("pct", F.col("pct").cast("double"))
 
 
-@register(DASHBOARD.replace("FROM dr ", "FROM fo "), DRAFTS)
+@register(DASHBOARD.replace("FROM dr ", "FROM fx "), DRAFTS)
 def whole_firm_dashboard(v):
     m, d = all_rules(v)
     lost = rules.of_status(v["books"], m, "unmatched").select("company_id", dates.credit_deadline(F.col("invoice_date")).alias("deadline"), rules.tax().alias("amount"))
     return reports.dashboard(d, lost).withColumn("deadline", F.col("deadline").cast("string"))
 
 
-@register(TOP.replace("FROM dr)", "FROM (SELECT company_id, period, rule_code, risk_key, severity, headline FROM fo))"), DRAFTS)
+@register(TOP.replace("FROM dr)", "FROM (SELECT company_id, period, rule_code, risk_key, severity, headline FROM fx))"), DRAFTS)
 def whole_topk_findings(v):
     return reports.top_findings(plain(all_rules(v)[1]), 40)
 

@@ -12,21 +12,27 @@ from .plans import evaluation, reports
 from .plans.twins import BANK_STATE, DRAFTS, PCT
 
 BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
-WITH_PCT = (*BASE, F.col("pct").cast("double").alias("pct"))
-#: Every seventh headline is taken as resolved.
-STATUS = F.when(F.abs("headline") % 7 == 0, "resolved").otherwise("open")
 FS = DRAFTS + ", fs AS (SELECT *, CASE WHEN abs(headline) % 7 = 0 THEN 'resolved' ELSE 'open' END AS status FROM fo)"
 FIRMS = "firms AS (SELECT r_regionkey AS firm_id, r_name AS name FROM region), companies AS (SELECT DISTINCT CAST(n_nationkey % 5 AS INT) AS company_id, first(n_name) OVER (PARTITION BY n_nationkey % 5 ORDER BY n_nationkey) AS name, CAST(n_nationkey % 5 AS INT) AS firm_id FROM nation)"
 START, END = "1998-01", "1999-12"
 
 
+def with_pct(found: DataFrame) -> DataFrame:
+    return found.select(*BASE, F.col("pct").cast("double").alias("pct"))
+
+
+def with_status(found: DataFrame) -> DataFrame:
+    """Every seventh headline is taken as resolved."""
+    return found.withColumn("status", F.when(F.abs("headline") % 7 == 0, "resolved").otherwise("open"))
+
+
 def drafts(v, evidence: bool = True, everything: bool = False) -> DataFrame:
     table = runner.registry(v.spark)
     return runner.run_rules(v, runner.enabled(table.withColumn("enabled", F.lit(True)) if everything else table), AS_OF, LATEST, evidence)
 
 
 def findings(v) -> DataFrame:
-    return drafts(v, evidence=False).withColumn("status", STATUS)
+    return with_status(drafts(v, evidence=False))
 
 
 def companies(v) -> DataFrame:
@@ -42,13 +48,13 @@ def bank_matches(v) -> DataFrame:
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline, pct FROM fo", DRAFTS)
 def run_rules(v):
     """Every rule that the default registry turns on."""
-    return drafts(v, evidence=False).select(*WITH_PCT)
+    return with_pct(drafts(v, evidence=False))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline, pct FROM fa", DRAFTS)
 def run_rules_all(v):
     """Every rule, as if a reviewer had turned all on."""
-    return drafts(v, evidence=False, everything=True).select(*WITH_PCT)
+    return with_pct(drafts(v, evidence=False, everything=True))
 
 
 @register("SELECT code, title FROM (VALUES ('R4b', 'REVERSAL_RECLAIMABLE'), ('R9', 'IMS_ACTION_REQUIRED'), ('R10', 'IMS_RECOMMEND_REJECT'), ('R11', 'GSTR2B_STALE'), ('R12', 'FILING_CHAIN_BLOCKED'), ('R13', 'BLOCKED_CREDIT_17_5')) t(code, title)")
@@ -163,7 +169,7 @@ TITLES = ", ru AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{d}', '{t}')"
 CAST(row_number() OVER (PARTITION BY fs.company_id ORDER BY fs.period DESC, CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, headline DESC NULLS LAST, fs.rule_code, fs.risk_key) AS INT) AS place
 FROM fs JOIN ru ON code = rule_code LEFT JOIN (SELECT company_id, period, risk_key, count(DISTINCT nth) AS n FROM ev GROUP BY 1, 2, 3) e ON e.company_id = fs.company_id AND e.period = fs.period AND e.risk_key = fs.risk_key WHERE fs.period BETWEEN '{START}' AND '{END}'""", FS)
 def findings_in_range(v):
-    found = drafts(v).withColumn("status", STATUS)
+    found = with_status(drafts(v))
     return reports.findings_in_range(found, runner.registry(v.spark), START, END).select(*BASE, "title", "domain", "n_evidence", "place")
 
 
