@@ -57,6 +57,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: T.StructType | str, pandas: bool = False) -> DataFrame:
+    """mapInArrow (or mapInPandas) over small batches; a worker, which lives on for other tasks, gives its buffers back."""
+
+    def go(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    df = small_batches(df)
+    return df.mapInPandas(go, schema) if pandas else df.mapInArrow(go, schema)
+
+
 def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], ddl: str) -> DataFrame:
     """mapInArrow for functions from columns to columns as Python lists: integers with nulls stay integers."""
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
@@ -65,7 +76,7 @@ def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterat
         for out in run(batch.to_pydict() for batch in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
-    return small_batches(df).mapInArrow(go, ddl)
+    return map_batches(df, go, ddl)
 
 
 def held_out(doc_id="doc_id"):
@@ -76,7 +87,7 @@ def held_out(doc_id="doc_id"):
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything once it holds `most` words, so memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

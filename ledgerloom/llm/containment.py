@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, small_batches, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_batches, map_columns, materialize, mix64, shingle_hashes, word_hashes
 
 PERMUTATIONS = 64
 #: Bounds of one block of items: rows and characters, as expected values of a hash split.
@@ -165,6 +165,6 @@ def without_contained(docs: DataFrame, items: DataFrame, threshold: float = SIMI
                 keep[[k for k, *_ in matches(shared.value, batch.column("text").to_pylist(), cache, threshold, whole=True)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = small_batches(out).mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
         out = materialize(out, "uncontained") if more else out
     return out

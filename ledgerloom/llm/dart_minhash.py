@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_columns, materialize, mix64, shingle_hashes, small_batches, uniform, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, WordHashes, map_batches, map_columns, materialize, mix64, shingle_hashes, uniform, word_hashes
 
 BANDS, ROWS = 24, 4
 #: Buckets of up to so many different texts are compared pair by pair; larger ones through hubs.
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
                 keep.append(similarity(weighted_set(x, cache, size), last[1]) >= threshold)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return small_batches(both.select("a", "b", "text_a", "text_b")).mapInPandas(run, "a long, b long")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", pandas=True)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, small_batches
+from .common import map_batches, map_columns
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -146,4 +146,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 batch = batch.set_column(names.index("n_chars"), "n_chars", n)
             yield batch
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

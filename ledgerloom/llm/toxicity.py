@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_sample, held_out, map_columns, mix64, small_batches, word_hashes
+from .common import WordHashes, bounded_sample, held_out, map_batches, map_columns, mix64, word_hashes
 
 #: Rows that train at most, a third of them toxic at most: those whose salted id hashes lowest.
 TRAIN_ROWS = 4500
@@ -135,4 +135,4 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.array(logits(batch.column("text").to_pylist(), model, dense, cache)) < 0
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
