@@ -326,7 +326,8 @@ def events_session(v):
     return event_windows.sessions(v["events"])
 
 
-@register()
+@register("""WITH a AS (SELECT p_partkey, lower(p_name) AS h, instr(lower(p_name), 'r') AS x FROM part), b AS (SELECT *, instr(substring(h, x + 1), 'n') AS dn FROM a WHERE x > 0), c AS (SELECT *, x + dn AS y, instr(substring(h, x + dn + 1), 'g') AS dg FROM b WHERE dn > 0)
+SELECT p_partkey, CAST(r1 + r2 + CASE WHEN dg = 1 THEN r2 + 1 ELSE 1 END AS INT) AS score FROM (SELECT *, CASE WHEN x = 1 THEN 1 ELSE 1 END AS r1, CASE WHEN dn = 1 THEN 2 ELSE 1 END AS r2 FROM c WHERE dg > 0)""")
 def search_score(v):
     return v["part"].select("p_partkey", text.subsequence_score(F.lit("rng"), F.col("p_name")).alias("score")).where("score > 0")
 

@@ -1,0 +1,321 @@
+"""Registered queries on readers, writers, parties and scalar functions. Readers read files that the query writes first."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .catalog import register
+from .functions import dates, money, text
+from .operators import matching, parties
+from .plans import reports
+from .sources import feeds, sinks
+from .streaming import arrivals
+
+
+def folder(v, name: str) -> str:
+    return matching.scratch_path(v.spark, name)
+
+
+def rupees(c: str) -> F.Column:
+    return (F.col(c).cast("decimal(25,2)") / 100).cast("decimal(15,2)").cast("string")
+
+
+# ---- readers
+
+
+@register("SELECT id, strftime(invoice_date, '%Y-%m-%d') AS day, period, 'PARTY' || CAST(party_id AS VARCHAR) AS norm_party, 'A' || CAST(1000000 + id AS VARCHAR) AS norm_invoice_no, taxable + cgst + sgst + igst + cess AS total, CASE WHEN id % 2 = 0 THEN taxable ELSE 0 END AS taxable, CAST(NULL AS VARCHAR) AS error FROM invoices")
+def register_feed(v):
+    """Purchase registers of two layouts, written and read: headers, dates, amounts and names as people write them."""
+    at, inv = folder(v, "registers"), v["invoices"]
+    total = (F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst") + F.col("cess")).alias("t")
+    rows = inv.select("id", "invoice_date", "party_id", "norm_invoice_no", rupees("taxable").alias("taxable"), total).withColumn("total", rupees("t"))
+    name = F.concat(F.lit("M/s Party "), F.col("party_id").cast("string"), F.lit(" Pvt Ltd"))
+    one = rows.where("id % 2 = 0").select(F.date_format("invoice_date", "dd-MMM-yyyy").alias("Date"), name.alias("Particulars"), F.concat(F.lit("inv/"), "norm_invoice_no").alias("Voucher No"), F.col("taxable").alias("Taxable Value"), F.concat(F.lit("Rs"), F.lit("")).alias("CGST Note"), F.concat(F.lit("₹ "), "total").alias("Invoice Value"), F.col("id").cast("string").alias("Narration"))
+    two = rows.where("id % 2 = 1").select(F.col("id").cast("string").alias("Remarks"), F.col("total").alias("Grand Total"), F.concat(F.lit("Bill No. "), "norm_invoice_no").alias("bill-no"), name.alias("SUPPLIER NAME"), F.date_format("invoice_date", "d/M/yyyy").alias("Bill Date"))
+    one.write.option("header", True).csv(f"{at}/one")
+    two.write.option("header", True).csv(f"{at}/two")
+    out = [feeds.purchases(g).join(g.select("document", "source_row", g["Narration" if "Narration" in g.columns else "Remarks"].cast("bigint").alias("id")), ["document", "source_row"]) for g in feeds.csv_groups(v.spark, at)]
+    paise = lambda c: money.to_paise(F.col(c)).alias(c)
+    return reduce(DataFrame.unionByName, out).select("id", F.col("day").cast("string").alias("day"), "period", "norm_party", "norm_invoice_no", paise("total"), paise("taxable"), "error")
+
+
+@register("SELECT id, CAST(txn_date AS VARCHAR) AS day, debit, credit, CAST(NULL AS VARCHAR) AS error FROM bank WHERE coalesce(debit, credit) <> 0")
+def bank_feed(v):
+    at = folder(v, "bank")
+    shown = v["bank"].select(F.date_format("txn_date", "dd/MM/yyyy").alias("Txn Date"), F.concat(F.lit("NEFT "), F.col("id").cast("string")).alias("Narration"), F.col("id").cast("string").alias("Ref No"), rupees("debit").alias("Withdrawal Amt."), rupees("credit").alias("Deposit Amt."))
+    shown.write.option("header", True).csv(at)
+    rows = reduce(DataFrame.unionByName, (feeds.bank(g) for g in feeds.csv_groups(v.spark, at)))
+    return rows.select(F.col("ref_no").cast("bigint").alias("id"), F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), money.to_paise(F.col("credit")).alias("credit"), "error")
+
+
+@register("SELECT id, voucher_type, CAST(entry_date AS VARCHAR) AS day, nullif(debit, 0) AS debit, nullif(credit, 0) AS credit FROM ledger")
+def ledger_feed(v):
+    at = folder(v, "ledger")
+    shown = v["ledger"].select(F.date_format("entry_date", "yyyy-MM-dd").alias("Date"), F.col("voucher_type").alias("Vch Type"), F.col("id").cast("string").alias("Vch No"), F.concat(F.lit("P "), F.col("party_id").cast("string")).alias("Ledger Name"), rupees("debit").alias("Debit"), rupees("credit").alias("Credit"))
+    shown.write.option("header", True).csv(at)
+    rows = reduce(DataFrame.unionByName, (feeds.ledger(g) for g in feeds.csv_groups(v.spark, at)))
+    return rows.select(F.col("voucher_no").cast("bigint").alias("id"), "voucher_type", F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), money.to_paise(F.col("credit")).alias("credit"))
+
+
+@register("SELECT id, CAST(invoice_date AS VARCHAR) AS day, taxable + cgst + sgst + igst AS debit, 'Sales' AS voucher_type FROM invoices")
+def sales_feed(v):
+    at = folder(v, "sales")
+    shown = v["invoices"].withColumn("t", F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst")).select(F.date_format("invoice_date", "d.M.yyyy").alias("Voucher Date"), F.concat(F.lit("Buyer "), F.col("party_id").cast("string")).alias("Customer Name"), F.col("id").cast("string").alias("Invoice No."), rupees("t").alias("Bill Amount"))
+    shown.write.option("header", True).csv(at)
+    rows = reduce(DataFrame.unionByName, (feeds.sales(g) for g in feeds.csv_groups(v.spark, at)))
+    return rows.select(F.col("voucher_no").cast("bigint").alias("id"), F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), "voucher_type")
+
+
+@register("SELECT DISTINCT period FROM invoices")
+def periods_discovered(v):
+    """The periods that a register's dates touch; unreadable ones touch none."""
+    at = folder(v, "periods")
+    v["invoices"].select(F.date_format("invoice_date", "dd-MM-yyyy").alias("Date"), F.lit("x").alias("Party"), F.lit("1").alias("Voucher No"), F.lit("1").alias("Total")).union(v.spark.sql("select 'no date', 'x', '1', '1'")).write.option("header", True).csv(at)
+    rows = reduce(DataFrame.unionByName, (feeds.purchases(g) for g in feeds.csv_groups(v.spark, at)))
+    return rows.where("period is not null").select("period").distinct()
+
+
+def one_file_each(df: DataFrame, at: str) -> None:
+    """A file for each row of the one text column."""
+    df.write.option("maxRecordsPerFile", 1).text(at)
+
+
+def statements(v) -> str:
+    """The portal as statement files, one for each company and period (a few hundred), entries in the order of their ids."""
+    at = folder(v, "statements")
+    entry = lambda number, day: F.struct(F.col("norm_invoice_no").alias(number), F.date_format("invoice_date", "dd-MM-yyyy").alias(day), rupees("taxable").alias("txval"), rupees("cgst").alias("camt"), rupees("sgst").alias("samt"), rupees("igst").alias("iamt"), F.when(~F.col("itc_available"), "N").alias("itcavl"), F.col("note_type").alias("nttyp"), F.col("amends_invoice_no").alias("oinum"), F.col("id").cast("string").alias("val"))
+
+    def section(code: str, child: str, number: str, day: str) -> F.Column:
+        own = F.struct(F.col("supplier_gstin").alias("ctin"), F.lit("N").alias("trdnm"), F.array(entry(number, day)).alias(child))
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == code, F.struct("id", own.alias("x"))))), lambda s: s["x"])
+
+    parts = [section(c, child, number, day).alias(key) for c, key, child, number, day, _, _ in feeds.SECTIONS if c in ("B2B", "B2BA", "CDNR", "ISD", "IMPG")]
+    back = F.collect_list(F.when((F.col("reversal") > 0) & F.col("supplier_gstin").isNotNull(), F.struct(F.col("supplier_gstin").alias("ctin"), F.col("norm_invoice_no").alias("inum"), rupees("reversal").alias("rev_amt"))))
+    body = v["portal"].groupBy("company_id", "period").agg(*parts, back.alias("back"))  # a month of one company, as the portal gives it
+    rtn = F.concat(F.substring("period", 6, 2), F.substring("period", 1, 4)).alias("rtnprd")
+    data = F.struct(rtn, F.struct(*(F.col(key) for c, key, *_ in feeds.SECTIONS if c in ("B2B", "B2BA", "CDNR", "ISD", "IMPG"))).alias("docdata"), F.col("back").alias("itcrev37a"))
+    one_file_each(body.select(F.to_json(F.struct(data.alias("data"))).alias("value")), at)
+    return at
+
+
+@register("""WITH rv AS (SELECT company_id, period, supplier_gstin, norm_invoice_no, sum(reversal) AS reversal FROM portal WHERE reversal > 0 AND supplier_gstin IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT p.id, p.period, section, section = 'B2BA' AS is_amendment, CASE WHEN section <> 'IMPG' THEN p.supplier_gstin END AS supplier_gstin, p.norm_invoice_no, CAST(invoice_date AS VARCHAR) AS day, taxable, cgst, igst, itc_available, note_type, CASE WHEN section = 'B2BA' THEN amends_invoice_no END AS amends_invoice_no,
+CAST(coalesce(CASE WHEN section <> 'IMPG' THEN rv.reversal END, 0) AS BIGINT) AS reversal, CAST(row_number() OVER (PARTITION BY p.company_id, p.period ORDER BY CASE section WHEN 'B2B' THEN 0 WHEN 'B2BA' THEN 1 WHEN 'CDNR' THEN 2 WHEN 'ISD' THEN 3 ELSE 4 END, p.id) AS INT) AS source_row
+FROM portal p LEFT JOIN rv ON rv.company_id = p.company_id AND rv.period = p.period AND rv.supplier_gstin = p.supplier_gstin AND rv.norm_invoice_no = p.norm_invoice_no""")
+def statement_feed(v):
+    rows = feeds.statement(v.spark, statements(v))
+    paise = lambda c: money.to_paise(F.col(c)).alias(c)
+    return rows.select((F.col("total").cast("decimal(20,0)")).cast("bigint").alias("id"), "period", "section", "is_amendment", "supplier_gstin", "norm_invoice_no", F.col("day").cast("string").alias("day"), paise("taxable"), paise("cgst"), paise("igst"), "itc_available", "note_type", "amends_invoice_no", paise("reversal"), "source_row")
+
+
+@register("""SELECT id, source_row, '{"section":"B2B","is_amendment":false,"ctin":"' || supplier_gstin || '"' AS head FROM (SELECT *, row_number() OVER (PARTITION BY company_id, period ORDER BY id) AS source_row FROM portal WHERE section = 'B2B') WHERE source_row = 2""")
+def statement_entries(v):
+    """The second entry of each statement, as JSON."""
+    rows = feeds.entry_at(feeds.entries(v.spark, statements(v)).where("entry.section = 'B2B'"), 2)
+    shown = feeds.described(rows)
+    return shown.select(F.get_json_object("line", "$.val").cast("bigint").alias("id"), F.col("source_row").cast("bigint").alias("source_row"), F.regexp_extract("line", r'^(.*?"ctin":"[^"]*")', 1).alias("head"))
+
+
+@register("""SELECT id, period, supplier_gstin, doc_type, norm_invoice_no, coalesce(orig_norm_invoice_no, '') AS orig_norm_invoice_no, total, supplier_filed, is_amendment, direction, portal_status, CAST(actioned_at AS VARCHAR) AS actioned_at, doc_type <> 'credit_note' AND NOT (is_amendment AND coalesce(direction, '') = 'downward') AS pending_allowed,
+doc_type = 'credit_note' OR (is_amendment AND coalesce(direction, '') = 'downward') AS reject_raises_supplier_liability FROM inbox""")
+def inbox_feed(v):
+    at = folder(v, "inbox")
+    kind = F.create_map(*(F.lit(x) for x in ("invoice", "INV", "debit_note", "DBN", "credit_note", "CRN")))[F.col("doc_type")]
+    record = F.struct(F.col("supplier_gstin").alias("ctin"), F.col("id").cast("string").alias("trdnm"), kind.alias("doctype"), F.col("norm_invoice_no").alias("inum"), F.col("orig_norm_invoice_no").alias("orig_inum"), F.lit("01-01-2000").alias("idt"), rupees("total").alias("val"), "supplier_filed", "is_amendment", F.col("direction").alias("amend_direction"), F.col("portal_status").alias("status"), F.col("actioned_at").cast("string").alias("actioned_at"))
+    rtn = F.concat(F.substring("period", 6, 2), F.substring("period", 1, 4)).alias("rtnprd")
+    one_file_each(v["inbox"].groupBy("company_id", "period").agg(F.collect_list(record).alias("records")).select(F.to_json(F.struct(rtn, "records")).alias("value")), at)
+    rows = feeds.inbox(v.spark, at)
+    return rows.select(F.col("supplier_name").cast("bigint").alias("id"), "period", "supplier_gstin", "doc_type", "norm_invoice_no", "orig_norm_invoice_no", money.to_paise(F.col("total")).alias("total"), "supplier_filed", "is_amendment", "direction", "portal_status", F.col("actioned_at").cast("string").alias("actioned_at"), "pending_allowed", "reject_raises_supplier_liability")
+
+
+@register("""SELECT strftime(entry_date, '%d-%b-%Y') AS "Date", 'A & B ' || CAST(party_id AS VARCHAR) AS "Particulars", voucher_type AS "Voucher Type", CAST(id AS VARCHAR) AS "Voucher No", '' AS "Taxable Value", '' AS "CGST", '' AS "SGST", '' AS "IGST", '' AS "Cess",
+CAST(CAST(debit // 100 AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(debit % 100 AS VARCHAR), 2, '0') AS "Invoice Value", 'x' AS "Narration" FROM ledger WHERE voucher_type = 'Payment' AND entry_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'""")
+def gateway_feed(v):
+    """Vouchers of a gateway's XML, of one type and some years, with lone ampersands and control entities, as a register."""
+    at = folder(v, "gateway")
+    one = F.concat(F.lit("<VOUCHER><DATE>"), F.date_format("entry_date", "yyyyMMdd"), F.lit("</DATE><VOUCHERNUMBER>"), F.col("id").cast("string"), F.lit("</VOUCHERNUMBER><VOUCHERTYPENAME>"), "voucher_type", F.lit("</VOUCHERTYPENAME><PARTYLEDGERNAME>A & B "), F.col("party_id").cast("string"), F.lit("</PARTYLEDGERNAME><AMOUNT>-"), F.coalesce(rupees("debit"), rupees("credit")), F.lit("</AMOUNT><NARRATION>x&#4;</NARRATION></VOUCHER>"))
+    body = v["ledger"].where("voucher_type <> 'Sales'").groupBy("company_id", "period").agg(F.array_join(F.collect_list(one), "").alias("x"))
+    one_file_each(body.select(F.concat(F.lit("<ENVELOPE>"), "x", F.lit("</ENVELOPE>")).alias("value")), at)
+    return feeds.as_register(feeds.vouchers(v.spark, at, "Payment", "1995-01-01", "1999-12-31"))
+
+
+# ---- writers
+
+
+@register("SELECT id, period FROM books WHERE id % 4 = 0 UNION ALL SELECT id, period FROM books WHERE id % 4 = 1")
+def append_once(v):
+    """Rows that were there, and new ones once; some come twice and some are known."""
+    old = v["books"].where("id % 4 = 0").select("id", "period")
+    new = v["books"].where("id % 4 = 1").select("id", "period")
+    return old.union(sinks.new_rows(old, new.union(new).union(old.where("id % 8 = 0"))))
+
+
+def text_files(v) -> DataFrame:
+    return v["part"].select(F.lit("acme").alias("slug"), F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("name"), F.col("p_brand").cast("binary").alias("content"))
+
+
+@register("SELECT DISTINCT 'acme/' || left(sha256(p_brand), 2) || '/' || sha256(p_brand) || '/f' || CAST(p_partkey % 3 AS VARCHAR) AS key FROM part WHERE p_partkey % 3 <> 0")
+def store_by_content(v):
+    """What a content-addressed store lacks of many files, each once; those named f0 are in it."""
+    files = text_files(v)
+    return sinks.new_objects(files, sinks.new_objects(files.where("name = 'f0'"), v.spark.createDataFrame([], "key string"))).select("key")
+
+
+@register("SELECT DISTINCT CAST(p_partkey % 5 AS INT) AS company_id, sha256(p_brand) AS sha256 FROM part WHERE p_partkey % 5 <> 0")
+def register_documents(v):
+    """Documents that a manifest lacks, by company and content."""
+    files = v["part"].select((F.col("p_partkey") % 5).cast("int").alias("company_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").cast("binary").alias("content"))
+    known = files.where("company_id = 0").select("company_id", F.sha2("content", 256).alias("sha256")).distinct()
+    return feeds.new_documents(files, known).select("company_id", "sha256")
+
+
+@register("SELECT company_id, period, CASE WHEN period >= '1998-01' THEN 'locked' ELSE status END AS status, generated OR period >= '1999-01' AS generated FROM periods")
+def merge_periods(v):
+    """Periods with some statuses replaced, and those marked whose statement has come."""
+    base = v["periods"].select("company_id", "period", "status", "generated")
+    merged = sinks.merge_rows(base, base.where("period >= '1998-01'").withColumn("status", F.lit("locked")), ["company_id", "period"], ["status"])
+    return sinks.mark_generated(merged, base.where("period >= '1999-01'")).select("company_id", "period", "status", "generated")
+
+
+@register("SELECT company_id, 'bank' AS domain, CASE WHEN company_id = 2 THEN 'new' ELSE 'old' END AS status, count(*) AS n FROM bank GROUP BY 1 UNION ALL SELECT company_id, 'gst', 'old', count(*) FROM bank GROUP BY 1")
+def matches_replaced(v):
+    """Matches by company and domain, of which one company's bank matches are made anew."""
+    at, rows = folder(v, "matches"), v["bank"].select("id", "company_id", F.lit("old").alias("status"))
+    sinks.replace_matches(rows, "bank", at)
+    sinks.replace_matches(rows, "gst", at)
+    sinks.replace_matches(rows.where("company_id = 2").withColumn("status", F.lit("new")), "bank", at)
+    return v.spark.read.parquet(at).groupBy("company_id", "domain", "status").agg(F.count("*").alias("n"))
+
+
+# ---- parties
+
+
+def party_rows(v) -> DataFrame:
+    """Parties as feeds name them: with a tax id in the statement, and by other spellings without one."""
+    p = v["parties"]
+    stated = p.where("gstin is not null").select("company_id", "gstin", "name", F.lit("vendor").alias("kind"), F.struct(F.lit(0).alias("feed"), "party_id").alias("seen"))
+    booked = p.select("company_id", F.lit(None).cast("string"), F.concat(F.lit("M/s. "), F.upper("name")), "kind", F.struct(F.lit(2), "party_id"))
+    return stated.union(booked)
+
+
+SID = "(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab', CAST(('0x' || h[17:17])::INT % 4 AS INT) + 1, 1) || h[18:20] || '-' || h[21:32] FROM (SELECT sha1(unhex('6f9b2b1e7c2a5d3f8a4b1c2d3e4f5a6b') || encode('party:' || CAST(company_id AS VARCHAR) || ':' || coalesce(gstin, 'PARTY' || CAST(party_id AS VARCHAR)))) AS h))"
+
+
+@register(f"SELECT company_id, {SID} AS party_id, CASE WHEN gstin IS NOT NULL THEN name ELSE 'M/s. ' || upper(name) END AS name, 'PARTY' || CAST(party_id AS VARCHAR) AS key, gstin, CASE WHEN gstin IS NULL OR kind = 'vendor' THEN kind ELSE 'both' END AS kind FROM parties")
+def parties_registered(v):
+    return parties.register(party_rows(v)).select("company_id", "party_id", "name", "key", "gstin", "kind")
+
+
+@register("SELECT company_id, party_id, CASE WHEN party_id % 2 = 0 THEN 'both' ELSE 'customer' END AS kind, gstin FROM (SELECT company_id, party_id, CASE WHEN party_id % 3 = 0 THEN 'G' || CAST(party_id AS VARCHAR) ELSE gstin END AS gstin FROM parties)")
+def parties_merged(v):
+    """Parties after another run: tax ids that come later, kinds that differ."""
+    shape = lambda gstin, kind: v["parties"].select("company_id", "party_id", "name", F.lit("k").alias("key"), gstin.alias("gstin"), kind.alias("kind"), F.lit(None).cast("string").alias("pan"))
+    old = shape(F.col("gstin"), F.when(F.col("party_id") % 2 == 0, "vendor").otherwise("customer"))
+    new = shape(F.when(F.col("party_id") % 3 == 0, F.concat(F.lit("G"), F.col("party_id").cast("string"))), F.lit("customer"))
+    return parties.merge(old, new).select("company_id", "party_id", "kind", "gstin")
+
+
+@register("SELECT company_id, party_id, 'PARTY' || CAST(party_id AS VARCHAR) AS key FROM parties")
+def party_aliases(v):
+    """Who said a name first has it, whoever says it later."""
+    said = v["parties"].select("company_id", "name", "party_id", F.lit(1).alias("seen"))
+    return parties.aliases(said.union(said.select("company_id", F.upper("name"), F.col("party_id") + 1, F.lit(2)))).select("company_id", "party_id", "key")
+
+
+@register("""SELECT company_id, c_name AS id, CASE party_id % 5 WHEN 0 THEN -party_id WHEN 1 THEN party_id WHEN 2 THEN party_id WHEN 3 THEN party_id END AS party_id, CASE party_id % 5 WHEN 0 THEN 'alias' WHEN 1 THEN 'norm_name' WHEN 2 THEN 'norm_name' WHEN 3 THEN 'fuzzy' END AS method
+FROM (SELECT 0 AS company_id, c_name, c_custkey AS party_id FROM customer)""")
+def party_resolution(v):
+    """Names by alias, by key, mistyped, and blank."""
+    c = v["customer"].select(F.lit(0).alias("company_id"), F.col("c_custkey").alias("party_id"), F.col("c_name").alias("id"))
+    turn = F.col("party_id") % 5
+    said = F.when(turn == 0, F.concat(F.lit("The old "), "id")).when(turn == 1, F.col("id")).when(turn == 2, F.concat(F.lit("M/s "), F.upper("id"), F.lit(" Pvt Ltd"))).when(turn == 3, F.replace("id", F.lit("Cus"), F.lit("Cs"))).otherwise(F.lit(" - "))
+    names = c.withColumn("name", said)
+    known = c.select("company_id", "party_id", F.col("id").alias("name"))
+    alias = parties.aliases(names.where(turn == 0).select("company_id", "name", (-F.col("party_id")).alias("party_id"), F.lit(0).alias("seen")))
+    met = parties.resolve_names(names.select("company_id", "name").distinct(), known, alias)
+    return names.select("company_id", "id", "name").join(met, ["company_id", "name"]).select("company_id", "id", "party_id", "method")
+
+
+@register("SELECT id, party_id FROM bank")
+def narration_parties(v):
+    """The party named in each bank line, between channel words and numbers; the longest name wins."""
+    line = F.when(F.col("party_id").isNull(), F.concat(F.lit("UPI CR "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("NEFT CR N12345678 /Party No "), F.col("party_id").cast("string"), F.lit("x Ltd/ 99887766")))
+    lines = v["bank"].select("id", F.lit(0).alias("company_id"), F.col("party_id").alias("want"), line.alias("narration"))
+    index = v["customer"].select(F.lit(0).alias("company_id"), F.concat(F.lit("PARTYNO"), F.col("c_custkey").cast("string"), F.lit("X")).alias("key"), F.col("c_custkey").alias("party_id"))
+    short = v["customer"].select(F.lit(0), F.lit("PARTY"), F.lit(-1).cast("bigint")).limit(1)
+    met = parties.resolve_narrations(lines.select("company_id", "narration").distinct(), index.union(short))
+    return lines.join(met, ["company_id", "narration"], "left").select("id", "party_id")
+
+
+# ---- scalars
+
+
+@register("SELECT id, CAST(CASE WHEN id % 6 = 5 THEN NULL ELSE invoice_date END AS VARCHAR) AS day FROM invoices")
+def parsed_dates(v):
+    d, turn = F.col("invoice_date"), F.col("id") % 6
+    raw = F.when(turn == 0, F.date_format(d, " d-MMM-yyyy ")).when(turn == 1, F.date_format(d, "MMMM d, yyyy")).when(turn == 2, F.date_format(d, "d-M-yy")).when(turn == 3, F.date_format(d, "yyyyMMdd")).when(turn == 4, F.date_format(d, "dd-MM-yyyy 10:20:30")).otherwise("31-02-2000")
+    return v["invoices"].select("id", dates.parse_date(raw).cast("string").alias("day"))
+
+
+@register("SELECT id, CASE id % 5 WHEN 1 THEN -taxable WHEN 4 THEN NULL ELSE taxable END AS paise, CASE id % 5 WHEN 3 THEN taxable END AS debit FROM invoices")
+def parsed_amounts(v):
+    whole, turn = rupees("taxable"), F.col("id") % 5
+    raw = F.when(turn == 0, F.concat(F.lit("₹ "), money.format_inr(F.col("taxable")))).when(turn == 1, F.concat(F.lit("("), whole, F.lit(")"))).when(turn == 2, F.concat(whole, F.lit(" Cr."))).when(turn == 3, F.concat(F.lit("$"), whole, F.lit(" DR"))).otherwise(F.concat(whole, F.lit(" only")))
+    signed = money.signed_amount(raw)
+    return v["invoices"].select("id", money.to_paise(money.parse_amount(raw)).alias("paise"), F.when(turn == 3, money.to_paise(signed[0])).alias("debit"))
+
+
+TAX_ID = "lpad(CAST(c_custkey % 37 + 1 AS VARCHAR), 2, '0') || 'AAPFU' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F1Z'"
+
+
+@register(f"""WITH x AS (SELECT c_custkey, {TAX_ID} AS g FROM customer),
+y AS (SELECT *, list_sum(list_transform(range(1, 15), lambda i: ((strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', g[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) // 36 + ((strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', g[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 36)) AS s FROM x),
+z AS (SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((36 - s % 36) % 36 AS INT) + 1, 1) AS digit FROM y)
+SELECT c_custkey, digit, digit = '5' AS valid, CASE WHEN digit = '5' THEN g[3:12] END AS pan, CASE WHEN digit = '5' THEN g[1:2] END AS state FROM z""")
+def tax_ids(v):
+    """Check digits of tax ids, and what is valid of those that end in 5."""
+    key = F.col("c_custkey")
+    g = F.concat(F.lpad((key % 37 + 1).cast("string"), 2, "0"), F.lit("AAPFU"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("F1Z"))
+    said = F.concat(F.lit(" "), F.lower(g), F.lit("-5"))
+    return v["customer"].select("c_custkey", text.gstin_check_digit(g).alias("digit"), text.is_valid_gstin(said).alias("valid"), text.pan_of(said).alias("pan"), text.state_of(said).alias("state"))
+
+
+@register("""WITH x AS (SELECT p_partkey, p_brand AS l, p_type AS r FROM part),
+y AS (SELECT *, (CAST(1 AS BIGINT) << length(l)) - 1 AS f, list_transform(string_split(r, ''), lambda ch: CAST(list_sum(list_transform(range(length(l)), lambda i: CASE WHEN l[i + 1] = ch THEN CAST(1 AS BIGINT) << i ELSE CAST(0 AS BIGINT) END)) AS BIGINT)) AS hits FROM x)
+SELECT p_partkey, CAST(round(200.0 * (length(l) - bit_count(list_reduce(list_prepend(f, hits), lambda w, h: ((w + (w & h)) | (w - (w & h))) & f))) / (length(l) + length(r)), 6) AS DOUBLE) AS ratio FROM y""")
+def likeness(v):
+    """Likeness of brands and types by insertions and deletions."""
+    return v["part"].select("p_partkey", F.round(text.indel_ratio("p_brand", "p_type"), 6).alias("ratio"))
+
+
+@register("SELECT id, 'R1:' || coalesce(supplier_gstin, 'no-gstin-' || CAST(id AS VARCHAR)) || ':' || CASE WHEN id % 3 = 0 THEN 'no-number-' || CAST(id AS VARCHAR) ELSE norm_invoice_no END AS key, CASE id % 5 WHEN 0 THEN 'credit_note' WHEN 1 THEN 'debit_note' ELSE 'invoice' END AS doc_type FROM portal")
+def document_keys(v):
+    number = F.when(F.col("id") % 3 == 0, "").otherwise(F.col("norm_invoice_no"))
+    kind = F.concat(F.when(F.col("id") % 5 == 0, "CN").when(F.col("id") % 5 == 1, "DN").otherwise(""), F.col("norm_invoice_no"))
+    return v["portal"].select("id", text.document_key("R1", F.col("supplier_gstin"), number, F.col("id")).alias("key"), text.doc_type(kind).alias("doc_type"))
+
+
+@register("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, strftime(o_orderdate, '%m%Y') AS said, strftime(o_orderdate, '%Y-%m') AS stated, strftime(o_orderdate, '%Y-%m') AS named FROM orders")
+def named_periods(v):
+    said = F.date_format("o_orderdate", "MMyyyy")
+    file = F.concat(F.lit("gstr2b_"), F.date_format(F.add_months(F.col("o_orderdate").cast("date"), 240), "yyyy_MM"), F.lit(".json"))
+    moved = dates.shift_period(dates.named_period(file), -240)
+    return v["orders"].select("o_orderkey", said.alias("said"), dates.statement_period(said).alias("stated"), moved.alias("named"))
+
+
+@register("""WITH l AS (SELECT document, source_row, 'line ' || CAST(record_id AS VARCHAR) AS line FROM sources WHERE record_type = 'purchase_invoice'), w AS (SELECT document, source_row AS "at" FROM sources WHERE record_type = 'purchase_invoice' AND record_id % 97 = 0) SELECT w.document, w."at", l.source_row, line FROM w JOIN l ON l.document = w.document AND l.source_row BETWEEN w."at" - 2 AND w."at" + 2""")
+def evidence_lines(v):
+    """Two lines before and after each wanted row of its document."""
+    own = v["sources"].where("record_type = 'purchase_invoice'")
+    lines = own.select(F.col("document").alias("document_id"), "source_row", F.concat(F.lit("line "), F.col("record_id").cast("string")).alias("line"))
+    found = reports.context_lines(lines, own.where("record_id % 97 = 0").select(F.col("document").alias("document_id"), "source_row"))
+    return found.select(F.col("document_id").alias("document"), "at", "source_row", "line")
+
+
+@register("SELECT id FROM books WHERE (company_id, supplier_gstin) IN (SELECT company_id, supplier_gstin FROM books WHERE period = '2001-07')")
+def touched_by_arrivals(v):
+    """The rows of the blocks that late rows fall into, whatever their period."""
+    return arrivals.touched(v["books"], v["books"].where("period = '2001-07'")).select("id")

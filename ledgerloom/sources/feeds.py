@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from .columns import BANK, LEDGER, PURCHASES, SALES, Field, resolve, value
+from ..operators.inbox import pending_allowed
+from .columns import BANK, LEDGER, PURCHASES, SALES, Layout, resolve, value
 
 # The statement's sections - code, key, child list, number field, date field, amendment, has a supplier.
 SECTIONS = (
@@ -20,19 +21,26 @@ ENTRY = ("txval", "camt", "samt", "iamt", "csamt", "val", "rev", "itcavl", "rsn"
 AMOUNT_FIELDS = {"taxable": "txval", "cgst": "camt", "sgst": "samt", "igst": "iamt", "cess": "csamt", "total": "val"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text, with document (file name) and source_row: the record's place, the header being 1.
 
-    Files are read whole by record, quoted line breaks included; a byte-order mark is dropped from the header.
-    Splits keep file order, so a record's place is a count over its file's ordered splits - no global sort.
+    Files are read whole by record, quoted line breaks included, so a file is one task; a byte-order mark is dropped from
+    the header. All files must have the header of the first, or reading fails; csv_groups takes them apart by header.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
-    raw = raw.toDF(*[(c or "").lstrip("﻿") for c in raw.columns])
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8", enforceSchema=False)
+    raw = raw.toDF(*[(c or "").lstrip("\ufeff") for c in raw.columns])
     named = raw.withColumn("document", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id())
     return named.withColumn("source_row", F.row_number().over(Window.partitionBy("document").orderBy("__at")) + 1).drop("__at")
 
 
-def _rows(df: DataFrame, fields: tuple[Field, ...], out: dict[str, Column], at: dict[str, str]) -> DataFrame:
+def csv_groups(spark: SparkSession, path: str) -> list[DataFrame]:
+    """read_csv of the files below path, a frame for each different header. A name and a line a file come to the driver."""
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.csv").select("value", F.input_file_name().alias("document"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("document").agg(F.min_by("value", "at").alias("header"))
+    return [read_csv(spark, sorted(r.files)) for r in first.groupBy("header").agg(F.collect_list("document").alias("files")).orderBy("header").collect()]
+
+
+def _rows(df: DataFrame, fields: Layout, out: dict[str, Column], at: dict[str, str]) -> DataFrame:
     day = dates.parse_date(value(df, at, "date"))
     bad = F.when(day.isNull(), F.concat(F.lit("unreadable date: "), value(df, at, "date")))
     for key in ("total", "taxable", "cgst", "sgst", "igst", "cess", "debit", "credit"):
@@ -41,6 +49,11 @@ def _rows(df: DataFrame, fields: tuple[Field, ...], out: dict[str, Column], at:
     return df.select("document", "source_row", day.alias("day"), dates.period_of(day).alias("period"), *(c.alias(n) for n, c in out.items()), bad.alias("error"))
 
 
+def skipped(rows: DataFrame) -> DataFrame:
+    """Rows of each document that can't be used, by the reason's kind."""
+    return rows.where("error is not null").groupBy("document", F.regexp_extract("error", "^[^:]*", 0).alias("reason")).agg(F.count("*").alias("rows"))
+
+
 def purchases(df: DataFrame) -> DataFrame:
     at = resolve([c for c in df.columns if c not in ("document", "source_row")], PURCHASES)
     v = lambda k: value(df, at, k)
@@ -69,13 +82,16 @@ def bank(df: DataFrame) -> DataFrame:
     debit, credit = money.optional_amount(v("debit")), money.optional_amount(v("credit"))
     if "amount" in at and not {"debit", "credit"} & at.keys():
         debit, credit = money.signed_amount(v("amount"))
-    out = _rows(df, BANK, {"narration": v("narration"), "debit": F.nullif(debit, F.lit(0)).cast(money.MONEY), "credit": F.nullif(credit, F.lit(0)).cast(money.MONEY)}, at)
+    out = _rows(df, BANK, {"narration": v("narration"), "ref_no": F.nullif(v("ref_no"), F.lit("")), "balance": money.optional_amount(v("balance")), "debit": F.nullif(debit, F.lit(0)).cast(money.MONEY), "credit": F.nullif(credit, F.lit(0)).cast(money.MONEY)}, at)
     return out.withColumn("error", F.coalesce("error", F.when(F.col("debit").isNull() & F.col("credit").isNull(), F.lit("neither debit nor credit"))))
 
 
+def _fields_of(number: str, day: str) -> str:
+    return ",".join(f"{n}:string" for n in dict.fromkeys((number, day, *ENTRY)))
+
+
 def _block_type(child: str, number: str, day: str) -> str:
-    entry = ",".join(f"{n}:string" for n in dict.fromkeys((number, day, *ENTRY)))
-    return f"array<struct<ctin:string,trdnm:string,supprd:string,{child}:array<struct<{entry}>>>>"
+    return f"array<struct<ctin:string,trdnm:string,supprd:string,{child}:array<struct<{_fields_of(number, day)}>>>>"
 
 
 STATEMENT = "rtnprd string, gstin string, gendt string, docdata struct<" + ",".join(f"{key}:{_block_type(child, number, day)}" for _, key, child, number, day, _, _ in SECTIONS) + ">, itcrev37a array<struct<ctin:string,inum:string,idt:string,rev_amt:string,rsn:string>>"
@@ -83,55 +99,102 @@ INBOX = "rtnprd string, gstin string, records array<struct<ctin:string,trdnm:str
 
 
 def _documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document"), F.from_json("value", f"data struct<{','.join(_fields(ddl))}>").alias("j"), F.from_json("value", ddl).alias("k"))
-    return whole.select("document", F.coalesce("j.data", "k").alias("d"))
+    """document and d, what a file holds, under `data` or at its top; each file is parsed once."""
+    from pyspark.sql.types import StructType
 
+    inner = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document"), F.from_json("value", f"data struct<{inner}>, {ddl}").alias("j"))
+    return whole.select("document", F.coalesce("j.data", F.struct(*(F.col(f"j.{f.name}") for f in StructType.fromDDL(ddl).fields))).alias("d"))
 
-def _fields(ddl: str) -> list[str]:
-    from pyspark.sql.types import StructType
 
-    return [f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields]
+def _entries() -> Column:
+    """All entries of a statement in their canonical order: the sections' order, then blocks, then entries."""
+
+    def of_section(code: str, key: str, child: str, number: str, day: str, amends: bool, supplied: bool) -> Column:
+        def one(block: Column, x: Column) -> Column:
+            named = F.when(F.lit(supplied), block["ctin"]), F.when(F.lit(supplied), block["trdnm"])
+            return F.struct(
+                F.lit(code).alias("section"), F.lit(amends).alias("is_amendment"), named[0].alias("ctin"), named[1].alias("trdnm"), x[number].alias("number"), x[day].alias("date"), *(x[f].alias(f) for f in ENTRY)
+            )
+
+        blocks = F.coalesce(F.col(f"d.docdata.{key}"), F.array().cast(_block_type(child, number, day)))
+        return F.flatten(F.transform(blocks, lambda block: F.transform(F.coalesce(block[child], F.array().cast(f"array<struct<{_fields_of(number, day)}>>")), lambda x: one(block, x))))
+
+    return F.concat(*(of_section(*s) for s in SECTIONS))
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """document, period, source_row (from 1) and the entry as the file has it, with its section and supplier."""
+    docs = _documents(spark, path, STATEMENT)
+    return docs.select("document", _period(F.col("d.rtnprd"), F.col("document")).alias("period"), F.posexplode(_entries()).alias("at", "entry")).select("document", "period", (F.col("at") + 1).alias("source_row"), "entry")
+
+
+def entry_at(rows: DataFrame, source_row: int) -> DataFrame:
+    """The entry at a place of each document; none if there is no such place."""
+    return rows.where(F.col("source_row") == source_row)
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """document, source_row and the entry as JSON; what it hasn't is left out."""
+    return rows.select("document", "source_row", F.to_json("entry").alias("line"))
+
+
+def _period(rtnprd: Column, document: Column) -> Column:
+    """The period that a file states, else that of its name; an error if neither does."""
+    name = F.element_at(F.split(document, "/"), -1)
+    return F.coalesce(dates.statement_period(rtnprd), dates.named_period(name), F.raise_error(F.concat(F.lit("no period in the file or the name of "), name)).cast("string"))
 
 
 def statement(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of a portal statement, the sections in their fixed order, null or missing ones empty;
     source_row counts through them. Reversals are summed by supplier and number and joined."""
+    x = lambda f: F.col(f"entry.{f}")
+    out = entries(spark, path).select(
+        "document", "period", "source_row", x("section").alias("section"), x("is_amendment").alias("is_amendment"), text.norm_gstin(x("ctin")).alias("supplier_gstin"), x("trdnm").alias("supplier_name"),
+        x("number").alias("invoice_no"), text.norm_invoice_no(x("number")).alias("norm_invoice_no"), dates.parse_date(x("date")).alias("day"),
+        *(money.parse_amount(x(f)).alias(n) for n, f in AMOUNT_FIELDS.items()), (F.coalesce(x("itcavl"), F.lit("Y")) != "N").alias("itc_available"),
+        F.when(x("nttyp").isin("C", "D"), x("nttyp")).alias("note_type"), F.when(x("is_amendment"), text.norm_invoice_no(x("oinum"))).alias("amends_invoice_no"),
+    )
     docs = _documents(spark, path, STATEMENT)
-    period = F.coalesce(dates.statement_period(F.col("d.rtnprd")), F.regexp_replace(F.regexp_extract("document", r"(\d{4}[_-]\d{2})", 1), "_", "-"))
-    out: DataFrame | None = None
-    for nth, (code, key, child, number, day, amends, supplied) in enumerate(SECTIONS):
-        blocks = docs.select("document", period.alias("period"), F.posexplode(f"d.docdata.{key}").alias("b", "block"))
-        rows = blocks.select("document", "period", "b", F.col("block.ctin").alias("ctin"), F.col("block.trdnm").alias("trdnm"), F.col("block.supprd").alias("supprd"), F.posexplode(f"block.{child}").alias("e", "x"))
-        part = rows.select(
-            "document", "period", F.lit(nth).alias("s"), "b", "e", F.lit(code).alias("section"), F.lit(amends).alias("is_amendment"), F.when(F.lit(supplied), text.norm_gstin(F.col("ctin"))).alias("supplier_gstin"),
-            F.when(F.lit(supplied), F.col("trdnm")).alias("supplier_name"), F.col(f"x.{number}").alias("invoice_no"), text.norm_invoice_no(F.col(f"x.{number}")).alias("norm_invoice_no"), dates.parse_date(F.col(f"x.{day}")).alias("day"),
-            *(money.parse_amount(F.col(f"x.{f}")).alias(n) for n, f in AMOUNT_FIELDS.items()), (F.coalesce("x.itcavl", F.lit("Y")) != "N").alias("itc_available"),
-            F.when(F.col("x.nttyp").isin("C", "D"), F.col("x.nttyp")).alias("note_type"), F.when(F.lit(amends), text.norm_invoice_no(F.col("x.oinum"))).alias("amends_invoice_no"),
-        )
-        out = part if out is None else out.unionByName(part)
-    out = out.withColumn("source_row", F.row_number().over(Window.partitionBy("document").orderBy("s", "b", "e"))).drop("s", "b", "e")
     back = docs.select("document", F.explode("d.itcrev37a").alias("r")).groupBy("document", text.norm_gstin(F.col("r.ctin")).alias("supplier_gstin"), text.norm_invoice_no(F.col("r.inum")).alias("norm_invoice_no"))
     return out.join(back.agg(F.sum(money.parse_amount(F.col("r.rev_amt"))).alias("reversal")), ["document", "supplier_gstin", "norm_invoice_no"], "left").withColumn("reversal", F.coalesce("reversal", F.lit(0)).cast(money.MONEY))
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for x in ("INV", "invoice", "DBN", "debit_note", "DN", "debit_note", "CRN", "credit_note", "CN", "credit_note")))
-    rows = _documents(spark, path, INBOX).select("document", dates.statement_period(F.col("d.rtnprd")).alias("period"), F.posexplode("d.records").alias("at", "r"))
+    rows = _documents(spark, path, INBOX).select("document", _period(F.col("d.rtnprd"), F.col("document")).alias("period"), F.posexplode("d.records").alias("at", "r"))
     return rows.select(
-        "document", (F.col("at") + 1).alias("source_row"), "period", text.norm_gstin(F.col("r.ctin")).alias("supplier_gstin"), F.coalesce(F.try_element_at(kind, F.upper("r.doctype")), F.lit("invoice")).alias("doc_type"),
+        "document", (F.col("at") + 1).alias("source_row"), "period", text.norm_gstin(F.col("r.ctin")).alias("supplier_gstin"), F.col("r.trdnm").alias("supplier_name"), F.coalesce(F.try_element_at(kind, F.upper("r.doctype")), F.lit("invoice")).alias("doc_type"),
         F.col("r.inum").alias("invoice_no"), text.norm_invoice_no(F.col("r.inum")).alias("norm_invoice_no"), text.norm_invoice_no(F.col("r.orig_inum")).alias("orig_norm_invoice_no"), dates.parse_date(F.col("r.idt")).alias("day"),
         money.parse_amount(F.col("r.val")).alias("total"), F.coalesce("r.supplier_filed", F.lit(False)).alias("supplier_filed"), F.coalesce("r.is_amendment", F.lit(False)).alias("is_amendment"), F.col("r.amend_direction").alias("direction"),
         F.coalesce("r.status", F.lit("no_action")).alias("portal_status"), dates.parse_date(F.substring("r.actioned_at", 1, 10)).alias("actioned_at"),
-    )
+    ).withColumns({"pending_allowed": pending_allowed(F.col("doc_type"), F.col("is_amendment"), F.col("direction")), "reject_raises_supplier_liability": (F.col("doc_type") == "credit_note") | (F.col("is_amendment") & F.coalesce(F.col("direction") == "downward", F.lit(False)))})
+
+
+#: An ampersand that starts no entity, and numbered entities of control characters, which XML doesn't allow.
+LONE_AMPERSAND, CONTROL = "&(?![A-Za-z][A-Za-z0-9]*;|#[0-9]+;|#[xX][0-9A-Fa-f]+;)", "&#(?:0*(?:[0-8]|1[124-9]|2[0-9]|3[01])|[xX]0*(?:[0-8BbCcEeFf]|1[0-9A-Fa-f]));"
 
 
-def vouchers(spark: SparkSession, path: str) -> DataFrame:
-    """Vouchers of a gateway's XML export; bare ampersands and control entities are mended first."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document"), F.regexp_replace(F.regexp_replace("value", r"&#(?:x0?[0-8bcefBCEF]|[0-8]|1[0-9]|2[0-9]|3[01]);", ""), r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;").alias("xml"))
+def vouchers(spark: SparkSession, path: str, kind: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Vouchers of a gateway's XML export, of one type and from start to end (dates as yyyy-MM-dd) if these are given;
+    lone ampersands and control entities are mended first, vouchers without a date left out."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document"), F.regexp_replace(F.regexp_replace("value", CONTROL, ""), LONE_AMPERSAND, "&amp;").alias("xml"))
     each = raw.select("document", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<VOUCHER\b.*?</VOUCHER>"), F.lit(0))).alias("at", "v"))
     get = lambda n: F.trim(F.xpath_string("v", F.lit(f"VOUCHER/{n}")))
     day = F.try_to_timestamp(get("DATE"), F.lit("yyyyMMdd")).cast("date")
-    return each.select("document", (F.col("at") + 1).alias("source_row"), day.alias("day"), get("VOUCHERNUMBER").alias("voucher_no"), get("VOUCHERTYPENAME").alias("voucher_type"), get("PARTYLEDGERNAME").alias("party"), F.abs(money.parse_amount(get("AMOUNT"))).alias("total"), get("NARRATION").alias("narration")).where("day is not null")
+    out = each.select("document", (F.col("at") + 1).alias("source_row"), day.alias("day"), get("VOUCHERNUMBER").alias("voucher_no"), get("VOUCHERTYPENAME").alias("voucher_type"), get("PARTYLEDGERNAME").alias("party"), F.abs(money.parse_amount(get("AMOUNT"))).alias("total"), get("NARRATION").alias("narration"))
+    wanted = F.col("day").isNotNull()
+    for given, test in ((kind, F.col("voucher_type") == kind), (start, F.col("day") >= F.lit(start).cast("date")), (end, F.col("day") <= F.lit(end).cast("date"))):
+        wanted = wanted & test if given else wanted
+    return out.where(wanted)
+
+
+def as_register(found: DataFrame) -> DataFrame:
+    """Vouchers in the layout of a purchase register; what the gateway doesn't say stays empty."""
+    blank = F.lit("")
+    shown = {"Date": F.date_format("day", "dd-MMM-yyyy"), "Particulars": F.col("party"), "Voucher Type": F.col("voucher_type"), "Voucher No": F.col("voucher_no")}
+    shown |= {n: blank for n in ("Taxable Value", "CGST", "SGST", "IGST", "Cess")} | {"Invoice Value": F.col("total").cast("string"), "Narration": F.col("narration")}
+    return found.select(*(c.alias(n) for n, c in shown.items()))
 
 
 def new_documents(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -142,18 +205,9 @@ def new_documents(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def resolve_parties(names: DataFrame, parties: DataFrame, cutoff: float = 92.0) -> DataFrame:
-    """names (name) with party_id: by equal key, else the likest key of at least `cutoff`.
+    """names (name) with party_id: by equal key, else the likest key of at least `cutoff`; blank names have none."""
+    from ..operators.parties import resolve_names
 
-    Keys of one length within what the cutoff allows and with a shared pair of letters meet; ties go to the smaller key.
-    """
-    keyed = names.select("name").distinct().withColumn("key", text.norm_party(F.col("name")))
-    known = parties.groupBy(text.norm_party(F.col("name")).alias("known")).agg(F.min("party_id").alias("party_id"))
-    exact = keyed.join(known, keyed.key == known.known).select("name", "party_id")
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))
-    left = keyed.join(exact, "name", "left_anti").where("key <> ''").withColumn("gram", F.explode(pairs("key")))
-    right = known.where("known <> ''").withColumn("gram", F.explode(pairs("known")))
-    room = 200.0 / cutoff - 1  # the longer may be so many times the shorter
-    met = left.join(right, (left.gram == right.gram) & (F.greatest(F.length("key"), F.length("known")) <= room * F.least(F.length("key"), F.length("known")))).select("name", "key", "known", "party_id").distinct()
-    best = met.withColumn("ratio", text.indel_ratio("key", "known")).where(F.col("ratio") >= cutoff)
-    likest = best.groupBy("name").agg(F.max_by("party_id", F.struct("ratio", -F.col("party_id"))).alias("party_id"))
-    return names.join(exact.union(likest), "name", "left")
+    index = parties.select(F.lit(0).alias("company_id"), "party_id", "name")
+    found = resolve_names(names.select(F.lit(0).alias("company_id"), "name").distinct(), index, None, cutoff)
+    return names.join(found.select("name", "party_id"), "name", "left")

@@ -1,4 +1,4 @@
-"""Feeds that keep arriving: files picked up once by content, and one reconciliation of what a batch touches."""
+"""Feeds that keep arriving: files picked up once by path, taken once by content (unseen), and what a batch touches."""
 
 from __future__ import annotations
 
@@ -14,6 +14,11 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def unseen(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Arrived files whose content no registered document (sha256) has; the same content under several paths counts once."""
+    return files.dropDuplicates(["sha256"]).join(manifest.select("sha256").distinct(), "sha256", "left_anti")
+
+
 def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs `handle` on what has arrived and stops; the next call goes on from there."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
