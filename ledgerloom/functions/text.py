@@ -35,7 +35,10 @@ STATUTORY = (
     "CDNRA|CDNR|ISDA|ISD|IMPGSEZ|IMPG|ECOA|ECO", "2B|3B", "GSTIN|HSN|SAC|PAN|TDS|TCS|QRMP|IMS",
 )
 
+# How a financial year, a courtesy prefix, a year run in a number and a number in a sentence are written; keys
+# and guards are only equal to others' if these are.
 _YEARS = r"(?:F\.?\s?Y\.?\s?)?(?<![0-9])(\d{4}|\d{2})\s*[-/]\s*(\d{4}|\d{2})(?![0-9])"
+_COURTESY, _YEAR_RUN, _NUMBER = r"^M\s*/?\s*S\.?\s+", r"^(.*?)20\d{2}(?:20)?\d{2}", r"\d[\d,]*(?:\.\d+)?"
 
 
 def alnum(x: Column) -> Column:
@@ -58,7 +61,7 @@ def norm_invoice_no(raw: Column) -> Column:
     upper = F.trim(F.upper(F.coalesce(raw, F.lit(""))))
     bare = alnum(upper)
     x = F.regexp_replace(alnum(_without_year_ranges(upper)), f"^(?:{'|'.join(DOCUMENT_WORDS)})+(?:NUMBER|NUM|NO)?", "")
-    shorter = F.regexp_replace(x, r"^(.*?)20\d{2}(?:20)?\d{2}", "$1")
+    shorter = F.regexp_replace(x, _YEAR_RUN, "$1")
     x = F.when(F.length(shorter) >= 2, shorter).otherwise(x)
     stripped = F.regexp_replace(x, "^0+", "")
     x = F.when(stripped != "", stripped).otherwise(x)
@@ -68,7 +71,7 @@ def norm_invoice_no(raw: Column) -> Column:
 def norm_party(raw: Column) -> Column:
     """A name without its courtesy prefix and legal words; without these only if something is left."""
     x = F.trim(F.upper(F.coalesce(raw, F.lit(""))))
-    x = F.regexp_replace(F.regexp_replace(x, r"^M\s*/?\s*S\.?\s+", ""), r"\s+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, _COURTESY, ""), r"\s+", " ")
     words = f"(?<![A-Z0-9])(?:{'|'.join(LEGAL_WORDS)})(?![A-Z0-9])"
     short = alnum(F.regexp_replace(x, words, " "))
     return F.when(short != "", short).otherwise(alnum(x))
@@ -171,7 +174,7 @@ def plain_explanation(title: Column, severity: Column, calculation: Column, rule
 def numbers_in(text: Column) -> Column:
     """The numbers of a text as decimals, statutory names left out."""
     rest = F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(STATUTORY)})(?!\w)", " ")
-    return F.transform(F.regexp_extract_all(rest, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(25,2)"))
+    return F.transform(F.regexp_extract_all(rest, F.lit(_NUMBER), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(25,2)"))
 
 
 def unsupported_numbers(sentence: Column, facts: Column) -> Column:
