@@ -30,6 +30,8 @@ BANDS, ROWS = 24, 4
 SMALL_BUCKET = 12
 #: Frequent elements that the order of prefixes knows.
 KNOWN_ELEMENTS = 100_000
+#: Rows from which a join key counts as hot, and hot keys that are broadcast at most; beyond that Spark's skew join is left to it.
+HOT, MOST_HOT = 1_000, 500_000
 #: Texts that one call sketches together.
 AT_ONCE = 64
 _U64 = np.uint64
@@ -164,6 +166,23 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", pandas=True)
 
 
+def hot_keys(counts: DataFrame) -> DataFrame | None:
+    """The keys with more than HOT rows, from counts (key, n); None if there are none or more than MOST_HOT."""
+    hot = materialize(counts.where(F.col("n") > HOT).select("key"), "near-hot")
+    n = hot.limit(MOST_HOT + 1).count()
+    return hot if 0 < n <= MOST_HOT else None
+
+
+def join_keys(rows: DataFrame, side: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined on key with side, which has a row a key. Rows of hot keys stay where they are and meet a broadcast of
+    side's rows for these, at most MOST_HOT; so no task gets all rows of a hot key."""
+    if hot is None:
+        return rows.join(side, "key", how)
+    few = F.broadcast(hot)
+    there = rows.join(few, "key", "left_semi").join(F.broadcast(side.join(few, "key", "left_semi")), "key", how)
+    return there.unionByName(rows.join(few, "key", "left_anti").join(side, "key", how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id -> cls, the least id that the undirected edges (a, b) reach.
 
@@ -171,21 +190,23 @@ def components(edges: DataFrame) -> DataFrame:
     round is a written table, so a lost executor costs one round.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
+    hubs = hot_keys(both.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("n")))
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("cls")).withColumnRenamed("a", "id"), "near-labels")
     while True:
-        least = both.join(labels.toDF("b", "cls_b"), "b").groupBy("a").agg(F.min("cls_b").alias("near"))
-        lower = labels.join(least, labels.id == least.a).select("id", "cls", F.least("cls", "near").alias("to"))
-        onward = labels.toDF("to", "cls_to")
-        new = materialize(lower.join(onward, "to").select("id", F.least("to", "cls_to").alias("cls"), (F.least("to", "cls_to") < F.col("cls")).alias("moved")), "near-labels")
+        least = join_keys(both.select("a", F.col("b").alias("key")), labels.toDF("key", "cls_b"), hubs).groupBy("a").agg(F.min("cls_b").alias("near"))
+        lower = materialize(labels.join(least, labels.id == least.a).select("id", "cls", F.least("cls", "near").alias("key")), "near-lower")
+        led = hot_keys(lower.groupBy("key").agg(F.count("*").alias("n")))
+        met = join_keys(lower, labels.toDF("key", "cls_to"), led)
+        new = materialize(met.select("id", F.least("key", "cls_to").alias("cls"), (F.least("key", "cls_to") < F.col("cls")).alias("moved")), "near-labels")
         labels = new.select("id", "cls")
         if not new.where("moved").limit(1).count():
             return labels
 
 
-def across(rows: DataFrame) -> DataFrame:
+def across(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Rows (key, id, cls, ...) of the keys whose members aren't all of one class."""
     mixed = rows.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
-    return rows.join(mixed.select("key"), "key", "left_semi")
+    return join_keys(rows, mixed.select("key"), hot, "left_semi")
 
 
 def elements(text: str | None, cache: WordHashes, size: int) -> np.ndarray:
@@ -249,20 +270,22 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, size: int, small:
     another class after that is compared by prefix_pairs, which misses no similar pair.
     """
     rows = materialize(reps.select("id", F.explode("bands").alias("key")), "near-bands")
-    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
+    hot = hot_keys(counts)
+    sized = join_keys(rows, counts, hot)
     sized = materialize(sized.withColumn("central", F.sum("n").over(Window.partitionBy("id"))), "near-buckets")
     few = sized.where(F.col("n") <= small).select("key", "id")
     pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b")
     many = sized.where(F.col("n") > small)
     hubs = many.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
-    rays = many.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    rays = join_keys(many, hubs, hot).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     todo = materialize(pairs.union(rays).distinct(), "near-candidates")
     texts = texts_of(reps.select("id", "fp").join(sized.select("id").distinct().hint("merge"), "id", "left_semi"), docs)
     found = materialize(verified(todo, texts, threshold, size), "near-links")
     if not many.limit(1).count():
         return found
     named = many.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("cls", "id").alias("cls"))
-    left = materialize(across(named).select("id", "cls").distinct(), "near-mixed")
+    left = materialize(across(named, hot).select("id", "cls").distinct(), "near-mixed")
     more = prefix_pairs(left, texts, threshold, size).join(todo, ["a", "b"], "left_anti")
     return found.union(verified(materialize(more, "near-candidates"), texts, threshold, size))
 

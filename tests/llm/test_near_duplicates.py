@@ -91,3 +91,21 @@ def test_smallest_id_names_a_class_whatever_the_order(spark):
     rows += [(2000 + i, texts[i], "en") for i in range(5)]
     got = {r.doc_id: r.class_id for r in D.near_duplicates(docs(spark, rows)).collect()}
     assert got == brute(rows)
+
+
+def test_hot_keys_give_the_same_classes(spark, monkeypatch):
+    """Buckets and hubs over the bound, joined by broadcast, and more of them than are broadcast."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        w = list(words)
+        for at in rng.sample(range(150), 2):
+            w[at] = f"x{i}x{at}"
+        rows.append((i, " ".join(w), "en"))
+    rows += [(100 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50)), "en") for i in range(20)]
+    want = brute(rows)
+    for hot, most in ((3, 500_000), (3, 2)):
+        monkeypatch.setattr(D, "HOT", hot)
+        monkeypatch.setattr(D, "MOST_HOT", most)
+        assert {r.doc_id: r.class_id for r in D.near_duplicates(docs(spark, rows)).collect()} == want
