@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .money import format_inr
 
@@ -215,3 +215,32 @@ def indel_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
     """100 * 2 LCS / (len a + len b): no built-in has insertions and deletions alone. Two empty texts are 100."""
     for left, right in batches:
         yield pd.Series([200.0 * lcs_length(a or "", b or "") / n if (n := len(a or "") + len(b or "")) else 100.0 for a, b in zip(left, right, strict=True)])
+
+
+def char_diff(a: str, b: str) -> list[tuple[str, str]]:
+    """Runs of characters that are kept, removed from a or added in b; what is kept is a longest common subsequence."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out: list[list[str]] = []
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            op, c, i, j = "keep", a[i], i + 1, j + 1
+        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            op, c, i = "remove", a[i], i + 1
+        else:
+            op, c, j = "add", b[j], j + 1
+        if out and out[-1][0] == op:
+            out[-1][1] += c
+        else:
+            out.append([op, c])
+    return [(op, c) for op, c in out]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
+def diff_chars(left: pd.Series, right: pd.Series) -> pd.Series:
+    """char_diff of two short texts, such as document numbers; null is empty."""
+    return pd.Series([[{"op": op, "text": t} for op, t in char_diff(a or "", b or "")] for a, b in zip(left, right, strict=True)])

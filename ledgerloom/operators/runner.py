@@ -71,6 +71,12 @@ def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: s
     return matching.stored(one_each(drafts(t, on, as_of, latest, evidence)))
 
 
+def recompute(t: dict[str, DataFrame], table: DataFrame, old: DataFrame, as_of: str, latest: str) -> DataFrame:
+    """The nightly run: findings after every enabled rule has run again over full history. Those found again keep status
+    and explanation; those of any rule of this build that weren't, also of rules now off, go."""
+    return rules.upsert(old, run_rules(t, enabled(table), as_of, latest), [code for code, *_ in rules.REGISTRY])
+
+
 def tallies(drafts: DataFrame) -> DataFrame:
     """Findings of each rule and severity."""
     return drafts.groupBy("rule_code", "severity").agg(F.count("*").alias("findings"), F.sum("headline").alias("headline"))

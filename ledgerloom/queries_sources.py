@@ -11,6 +11,7 @@ from .catalog import register
 from .functions import dates, money, text
 from .operators import matching, parties
 from .plans import reports
+from .plans.twins import WHOLE
 from .sources import feeds, sinks
 from .streaming import arrivals
 
@@ -319,3 +320,22 @@ def evidence_lines(v):
 def touched_by_arrivals(v):
     """The rows of the blocks that late rows fall into, whatever their period."""
     return arrivals.touched(v["books"], v["books"].where("period = '2001-07'")).select("id")
+
+
+@register("""SELECT company_id, period, 'purchase_invoice' AS left_type, id AS left_id, r_id AS right_id, status FROM st UNION ALL SELECT company_id, period, 'gstr2b_line', id, NULL, 'unmatched' FROM cmp WHERE id NOT IN (SELECT r_id FROM mt)""", WHOLE)
+def late_rows_rematched(v):
+    """A year's rows arrive late: only their suppliers' blocks are matched again, and all is as if matched at once."""
+    late = F.col("period") >= "2001-01"
+    before = matching.stored(matching.reconcile(v["books"].where(~late), v["portal"].where(~late)))
+    arrived = v["books"].where(late).select("company_id", "supplier_gstin").union(v["portal"].where(late).select("company_id", "supplier_gstin"))
+    return arrivals.rematched(before, v["books"], v["portal"], arrived).select("company_id", "period", "left_type", "left_id", "right_id", "status")
+
+
+@register("""WITH x AS (SELECT p_partkey, p_brand AS l, p_type AS r FROM part),
+y AS (SELECT *, (CAST(1 AS BIGINT) << length(l)) - 1 AS f, list_transform(string_split(r, ''), lambda ch: CAST(list_sum(list_transform(range(length(l)), lambda i: CASE WHEN l[i + 1] = ch THEN CAST(1 AS BIGINT) << i ELSE CAST(0 AS BIGINT) END)) AS BIGINT)) AS hits FROM x)
+SELECT p_partkey, l AS old, r AS new, CAST(length(l) - bit_count(list_reduce(list_prepend(f, hits), lambda w, h: ((w + (w & h)) | (w - (w & h))) & f)) AS INT) AS kept FROM y""")
+def char_diffs(v):
+    """Differences of brands and types put together again: what was, what is, and how many characters stay."""
+    d = v["part"].select("p_partkey", text.diff_chars("p_brand", "p_type").alias("d"))
+    joined = lambda *ops: F.array_join(F.transform(F.filter("d", lambda x: x["op"].isin(*ops)), lambda x: x["text"]), "")
+    return d.select("p_partkey", joined("keep", "remove").alias("old"), joined("keep", "add").alias("new"), F.length(joined("keep")).alias("kept"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.matching import reconcile
+
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, content and sha256 of each new file below the folder."""
@@ -27,3 +29,11 @@ def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
 def touched(books: DataFrame, arrived: DataFrame) -> DataFrame:
     """All rows of the supplier blocks that new rows fall into: a late document can match any earlier period."""
     return books.join(arrived.select("company_id", "supplier_gstin").distinct(), ["company_id", "supplier_gstin"], "left_semi")
+
+
+def rematched(matches: DataFrame, books: DataFrame, portal: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The matches of all rows after some have arrived (company_id, supplier_gstin), where only their blocks are matched
+    anew: decisions of other blocks stay. books and portal hold the new rows."""
+    mine, theirs = touched(books, arrived), touched(portal, arrived)
+    anew = mine.select(F.lit("purchase_invoice").alias("left_type"), F.col("id").alias("left_id")).union(theirs.select(F.lit("gstr2b_line"), "id"))
+    return matches.join(anew, ["left_type", "left_id"], "left_anti").select(matches.columns).union(reconcile(mine, theirs).select(matches.columns))
