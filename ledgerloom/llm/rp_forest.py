@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import map_columns, materialize
 
 #: Vectors that fit the forest at most, trees, vectors of the sample in a leaf; queries and rows of a cell's blocks.
-SAMPLE, TREES, LEAF, BLOCK, ROWS = 16_384, 8, 64, 1024, 4096
+SAMPLE, TREES, LEAF, BLOCK, ROWS = 16_384, 4, 64, 1024, 4096
 #: Parts that the copies of one vector are ranked in first.
 SALTS = 32
 #: Recall that calibration asks for on the sample, and its trial queries.
-RECALL, TRIALS = 0.97, 200
+RECALL, TRIALS = 0.95, 200
 
 
 @dataclass
@@ -136,11 +136,17 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def least_copies(rows: DataFrame, most: int) -> DataFrame:
-    """rows without those whose vector stands under `most` smaller ids; copies are ranked in SALTS parts first."""
+    """rows without those whose vector stands under `most` smaller ids. Only vectors that stand so often are looked at;
+    their copies are ranked in SALTS parts first."""
+    named = rows.withColumn("print", F.xxhash64("x"))
+    often = materialize(named.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > most).select("print"), "forest-copies")
+    if not often.limit(1).count():
+        return rows
+    few = named.join(often, "print", "left_semi")
     for group in (["x", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))], ["x"]):
         nth = F.row_number().over(Window.partitionBy(*group).orderBy("vec_id"))
-        rows = rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
-    return rows
+        few = few.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    return materialize(named.join(often, "print", "left_anti").unionByName(few).drop("print"), "forest-vectors")
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, trials: int = TRIALS, seed: int = 5) -> tuple[list[Tree], float, int]:
