@@ -216,7 +216,7 @@ def running_headlines(v):
     return reports.running_headlines(drafts(v, evidence=False)).select("company_id", "period", "rule_code", "risk_key", "so_far")
 
 
-@register("SELECT company_id, CAST(deadline AS VARCHAR) AS deadline, count(*) AS findings, CAST(sum(headline) AS BIGINT) AS headline FROM r1 GROUP BY 1, 2", DRAFTS)
+@register("SELECT fa.company_id, CAST(deadline AS VARCHAR) AS deadline, count(*) AS findings, CAST(sum(fa.headline) AS BIGINT) AS headline FROM fa JOIN r1 ON fa.rule_code = 'R1' AND r1.id = fa.record_id GROUP BY 1, 2", DRAFTS)
 def headlines_by_deadline(v):
     return reports.by_deadline(drafts(v, evidence=False))
 
