@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, dart_minhash, edit_counts, language_crf, packing, pseudonyms, rp_forest, secrets, shards, toxicity
+from . import containment, dart_minhash, edit_counts, filter_audit, language_crf, packing, pseudonyms, rp_forest, secrets, shards, simhash, toxicity, whitening
 from .common import scratch_path, table
 
 #: The queries' key; a real one comes from a secret store.
@@ -73,6 +73,18 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_size_tiered_shards, op2_language_crf, op3_secret_links, op4_edit_counts, op5_benchmark_containment, op6_dart_minhash,
-        op7_pseudonyms, op8_best_fit_packing, op9_toxicity_ftrl, op10_projection_forest, pipeline,
+        op7_pseudonyms, op8_best_fit_packing, op9_toxicity_ftrl, op10_projection_forest, op11_filter_shapley, op12_bit_sliced_simhash, op13_jacobi_whitening, pipeline,
     )
 }
 
@@ -114,4 +126,22 @@ reach AS (SELECT a, b FROM pairs UNION SELECT r.a, x.b FROM reach r JOIN pairs x
 cls AS (SELECT a AS id, least(a, min(b)) AS class_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(class_id, rep_id) AS class_id, rep_id FROM reps LEFT JOIN cls ON rep_id = id
 UNION ALL SELECT doc_id, doc_id, doc_id FROM documents WHERE text IS NULL""",
+    "op11_filter_shapley": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+x AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY 1, 2),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT part, array_to_string([substr('ABCDE', v, 1) FOR v IN o], '') AS filter_order, k AS step, o[k] AS own, n, good, bad, fails[o[k]] AS here,
+  list_bool_or([fails[v] FOR v IN o[:k-1]]) AS before, len([v FOR v IN fails IF v]) = 1 AS alone FROM x, o, i),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+  CAST(coalesce(sum(n) FILTER (WHERE NOT (here OR coalesce(before, false))), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE here AND NOT coalesce(before, false)), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE here AND before), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE here AND alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE here AND NOT coalesce(before, false)), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (WHERE here AND NOT coalesce(before, false)), 0) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
