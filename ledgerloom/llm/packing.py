@@ -4,11 +4,13 @@ A piece takes up three capacities of a sequence: tokens, a place among its docum
 square of its length in whole tiles, as a kernel computes it). Pieces are placed longest first; of the open
 sequences with room in every capacity, the chosen one has the least weighted residual norm after it ("norm") or the
 largest weighted dot product of piece and residual ("dot"), and of equal ones the one opened first. A full-length
-piece fits by itself; documents and attention bind where a sequence would hold hundreds of tiny documents.
+piece fits by itself; documents bind where a sequence would hold over 256 tiny ones, attention where tiny ones fill up
+a long one's sequence: a tile is 1/256 of a full piece's cost, of which a sequence takes 1.25.
 
 Null and empty texts are one end token. Rows without doc_id are packed like others, under a null doc_id. A repeated
 row is packed as often as it stands, under the same doc_id and piece. An empty table gives no rows. Columns other
-than doc_id and text are ignored.
+than doc_id and text are ignored, whatever their names. A text is encoded whole, with its ids (4 bytes each) in the
+task's memory, and gives as many pieces as it needs; a group of pieces has a bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SEQUENCE = 2048
 GROUP = 8192
 #: Documents of a sequence at most, tokens of an attention tile's side, and the capacities' weights. Attention may cost
 #: a quarter more than that of one full-length piece.
-DOCUMENTS, TILE, WEIGHTS = 512, 128, (1.0, 0.05, 0.1)
+DOCUMENTS, TILE, WEIGHTS = 256, 128, (1.0, 0.05, 0.1)
 #: Characters of texts that are encoded together; a longer text goes alone.
 AT_ONCE = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -10,7 +10,8 @@ codes of North American phone numbers start with 2 to 9, other numbers have 7 to
 a 400-year cycle, whose 146,097 days are 189 x 773; address bytes move inside 256.
 
 Null stays null, empty stays empty; a candidate that isn't valid stays as it is. Rows return as often as
-they stand, other columns unchanged.
+they stand, other columns unchanged, whatever their names; an empty table gives no rows. A text is held whole, in a few
+copies; the time it takes is in proportion to its length, however long its tokens are.
 """
 
 from __future__ import annotations
@@ -22,16 +23,21 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: The text of a match tells its kind; the alternatives are tried in this order at each place.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z@])|(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z@])"
+PLUS = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z@])"
+PHONE = PLUS + r"|(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z@])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: From the first letter or digit of a run of its characters (or of what a match before has left of the run), with the marks
+#: before that, which stay. A run is tried once, so a long token takes time in proportion; marks that are a phone's + aren't taken.
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G)(?:[._%-]|(?!{PLUS})\+)*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 FOUND = "|".join(f"(?:{p})" for p in (EMAIL, DATE, SSN, IP, PHONE, CARD))
 
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
 LETTERS = ALPHABET[10:]
+#: Characters of an e-mail address's local part that move together.
+LOCAL_PIECE = 512
 
 
 def digest(key: str, tag: Column, turn: Column, half: Column) -> Column:
@@ -182,27 +188,37 @@ def date(m: Column, key: str, undo: bool) -> Column:
     return F.when(known.isNotNull() & same_marks, F.replace(known, F.lit("-"), mark)).otherwise(m)
 
 
-def in_chunks(text: Column, base: int, key: str, undo: bool) -> Column:
+def in_chunks(text: Column, base: int, key: str, tag: Column, undo: bool) -> Column:
     """permute over consecutive runs of 24, each under its own tweak; empty stays empty."""
     runs = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(text) / 24), F.lit(1)).cast("int"))
-    return F.array_join(F.transform(runs, lambda i: permute(F.substr(text, i * 24 - 23, F.lit(24)), base, key, F.concat(F.lit("mail"), i.cast("string"), F.lit("/")), undo)), "")
+    return F.array_join(F.transform(runs, lambda i: permute(F.substr(text, i * 24 - 23, F.lit(24)), base, key, F.concat(tag, i.cast("string"), F.lit("/")), undo)), "")
 
 
 def email(m: Column, key: str, undo: bool) -> Column:
-    """The local part's letters and its digits move among themselves, in lower case; other marks and the domain stay."""
-    local = F.lower(F.substring_index(m, "@", 1))
+    """The local part's letters and its digits move among themselves, in lower case; other marks and the domain stay.
+    A local part longer than LOCAL_PIECE moves piece by piece, so the work stays in proportion to it."""
+    pieces = F.regexp_extract_all(F.lower(F.substring_index(m, "@", 1)), F.lit(f".{{1,{LOCAL_PIECE}}}"), F.lit(0))
+    tag = lambda i: F.when(i == 0, "mail").otherwise(F.concat(F.lit("mail"), i.cast("string"), F.lit(":")))
+    moved = F.transform(pieces, lambda p, i: local_part(p, key, tag(i), undo))
+    return F.concat(F.array_join(moved, ""), F.lit("@"), F.substring_index(m, "@", -1))
+
+
+def local_part(local: Column, key: str, tag: Column, undo: bool) -> Column:
     letters, digits = F.regexp_replace(local, "[^a-z]", ""), F.regexp_replace(local, "[^0-9]", "")
-    new_letters = F.translate(in_chunks(F.translate(letters, LETTERS, ALPHABET[:26]), 26, key, undo), ALPHABET[:26], LETTERS)
-    new_digits = in_chunks(digits, 10, key, undo)
+    new_letters = F.translate(in_chunks(F.translate(letters, LETTERS, ALPHABET[:26]), 26, key, tag, undo), ALPHABET[:26], LETTERS)
+    new_digits = in_chunks(digits, 10, key, tag, undo)
     at = F.filter(F.split(local, ""), lambda c: c != "")
     state = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit("").alias("s"))
 
-    def step(s: Column, c: Column) -> Column:
-        letter = F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), F.concat(s["s"], F.substr(new_letters, s["i"], F.lit(1))).alias("s"))
-        digit = F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), F.concat(s["s"], F.substr(new_digits, s["j"], F.lit(1))).alias("s"))
-        return F.when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[0-9]$"), digit).otherwise(F.struct(s["i"].alias("i"), s["j"].alias("j"), F.concat(s["s"], c).alias("s")))
+    def moved(pair: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            letter = F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), F.concat(s["s"], F.substr(pair["l"], s["i"], F.lit(1))).alias("s"))
+            digit = F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), F.concat(s["s"], F.substr(pair["d"], s["j"], F.lit(1))).alias("s"))
+            return F.when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[0-9]$"), digit).otherwise(F.struct(s["i"].alias("i"), s["j"].alias("j"), F.concat(s["s"], c).alias("s")))
+
+        return F.aggregate(at, state, step, lambda s: s["s"])
 
-    return F.concat(F.aggregate(at, state, step, lambda s: s["s"]), F.lit("@"), F.substring_index(m, "@", -1))
+    return each(F.struct(new_letters.alias("l"), new_digits.alias("d")), moved)
 
 
 def pseudonym(m: Column, key: str, undo: bool = False) -> Column:

@@ -102,9 +102,11 @@ def test_like_one_by_one():
 
 
 def test_documents_and_attention_bind():
-    tiny = np.full(2048, 1.0)
-    sizes = packing.sizes_of(tiny)
-    bins, _ = packing.best_fit(sizes, np.array([2048, packing.DOCUMENTS, 1.25 * 2048**2]), np.array(packing.WEIGHTS))
-    assert np.bincount(bins).max() == 320  # tiles of 128 x 128 fill the attention before 512 documents do
-    bins, _ = packing.best_fit(sizes, np.array([2048, 100, 1.25 * 2048**2]), np.array(packing.WEIGHTS))
-    assert np.bincount(bins).max() == 100
+    """At the registered values: tiny documents alone are bound by their number, beside a long one by attention."""
+    room, weights = np.array([packing.SEQUENCE, packing.DOCUMENTS, 1.25 * packing.SEQUENCE**2]), np.array(packing.WEIGHTS)
+    bins, _ = packing.best_fit(packing.sizes_of(np.full(2048, 1.0)), room, weights)
+    assert np.bincount(bins).max() == packing.DOCUMENTS == 256
+    sizes = packing.sizes_of(np.array([1900.0] + [1.0] * 148))
+    bins, _ = packing.best_fit(sizes, room, weights)
+    assert np.bincount(bins)[0] == 1 + 320 - 15**2  # 320 tiles of attention, 225 of them the long one's
+    assert np.bincount(packing.best_fit(sizes, room * [1, 1, 2], weights)[0]).max() == 149

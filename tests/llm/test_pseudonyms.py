@@ -1,7 +1,9 @@
 import datetime
 import hashlib
 import hmac
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,35 @@ def test_month_first_days_are_permuted(spark):
     frame = spark.createDataFrame([(k, d.strftime("%m/%d/%Y")) for k, d in enumerate(late)], "doc_id long, text string")
     out = [datetime.datetime.strptime(r.text, "%m/%d/%Y").date() for r in P.pseudonymise(frame, "key").collect()]
     assert len(set(out)) == len(late) and all(d.day > 12 and 1800 <= d.year <= 2199 for d in out)
+
+
+#: The address pattern as it is told, which starts anew at every character of a run.
+PLAIN_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
+
+def test_the_linear_pattern_finds_the_same(spark):
+    rng = random.Random(6)
+    parts = ["a", "bob", "7", "42", "555", "4567", ".", "..", "-", "+", "_", "%", "@", "@x.com", "@mail.example.org.", " ", "(", ")", "+1", "+1 (555) 123-4567", "555-123-4567", "4111 1111 1111 1111", "2020-01-01", "10.20.30.40", "é", "\n"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for k in range(20_000)]
+    plain = "|".join(f"(?:{p})" for p in (PLAIN_EMAIL, P.DATE, P.SSN, P.IP, P.PHONE, P.CARD))
+    frame = spark.createDataFrame(rows, "k long, text string").select("text", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("want", plain), ("got", P.FOUND))))
+    mails = 0
+    for r in frame.collect():
+        assert [m.lstrip("._%+-") if "@" in m else m for m in r.got] == r.want, r.text
+        mails += any("@" in m for m in r.want)
+    assert mails > 1000
+
+
+def test_long_tokens_take_time_in_proportion(spark):
+    """A megabyte of letters and digits, of dotted letters, of marks, and as an address; hours if each character starts anew."""
+    token = "".join(random.Random(1).choices("abcXYZ0123456789", k=1_000_000))
+    texts = [token, "a." * 500_000, "+" * 1_000_000, "x@" + "a." * 500_000 + "com", "1" * 1_000_000, token + "@example.com", "a@" * 500_000]
+    frame = spark.createDataFrame([(k, t + " and bob@example.com") for k, t in enumerate(texts)], "doc_id long, text string")
+    start = time.monotonic()
+    there = P.pseudonymise(frame, "key").cache()
+    got = {r.doc_id: r.text for r in there.collect()}
+    assert time.monotonic() - start < 120
+    assert all(not got[k].endswith("bob@example.com") and got[k][:1000] == t[:1000] for k, t in enumerate(texts) if k not in (3, 5, 6))
+    back = {r.doc_id: r.text for r in P.pseudonymise(there, "key", undo=True).collect()}
+    assert all(back[k].lower() == t.lower() + " and bob@example.com" for k, t in enumerate(texts))
+    there.unpersist()
