@@ -10,8 +10,8 @@ from .plans.adapters import oracle, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Day of reckoning of the registered rules: the tables' last year.
-AS_OF, LATEST = "2001-09-01", "2001-08"
+#: Day of reckoning of the registered rules: in the tables' last year.
+AS_OF = "2001-09-01"
 
 
 def register(sql: str | None = None, with_: str = ""):

@@ -67,9 +67,10 @@ def of_status(books: DataFrame, matches: DataFrame, status: str) -> DataFrame:
     return books.join(matches.where(f"left_type = 'purchase_invoice' and status = '{status}'").select(F.col("left_id").alias("id")), "id", "left_semi")
 
 
-def r1_unmatched_credit(books: DataFrame, matches: DataFrame, as_of: str, latest: str, lim: dict = THRESHOLDS["R1"]) -> DataFrame:
+def r1_unmatched_credit(books: DataFrame, matches: DataFrame, as_of: str, periods: DataFrame, lim: dict = THRESHOLDS["R1"]) -> DataFrame:
+    """A document's age is counted from its company's last period; periods: company_id, period."""
     deadline = credit_deadline(F.col("invoice_date"))
-    age, days = periods_between(F.col("period"), F.lit(latest)), F.datediff(deadline, F.lit(as_of).cast("date"))
+    age, days = periods_between(F.col("period"), F.col("latest")), F.datediff(deadline, F.lit(as_of).cast("date"))
     severity = F.when((days <= DEADLINE_DAYS) | (age >= lim["at_risk_periods"]), "high").when(age >= lim["chase_periods"], "medium").otherwise("low")
     reason = (
         F.when(days < 0, told("lost ", F.abs(days).cast("string"), " days ago")).when(days <= DEADLINE_DAYS, told("at risk in ", days.cast("string"), " days"))
@@ -77,7 +78,8 @@ def r1_unmatched_credit(books: DataFrame, matches: DataFrame, as_of: str, latest
     )
     facts = of_document(itc_at_stake=tax(), age_periods=age, sec_16_4_deadline=deadline, days_to_deadline=days, reason=reason)
     says = told(*(p for h in HEADS for p in (h.upper() + " ", format_inr(F.col(h)), ", ")), "in all ", format_inr(tax()), " in no statement; ", reason)
-    return draft(of_status(books, matches, "unmatched"), "R1", doc_key("R1"), severity, tax(), facts=facts, says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked"))])
+    last = periods.groupBy("company_id").agg(F.max("period").alias("latest"))
+    return draft(of_status(books, matches, "unmatched").join(last, "company_id"), "R1", doc_key("R1"), severity, tax(), facts=facts, says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked"))])
 
 
 def r2_amount_mismatch(books: DataFrame, portal: DataFrame, matches: DataFrame, lim: dict = THRESHOLDS["R2"]) -> DataFrame:

@@ -30,24 +30,27 @@ def skipped(table: DataFrame) -> DataFrame:
 
 
 def one_each(drafts: DataFrame) -> DataFrame:
-    """One finding for each company, period and key: of several drafts that with the least headline, then the least record."""
-    own = Window.partitionBy("company_id", "period", "risk_key").orderBy(F.col("headline").asc_nulls_first(), F.try_element_at("evidence", F.lit(1))["record_id"].asc_nulls_first())
+    """One finding for each company, period and key: of several drafts the last, in the order of their first records."""
+    own = Window.partitionBy("company_id", "period", "risk_key").orderBy(F.try_element_at("evidence", F.lit(1))["record_id"].desc_nulls_last())
     return drafts.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth")
 
 
-def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, latest: str, evidence: bool = True) -> DataFrame:
-    """What the rules that are on draft. t: books, portal, bank, ledger, inbox, filings.
+def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, evidence: bool = True, gst: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
+    """What the rules that are on draft. t: books, portal, bank, ledger, inbox, filings, periods.
 
-    Matches are made once, as the registry's tolerance says, and shared by the rules that read them.
+    gst, paid: matches of books and bank that are there already; else they are made here, once, as the registry's
+    tolerance says, and shared by the rules that read them.
     """
     out: list[DataFrame] = []
     if on.keys() & {"R1", "R2", "R3"}:
-        m = matching.stored(matching.reconcile(t["books"], t["portal"], tolerance=rules.paise((on.get("R2") or rules.THRESHOLDS["R2"])["tolerance_inr"])))
-        out += [rules.r1_unmatched_credit(t["books"], m, as_of, latest, on["R1"])] if "R1" in on else []
+        if gst is None:
+            gst = matching.stored(matching.reconcile(t["books"], t["portal"], tolerance=rules.paise((on.get("R2") or rules.THRESHOLDS["R2"])["tolerance_inr"])))
+        m = gst
+        out += [rules.r1_unmatched_credit(t["books"], m, as_of, t["periods"], on["R1"])] if "R1" in on else []
         out += [rules.r2_amount_mismatch(t["books"], t["portal"], m, on["R2"])] if "R2" in on else []
         out += [rules.r3_duplicate(t["books"], t["portal"], m)] if "R3" in on else []
     if on.keys() & {"R5", "R6"}:
-        paid = matching.stored(matching.reconcile_bank(t["bank"], t["ledger"]))
+        paid = matching.stored(matching.reconcile_bank(t["bank"], t["ledger"])) if paid is None else paid
         out += [rules.r5_variance(rules.variance_parts(t["bank"], t["ledger"], paid), on["R5"])] if "R5" in on else []
         out += [rules.r6_unidentified_deposit(t["bank"], paid, on["R6"])] if "R6" in on else []
     if on.keys() & {"R9", "R10"}:
@@ -66,15 +69,15 @@ def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str,
     return reduce(DataFrame.union, out)
 
 
-def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, latest: str, evidence: bool = True) -> DataFrame:
+def run_rules(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, evidence: bool = True, gst: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
     """The findings of the rules that are on, written."""
-    return matching.stored(one_each(drafts(t, on, as_of, latest, evidence)))
+    return matching.stored(one_each(drafts(t, on, as_of, evidence, gst, paid)))
 
 
-def recompute(t: dict[str, DataFrame], table: DataFrame, old: DataFrame, as_of: str, latest: str) -> DataFrame:
+def recompute(t: dict[str, DataFrame], table: DataFrame, old: DataFrame, as_of: str) -> DataFrame:
     """The nightly run: findings after every enabled rule has run again over full history. Those found again keep status
     and explanation; those of any rule of this build that weren't, also of rules now off, go."""
-    return rules.upsert(old, run_rules(t, enabled(table), as_of, latest), [code for code, *_ in rules.REGISTRY])
+    return rules.upsert(old, run_rules(t, enabled(table), as_of), [code for code, *_ in rules.REGISTRY])
 
 
 def tallies(drafts: DataFrame) -> DataFrame:

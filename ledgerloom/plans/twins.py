@@ -68,8 +68,9 @@ STATE = """st AS (SELECT b.*, m.category, m.r_id, m.rp, m.score_milli, m.amount_
 
 RULES = """,
 dl AS (SELECT st.*, make_date(CASE WHEN month(invoice_date) >= 4 THEN year(invoice_date) ELSE year(invoice_date) - 1 END + 1, 11, 30) AS deadline FROM st),
-r1 AS (SELECT company_id, period, 'R1' AS rule_code, 'R1:' || supplier_gstin || ':' || norm_invoice_no AS risk_key, CASE WHEN date_diff('day', DATE '2001-09-01', deadline) <= 60 OR age >= 3 THEN 'high' WHEN age >= 2 THEN 'medium' ELSE 'low' END AS severity,
-  cgst + sgst + igst + cess AS headline, deadline, id FROM (SELECT *, (2001 * 12 + 8) - (CAST(substring(period, 1, 4) AS INT) * 12 + CAST(substring(period, 6, 2) AS INT)) AS age FROM dl WHERE status = 'unmatched')),
+lp AS (SELECT company_id, max(period) AS latest FROM periods GROUP BY 1),
+r1 AS (SELECT company_id, period, 'R1' AS rule_code, 'R1:' || coalesce(supplier_gstin, 'no-gstin-' || CAST(id AS VARCHAR)) || ':' || norm_invoice_no AS risk_key, CASE WHEN date_diff('day', DATE '2001-09-01', deadline) <= 60 OR age >= 3 THEN 'high' WHEN age >= 2 THEN 'medium' ELSE 'low' END AS severity,
+  cgst + sgst + igst + cess AS headline, deadline, id FROM (SELECT *, (CAST(substring(latest, 1, 4) AS INT) * 12 + CAST(substring(latest, 6, 2) AS INT)) - (CAST(substring(period, 1, 4) AS INT) * 12 + CAST(substring(period, 6, 2) AS INT)) AS age FROM dl JOIN lp USING (company_id) WHERE status = 'unmatched')),
 r2 AS (SELECT b.company_id, b.period, 'R2' AS rule_code, 'R2:' || b.supplier_gstin || ':' || b.norm_invoice_no AS risk_key, 'medium' AS severity, abs(b.taxable - p.taxable) AS headline, b.id, p.id AS p_id FROM st b JOIN portal p ON p.id = b.r_id
   WHERE abs(b.taxable - p.taxable) > 100 OR abs(b.cgst - p.cgst) > 100 OR abs(b.sgst - p.sgst) > 100 OR abs(b.igst - p.igst) > 100 OR abs(b.cess - p.cess) > 100),
 r3 AS (SELECT company_id, period, 'R3' AS rule_code, 'R3:' || supplier_gstin || ':' || norm_invoice_no AS risk_key, 'high' AS severity, taxable + cgst + sgst + igst + cess AS headline, id FROM st WHERE status = 'duplicate'
@@ -129,7 +130,7 @@ UNION ALL SELECT company_id, period, 'R10', 'R10:' || {NUMBERED}, 'high', total,
 UNION ALL SELECT company_id, period, 'R11', 'R11:recompute_required', 'high', count(*), NULL, NULL, NULL FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2
 UNION ALL SELECT f.company_id, f.period, 'R12', 'R12:filing_chain', 'high', 0, NULL, NULL, NULL FROM filings f JOIN filings b ON b.company_id = f.company_id AND strftime(CAST(b.period || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') = f.period AND NOT b.filed
 UNION ALL SELECT company_id, period, 'R13', 'R13:' || {NUMBERED}, 'medium', cgst + sgst + igst + cess, NULL, 'gstr2b_line', id FROM portal WHERE NOT itc_available),
-fa AS (SELECT * EXCLUDE (nth_of_key) FROM (SELECT *, row_number() OVER (PARTITION BY company_id, period, risk_key ORDER BY headline NULLS FIRST, record_id NULLS FIRST) AS nth_of_key FROM fb) WHERE nth_of_key = 1),
+fa AS (SELECT * EXCLUDE (nth_of_key) FROM (SELECT *, row_number() OVER (PARTITION BY company_id, period, risk_key ORDER BY record_id DESC NULLS LAST) AS nth_of_key FROM fb) WHERE nth_of_key = 1),
 fx AS (SELECT * FROM fb WHERE rule_code IN ('R1', 'R2', 'R3', 'R4', 'R5', 'R6', 'R7', 'R8')),
 fo AS (SELECT * FROM fa WHERE rule_code IN ('R1', 'R2', 'R3', 'R4', 'R5', 'R6', 'R7', 'R8')),
 ev AS (SELECT company_id, period, rule_code, risk_key, 0 AS nth, record_type, record_id FROM fa WHERE record_id IS NOT NULL

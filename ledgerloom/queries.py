@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import AS_OF, LATEST, ORACLES, QUERIES, register
+from .catalog import AS_OF, ORACLES, QUERIES, register
 from .functions import dates, money, text
 from .operators import inbox as inbox_ops
 from .operators import matching, rules, runner
@@ -23,7 +23,7 @@ def exact(v) -> DataFrame:
 
 def first_rules(v) -> tuple[DataFrame, DataFrame]:
     m = matching.stored(exact(v))
-    return m, rules.r1_unmatched_credit(v["books"], m, AS_OF, LATEST).union(rules.r2_amount_mismatch(v["books"], v["portal"], m)).union(rules.r3_duplicate(v["books"], v["portal"], m))
+    return m, rules.r1_unmatched_credit(v["books"], m, AS_OF, v["periods"]).union(rules.r2_amount_mismatch(v["books"], v["portal"], m)).union(rules.r3_duplicate(v["books"], v["portal"], m))
 
 
 BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
@@ -74,7 +74,7 @@ def bank_reconcile(v):
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", EXACT)
 def rule_r1(v):
-    return plain(rules.r1_unmatched_credit(v["books"], exact(v), AS_OF, LATEST))
+    return plain(rules.r1_unmatched_credit(v["books"], exact(v), AS_OF, v["periods"]))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r2", EXACT)
@@ -112,7 +112,7 @@ def variance_decomposition(v):
     return rules.variance_parts(v["bank"], v["ledger"], matching.stored(matching.reconcile_bank(v["bank"], v["ledger"])))
 
 
-@register("SELECT company_id, period, 'R6' AS rule_code, 'R6:' || CAST(id AS VARCHAR) AS risk_key, 'medium' AS severity, credit AS headline FROM bank WHERE credit >= 5000000 AND party_id IS NULL")
+@register(" SELECT company_id, period, 'R6' AS rule_code, 'R6:' || CAST(id AS VARCHAR) AS risk_key, 'medium' AS severity, credit AS headline FROM bank WHERE credit >= 5000000 AND party_id IS NULL AND id IN (SELECT left_id FROM bm WHERE left_type = 'bank_txn' AND status = 'unmatched')", BANK)
 def rule_r6(v):
     return plain(rules.r6_unidentified_deposit(v["bank"], matching.reconcile_bank(v["bank"], v["ledger"])))
 
@@ -242,7 +242,8 @@ def whole(v) -> DataFrame:
 
 def all_rules(v) -> tuple[DataFrame, DataFrame]:
     """The matches and the drafts of every rule that is on by default, R1 to R8."""
-    return whole(v), matching.stored(runner.drafts(v, runner.enabled(runner.registry(v.spark)), AS_OF, LATEST, evidence=False))
+    m = whole(v)
+    return m, matching.stored(runner.drafts(v, runner.enabled(runner.registry(v.spark)), AS_OF, evidence=False, gst=m))
 
 
 def whole_month_rows(v) -> DataFrame:
@@ -260,7 +261,7 @@ def whole_coverage_by_period(v):
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", WHOLE)
 def whole_rule_r1(v):
-    return plain(rules.r1_unmatched_credit(v["books"], whole(v), AS_OF, LATEST))
+    return plain(rules.r1_unmatched_credit(v["books"], whole(v), AS_OF, v["periods"]))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r2", WHOLE)

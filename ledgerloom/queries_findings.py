@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import AS_OF, LATEST, inr_sql, register
+from .catalog import AS_OF, inr_sql, register
 from .functions import dates, text
 from .operators import matching, rules, runner
 from .plans import evaluation, reports
@@ -26,13 +26,21 @@ def with_status(found: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.abs("headline") % 7 == 0, "resolved").otherwise("open"))
 
 
-def drafts(v, evidence: bool = True, everything: bool = False) -> DataFrame:
+def gst_matches(v) -> DataFrame:
+    return matching.stored(matching.reconcile(v["books"], v["portal"]))
+
+
+def bank_states(v) -> DataFrame:
+    return matching.stored(matching.reconcile_bank(v["bank"], v["ledger"]))
+
+
+def drafts(v, evidence: bool = True, everything: bool = False, gst: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
     table = runner.registry(v.spark)
-    return runner.run_rules(v, runner.enabled(table.withColumn("enabled", F.lit(True)) if everything else table), AS_OF, LATEST, evidence)
+    return runner.run_rules(v, runner.enabled(table.withColumn("enabled", F.lit(True)) if everything else table), AS_OF, evidence, gst, paid)
 
 
-def findings(v) -> DataFrame:
-    return with_status(drafts(v, evidence=False))
+def findings(v, gst: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
+    return with_status(drafts(v, evidence=False, gst=gst, paid=paid))
 
 
 def companies(v) -> DataFrame:
@@ -40,8 +48,8 @@ def companies(v) -> DataFrame:
     return first.withColumn("firm_id", F.col("company_id"))
 
 
-def bank_matches(v) -> DataFrame:
-    paid = matching.stored(matching.reconcile_bank(v["bank"], v["ledger"]))
+def of_lines(v, paid: DataFrame) -> DataFrame:
+    """The matches of bank lines with the lines' periods."""
     return paid.where("left_type = 'bank_txn'").join(v["bank"].select(F.col("id").alias("left_id"), "period"), "left_id")
 
 
@@ -66,7 +74,7 @@ def rules_skipped(v):
 def run_rules_thresholds(v):
     """Rules as a registry table says that leaves two on and raises a threshold."""
     table = runner.registry(v.spark).where("code in ('R4', 'R6')").withColumn("thresholds", F.when(F.col("code") == "R6", F.create_map(F.lit("min_credit_inr"), F.lit(200_000.0))))
-    return runner.run_rules(v, runner.enabled(table), AS_OF, LATEST).where("rule_code = 'R6' or severity = 'high'").select(*BASE)
+    return runner.run_rules(v, runner.enabled(table), AS_OF).where("rule_code = 'R6' or severity = 'high'").select(*BASE)
 
 
 @register("SELECT ev.company_id, ev.period, rule_code, risk_key, nth, ev.record_type, ev.record_id, document, source_row FROM ev LEFT JOIN sources s ON s.record_type = ev.record_type AND s.record_id = ev.record_id", DRAFTS)
@@ -107,14 +115,16 @@ cards AS (SELECT *, {PCT.format(p="gst_matched", w="gst_total", n=1)} AS gst_cov
 SUMMED = ("gst_matched", "gst_total", "bank_matched", "bank_total", *reports.MONEY, "open_risks", "high_risks", "medium_risks", "low_risks")
 
 
-def cards(v, found: DataFrame | None = None) -> DataFrame:
-    gst = matching.stored(matching.reconcile(v["books"], v["portal"]))
-    return matching.stored(reports.readiness(gst, bank_matches(v), findings(v) if found is None else found))
+def cards(v) -> tuple[DataFrame, DataFrame]:
+    """The cards and the findings that they show; matches are made once for both."""
+    gst, paid = gst_matches(v), bank_states(v)
+    found = findings(v, gst, paid)
+    return matching.stored(reports.readiness(gst, of_lines(v, paid), found)), found
 
 
 @register("SELECT * FROM cards", CARDS)
 def readiness(v):
-    return cards(v)
+    return cards(v)[0]
 
 
 @register(f""", mo AS (SELECT c.company_id, strftime(m, '%Y-%m') AS period FROM (SELECT DISTINCT company_id FROM periods) c, (SELECT unnest(generate_series(DATE '{START}-01', DATE '{END}-01', INTERVAL 1 MONTH)) AS m)),
@@ -124,7 +134,7 @@ mt2 AS (SELECT * FROM mr UNION ALL SELECT company_id, 'total', {", ".join(f"CAST
 SELECT *, {PCT.format(p="gst_matched", w="gst_total", n=1)} AS gst_coverage_pct, {PCT.format(p="bank_matched", w="bank_total", n=1)} AS bank_coverage_pct FROM mt2""", CARDS)
 def month_report(v):
     """Two years of every company with money, filing state and totals."""
-    return reports.month_report(cards(v), v["periods"], START, END)
+    return reports.month_report(cards(v)[0], v["periods"], START, END)
 
 
 DEADLINE = "CAST(make_date(CASE WHEN month(b.invoice_date) >= 4 THEN year(b.invoice_date) ELSE year(b.invoice_date) - 1 END + 1, 11, 30) AS VARCHAR)"
@@ -138,8 +148,8 @@ fc AS (SELECT lt.company_id, lt.period, coalesce(gst_coverage_pct, 0) AS gst_cov
 
 
 def firm(v) -> DataFrame:
-    found = matching.stored(findings(v))
-    return reports.firm_cards(cards(v, found), found, v["periods"])
+    made, found = cards(v)
+    return reports.firm_cards(made, found, v["periods"])
 
 
 @register("SELECT * FROM fc", FIRM)
@@ -178,8 +188,8 @@ FROM fa f JOIN ru ON code = f.rule_code JOIN companies c ON c.company_id = f.com
 def finding_detail(v):
     """Findings on purchases with their rule, company, first record and its match."""
     table = runner.registry(v.spark).where("code in ('R1', 'R2', 'R3')")
-    found = runner.run_rules(v, runner.enabled(table), AS_OF, LATEST)
-    gst = matching.stored(matching.reconcile(v["books"], v["portal"]))
+    gst = gst_matches(v)
+    found = runner.run_rules(v, runner.enabled(table), AS_OF, gst=gst)
     out = reports.finding_detail(found, table, runner.evidence_rows(found, v["sources"]), gst, companies(v))
     first = F.element_at("records", 1)
     return out.select("company_id", "period", "risk_key", "rule_code", "title", "domain", "company_name", "purchase", "match_status", "match_method", "amount_delta", first["document"].alias("document"), first["source_row"].alias("source_row"))
@@ -230,7 +240,7 @@ def running_balance(v):
 @register("SELECT company_id, period, risk_key, CASE WHEN rule_code = 'R4' THEN 'resolved' ELSE 'open' END AS status FROM fo WHERE rule_code IN ('R4', 'R6')", DRAFTS)
 def findings_marked(v):
     """Findings after a reviewer has marked some, of which the last mark counts, and after the rules have run again."""
-    found = runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R4", "R6")}, AS_OF, LATEST).withColumn("status", F.lit("open")).withColumn("explanation", F.lit(None).cast("string"))
+    found = runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R4", "R6")}, AS_OF).withColumn("status", F.lit("open")).withColumn("explanation", F.lit(None).cast("string"))
     marks = found.where("rule_code = 'R4'").select("company_id", "period", "risk_key", F.explode(F.array(F.struct(F.lit("ignored").alias("status"), F.lit(1).alias("at")), F.struct(F.lit("resolved").alias("status"), F.lit(2).alias("at")))).alias("m")).select("company_id", "period", "risk_key", "m.*")
     marked = matching.stored(runner.set_status(found, marks))
     again = rules.upsert(marked, found.drop("status", "explanation"), ["R4", "R6"])
@@ -240,8 +250,8 @@ def findings_marked(v):
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline, CASE WHEN rule_code = 'R4' THEN 'claim' ELSE 'open' END AS status FROM fo", DRAFTS)
 def nightly_recompute(v):
     """All rules again, over findings of which some are decided and some belong to a rule that is off by now."""
-    old = runner.run_rules(v, {c: {} for c in ("R4", "R13")}, AS_OF, LATEST).withColumn("status", F.lit("claim")).withColumn("explanation", F.lit("said"))
-    return runner.recompute(v, runner.registry(v.spark), old, AS_OF, LATEST).select(*BASE, "status")
+    old = runner.run_rules(v, {c: {} for c in ("R4", "R13")}, AS_OF).withColumn("status", F.lit("claim")).withColumn("explanation", F.lit("said"))
+    return runner.recompute(v, runner.registry(v.spark), old, AS_OF).select(*BASE, "status")
 
 
 # The answer key: what the adapter views disturb on purpose, and one finding that nothing plants.
@@ -267,7 +277,7 @@ def planted(v) -> DataFrame:
 
 
 def scored_findings(v) -> DataFrame:
-    return runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R4", "R6", "R13")}, AS_OF, LATEST)
+    return runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R4", "R6", "R13")}, AS_OF)
 
 
 @register("""SELECT o.*, coalesce(f.row_findings, 0) AS row_findings, coalesce(f.period_findings, 0) AS period_findings, coalesce(f.unscored, 0) AS unscored, planted - detected AS missed,

@@ -8,6 +8,7 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import manifests
 from .columns import BANK, LEDGER, PURCHASES, SALES, Layout
 
 
@@ -41,9 +42,17 @@ def mark_generated(periods: DataFrame, statements: DataFrame) -> DataFrame:
     return periods.join(came, ["company_id", "period"], "left").withColumn("generated", F.coalesce("generated", F.lit(False)) | F.coalesce("came", F.lit(False))).select(periods.columns)
 
 
-def replace_matches(matches: DataFrame, domain: str, path: str) -> None:
-    """Writes the matches of a domain, a folder for each company and domain; only these folders are replaced."""
+def replace_matches(matches: DataFrame, domain: str, path: str, ran: DataFrame | None = None) -> None:
+    """Writes the matches of a domain, a folder for each company and domain; only these folders are replaced.
+
+    ran: company_id of the companies that were matched, if more than have matches now: what the others of them had goes. A
+    run that dies between is run again: each folder is replaced or removed whatever it holds.
+    """
     rows = matches.withColumn("domain", F.lit(domain))
+    if ran is not None:
+        files = manifests.file_system(matches.sparkSession, path)
+        for r in ran.join(rows.select("company_id"), "company_id", "left_anti").distinct().toLocalIterator():  # a company each, as they are removed
+            manifests.remove(files, f"{path.rstrip('/')}/company_id={r.company_id}/domain={domain}")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_id", "domain").parquet(path)
 
 

@@ -12,13 +12,17 @@ from ..operators.matching import reconcile
 
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content and sha256 of each new file below the folder."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content", F.sha2("content", 256).alias("sha256"))
+    """company_id (of a folder company_id=N on the path, else null), path, content and sha256 of each new file below the folder."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    company = F.nullif(F.regexp_extract("path", "/company_id=([0-9]+)/", 1), F.lit("")).cast("int").alias("company_id")
+    return files.select(company, "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def unseen(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Arrived files whose content no registered document (sha256) has; the same content under several paths counts once."""
-    return files.dropDuplicates(["sha256"]).join(manifest.select("sha256").distinct(), "sha256", "left_anti")
+    """Arrived files (company_id, path, content, sha256) whose content no registered document (company_id, sha256) has. The same
+    content under several paths of one company counts once; two companies may have the same file."""
+    key = ["company_id", "sha256"]
+    return files.dropDuplicates(key).join(manifest.select(*key).distinct(), key, "left_anti")
 
 
 def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -27,8 +31,10 @@ def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
 
 
 def touched(books: DataFrame, arrived: DataFrame) -> DataFrame:
-    """All rows of the supplier blocks that new rows fall into: a late document can match any earlier period."""
-    return books.join(arrived.select("company_id", "supplier_gstin").distinct(), ["company_id", "supplier_gstin"], "left_semi")
+    """All rows of the supplier blocks that new rows fall into: a late document can match any earlier period. Rows
+    without a supplier are a block of their company's."""
+    blocks = arrived.select(F.col("company_id").alias("c"), F.col("supplier_gstin").alias("g")).distinct()
+    return books.join(blocks, F.col("company_id").eqNullSafe(F.col("c")) & F.col("supplier_gstin").eqNullSafe(F.col("g")), "left_semi")
 
 
 def rematched(matches: DataFrame, books: DataFrame, portal: DataFrame, arrived: DataFrame) -> DataFrame:

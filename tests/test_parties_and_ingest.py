@@ -1,5 +1,7 @@
 """Parties, a folder of feeds, uploads, writers, labels and late arrivals."""
 
+import datetime
+import hashlib
 import json
 import random
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import parties
+from ledgerloom.operators import matching, parties
 from ledgerloom.sources import columns, feeds, ingest, sinks
 from ledgerloom.streaming import arrivals, events
 
@@ -131,14 +133,60 @@ def test_labels_and_clocks(spark):
 
 def test_late_rows_and_repeated_content(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name in ("a.csv", "b.csv"):
+    for name in ("company_id=1/a.csv", "company_id=1/b.csv", "company_id=2/a.csv", "company_id=3/a.csv"):
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
         (tmp_path / "in" / name).write_text("the same")
     seen = []
-    known = spark.createDataFrame([], "sha256 string")
+    known = spark.createDataFrame([(3, hashlib.sha256(b"the same").hexdigest())], "company_id int, sha256 string")
     arrivals.each_batch(arrivals.arriving_files(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, n: seen.extend(arrivals.unseen(df, known).collect())).awaitTermination()
-    assert len(seen) == 1
-    books = spark.createDataFrame([(1, "G", "2026-01"), (1, "G", "2026-08"), (1, "H", "2026-08")], "company_id int, supplier_gstin string, period string")
+    assert sorted(r.company_id for r in seen) == [1, 2]  # once a company; the third knows it
+    books = spark.createDataFrame([(1, "G", "2026-01"), (1, "G", "2026-08"), (1, "H", "2026-08"), (1, None, "2026-01"), (2, None, "2026-01")], "company_id int, supplier_gstin string, period string")
     assert arrivals.touched(books, books.where("supplier_gstin = 'H'")).count() == 1
+    assert arrivals.touched(books, spark.createDataFrame([(1, None)], "company_id int, supplier_gstin string")).count() == 1
+
+
+def test_late_rows_without_a_supplier(spark):
+    """A late row without a supplier gets a decision, as if all had been matched at once."""
+    row = "id long, company_id int, period string, supplier_gstin string, norm_invoice_no string, invoice_date date, taxable long, cgst long, sgst long, igst long, cess long, section string, amends_invoice_no string"
+    day = datetime.date(2026, 1, 5)
+    one = lambda i, g: (i, 1, "2026-01", g, f"A{i % 10}", day, 1000, 0, 0, 0, 0, "B2B", None)
+    books, portal = spark.createDataFrame([one(1, "G1"), one(2, None)], row), spark.createDataFrame([one(11, "G1"), one(12, None)], row)
+    before = matching.stored(matching.reconcile(books.where("id = 1"), portal.where("id = 11")))
+    late = books.where("id = 2").union(portal.where("id = 12")).select("company_id", "supplier_gstin")
+    got = arrivals.rematched(before, books, portal, late)
+    assert sorted(map(str, got.collect())) == sorted(map(str, matching.reconcile(books, portal).collect())) and got.count() == 3
+
+
+def test_a_company_without_matches_loses_its_old_ones(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1), (2, 2)], "id int, company_id int")
+    sinks.replace_matches(rows, "gst", str(tmp_path / "m"))
+    sinks.replace_matches(rows.where("id = 2"), "gst", str(tmp_path / "m"), rows.select("company_id"))
+    assert [r.company_id for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [2]
+
+
+def test_narrations_meet_only_names_that_they_may_hold(spark):
+    """Names with one common beginning and end: candidates grow with the lines, not with lines times names."""
+    n = 3000
+    index = spark.range(n).selectExpr("0 as company_id", "concat('PARTYNO', lpad(id * 7 + 10000, 5, '0'), 'TRADING') as key", "id as party_id")
+    lines = index.selectExpr("company_id", "concat('NEFT CR ', key, ' 99887766') as narration", "party_id as want")
+    cleaned = lines.select("company_id", F.xxhash64("company_id", "narration").alias("line"), text.clean_narration(F.col("narration")).alias("clean"))
+    assert parties.narration_candidates(cleaned, index).count() < 8 * n
+    met = parties.resolve_narrations(lines.select("company_id", "narration"), index).join(lines, ["company_id", "narration"])
+    assert met.where("party_id <=> want").count() == n
+
+
+def test_narrations_equal_a_loop(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("ABC", k=rng.randint(2, 9)))
+    names = sorted({word() for _ in range(60)})
+    said = sorted({" ".join(word() for _ in range(3)) for _ in range(200)} | {"", "AB"})
+    index = spark.createDataFrame([(0, k, i) for i, k in enumerate(names)], "company_id int, key string, party_id long")
+    lines = spark.createDataFrame([(0, s) for s in said], "company_id int, narration string")
+    got = {r.narration: r.party_id for r in parties.resolve_narrations(lines, index).collect()}
+    clean = {r.narration: r.c for r in lines.select("narration", text.clean_narration(F.col("narration")).alias("c")).collect()}
+    for s in said:
+        fit = [k for k in names if len(k) >= 4 and k in clean[s]]
+        assert got[s] == (names.index(min(fit, key=lambda k: (-len(k), k))) if fit else None), s
 
 
 def test_hourly_stream_counts_like_the_table(spark, tmp_path):

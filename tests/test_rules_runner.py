@@ -22,10 +22,10 @@ def test_registry_turns_rules_on_and_off(spark):
 
 def test_run_retires_what_is_gone_and_keeps_decisions(spark):
     v = adapters.views(spark, SF)
-    found = runner.run_rules(v, {"R4": {}, "R13": {}}, "2001-09-01", "2001-08")
+    found = runner.run_rules(v, {"R4": {}, "R13": {}}, "2001-09-01")
     assert found.groupBy("company_id", "period", "risk_key").count().where("count > 1").count() == 0
     old = found.withColumn("status", F.when(F.col("rule_code") == "R4", "claim").otherwise("open")).withColumn("explanation", F.lit("said"))
-    again = rules.upsert(old, runner.run_rules(v, {"R4": {}}, "2001-09-01", "2001-08"), [c for c, *_ in rules.REGISTRY])
+    again = rules.upsert(old, runner.run_rules(v, {"R4": {}}, "2001-09-01"), [c for c, *_ in rules.REGISTRY])
     assert {(r.rule_code, r.status, r.explanation) for r in again.collect()} == {("R4", "claim", "said")}
     assert again.count() == found.where("rule_code = 'R4'").count()
     with pytest.raises(Exception, match="no such status"):
@@ -34,7 +34,7 @@ def test_run_retires_what_is_gone_and_keeps_decisions(spark):
 
 def test_evidence_and_texts(spark):
     v = adapters.views(spark, SF)
-    found = runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R1", "R2", "R4", "R6")}, "2001-09-01", "2001-08")
+    found = runner.run_rules(v, {c: rules.THRESHOLDS[c] for c in ("R1", "R2", "R4", "R6")}, "2001-09-01")
     assert found.where("calculation is null or size(metrics) = 0").count() == 0
     rows = runner.evidence_rows(found, v["sources"])
     assert rows.where("document is null or source_row is null").count() == 0
