@@ -13,7 +13,7 @@ from .operators import matching, parties
 from .plans import reports
 from .plans.twins import WHOLE
 from .sources import feeds, sinks
-from .streaming import arrivals
+from .streaming import arrivals, inbox_clock, late
 
 
 def folder(v, name: str) -> str:
@@ -340,3 +340,52 @@ def char_diffs(v):
     d = v["part"].select("p_partkey", text.diff_chars("p_brand", "p_type").alias("d"))
     joined = lambda *ops: F.array_join(F.transform(F.filter("d", lambda x: x["op"].isin(*ops)), lambda x: x["text"]), "")
     return d.select("p_partkey", joined("keep", "remove").alias("old"), joined("keep", "add").alias("new"), F.length(joined("keep")).alias("kept"))
+
+
+@register("""SELECT company_id, period, 'purchase_invoice' AS left_type, id AS left_id, r_id AS right_id, status FROM st UNION ALL SELECT company_id, period, 'gstr2b_line', id, NULL, 'unmatched' FROM cmp WHERE id NOT IN (SELECT r_id FROM mt)""", WHOLE)
+def late_rows_streamed(v):
+    """All rows come in three batches of a stream, the second is replayed after its commit and partly sent again: all is as if
+    matched at once."""
+    at = folder(v, "late")
+    every = late.arrival_rows(v["books"], v["portal"])
+    turn = F.when(F.col("period") < "1998-01", 0).when(F.col("period") < "2000-01", 1).otherwise(2)
+    store = late.LateMatches(v.spark, f"{at}/store", 16)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        store.apply(rows, batch)
+        if batch == 1:
+            store.apply(rows, batch)
+
+    for k in range(3):
+        every.where((turn == k) | ((turn == 1) & (F.col("id") % 10 == 0) if k == 2 else F.lit(False))).write.mode("append").parquet(f"{at}/in")
+        arrivals.each_batch(v.spark.readStream.schema(late.ROW).parquet(f"{at}/in"), f"{at}/checkpoint", take).awaitTermination()
+    return store.current().select("company_id", "period", "left_type", "left_id", "right_id", "status")
+
+
+#: Events of the inbox: a record comes on the first of the month after its period, is filed on that month's 20th, and is acted on
+#: up to forty days after it came.
+INBOX_DAYS = "SELECT company_id, id, portal_status, CAST(CAST(concat(period, '-01') AS date) + INTERVAL 1 MONTH AS date) AS came, CAST(id % 40 AS int) AS days FROM {inbox}"
+
+
+@register("SELECT company_id, id, CASE WHEN portal_status = 'no_action' OR days > 19 THEN 'deemed_accepted' ELSE portal_status END AS outcome, CAST(CASE WHEN portal_status = 'no_action' OR days > 19 THEN came + 19 ELSE came + days END AS VARCHAR) AS on_day FROM (" + INBOX_DAYS.format(inbox="inbox") + ")")
+def inbox_deemed(v):
+    """Inbox records and answers as a stream of years: who doesn't answer by the filing has accepted then, by a timer."""
+    at = folder(v, "inbox-clock")
+    days = matching.stored(v.spark.sql(INBOX_DAYS, inbox=v["inbox"]))
+    stamp = lambda day: day.cast("timestamp")
+    records = days.select("company_id", "id", stamp(F.col("came")).alias("at"), F.lit("record").alias("kind"), stamp(F.date_add("came", 19)).alias("deadline"), F.lit(None).cast("string").alias("answer"))
+    actions = days.where("portal_status <> 'no_action'").select("company_id", "id", stamp(F.date_add("came", F.col("days"))), F.lit("action"), F.lit(None).cast("timestamp"), "portal_status")
+    events = records.union(actions)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+
+    years = [*range(1992, 2003, 2), 2100]
+    for a, b in zip(years, years[1:], strict=False):
+        part = events.where((F.year("at") >= a) & (F.year("at") < b)) if b < 2100 else events.where(F.year("at") >= a)
+        tick = v.spark.sql(f"select 0, -1L, timestamp'{b - 1}-12-31', 'tick', cast(null as timestamp), cast(null as string)")
+        part.union(tick).write.mode("append").parquet(f"{at}/in")
+        stream = v.spark.readStream.schema(inbox_clock.EVENT).parquet(f"{at}/in")
+        arrivals.each_batch(inbox_clock.answered(stream), f"{at}/checkpoint", keep).awaitTermination()
+    done = v.spark.read.schema(inbox_clock.OUTCOME + ", batch int").parquet(f"{at}/out")
+    return done.where("id >= 0").select("company_id", "id", "outcome", F.col("at").cast("date").cast("string").alias("on_day"))
