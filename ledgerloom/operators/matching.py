@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import half_even
 from ..functions.text import doc_type, indel_ratio
+from . import likest
 
 HEADS = ("cgst", "sgst", "igst", "cess")
 AMOUNTS = ("taxable", *HEADS)
@@ -26,8 +27,8 @@ DATE_HORIZON, SCORE_FLOOR, FUZZY_RANKS, FUZZY_FLOOR = 30, 0.70, 3, 60
 #: Equal up to one rupee, in paise.
 TOLERANCE = 100
 BANK_PAISE, BANK_DAYS = 100, 5
-#: Pairs of a block from which it is split into connected parts, and left numbers of a block that one task compares.
-MOST_PAIRS, MOST_NUMBERS = 1_000_000, 2_000
+#: Pairs of a block from which it is split into connected parts, and pairs of numbers up to which a block is joined.
+MOST_PAIRS, MOST_JOINED = 1_000_000, 100_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -105,23 +106,24 @@ def number_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
     return scored(left.join(right, same).drop("c").withColumn("number_ratio", F.lit(1.0)))
 
 
-def fuzzy_pairs(books: DataFrame, portal: DataFrame) -> DataFrame:
+def fuzzy_pairs(books: DataFrame, portal: DataFrame, most: int = MOST_JOINED) -> DataFrame:
     """Pairs of one supplier whose numbers resemble each other: for each left number the FUZZY_RANKS best
     distinct right numbers of its block (an equal one takes a rank), if they are over the floor and not equal.
 
-    Numbers of too different lengths can't reach the floor and aren't compared. A supplier with more than MOST_NUMBERS
-    left numbers is dealt over several tasks, each with all its right numbers.
+    Small blocks are joined; numbers of too different lengths can't reach the floor and aren't compared. Blocks of more than
+    `most` pairs are searched (likest.py), which rates few pairs and finds the same.
     """
     keys = ["company_id", "supplier_gstin"]
     numbers = lambda df, name: df.where("supplier_gstin <> '' and norm_invoice_no <> ''").select(*keys, F.col("norm_invoice_no").alias(name)).distinct()
-    left = numbers(books, "l_no")
-    many = left.groupBy(*keys).agg(F.ceil(F.count("*") / MOST_NUMBERS).cast("int").alias("parts"))
-    right = numbers(portal, "r_no").join(many, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    left = left.join(many, keys).withColumn("part", F.pmod(F.xxhash64("l_no"), F.col("parts")).cast("int")).drop("parts")
+    left, right = numbers(books, "l_no"), numbers(portal, "r_no")
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    large = stored(count(left, "lefts").join(count(right, "rights"), keys).where(F.col("lefts") * F.col("rights") > most))
     room = 200.0 / FUZZY_FLOOR - 1  # the longer may be so many times the shorter
     n, m = F.length("l_no"), F.length("r_no")
-    near = left.join(right, [*keys, "part"]).where(F.greatest(n, m) <= room * F.least(n, m))
+    near = left.join(large, keys, "left_anti").join(right, keys).where(F.greatest(n, m) <= room * F.least(n, m))
     both = near.withColumn("ratio", F.when(F.col("l_no") == F.col("r_no"), 100.0).otherwise(indel_ratio("l_no", "r_no"))).where(F.col("ratio") >= FUZZY_FLOOR)
+    if large.limit(1).count():
+        both = both.select(*keys, "l_no", "r_no", "ratio").union(likest.searched(left, right, large, keys, FUZZY_RANKS, FUZZY_FLOOR))
     best = Window.partitionBy(*keys, "l_no").orderBy(F.desc("ratio"), "r_no")
     top = both.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= FUZZY_RANKS) & (F.col("ratio") < 100))
     top = top.select(F.col("company_id").alias("c"), F.col("supplier_gstin").alias("g"), "l_no", "r_no", (F.col("ratio") / 100).alias("number_ratio"))

@@ -1,7 +1,7 @@
 """How well findings meet an answer key: recall for every rule, precision where the key is complete.
 
 planted: company_id, defect_type, rule_code, period, landing_period (or null), risk_key, amount, note, extended (whether
-it belongs to the second key). findings: company_id, period, rule_code, risk_key, headline. A defect's footprint is its
+it belongs to the second key), as `expected` makes them of an answer key's defects. findings: company_id, period, rule_code, risk_key, headline. A defect's footprint is its
 key in its own period and in the one that it lands in; every finding of a footprint is credited.
 """
 
@@ -10,12 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_invoice_no
+from ..operators.matching import stored
+
 # Rules whose findings belong to one record, and to a period; the same of the extended key.
 ROW_RULES, PERIOD_RULES = ("R1", "R2", "R3", "R4", "R6"), ("R5", "R7")
 EXTENDED_ROW_RULES, EXTENDED_PERIOD_RULES = ("R10", "R13"), ("R8", "R9", "R11", "R12")
 KEY = ["company_id", "period", "risk_key"]
 
 
+#: An answer key's defect; `extended` says which of its two sections it stands in.
+DEFECT = "company_id int, defect_type string, expected_rule string, period string, target_kind string, natural_key map<string,string>, amount bigint, note string, extended boolean"
+# The keys of findings that belong to a period.
+PERIOD_KEYS = {"R5": "bank_books_variance", "R7": "customer_concentration", "R8": "receivables_ageing", "R9": "deemed_accepted", "R11": "recompute_required", "R12": "filing_chain"}
+
+
+def expected(defects: DataFrame) -> DataFrame:
+    """planted rows of an answer key's defects (DEFECT): the finding that each must lead to and the period that it may land in.
+
+    Rules on documents are keyed by supplier and number (of the extended section, as the feed spells it, so without its document
+    words and zeros), deposits by their reference, rules on periods by their name. A rule that no key is known of is an error.
+    """
+    rule, of = F.col("expected_rule"), lambda k: F.try_element_at("natural_key", F.lit(k))
+    named = lambda *parts: F.concat_ws(":", rule, *(F.coalesce(p, F.lit("")) for p in parts))
+    periods = F.create_map(*(F.lit(x) for kv in PERIOD_KEYS.items() for x in kv))
+    key = (
+        F.when(rule.isin("R1", "R2", "R3", "R4"), named(of("supplier_gstin"), of("number"))).when(rule == "R6", named(of("ref_no")))
+        .when(rule.isin(*EXTENDED_ROW_RULES), named(of("supplier_gstin"), norm_invoice_no(of("number")))).when(rule.isin(*PERIOD_KEYS), named(F.try_element_at(periods, rule)))
+        .otherwise(F.raise_error(F.concat(F.lit("no key is known for rule "), F.coalesce(rule, F.lit("null")))).cast("string"))
+    )
+    landing = F.nullif(of("landing_period"), F.col("period"))
+    return stored(defects.select(F.monotonically_increasing_id().alias("defect"), "*", rule.alias("rule_code"), key.alias("risk_key"), landing.alias("landing_period")))
+
+
+def targets(planted: DataFrame, books: DataFrame, bank: DataFrame) -> DataFrame:
+    """defect and record_id: the row that each defect was planted in, the first of several; null if there is none. books: id,
+    company_id, period, supplier_gstin, norm_invoice_no; bank: id, company_id, ref_no."""
+    of = lambda k: F.try_element_at("natural_key", F.lit(k))
+    bought = planted.where("target_kind = 'purchase_invoice'").select("defect", "company_id", "period", of("supplier_gstin").alias("supplier_gstin"), of("number").alias("norm_invoice_no"))
+    paid = planted.where("target_kind = 'bank_txn'").select("defect", "company_id", of("ref_no").alias("ref_no"))
+    rows = bought.join(books.select("id", "company_id", "period", "supplier_gstin", "norm_invoice_no"), ["company_id", "period", "supplier_gstin", "norm_invoice_no"])
+    lines = paid.join(bank.select("id", "company_id", "ref_no"), ["company_id", "ref_no"])
+    first = rows.select("defect", "id").union(lines.select("defect", "id")).groupBy("defect").agg(F.min("id").alias("record_id"))
+    return planted.select("defect").join(first, "defect", "left")
+
+
 def footprints(planted: DataFrame) -> DataFrame:
     """planted, a row for each period of a defect's footprint; defect numbers the planted rows."""
     periods = F.array_distinct(F.array_compact(F.array("period", "landing_period")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import months_between
 from ..functions.money import percent
 from ..functions.text import section_label
+from ..operators import scan
+from ..operators.matching import stored
 
 SEVERITIES = ("high", "medium", "low", "info")
 
@@ -142,7 +144,7 @@ def period_list(periods: DataFrame, findings: DataFrame) -> DataFrame:
     """Each period with its state and open findings; rank 1 is a company's newest."""
     open_ = findings.where("status = 'open'").groupBy("company_id", "period").agg(F.count("*").alias("open_risks"))
     out = periods.join(open_, ["company_id", "period"], "left").withColumn("open_risks", F.coalesce("open_risks", F.lit(0)))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("period"))))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("period"))))  # a company's months are few
 
 
 def findings_in_range(findings: DataFrame, registry: DataFrame, start: str, end: str, rule: str | None = None) -> DataFrame:
@@ -150,9 +152,9 @@ def findings_in_range(findings: DataFrame, registry: DataFrame, start: str, end:
     their order in a company: newest month first, then severity, then amount."""
     found = findings.where(F.col("period").between(start, end))
     found = found.where(F.col("rule_code") == rule) if rule else found
-    order = Window.partitionBy("company_id").orderBy(F.desc("period"), severity_rank(), F.col("headline").desc_nulls_last(), "rule_code", "risk_key")
+    order = [F.desc("period"), severity_rank(), F.col("headline").desc_nulls_last(), F.col("rule_code"), F.col("risk_key")]
     named = found.join(F.broadcast(registry.select(F.col("code").alias("rule_code"), "title", "domain")), "rule_code")  # a row a rule
-    return named.withColumn("n_evidence", F.size("evidence")).withColumn("place", F.row_number().over(order))
+    return scan.ranked(named.withColumn("n_evidence", F.size("evidence")), ["company_id"], order, "place")
 
 
 def finding_detail(findings: DataFrame, registry: DataFrame, evidence: DataFrame, matches: DataFrame, companies: DataFrame) -> DataFrame:
@@ -189,16 +191,17 @@ def section_counts(portal: DataFrame) -> DataFrame:
 
 def period_runs(rows: DataFrame, order: str = "source_row") -> DataFrame:
     """Where each run of one period starts and how long it is, down a company's rows (company_id, period, `order`)."""
-    own = Window.partitionBy("company_id").orderBy(order)
-    starts = rows.withColumn("first", F.coalesce((F.lag("period").over(own) != F.col("period")).cast("int"), F.lit(1)))
-    numbered = starts.withColumn("run", F.sum("first").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    own = [F.col(order)]
+    at = scan.placed(rows.select("company_id", "period", order), ["company_id"], own)
+    starts = scan.before(at, ["company_id"], own, "period", "last").withColumn("first", F.coalesce((F.col("last") != F.col("period")).cast("int"), F.lit(1)))
+    numbered = scan.running(starts, ["company_id"], own, {"run": F.col("first")})
     return numbered.groupBy("company_id", "run", "period").agg(F.min(order).alias("starts_at"), F.count("*").alias("rows"))
 
 
 def running_headlines(findings: DataFrame) -> DataFrame:
     """Each finding with the company's sum of headlines so far, by period, then amount."""
-    own = Window.partitionBy("company_id").orderBy("period", F.col("headline").asc_nulls_first(), "rule_code", "risk_key").rowsBetween(Window.unboundedPreceding, 0)
-    return findings.withColumn("so_far", F.sum(F.coalesce("headline", F.lit(0))).over(own))
+    order = [F.col("period"), F.col("headline").asc_nulls_first(), F.col("rule_code"), F.col("risk_key")]
+    return scan.running(scan.placed(findings, ["company_id"], order), ["company_id"], order, {"so_far": F.col("headline")}).drop(scan.RANGE)
 
 
 def by_deadline(findings: DataFrame) -> DataFrame:
@@ -210,9 +213,10 @@ def by_deadline(findings: DataFrame) -> DataFrame:
 def running_balance(bank: DataFrame, floor: int) -> DataFrame:
     """Statement lines with a balance that never dips under floor: the opening balance is floor less the deepest dip."""
     move = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
-    own = Window.partitionBy("company_id")
-    lines = bank.withColumn("flow", F.sum(move).over(own.orderBy("txn_date", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    return lines.withColumn("balance", F.lit(floor) - F.least(F.min("flow").over(own), F.lit(0)) + F.col("flow")).drop("flow")
+    order = [F.col("txn_date"), F.col("id")]
+    lines = stored(scan.running(scan.placed(bank, ["company_id"], order), ["company_id"], order, {"flow": move}).drop(scan.RANGE))
+    dip = lines.groupBy("company_id").agg(F.least(F.min("flow"), F.lit(0)).alias("dip"))
+    return lines.join(dip, "company_id").withColumn("balance", F.lit(floor) - F.col("dip") + F.col("flow")).drop("flow", "dip")
 
 
 def company_header(companies: DataFrame, firms: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import AS_OF, inr_sql, register
 from .functions import dates, text
 from .operators import matching, rules, runner
-from .plans import evaluation, reports
+from .plans import evaluation, nightly, reports
 from .plans.twins import BANK_STATE, DRAFTS, PCT
+from .sources import lines
 
 BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
 FS = DRAFTS + ", fs AS (SELECT *, CASE WHEN abs(headline) % 7 = 0 THEN 'resolved' ELSE 'open' END AS status FROM fo)"
@@ -332,3 +335,87 @@ def stable_ids(v):
 def short_amounts(v):
     t = F.col("taxable") * 7
     return v["invoices"].select("id", text.short_inr(t).alias("short"), text.exact_inr(t).alias("exact"))
+
+
+# An answer key as its files have it: what is planted is told by natural keys, not by findings' keys.
+KEYED = """, dk AS (
+  SELECT company_id, 'reversal' AS defect_type, 'R4' AS rule_code, CASE WHEN id % 3 = 0 THEN period ELSE '1990-01' END AS period, CASE WHEN id % 3 = 1 THEN period END AS landing_period, 'R4:' || supplier_gstin || ':' || norm_invoice_no AS risk_key, id, false AS extended FROM portal WHERE reversal > 0 AND supplier_gstin IS NOT NULL AND id % 3 <> 2
+  UNION ALL SELECT company_id, 'unknown deposit', 'R6', period, NULL, 'R6:' || CAST(id AS VARCHAR), id, false FROM bank WHERE id >= 5000000000000
+  UNION ALL SELECT company_id, 'variance', 'R5', period, NULL, 'R5:bank_books_variance', 0, false FROM periods WHERE period LIKE '1998%'
+  UNION ALL SELECT company_id, 'concentration', 'R7', period, NULL, 'R7:customer_concentration', 0, false FROM periods WHERE period LIKE '1999%'
+  UNION ALL SELECT company_id, 'blocked', 'R13', period, NULL, 'R13:' || supplier_gstin || ':' || norm_invoice_no, id, true FROM portal WHERE NOT itc_available AND supplier_gstin IS NOT NULL
+  UNION ALL SELECT company_id, 'ageing', 'R8', period, NULL, 'R8:receivables_ageing', 0, true FROM periods WHERE period LIKE '2000%'),
+dn AS (SELECT row_number() OVER (ORDER BY rule_code, company_id, period, id) AS n, * FROM dk),
+dh AS (SELECT dn.*, EXISTS (SELECT 1 FROM fa WHERE fa.company_id = dn.company_id AND fa.risk_key = dn.risk_key AND fa.period IN (dn.period, dn.landing_period)) AS detected FROM dn)"""
+
+
+def answer_key(v) -> DataFrame:
+    """The defects of the adapter views, with numbers as feeds spell them."""
+    text_ = lambda x: F.lit(x)
+    kind = lambda df, name, rule, target, key, period=F.col("period"), extended=False: df.select("company_id", text_(name).alias("defect_type"), text_(rule).alias("expected_rule"), period.alias("period"), text_(target).alias("target_kind"), F.create_map(*(x for k, c in key.items() for x in (F.lit(k), c))).cast("map<string,string>").alias("natural_key"), F.lit(0).cast("bigint").alias("amount"), F.lit("").alias("note"), F.lit(extended).alias("extended"))
+    doc = {"supplier_gstin": F.col("supplier_gstin"), "number": F.col("norm_invoice_no")}
+    back = v["portal"].where("reversal > 0 and supplier_gstin is not null and id % 3 <> 2")
+    moved = doc | {"landing_period": F.when(F.col("id") % 3 == 1, F.col("period"))}
+    rows = kind(back, "reversal", "R4", "gstr2b_line", moved, F.when(F.col("id") % 3 == 0, F.col("period")).otherwise("1990-01"))
+    rows = rows.union(kind(v["bank"].where("id >= 5000000000000"), "unknown deposit", "R6", "bank_txn", {"ref_no": F.col("id").cast("string")}))
+    for year, name, rule, extended in (("1998", "variance", "R5", False), ("1999", "concentration", "R7", False), ("2000", "ageing", "R8", True)):
+        rows = rows.union(kind(v["periods"].where(F.col("period").startswith(year)), name, rule, "company", {"none": F.lit("")}, extended=extended))
+    blocked = v["portal"].where("not itc_available and supplier_gstin is not null")
+    return rows.union(kind(blocked, "blocked", "R13", "gstr2b_line", doc | {"number": F.concat(F.lit("Invoice No. "), "norm_invoice_no")}, extended=True))
+
+
+@register(DRAFTS + KEYED + """ SELECT o.*, coalesce(row_findings, 0) AS row_findings, coalesce(period_findings, 0) AS period_findings, coalesce(unscored, 0) AS unscored, planted - detected AS missed,
+  CASE WHEN planted > 0 THEN round_even(CAST(detected AS DOUBLE) / planted, 3) ELSE 0 END AS recall, CASE WHEN row_findings > 0 THEN round_even(CAST(row_detected AS DOUBLE) / row_findings, 3) ELSE 0 END AS precision
+FROM (SELECT company_id, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE rule_code IN ('R4', 'R6')) AS row_planted, count(*) FILTER (WHERE detected AND rule_code IN ('R4', 'R6')) AS row_detected,
+  count(*) FILTER (WHERE rule_code IN ('R5', 'R7')) AS period_planted, count(*) FILTER (WHERE detected AND rule_code IN ('R5', 'R7')) AS period_detected FROM dh WHERE NOT extended GROUP BY 1) o
+LEFT JOIN (SELECT company_id, count(*) FILTER (WHERE rule_code IN ('R1', 'R2', 'R3', 'R4', 'R6')) AS row_findings, count(*) FILTER (WHERE rule_code IN ('R5', 'R7')) AS period_findings, count(*) FILTER (WHERE rule_code = 'R4b') AS unscored FROM fa GROUP BY 1) f USING (company_id)""")
+def evaluation_of_key(v):
+    """An answer key of natural keys, period rules among it, against all rules: one of them (R4b) is in no key."""
+    return evaluation.summary(evaluation.expected(answer_key(v)), drafts(v, evidence=False, everything=True))
+
+
+@register(DRAFTS + KEYED + " SELECT company_id, extended, defect_type, rule_code, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh GROUP BY 1, 2, 3, 4")
+def evaluation_of_key_by_defect(v):
+    return evaluation.by_defect(evaluation.expected(answer_key(v)), drafts(v, evidence=False, everything=True))
+
+
+@register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM fo WHERE rule_code IN ('R1', 'R2', 'R3', 'R4')", DRAFTS)
+def nightly_resumed(v):
+    """Two nights: on the second two companies have more rows, the run dies between its stages and is started again. Only these two
+    are done anew, and all is as if done at once."""
+    at = nightly.Nightly(v.spark, matching.scratch_path(v.spark, "nightly"))
+    on = {c: rules.THRESHOLDS[c] for c in ("R1", "R2", "R3", "R4")}
+    more = F.col("company_id").isin(1, 3)
+
+    def stages(rows: dict[str, DataFrame], dies: bool = False):
+        of = lambda n, todo: rows[n].join(todo, "company_id", "left_semi")
+
+        def match(todo: DataFrame, made: dict[str, DataFrame]) -> DataFrame:
+            return matching.reconcile(of("books", todo), of("portal", todo))
+
+        def find(todo: DataFrame, made: dict[str, DataFrame]) -> DataFrame:
+            if dies:
+                raise InterruptedError("the night is over")
+            return runner.run_rules({n: of(n, todo) for n in rows}, on, AS_OF, gst=made["matches"]).select(*BASE)
+
+        return [("matches", match), ("findings", find)]
+
+    every = {n: v[n] for n in ("books", "portal", "periods")}
+    first = {n: df.where(~more | (F.col("period") < "1999-01")) for n, df in every.items()}
+    version = lambda t: t["books"].groupBy("company_id").agg(F.count("*").alias("version"))
+    at.run(version(first), stages(first))
+    with contextlib.suppress(InterruptedError):
+        at.run(version(every), stages(every, dies=True))
+    at.run(version(every), stages(every))
+    return at.read("findings")
+
+
+@register("""WITH l AS (SELECT document, source_row, 'line ' || CAST(record_id AS VARCHAR) AS line FROM sources WHERE record_type = 'purchase_invoice'), w AS (SELECT document, source_row AS "at" FROM sources WHERE record_type = 'purchase_invoice' AND record_id % 97 = 0)
+SELECT w.document, w."at", l.source_row, line, l.source_row = w."at" AS is_target, 'header of ' || w.document AS header FROM w JOIN (SELECT * FROM l UNION ALL SELECT DISTINCT document, 1, 'header of ' || document FROM l) l ON l.document = w.document AND l.source_row BETWEEN w."at" - 2 AND w."at" + 2""")
+def evidence_source(v):
+    """Wanted lines of stored documents with their neighbours and header, out of the store of lines."""
+    store = lines.LineStore(v.spark, matching.scratch_path(v.spark, "lines"), 8)
+    own = v["sources"].where("record_type = 'purchase_invoice'")
+    body = own.select("document", "source_row", F.concat(F.lit("line "), F.col("record_id").cast("string")).alias("line"))
+    store.add(body.union(own.select("document", F.lit(1), F.concat(F.lit("header of "), "document")).distinct()))
+    return store.around(own.where("record_id % 97 = 0").select("document", "source_row"))

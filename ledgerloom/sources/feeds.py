@@ -40,6 +40,50 @@ def csv_groups(spark: SparkSession, path: str) -> list[DataFrame]:
     return [read_csv(spark, sorted(r.files)) for r in first.groupBy("header").agg(F.collect_list("document").alias("files")).orderBy("header").collect()]
 
 
+#: A record of a CSV file, quoted breaks included; a record's fields are read by from_csv, so many at most.
+RECORD, MOST_FIELDS = r'(?:[^"\n]++|"(?:[^"]++|"")*+(?:"|\z))++', 256
+
+
+def scan_csv(spark: SparkSession, paths: str | list[str], kind: Column) -> DataFrame:
+    """The records of all CSV files below the paths in one scan: document, kind, source_row (the header is 1), header, cells.
+
+    kind tells a file's kind from its `document`; files of no kind are left out. A file is one row of the scan, so a single one
+    must fit a task; empty lines are no records. What comes of the files doesn't depend on how many there are.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(paths, wholetext=True)
+    named = files.select(F.input_file_name().alias("document"), F.regexp_replace("value", "^\ufeff|\r(?=\n|$)", "").alias("text")).withColumn("kind", kind).where("kind is not null")
+    records = F.filter(F.regexp_extract_all("text", F.lit(RECORD), F.lit(0)), lambda r: F.length(r) > 0)
+    each = named.select("document", "kind", F.posexplode(records).alias("at", "record"))
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(MOST_FIELDS)), {"escape": '"', "maxColumns": str(MOST_FIELDS)})
+    listed = each.withColumn("c", cells).select("document", "kind", (F.col("at") + 1).alias("source_row"), F.array(*(F.col(f"c.c{i}") for i in range(MOST_FIELDS))).alias("cells"))
+    heads = listed.where("source_row = 1").select("document", F.col("cells").alias("header"))
+    return listed.where("source_row > 1").join(heads, "document")
+
+
+def by_layout(records: DataFrame, layout: Layout) -> tuple[list[DataFrame], DataFrame]:
+    """Frames with a column for each field that the files have, by its first spelling, and the documents whose headers lack a
+    field: document, error. Headers go to the driver, one for each spelling of a file's first line; files of all headers with the
+    same fields share a frame."""
+    heads = records.select("header").distinct().collect()
+    shapes: dict[tuple[str, ...], list] = {}
+    bad = []
+    for (header,) in heads:
+        names = [(h or "").strip("\ufeff") for h in header]
+        try:
+            at = resolve([n for n in names if n], layout)
+        except ValueError as e:
+            bad.append((header, str(e)))
+        else:
+            shapes.setdefault(tuple(k for k in layout if k in at), []).append((header, {k: names.index(n) for k, n in at.items()}))
+    spark, out = records.sparkSession, []
+    for fields, files in shapes.items():
+        where = F.broadcast(spark.createDataFrame(files, "header array<string>, places map<string,int>"))  # as few as there are spellings of a header
+        cell = lambda k: F.get("cells", F.col("places")[k]).alias(layout[k][1][0])
+        out.append(records.join(where, "header").select("document", "source_row", *(cell(k) for k in fields)))
+    wrong = F.broadcast(spark.createDataFrame(bad, "header array<string>, error string"))
+    return out, records.join(wrong, "header").select("document", "error").distinct()
+
+
 def _rows(df: DataFrame, fields: Layout, out: dict[str, Column], at: dict[str, str]) -> DataFrame:
     day = dates.parse_date(value(df, at, "date"))
     bad = F.when(day.isNull(), F.concat(F.lit("unreadable date: "), value(df, at, "date")))
@@ -86,6 +130,12 @@ def bank(df: DataFrame) -> DataFrame:
     return out.withColumn("error", F.coalesce("error", F.when(F.col("debit").isNull() & F.col("credit").isNull(), F.lit("neither debit nor credit"))))
 
 
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file fits the pattern."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def _fields_of(number: str, day: str) -> str:
     return ",".join(f"{n}:string" for n in dict.fromkeys((number, day, *ENTRY)))
 
@@ -123,6 +173,18 @@ def _entries() -> Column:
     return F.concat(*(of_section(*s) for s in SECTIONS))
 
 
+#: The types of an entry in its canonical form and of a reversal.
+ENTRY_TYPE = "struct<section:string,is_amendment:boolean,ctin:string,trdnm:string,number:string,date:string," + ",".join(f"{f}:string" for f in ENTRY) + ">"
+REVERSAL_TYPE = "struct<ctin:string,inum:string,idt:string,rev_amt:string,rsn:string>"
+
+
+def _entries_and_reversals() -> Column:
+    """All entries, then the reversals, each as a struct of which the other half is null; so a file is parsed once for both."""
+    both = lambda entry, back: F.struct(entry.cast(ENTRY_TYPE).alias("entry"), back.cast(REVERSAL_TYPE).alias("back"))
+    reversals = F.coalesce(F.col("d.itcrev37a"), F.array().cast(f"array<{REVERSAL_TYPE}>"))
+    return F.concat(F.transform(_entries(), lambda e: both(e, F.lit(None))), F.transform(reversals, lambda r: both(F.lit(None), r)))
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """document, period, source_row (from 1) and the entry as the file has it, with its section and supplier."""
     docs = _documents(spark, path, STATEMENT)
@@ -149,15 +211,17 @@ def statement(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of a portal statement, the sections in their fixed order, null or missing ones empty;
     source_row counts through them. Reversals are summed by supplier and number and joined."""
     x = lambda f: F.col(f"entry.{f}")
-    out = entries(spark, path).select(
-        "document", "period", "source_row", x("section").alias("section"), x("is_amendment").alias("is_amendment"), text.norm_gstin(x("ctin")).alias("supplier_gstin"), x("trdnm").alias("supplier_name"),
-        x("number").alias("invoice_no"), text.norm_invoice_no(x("number")).alias("norm_invoice_no"), dates.parse_date(x("date")).alias("day"),
+    gstin, number = text.norm_gstin(F.coalesce(x("ctin"), F.col("back.ctin"))), text.norm_invoice_no(F.coalesce(x("number"), F.col("back.inum")))
+    own = Window.partitionBy("document", "supplier_gstin", "norm_invoice_no")
+    summed = F.when(F.col("supplier_gstin").isNotNull() & F.col("norm_invoice_no").isNotNull(), F.sum("back_amount").over(own))
+    both = _documents(spark, path, STATEMENT).select("document", _period(F.col("d.rtnprd"), F.col("document")).alias("period"), F.posexplode(_entries_and_reversals()).alias("at", "row")).select("document", "period", (F.col("at") + 1).alias("source_row"), "row.*")
+    keyed = both.withColumns({"supplier_gstin": gstin, "norm_invoice_no": number, "back_amount": F.when(F.col("back").isNotNull(), money.parse_amount(F.col("back.rev_amt")))})
+    return keyed.withColumn("reversal", F.coalesce(summed, F.lit(0)).cast(money.MONEY)).where("entry is not null").select(
+        "document", "period", "source_row", x("section").alias("section"), x("is_amendment").alias("is_amendment"), "supplier_gstin", x("trdnm").alias("supplier_name"),
+        x("number").alias("invoice_no"), "norm_invoice_no", dates.parse_date(x("date")).alias("day"),
         *(money.parse_amount(x(f)).alias(n) for n, f in AMOUNT_FIELDS.items()), (F.coalesce(x("itcavl"), F.lit("Y")) != "N").alias("itc_available"),
-        F.when(x("nttyp").isin("C", "D"), x("nttyp")).alias("note_type"), F.when(x("is_amendment"), text.norm_invoice_no(x("oinum"))).alias("amends_invoice_no"),
+        F.when(x("nttyp").isin("C", "D"), x("nttyp")).alias("note_type"), F.when(x("is_amendment"), text.norm_invoice_no(x("oinum"))).alias("amends_invoice_no"), "reversal",
     )
-    docs = _documents(spark, path, STATEMENT)
-    back = docs.select("document", F.explode("d.itcrev37a").alias("r")).groupBy("document", text.norm_gstin(F.col("r.ctin")).alias("supplier_gstin"), text.norm_invoice_no(F.col("r.inum")).alias("norm_invoice_no"))
-    return out.join(back.agg(F.sum(money.parse_amount(F.col("r.rev_amt"))).alias("reversal")), ["document", "supplier_gstin", "norm_invoice_no"], "left").withColumn("reversal", F.coalesce("reversal", F.lit(0)).cast(money.MONEY))
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:

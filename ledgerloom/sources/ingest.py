@@ -1,13 +1,12 @@
-"""A company's folder of feeds, or one uploaded file, as typed tables with parties resolved.
+"""Folders of feeds, of one company or of all, or one uploaded file, as typed tables with parties resolved.
 
 Feeds are read in a fixed order, which is also the order in which they name parties: statement, inbox, purchases, sales,
-vouchers, bank. Names that no statement and no earlier feed explains become parties of their own; they are compared with
-the parties of earlier feeds, not with other new names of the same feed.
+vouchers, bank. Names that no party of the statement, an earlier feed or an earlier row is like become parties of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import parties
+from ..operators.matching import stored
 from . import feeds
+from .columns import BANK, LEDGER, PURCHASES, SALES, Layout
 
 # The files of a folder, in the order in which they are read.
 FILES = {
     "gstr2b": "gstr2b_*.json", "ims": "ims_*.json", "purchase_register": "tally_purchase_register*.csv", "sales_ledger": "tally_sales_register*.csv", "ledger": "tally_ledger_entries*.csv", "bank_stmt": "bank_statement*.csv",
 }
 CSV: dict[str, Callable[[DataFrame], DataFrame]] = {"purchase_register": feeds.purchases, "sales_ledger": feeds.sales, "ledger": feeds.ledger, "bank_stmt": feeds.bank}
+LAYOUTS: dict[str, Layout] = {"purchase_register": PURCHASES, "sales_ledger": SALES, "ledger": LEDGER, "bank_stmt": BANK}
 JSON: dict[str, Callable[[SparkSession, str], DataFrame]] = {"gstr2b": feeds.statement, "ims": feeds.inbox}
 
 
@@ -57,62 +59,108 @@ def periods_of_folder(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("period is not null").distinct()
 
 
-def of_periods(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Usable rows of known periods."""
-    return rows.where("error is null").join(F.broadcast(known.select("period")), "period", "left_semi")  # periods are months
-
-
 def seen(feed: int) -> F.Column:
     return F.struct(F.lit(feed).alias("feed"), F.col("document"), F.col("source_row"))
 
 
-def name_parties(company_id: int, statement: DataFrame | None, named: list[tuple[int, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
-    """The company's parties and the party of each name. statement: rows with supplier_gstin, supplier_name; named: (feed
-    number, rows with party and perhaps gstin, kind) in feed order."""
-    spark = (statement if statement is not None else named[0][1]).sparkSession
-    rows = spark.createDataFrame([], "company_id int, gstin string, name string, kind string, seen struct<feed:int,document:string,source_row:int>")
+def name_parties(spark: SparkSession, statement: DataFrame | None, named: list[tuple[int, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
+    """The companies' parties and the party of each name (company_id, name, party_id, method), as if the feeds were read row by
+    row. statement: rows with company_id, supplier_gstin, supplier_name; named: (feed number, rows with company_id, party and
+    perhaps supplier_gstin, kind) in feed order. A name that no party before it is like makes one (parties.elect)."""
+    rows = spark.createDataFrame([], "company_id int, gstin string, name string, kind string, seen struct<feed:int,document:string,source_row:int>, said string")
     if statement is not None:
-        rows = rows.union(statement.where("supplier_gstin is not null").select(F.lit(company_id), "supplier_gstin", "supplier_name", F.lit("vendor"), seen(0)))
+        rows = rows.union(statement.where("supplier_gstin is not null").select("company_id", "supplier_gstin", "supplier_name", F.lit("vendor"), seen(0), text.norm_party(F.col("supplier_name"))))
     for feed, df, kind in named:
-        known = parties.register(rows)
-        names = df.where("party <> ''").select(F.lit(company_id).alias("company_id"), F.col("party").alias("name")).distinct()
-        met = parties.resolve_names(names, known.select("company_id", "party_id", "name"), None).where("method = 'fuzzy'").join(known.select("party_id", F.col("name").alias("meant")), "party_id").select(F.col("name").alias("party"), "meant")
         gstin = F.col("supplier_gstin") if "supplier_gstin" in df.columns else F.lit(None).cast("string")
-        rows = rows.union(df.where("party <> ''").join(met, "party", "left").select(F.lit(company_id), gstin, F.coalesce("meant", "party"), F.lit(kind), seen(feed)))
-    every = parties.register(rows)
-    names = reduce(DataFrame.union, (df.where("party <> ''").select(F.lit(company_id).alias("company_id"), F.col("party").alias("name")) for _, df, _ in named)).distinct() if named else spark.createDataFrame([], "company_id int, name string")
-    return every, parties.resolve_names(names, every.select("company_id", "party_id", "name"), None)
+        said = df.where("party <> ''").select("company_id", gstin.alias("gstin"), F.col("party").alias("name"), F.lit(kind).alias("kind"), seen(feed).alias("seen"), text.norm_party(F.col("party")).alias("said"))
+        known = parties.observed(rows).where("key <> ''").groupBy("company_id", "key").agg(F.min_by("name", "seen").alias("known_as"))
+        asked = said.where("said <> ''").groupBy("company_id", F.col("said").alias("key")).agg(F.min("seen").alias("seen"), F.min(F.when(F.col("gstin").isNotNull(), F.col("seen"))).alias("stated"), F.min_by("name", "seen").alias("first_as"))
+        asked = stored(asked.join(known.select("company_id", "key"), ["company_id", "key"], "left_anti"))
+        called = known.select("company_id", F.col("key").alias("meant"), F.col("known_as").alias("as")).union(asked.select("company_id", "key", "first_as"))
+        meant = parties.elect(asked, known).join(called, ["company_id", "meant"]).select("company_id", F.col("key").alias("said"), "as")
+        rows = stored(rows.union(said.join(meant, ["company_id", "said"], "left").select("company_id", "gstin", F.when(F.col("gstin").isNull(), F.coalesce("as", "name")).otherwise(F.col("name")), "kind", "seen", "said")))
+    every = stored(parties.register(rows.drop("said")))
+    alias = parties.observed(rows).where("said <> ''").groupBy("company_id", F.col("said").alias("key")).agg(F.min_by("party_id", "seen").alias("party_id"))
+    return every, stored(alias)
+
+
+def with_parties(raw: dict[str, DataFrame], every: DataFrame, alias: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    """The feeds' rows of known periods (company_id, period) with their party; purchases without a stated tax id get their
+    party's. raw: rows with company_id by kind."""
+    out = {}
+    for kind, df in raw.items():
+        if kind in JSON:
+            out[kind] = df
+            continue
+        rows = df.where("error is null").join(known, ["company_id", "period"], "left_semi")
+        if kind == "bank_stmt":
+            met = parties.resolve_narrations(df.select("company_id", "narration").distinct(), every.select("company_id", "key", "party_id"))
+            out[kind] = rows.join(met, ["company_id", "narration"], "left")
+            continue
+        met = parties.resolve_names(df.select("company_id", F.col("party").alias("name")).distinct(), every.select("company_id", "party_id", "name"), alias)
+        rows = rows.join(met.select("company_id", F.col("name").alias("party"), "party_id"), ["company_id", "party"], "left")
+        if kind == "purchase_register":
+            stamp = every.select("company_id", "party_id", F.col("gstin").alias("own_gstin"))
+            rows = rows.join(stamp, ["company_id", "party_id"], "left").withColumn("supplier_gstin", F.coalesce("supplier_gstin", "own_gstin")).drop("own_gstin")
+        out[kind] = rows
+    return out
+
+
+#: The feeds that make parties, after the statement, and what their parties are.
+MAKERS = (("purchase_register", "vendor"), ("sales_ledger", "customer"))
 
 
 def ingest_folder(spark: SparkSession, folder: str, company_id: int) -> dict[str, DataFrame]:
-    """periods, parties and the rows of each feed, those of known periods with their party; purchases without a stated
-    tax id get their party's."""
-    raw = {kind: read_kind(spark, files_of(spark, folder, kind), kind) for kind in FILES}
+    """periods, parties and the rows of each feed of one company's folder, those of known periods with their party."""
+    own = F.lit(company_id).alias("company_id")
+    raw = {kind: df.select(own, "*") for kind in FILES if (df := read_kind(spark, files_of(spark, folder, kind), kind)) is not None}
     known = periods_of_folder(spark, folder)
-    named = [(n, raw[k], kind) for n, (k, kind) in enumerate((("purchase_register", "vendor"), ("sales_ledger", "customer")), 2) if raw[k] is not None]
-    out: dict[str, DataFrame] = {"periods": known}
-    if raw["gstr2b"] is None and not named:
-        return out | {k: v for k, v in raw.items() if v is not None}
-    out["parties"], who = name_parties(company_id, raw["gstr2b"], named)
-    for kind, df in raw.items():
-        if df is None:
-            continue
-        if kind in JSON:
-            out[kind] = df
-        elif kind == "bank_stmt":
-            index = out["parties"].select("company_id", "key", "party_id")
-            lines = df.select(F.lit(company_id).alias("company_id"), "narration").distinct()
-            out[kind] = of_periods(df, known).join(parties.resolve_narrations(lines, index).select("narration", "party_id"), "narration", "left")
-        else:
-            met = parties.resolve_names(df.select(F.lit(company_id).alias("company_id"), F.col("party").alias("name")).distinct(), out["parties"].select("company_id", "party_id", "name")) if kind == "ledger" else who
-            rows = of_periods(df, known).join(met.select(F.col("name").alias("party"), "party_id"), "party", "left")
-            if kind == "purchase_register":
-                stamp = out["parties"].select("party_id", F.col("gstin").alias("own_gstin"))
-                rows = rows.join(stamp, "party_id", "left").withColumn("supplier_gstin", F.coalesce("supplier_gstin", "own_gstin")).drop("own_gstin")
-            out[kind] = rows
+    named = [(n, raw[k], kind) for n, (k, kind) in enumerate(MAKERS, 2) if k in raw]
+    if "gstr2b" not in raw and not named:
+        return {"periods": known} | raw
+    every, alias = name_parties(spark, raw.get("gstr2b"), named)
+    return {"periods": known, "parties": every} | with_parties(raw, every, alias, F.broadcast(known.select(own, "period")))  # periods are months
+
+
+def kind_of(document: F.Column, kinds: Iterable[str] = FILES) -> F.Column:
+    """The kind of a file by its name; null for others."""
+    name = F.element_at(F.split(document, "/"), -1)
+    out = F.lit(None).cast("string")
+    for kind in kinds:
+        out = F.when(name.rlike("^" + FILES[kind].replace(".", "\\.").replace("*", ".*") + "$"), kind).otherwise(out)
     return out
 
 
+def company_of(document: F.Column) -> F.Column:
+    """The company of a file: its folder is company_id=N."""
+    return F.regexp_extract(document, "/company_id=([0-9]+)/", 1).cast("int")
+
+
+def ingest_companies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What ingest_folder gives, for all companies' folders root/company_id=N at once, each row with its company_id; besides
+    `unreadable`: files whose headers lack a field, with the reason, which stop no other file.
+
+    One scan reads all CSV files and one each all statements and inboxes; so the number of jobs depends on neither the
+    companies nor the files.
+    """
+    records = stored(feeds.scan_csv(spark, root, kind_of(F.col("document"), CSV)))
+    raw, bad = {}, []
+    for kind, read in CSV.items():
+        frames, wrong = feeds.by_layout(records.where(F.col("kind") == kind), LAYOUTS[kind])
+        bad.append(wrong)
+        if frames:
+            raw[kind] = stored(reduce(DataFrame.unionByName, (read(f) for f in frames)).withColumn("company_id", company_of(F.col("document"))))
+    for kind, read_json in JSON.items():
+        at = f"{root.rstrip('/')}/*/{FILES[kind]}"
+        if feeds.any_file(spark, at):
+            raw[kind] = stored(read_json(spark, at).withColumn("company_id", company_of(F.col("document"))))
+    periods = reduce(DataFrame.union, (df.select("company_id", "period") for df in raw.values()), spark.createDataFrame([], "company_id int, period string"))
+    known = stored(periods.where("period is not null").distinct())
+    every, alias = name_parties(spark, raw.get("gstr2b"), [(n, raw[k], kind) for n, (k, kind) in enumerate(MAKERS, 2) if k in raw])
+    unreadable = reduce(DataFrame.union, bad).withColumn("company_id", company_of(F.col("document")))
+    return {"periods": known, "parties": every, "unreadable": unreadable} | with_parties(raw, every, alias, known)
+
+
 def ingest_upload(spark: SparkSession, path: str, kind: str, manifest: DataFrame, company_id: int) -> tuple[DataFrame | None, DataFrame, DataFrame]:
     """One uploaded file: its rows (None if its content is known), its periods, and the manifest with it.
 
