@@ -24,6 +24,8 @@ AMOUNTS = ("taxable", *HEADS)
 # Weights of a pair's score in thousandths, days beyond which dates count as apart, least score, fuzzy ranks and floor.
 W_GSTIN, W_NUMBER, W_AMOUNT, W_DATE = 450, 300, 150, 100
 DATE_HORIZON, SCORE_FLOOR, FUZZY_RANKS, FUZZY_FLOOR = 30, 0.70, 3, 60
+#: What each part of a score gave, from 0 to 1.
+BREAKDOWN = "struct<gstin:double,invno:double,amount:double,date:double>"
 #: Equal up to one rupee, in paise.
 TOLERANCE = 100
 BANK_PAISE, BANK_DAYS = 100, 5
@@ -206,9 +208,10 @@ def reconcile(books: DataFrame, portal: DataFrame, fuzzy: bool = True, tolerance
 
 def decisions(books: DataFrame, portal: DataFrame, matched: DataFrame) -> DataFrame:
     gap = lambda a, b: (F.substring(b, 1, 4).cast("int") - F.substring(a, 1, 4).cast("int")) * 12 + F.substring(b, 6, 2).cast("int") - F.substring(a, 6, 2).cast("int")
+    unmet = F.lit(None).cast("int"), F.lit(None).cast(BREAKDOWN)
     hit = matched.select(
         "company_id", F.col("l_period").alias("period"), F.lit("purchase_invoice").alias("left_type"), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"),
-        F.lit("matched").alias("status"), F.col("category").alias("method"), "score", "amount_delta", "date_delta_days", gap("l_period", "r_period").alias("period_gap"),
+        F.lit("matched").alias("status"), F.col("category").alias("method"), "score", "amount_delta", "date_delta_days", gap("l_period", "r_period").alias("period_gap"), "parameters_matched", "breakdown",
     )
     claimed = matched.select("company_id", F.col("l_supplier_gstin").alias("supplier_gstin"), F.col("l_norm_invoice_no").alias("norm_invoice_no")).distinct().withColumn("claimed", F.lit(True))
     seen = portal.where("supplier_gstin <> ''").select("company_id", "supplier_gstin").distinct().withColumn("seen", F.lit(True))
@@ -216,10 +219,10 @@ def decisions(books: DataFrame, portal: DataFrame, matched: DataFrame) -> DataFr
     dup = F.coalesce("claimed", F.lit(False))
     miss = alone.select(
         "company_id", "period", F.lit("purchase_invoice"), "id", F.lit(None).cast("bigint"), F.when(dup, "duplicate").otherwise("unmatched"), F.when(dup, "none").otherwise("orphan_pr"),
-        F.when(~dup, F.when(F.col("seen"), W_GSTIN / 1000).otherwise(0.0)), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0),
+        F.when(~dup, F.when(F.col("seen"), W_GSTIN / 1000).otherwise(0.0)), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0), *unmet,
     )
     extra = portal.join(matched.select(F.col("r_id").alias("id")), "id", "left_anti").select(
-        "company_id", "period", F.lit("gstr2b_line"), "id", F.lit(None).cast("bigint"), F.lit("unmatched"), F.lit("orphan_2b"), F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0)
+        "company_id", "period", F.lit("gstr2b_line"), "id", F.lit(None).cast("bigint"), F.lit("unmatched"), F.lit("orphan_2b"), F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(None).cast("int"), F.lit(0), *unmet
     )
     return hit.union(miss).union(extra)
 

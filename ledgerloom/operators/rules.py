@@ -2,7 +2,7 @@
 
 A draft: company_id, period, rule_code, risk_key, severity, headline (paise), pct (decimal(9,2), null if none), metrics
 (what the calculation used, as text), calculation (the arithmetic to read), evidence (record_type, record_id, note of
-each record behind it). Dates of reckoning are inputs (as_of), never the clock; thresholds come from the registry.
+each record behind it), rule_text (what the rule asks for and why). Dates of reckoning are inputs (as_of), never the clock; thresholds come from the registry.
 """
 
 from __future__ import annotations
@@ -33,16 +33,21 @@ def paise(rupees: float) -> int:
     return round(rupees * 100)
 
 
+def inr(rupees: float) -> str:
+    """A threshold in rupees, as a reader sees it."""
+    return f"INR {rupees:,.2f}"
+
+
 def record(kind: str, record_id: Column, note: Column) -> Column:
     return F.struct(F.lit(kind).alias("record_type"), record_id.cast("bigint").alias("record_id"), note.alias("note"))
 
 
-def draft(df: DataFrame, code: str, key: Column, severity: Column, headline: Column, pct: Column | None = None, facts: dict[str, Column] | None = None, says: Column | None = None, evidence: list[Column] | Column | None = None) -> DataFrame:
+def draft(df: DataFrame, code: str, key: Column, severity: Column, headline: Column, pct: Column | None = None, facts: dict[str, Column] | None = None, says: Column | None = None, evidence: list[Column] | Column | None = None, why: str | Column = "") -> DataFrame:
     metrics = F.create_map(*(x for k, v in (facts or {}).items() for x in (F.lit(k), v.cast("string")))) if facts else F.create_map().cast("map<string,string>")
     rows = F.array(*evidence) if isinstance(evidence, list) else F.array() if evidence is None else evidence
     return df.select(
         "company_id", "period", F.lit(code).alias("rule_code"), key.alias("risk_key"), severity.alias("severity"), headline.cast("bigint").alias("headline"), (F.lit(None) if pct is None else pct).cast("decimal(9,2)").alias("pct"),
-        metrics.alias("metrics"), (F.lit(None) if says is None else says).cast("string").alias("calculation"), rows.cast(EVIDENCE).alias("evidence"),
+        metrics.alias("metrics"), (F.lit(None) if says is None else says).cast("string").alias("calculation"), rows.cast(EVIDENCE).alias("evidence"), (F.lit(why) if isinstance(why, str) else why).alias("rule_text"),
     )
 
 
@@ -79,7 +84,8 @@ def r1_unmatched_credit(books: DataFrame, matches: DataFrame, as_of: str, period
     facts = of_document(itc_at_stake=tax(), age_periods=age, sec_16_4_deadline=deadline, days_to_deadline=days, reason=reason)
     says = told(*(p for h in HEADS for p in (h.upper() + " ", format_inr(F.col(h)), ", ")), "in all ", format_inr(tax()), " in no statement; ", reason)
     last = periods.groupBy("company_id").agg(F.max("period").alias("latest"))
-    return draft(of_status(books, matches, "unmatched").join(last, "company_id"), "R1", doc_key("R1"), severity, tax(), facts=facts, says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked"))])
+    return draft(of_status(books, matches, "unmatched").join(last, "company_id"), "R1", doc_key("R1"), severity, tax(), facts=facts, says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked"))],
+                 why=told("A booked purchase that no statement shows, so its credit can't be claimed yet. The limit of Sec 16(4) is ", deadline.cast("string"), ": ", reason, "."))
 
 
 def r2_amount_mismatch(books: DataFrame, portal: DataFrame, matches: DataFrame, lim: dict = THRESHOLDS["R2"]) -> DataFrame:
@@ -93,7 +99,8 @@ def r2_amount_mismatch(books: DataFrame, portal: DataFrame, matches: DataFrame,
     facts = of_document(taxable_delta=apart["taxable"], heads_out_of_tolerance=heads)
     says = told("booked ", format_inr(F.col("taxable")), " less stated ", format_inr(F.col("p_taxable")), " is ", format_inr(apart["taxable"]))
     both = [record("purchase_invoice", F.col("id"), F.lit("booked")), record("gstr2b_line", F.col("rid"), F.lit("stated"))]
-    return draft(books.join(pairs, "id").join(right, "rid").where(off), "R2", doc_key("R2"), F.lit("medium"), F.abs(apart["taxable"]), facts=facts, says=says, evidence=both)
+    return draft(books.join(pairs, "id").join(right, "rid").where(off), "R2", doc_key("R2"), F.lit("medium"), F.abs(apart["taxable"]), facts=facts, says=says, evidence=both,
+                 why=f"A matched document that differs by more than {inr(lim['tolerance_inr'])}; every tax head is held against it by itself, not their sum.")
 
 
 def r3_duplicate(books: DataFrame, portal: DataFrame, matches: DataFrame) -> DataFrame:
@@ -104,7 +111,8 @@ def r3_duplicate(books: DataFrame, portal: DataFrame, matches: DataFrame) -> Dat
     twice = of_status(books, matches, "duplicate").join(amended, keys, "left_anti").join(rows, keys, "left")
     total = F.col("taxable") + tax()
     says = told(F.col("occurrences").cast("string"), " rows of one document; ", format_inr(total), " too much")
-    return draft(twice, "R3", doc_key("R3"), F.lit("high"), total, facts=of_document(occurrences=F.coalesce("occurrences", F.lit(0)), duplicated_value=total), says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked again"))])
+    return draft(twice, "R3", doc_key("R3"), F.lit("high"), total, facts=of_document(occurrences=F.coalesce("occurrences", F.lit(0)), duplicated_value=total), says=says, evidence=[record("purchase_invoice", F.col("id"), F.lit("booked again"))],
+                 why="One supplier's document stands in the register more than once and in the statement once. Amended documents don't count.")
 
 
 def r4_reversal(portal: DataFrame, as_of: str) -> DataFrame:
@@ -113,6 +121,7 @@ def r4_reversal(portal: DataFrame, as_of: str) -> DataFrame:
     return draft(
         portal.where("reversal > 0"), "R4", doc_key("R4"), F.when(days <= DEADLINE_DAYS, "high").otherwise("medium"), F.col("reversal"),
         facts=of_document(reversal_amount=F.col("reversal"), reverse_by=deadline, days_to_reversal_deadline=days), says=told("the statement reverses ", format_inr(F.col("reversal"))), evidence=[record("gstr2b_line", F.col("id"), F.lit("reversal"))],
+        why=told("The supplier has stated the invoice but not filed the return (Rule 37A), so the credit goes back by ", deadline.cast("string"), "; after that interest under Sec 50 runs. The amount is the portal's own."),
     )
 
 
@@ -121,7 +130,8 @@ def r4b_reclaimable(portal: DataFrame) -> DataFrame:
     last = portal.where("reversal = 0 and supplier_gstin is not null").groupBy("company_id", "supplier_gstin").agg(F.max("period").alias("later"))
     found = portal.where("reversal > 0").join(last, ["company_id", "supplier_gstin"]).where("later > period")
     says = told(format_inr(F.col("reversal")), " was reversed; the supplier has filed since, last in ", F.col("later"))
-    return draft(found, "R4b", doc_key("R4b"), F.lit("info"), F.col("reversal"), facts=of_document(reversed_amount=F.col("reversal")), says=says, evidence=[record("gstr2b_line", F.col("id"), F.lit("reversal"))])
+    return draft(found, "R4b", doc_key("R4b"), F.lit("info"), F.col("reversal"), facts=of_document(reversed_amount=F.col("reversal")), says=says, evidence=[record("gstr2b_line", F.col("id"), F.lit("reversal"))],
+                 why="Credit that was reversed under Rule 37A may be taken again once the supplier has filed, in any later period and without the limit of Sec 16(4).")
 
 
 def variance_parts(bank: DataFrame, ledger: DataFrame, matches: DataFrame) -> DataFrame:
@@ -149,7 +159,8 @@ def r5_variance(parts: DataFrame, lim: dict = THRESHOLDS["R5"]) -> DataFrame:
     over, left = pct > lim["turnover_pct"], F.abs("residual") > paise(lim["residual_inr"])
     names = ("books_net", "bank_net", "variance", "timing", "bank_in_only", "bank_out_only", "books_only", "residual", "turnover")
     says = told("books ", format_inr(F.col("books_net")), " less bank ", format_inr(F.col("bank_net")), " is ", format_inr(F.col("variance")), ", of which unexplained ", format_inr(F.col("residual")))
-    return draft(parts.where(over | left), "R5", F.lit("R5:bank_books_variance"), F.when(over & left, "high").otherwise("medium"), F.abs("variance"), pct, {n: F.col(n) for n in names}, says)
+    return draft(parts.where(over | left), "R5", F.lit("R5:bank_books_variance"), F.when(over & left, "high").otherwise("medium"), F.abs("variance"), pct, {n: F.col(n) for n in names}, says,
+                 why=f"Books and bank differ by more than {lim['turnover_pct']:g}% of turnover, or over {inr(lim['residual_inr'])} of it has no cause that the engine finds; such a rest is shown as one.")
 
 
 def r6_unidentified_deposit(bank: DataFrame, matches: DataFrame, lim: dict = THRESHOLDS["R6"]) -> DataFrame:
@@ -159,21 +170,29 @@ def r6_unidentified_deposit(bank: DataFrame, matches: DataFrame, lim: dict = THR
     ref = F.nullif("ref_no", F.lit("")) if "ref_no" in bank.columns else F.lit(None).cast("string")
     key = F.concat(F.lit("R6:"), F.coalesce(ref, F.col("id").cast("string")))
     says = told(format_inr(F.col("credit")), " came in on ", F.col("txn_date").cast("string"), " from nobody known and for no voucher")
-    return draft(found, "R6", key, F.lit("medium"), F.col("credit"), facts={"txn_date": F.col("txn_date"), "ref_no": ref, "amount": F.col("credit")}, says=says, evidence=[record("bank_txn", F.col("id"), F.lit("deposit"))])
+    return draft(found, "R6", key, F.lit("medium"), F.col("credit"), facts={"txn_date": F.col("txn_date"), "ref_no": ref, "amount": F.col("credit")}, says=says, evidence=[record("bank_txn", F.col("id"), F.lit("deposit"))],
+                 why=f"A credit of {inr(lim['min_credit_inr'])} or more whose payer no narration names and which meets no voucher.")
 
 
-def r7_concentration(ledger: DataFrame, lim: dict = THRESHOLDS["R7"]) -> DataFrame:
+def r7_concentration(ledger: DataFrame, lim: dict = THRESHOLDS["R7"], parties: DataFrame | None = None) -> DataFrame:
+    """parties (company_id, party_id, name), if given, name the customers in the evidence."""
     top_n = int(lim["top_n"])
     per = ledger.where("voucher_type = 'Sales'").groupBy("company_id", "period", "party_id").agg(F.sum("debit").alias("amount"))
     ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("company_id", "period").orderBy(F.desc("amount"), "party_id")))
     head = F.col("rank") <= top_n
-    parties = F.collect_list(F.when(head & F.col("party_id").isNotNull(), F.struct("rank", "party_id", "amount")))  # top_n at most
-    share = ranked.groupBy("company_id", "period").agg(F.sum("amount").alias("total"), F.sum(F.when(head, F.col("amount"))).alias("top"), F.count("*").alias("customers"), parties.alias("parties"))
+    if parties is None:
+        ranked = ranked.withColumn("name", F.lit(None).cast("string"))
+    else:
+        first = ranked.where(head).join(parties.groupBy("company_id", "party_id").agg(F.min("name").alias("name")), ["company_id", "party_id"], "left")
+        ranked = first.unionByName(ranked.where(~head).withColumn("name", F.lit(None).cast("string")))
+    customers = F.collect_list(F.when(head & F.col("party_id").isNotNull(), F.struct("rank", "party_id", "amount", "name")))  # top_n at most
+    share = ranked.groupBy("company_id", "period").agg(F.sum("amount").alias("total"), F.sum(F.when(head, F.col("amount"))).alias("top"), F.count("*").alias("customers"), customers.alias("parties"))
     pct = percent(F.col("top"), F.col("total"), 2)
-    named = F.transform(F.sort_array("parties"), lambda p: record("party", p["party_id"], told(format_inr(p["amount"]), " in the period")))
+    named = F.transform(F.sort_array("parties"), lambda p: record("party", p["party_id"], told(F.coalesce(F.concat(p["name"], F.lit(": ")), F.lit("")), format_inr(p["amount"]), " in the period")))
     return draft(
         share.where((F.col("total") > 0) & (pct > lim["medium_pct"])), "R7", F.lit("R7:customer_concentration"), F.when(pct > lim["high_pct"], "high").otherwise("medium"), F.col("top"), pct,
         {"top_n": F.lit(top_n), "top_revenue": F.col("top"), "total_revenue": F.col("total"), "share_pct": pct, "customer_count": F.col("customers")}, told(format_inr(F.col("top")), " of ", format_inr(F.col("total")), " is ", pct.cast("string"), "%"), named,
+        why=f"The {top_n} largest customers bring over {lim['medium_pct']:g}% of a period's sales; over {lim['high_pct']:g}% is high.",
     )
 
 
@@ -252,7 +271,8 @@ def r8_ageing(ledger: DataFrame, periods: DataFrame, lim: dict = THRESHOLDS["R8"
         found = found.join(worst_parties(ledger, found, int(lim["bucket_days"])), ["company_id", "period"], "left")
     says = told(format_inr(F.col("aged")), f" older than {int(lim['bucket_days'])} days of ", format_inr(F.col("total")), " is ", pct.cast("string"), "%")
     return draft(found, "R8", F.lit("R8:receivables_ageing"), F.when(pct > 2 * lim["pct_of_total"], "high").otherwise("medium"), F.col("aged"), pct,
-                 {"total_receivables": F.col("total"), "aged_receivables": F.col("aged"), "aged_share_pct": pct}, says, F.col("worst") if evidence else None)
+                 {"total_receivables": F.col("total"), "aged_receivables": F.col("aged"), "aged_share_pct": pct}, says, F.col("worst") if evidence else None,
+                 why=f"Over {lim['pct_of_total']:g}% of what customers owe at the period's end is older than {int(lim['bucket_days'])} days; receipts pay the oldest sales first.")
 
 
 def r9_action_required(inbox: DataFrame) -> DataFrame:
@@ -261,15 +281,27 @@ def r9_action_required(inbox: DataFrame) -> DataFrame:
         F.sum("total").alias("value"), F.count("*").alias("records"), *(F.count_if(F.col("action") == a).alias(a) for a in ("accept", "reject", "pending")))
     severity = F.when(F.col("reject") > 0, "high").when(F.col("pending") > 0, "medium").otherwise("low")
     facts = {"records_awaiting_action": F.col("records"), "value": F.col("value")} | {f"recommended_{a}": F.col(a) for a in ("accept", "reject", "pending")}
-    return draft(sums, "R9", F.lit("R9:deemed_accepted"), severity, F.col("value"), facts=facts, says=told(F.col("records").cast("string"), " records worth ", format_inr(F.col("value")), " await an answer"))
+    return draft(sums, "R9", F.lit("R9:deemed_accepted"), severity, F.col("value"), facts=facts, says=told(F.col("records").cast("string"), " records worth ", format_inr(F.col("value")), " await an answer"),
+                 why="Records of the inbox that nobody has answered count as accepted once the return is filed, and can't be answered after that.")
 
 
-def r10_recommend_reject(inbox: DataFrame) -> DataFrame:
+def r10_recommend_reject(inbox: DataFrame, parties: DataFrame | None = None) -> DataFrame:
+    """parties (company_id, party_id, gstin, name), if given, name the suppliers by their tax ids."""
     bad = (F.col("action") == "reject") | ((F.col("doc_type") == "credit_note") & F.col("action").isNull() & F.col("supplier_filed"))
     says = told(format_inr(F.col("total")), " in the inbox: ", F.coalesce("action", F.lit("decide")))
     facts = of_document(doc_type=F.col("doc_type"), corrects_document=F.col("orig_norm_invoice_no"), recommended_action=F.coalesce("action", F.lit("decide")))
     facts.pop("invoice_date")
-    return draft(inbox.where(bad), "R10", doc_key("R10"), F.lit("high"), F.col("total"), facts=facts, says=says, evidence=[record("ims_record", F.col("id"), F.lit("in the inbox"))])
+    found = inbox.where(bad)
+    if parties is not None:
+        own = parties.where("gstin is not null").groupBy("company_id", F.col("gstin").alias("supplier_gstin")).agg(F.min_by("name", "party_id").alias("supplier_name"))
+        found = found.join(own, ["company_id", "supplier_gstin"], "left")
+        facts["supplier_name"] = F.coalesce("supplier_name", "supplier_gstin")
+    blames = (F.col("doc_type") == "credit_note") | (F.col("is_amendment") & (F.coalesce("direction", F.lit("")) == "downward"))
+    why = (
+        F.when(F.col("action").isNull(), "A credit note for a document that isn't booked: it can't wait, and to reject it adds to what the supplier owes in a return where they see it. Decide before filing.")
+        .when(blames, "To be rejected; that adds to what the supplier owes in the next return, where they see it, so ask them first.").otherwise("To be rejected; without an answer it counts as accepted.")
+    )
+    return draft(found, "R10", doc_key("R10"), F.lit("high"), F.col("total"), facts=facts, says=says, evidence=[record("ims_record", F.col("id"), F.lit("in the inbox"))], why=why)
 
 
 def r11_stale_statement(inbox: DataFrame, lim: dict = THRESHOLDS["R11"]) -> DataFrame:
@@ -277,19 +309,22 @@ def r11_stale_statement(inbox: DataFrame, lim: dict = THRESHOLDS["R11"]) -> Data
     day = int(lim["trigger_day_of_month"])
     late = inbox.where(F.dayofmonth("actioned_at") > day).groupBy("company_id", "period").agg(F.count("*").alias("n"), F.max("actioned_at").alias("last"))
     says = told(F.col("n").cast("string"), f" actions after day {day}, the last on ", F.col("last").cast("string"))
-    return draft(late, "R11", F.lit("R11:recompute_required"), F.lit("high"), F.col("n"), facts={"actions_after_cutoff": F.col("n"), "latest_action": F.col("last"), "cutoff_day": F.lit(day)}, says=says)
+    return draft(late, "R11", F.lit("R11:recompute_required"), F.lit("high"), F.col("n"), facts={"actions_after_cutoff": F.col("n"), "latest_action": F.col("last"), "cutoff_day": F.lit(day)}, says=says,
+                 why="The inbox was answered after the statement had been drawn up, so it must be computed anew; until then the period's figures are those of an old one.")
 
 
 def r12_filing_blocked(filings: DataFrame) -> DataFrame:
     """filings: company_id, period, filed. The period before must stand there as unfiled; a missing one says nothing."""
     before = filings.where("not filed").select("company_id", shift_period(F.col("period"), 1).alias("period"))
     prior = shift_period(F.col("period"), -1)
-    return draft(filings.join(before, ["company_id", "period"], "left_semi"), "R12", F.lit("R12:filing_chain"), F.lit("high"), F.lit(0), facts={"blocked_by_period": prior}, says=told("the return of ", prior, " is not filed"))
+    return draft(filings.join(before, ["company_id", "period"], "left_semi"), "R12", F.lit("R12:filing_chain"), F.lit("high"), F.lit(0), facts={"blocked_by_period": prior}, says=told("the return of ", prior, " is not filed"),
+                 why="Statements come in order: while the return of the period before isn't filed, this period's can't be drawn up and its figures are old.")
 
 
 def r13_blocked_credit(portal: DataFrame) -> DataFrame:
     says = told(format_inr(tax()), " is stated as not available")
-    return draft(portal.where("not itc_available"), "R13", doc_key("R13"), F.lit("medium"), tax(), facts=of_document(blocked_tax=tax()), says=says, evidence=[record("gstr2b_line", F.col("id"), F.lit("not available"))])
+    return draft(portal.where("not itc_available"), "R13", doc_key("R13"), F.lit("medium"), tax(), facts=of_document(blocked_tax=tax()), says=says, evidence=[record("gstr2b_line", F.col("id"), F.lit("not available"))],
+                 why="The statement says that this credit isn't available (Sec 17(5)). It may be overruled, as it depends on the company's trade.")
 
 
 def upsert(old: DataFrame, new: DataFrame, codes: list[str]) -> DataFrame:

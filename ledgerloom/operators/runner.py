@@ -36,7 +36,8 @@ def one_each(drafts: DataFrame) -> DataFrame:
 
 
 def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str, evidence: bool = True, gst: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
-    """What the rules that are on draft. t: books, portal, bank, ledger, inbox, filings, periods.
+    """What the rules that are on draft. t: books, portal, bank, ledger, inbox, filings, periods, and
+    parties if findings shall name them.
 
     gst, paid: matches of books and bank that are there already; else they are made here, once, as the registry's
     tolerance says, and shared by the rules that read them.
@@ -55,9 +56,9 @@ def drafts(t: dict[str, DataFrame], on: dict[str, dict[str, float]], as_of: str,
         out += [rules.r6_unidentified_deposit(t["bank"], paid, on["R6"])] if "R6" in on else []
     if on.keys() & {"R9", "R10"}:
         advised = inbox.recommend(t["inbox"], t["books"], rules.paise((on.get("R10") or rules.THRESHOLDS["R10"])["tolerance_inr"]))
-        out += [f(advised) for code, f in (("R9", rules.r9_action_required), ("R10", rules.r10_recommend_reject)) if code in on]
+        out += [f(advised) for code, f in (("R9", rules.r9_action_required), ("R10", lambda rows: rules.r10_recommend_reject(rows, t.get("parties")))) if code in on]
     if "R7" in on:
-        out.append(rules.r7_concentration(t["ledger"], on["R7"]))
+        out.append(rules.r7_concentration(t["ledger"], on["R7"], t.get("parties")))
     if "R8" in on:
         out.append(rules.r8_ageing(t["ledger"], t["ledger"].select("company_id", "period").distinct(), on["R8"], evidence))
     if "R11" in on:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.matching import stored
+from ..operators.matching import scratch_path
+from ..sources import manifests
 
 VIEWS = {
     "amounts": """
@@ -73,8 +74,13 @@ FROM {filings} f LEFT JOIN (SELECT DISTINCT company_id, period FROM {portal} WHE
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+#: Where `amounts` of a session's inputs lies: by application, folder and the inputs' state.
+_WRITTEN: dict[tuple, str] = {}
+
+
 class Views(dict):
-    """name -> lazy DataFrame, made when it is asked for. `amounts`, which most views start from, is written once."""
+    """name -> lazy DataFrame, made when it is asked for. `amounts`, which most views start from, is written once a session for
+    the files as they are; if they change, or what was written is gone, it is written anew."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
@@ -86,9 +92,20 @@ class Views(dict):
         else:
             text = VIEWS[name]
             made = self.spark.sql(text, **{t: self[t] for t in (*TABLES, *VIEWS) if "{" + t + "}" in text})
-        self[name] = stored(made) if name == "amounts" else made
+        self[name] = self._once(made) if name == "amounts" else made
         return self[name]
 
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in VIEWS or name in TABLES else default
+
+    def _once(self, made: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, *(manifests.changed(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("orders", "lineitem")))
+        at = _WRITTEN.get(key)
+        if at is None or "_SUCCESS" not in manifests.names(self.spark, at):
+            at = _WRITTEN[key] = scratch_path(self.spark, "amounts")
+            made.write.parquet(at)
+        return self.spark.read.schema(made.schema).parquet(at)
+
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
     return Views(spark, sf_dir)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .catalog import AS_OF, inr_sql, register
 from .functions import dates, text
+from .operators import inbox as inbox_ops
 from .operators import matching, rules, runner
 from .plans import evaluation, nightly, reports
-from .plans.twins import BANK_STATE, DRAFTS, PCT
+from .plans.twins import BANK_STATE, DRAFTS, PCT, REC, WHOLE
 from .sources import lines
 
 BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
@@ -419,3 +420,59 @@ def evidence_source(v):
     body = own.select("document", "source_row", F.concat(F.lit("line "), F.col("record_id").cast("string")).alias("line"))
     store.add(body.union(own.select("document", F.lit(1), F.concat(F.lit("header of "), "document")).distinct()))
     return store.around(own.where("record_id % 97 = 0").select("document", "source_row"))
+
+
+def fact(name: str) -> F.Column:
+    return F.try_element_at("metrics", F.lit(name))
+
+
+DAYS = f"date_diff('day', DATE '{AS_OF}', deadline)"
+
+
+@register(f""" SELECT company_id, period, risk_key, age AS age_periods, CAST(days AS INT) AS days_to_deadline, CAST(deadline AS VARCHAR) AS deadline, reason,
+'CGST ' || {inr_sql('cgst')} || ', SGST ' || {inr_sql('sgst')} || ', IGST ' || {inr_sql('igst')} || ', CESS ' || {inr_sql('cess')} || ', in all ' || {inr_sql('headline')} || ' in no statement; ' || reason AS calculation,
+'A booked purchase that no statement shows, so its credit can''t be claimed yet. The limit of Sec 16(4) is ' || CAST(deadline AS VARCHAR) || ': ' || reason || '.' AS rule_text
+FROM (SELECT *, CASE WHEN days < 0 THEN 'lost ' || CAST(-days AS VARCHAR) || ' days ago' WHEN days <= 60 THEN 'at risk in ' || CAST(days AS VARCHAR) || ' days' WHEN age >= 3 THEN 'at risk after ' || CAST(age AS VARCHAR) || ' periods'
+  WHEN age >= 2 THEN 'to chase after ' || CAST(age AS VARCHAR) || ' periods' ELSE 'to watch' END AS reason
+  FROM (SELECT r1.*, b.cgst, b.sgst, b.igst, b.cess, {DAYS} AS days, CAST((CAST(substring(latest, 1, 4) AS INT) * 12 + CAST(substring(latest, 6, 2) AS INT)) - (CAST(substring(r1.period, 1, 4) AS INT) * 12 + CAST(substring(r1.period, 6, 2) AS INT)) AS INT) AS age
+    FROM r1 JOIN lp USING (company_id) JOIN books b ON b.id = r1.id))""", WHOLE)
+def unmatched_reasons(v):
+    """Why and how urgently each unmatched credit counts, with its arithmetic and rule."""
+    found = rules.r1_unmatched_credit(v["books"], gst_matches(v), AS_OF, v["periods"])
+    return found.select("company_id", "period", "risk_key", fact("age_periods").cast("int").alias("age_periods"), fact("days_to_deadline").cast("int").alias("days_to_deadline"), fact("sec_16_4_deadline").alias("deadline"), fact("reason").alias("reason"), "calculation", "rule_text")
+
+
+@register(f""" SELECT r3.company_id, r3.period, r3.risk_key, CAST(n AS INT) AS occurrences, CAST(n AS VARCHAR) || ' rows of one document; ' || {inr_sql('headline')} || ' too much' AS calculation FROM r3 JOIN books b ON b.id = r3.id
+JOIN (SELECT company_id, supplier_gstin, norm_invoice_no, count(*) AS n FROM books GROUP BY 1, 2, 3) c ON c.company_id = b.company_id AND c.supplier_gstin = b.supplier_gstin AND c.norm_invoice_no = b.norm_invoice_no""", WHOLE)
+def duplicate_occurrences(v):
+    found = rules.r3_duplicate(v["books"], v["portal"], gst_matches(v))
+    return found.select("company_id", "period", "risk_key", fact("occurrences").cast("int").alias("occurrences"), "calculation")
+
+
+@register("SELECT company_id, period, CAST(max(actioned_at) AS VARCHAR) AS latest_action, CAST(count(*) AS VARCHAR) || ' actions after day 14, the last on ' || CAST(max(actioned_at) AS VARCHAR) AS calculation FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2")
+def late_actions(v):
+    return rules.r11_stale_statement(v["inbox"]).select("company_id", "period", fact("latest_action").alias("latest_action"), "calculation")
+
+
+@register(f" SELECT s.company_id, s.period, CAST(n - 1 AS INT) AS nth, p.party_id, coalesce(name || ': ', '') || {inr_sql('CAST(amount AS BIGINT)')} || ' in the period' AS note FROM r7s s JOIN r7p p ON p.company_id = s.company_id AND p.period = s.period AND n <= 3 LEFT JOIN parties q ON q.company_id = p.company_id AND q.party_id = p.party_id WHERE pct > 50", DRAFTS)
+def concentration_customers(v):
+    """The customers behind each concentration, by name."""
+    found = rules.r7_concentration(v["ledger"], parties=v["parties"])
+    return found.select("company_id", "period", F.posexplode("evidence").alias("nth", "e")).select("company_id", "period", "nth", F.col("e.record_id").alias("party_id"), "e.note")
+
+
+@register("""SELECT rec.company_id, rec.period, rec.id, coalesce(p.name, rec.supplier_gstin) AS supplier_name, CASE WHEN action IS NULL THEN 'decide' WHEN doc_type = 'credit_note' OR (is_amendment AND coalesce(direction, '') = 'downward') THEN 'ask first' ELSE 'reject' END AS advice
+FROM rec LEFT JOIN parties p ON p.company_id = rec.company_id AND p.gstin = rec.supplier_gstin WHERE action = 'reject' OR (doc_type = 'credit_note' AND action IS NULL AND supplier_filed)""", REC)
+def reject_suppliers(v):
+    """Who stands behind the records to reject, by tax id, and what the rule says of them."""
+    found = rules.r10_recommend_reject(inbox_ops.recommend(v["inbox"], v["books"]), v["parties"])
+    text_ = F.col("rule_text")
+    advice = F.when(text_.startswith("A credit note"), "decide").when(F.contains(text_, F.lit("ask them first")), "ask first").otherwise("reject")
+    return found.select("company_id", "period", F.element_at("evidence", 1)["record_id"].alias("id"), fact("supplier_name").alias("supplier_name"), advice.alias("advice"))
+
+
+@register("SELECT company_id, l_id AS left_id, r_id AS right_id, CAST(k0 + k1 + k2 + k3 + k4 + 2 AS INT) AS parameters_matched, CAST(1 AS DOUBLE) AS gstin, CAST(q AS DOUBLE) / 10000 AS invno, round_even(CAST(greatest(0, s - abs(amount_delta)) AS DOUBLE) / s, 4) AS amount, round_even(CAST(greatest(0, 30 - abs(date_delta_days)) AS DOUBLE) / 30, 4) AS day FROM mt", WHOLE)
+def match_breakdown(v):
+    """What each part of a match's score gave, and how many of seven things agree."""
+    hit = gst_matches(v).where("status = 'matched'")
+    return hit.select("company_id", "left_id", "right_id", "parameters_matched", *(F.col(f"breakdown.{n}").alias(a) for n, a in (("gstin", "gstin"), ("invno", "invno"), ("amount", "amount"), ("date", "day"))))

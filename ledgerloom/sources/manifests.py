@@ -52,3 +52,10 @@ def read_json(spark: SparkSession, path: str) -> Any:
     text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
     return json.loads(text)
+
+
+def changed(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """The path, the latest change of it or of what lies in it, and how much that is."""
+    at, files = _path(spark, path), file_system(spark, path)
+    each = files.listStatus(at) if files.exists(at) else []
+    return path, max((s.getModificationTime() for s in each), default=0), sum(s.getLen() for s in each)

@@ -17,7 +17,7 @@ from .arrivals import touched
 #: Columns of a row; the portal alone has the last two.
 ROW = "side string, id bigint, company_id int, period string, supplier_gstin string, norm_invoice_no string, invoice_date date, taxable bigint, cgst bigint, sgst bigint, igst bigint, cess bigint, section string, amends_invoice_no string"
 NAMES = [f.split()[0] for f in ROW.split(", ")]
-MATCH = "company_id int, period string, left_type string, left_id bigint, right_id bigint, status string, method string, score double, amount_delta bigint, date_delta_days int, period_gap int"
+MATCH = "company_id int, period string, left_type string, left_id bigint, right_id bigint, status string, method string, score double, amount_delta bigint, date_delta_days int, period_gap int, parameters_matched int, breakdown struct<gstin:double,invno:double,amount:double,date:double>"
 BOOKS, PORTAL = "books", "portal"
 
 
@@ -72,7 +72,7 @@ class LateMatches:
             mine = rows.select(kind, F.col("id").alias("left_id"), "bucket")
             anew = reconcile(rows.where(F.col("side") == BOOKS), rows.where(F.col("side") == PORTAL)).join(mine, ["left_type", "left_id"])
             old = self._matches({b: n for b, n in state["matches"].items() if int(b) in hit}).join(mine, ["left_type", "left_id"], "left_anti")
-            names = [f.split()[0] for f in MATCH.split(", ")]
+            names = self.spark.createDataFrame([], MATCH).columns
             out = f"{self.path}/matches/batch={batch}"
             old.select(*names, "bucket").union(anew.select(*names, "bucket")).write.mode("overwrite").partitionBy("bucket").parquet(out)
             written = {n.removeprefix("bucket=") for n in manifests.names(self.spark, out)}

@@ -31,7 +31,7 @@ def some_rows(n=60):
 
 
 def shown(df):
-    return sorted(map(str, df.select(*[f.split()[0] for f in late.MATCH.split(", ")]).collect()))
+    return sorted(map(str, df.select(*df.sparkSession.createDataFrame([], late.MATCH).columns).collect()))
 
 
 def at_once(spark, rows):
