@@ -217,26 +217,55 @@ def indel_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([200.0 * lcs_length(a or "", b or "") / n if (n := len(a or "") + len(b or "")) else 100.0 for a, b in zip(left, right, strict=True)])
 
 
+def _lengths(a: str, b: str) -> list[int]:
+    """The longest common subsequence of a with each beginning of b, the empty one first."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row
+
+
+def _kept(a: str, b: str) -> str:
+    """A longest common subsequence, in memory of one text's length: a is halved, b where both halves keep most."""
+    if not a or not b:
+        return ""
+    if len(a) == 1:
+        return a if a in b else ""
+    half = len(a) // 2
+    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = max(range(len(b) + 1), key=lambda j: left[j] + right[j])
+    return _kept(a[:half], b[:cut]) + _kept(a[half:], b[cut:])
+
+
+#: Characters of a text that is compared with another.
+MOST_DIFFED = 10_000
+
+
 def char_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Runs of characters that are kept, removed from a or added in b; what is kept is a longest common subsequence."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    """Runs of characters that are kept, removed from a or added in b; what is kept is a longest common subsequence. Texts longer
+    than MOST_DIFFED are an error: the time it takes grows with their product."""
+    if max(len(a), len(b)) > MOST_DIFFED:
+        raise ValueError(f"texts of over {MOST_DIFFED} characters aren't compared by characters")
     out: list[list[str]] = []
+
+    def tell(op: str, text: str) -> None:
+        if text and out and out[-1][0] == op:
+            out[-1][1] += text
+        elif text:
+            out.append([op, text])
+
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            op, c, i, j = "keep", a[i], i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            op, c, i = "remove", a[i], i + 1
-        else:
-            op, c, j = "add", b[j], j + 1
-        if out and out[-1][0] == op:
-            out[-1][1] += c
-        else:
-            out.append([op, c])
+    for c in _kept(a, b):
+        at, to = a.index(c, i), b.index(c, j)
+        tell("remove", a[i:at])
+        tell("add", b[j:to])
+        tell("keep", c)
+        i, j = at + 1, to + 1
+    tell("remove", a[i:])
+    tell("add", b[j:])
     return [(op, c) for op, c in out]
 
 

@@ -327,19 +327,29 @@ def events_session(v):
     return event_windows.sessions(v["events"])
 
 
-@register("""WITH a AS (SELECT p_partkey, lower(p_name) AS h, instr(lower(p_name), 'r') AS x FROM part), b AS (SELECT *, instr(substring(h, x + 1), 'n') AS dn FROM a WHERE x > 0), c AS (SELECT *, x + dn AS y, instr(substring(h, x + dn + 1), 'g') AS dg FROM b WHERE dn > 0)
-SELECT p_partkey, CAST(r1 + r2 + CASE WHEN dg = 1 THEN r2 + 1 ELSE 1 END AS INT) AS score FROM (SELECT *, CASE WHEN x = 1 THEN 1 ELSE 1 END AS r1, CASE WHEN dn = 1 THEN 2 ELSE 1 END AS r2 FROM c WHERE dg > 0)""")
+NEEDLES = ("rng", "e", "aa", "ee ", "Green")
+
+
+@register("""WITH q AS (SELECT unnest(['rng', 'e', 'aa', 'ee ', 'Green']) AS needle),
+s AS (SELECT p_partkey, needle, lower(p_name) AS h, lower(needle) AS n, 0 AS k, 0 AS place, 0 AS run, 0 AS score FROM part, q UNION ALL
+  SELECT p_partkey, needle, h, n, k + 1, CASE WHEN d > 0 THEN place + d ELSE -1 END, CASE WHEN d = 1 THEN run + 1 ELSE 1 END, score + CASE WHEN d = 1 THEN run + 1 ELSE 1 END FROM (SELECT *, instr(substring(h, place + 1), substring(n, k + 1, 1)) AS d FROM s WHERE place >= 0 AND k < length(n)))
+SELECT p_partkey, needle, CAST(score AS INT) AS score FROM s WHERE k = length(n) AND place > 0""")
 def search_score(v):
-    return v["part"].select("p_partkey", text.subsequence_score(F.lit("rng"), F.col("p_name")).alias("score")).where("score > 0")
+    """How well each part's name answers several needles: their characters in order, more for runs."""
+    asked = v["part"].select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
+    return asked.select("p_partkey", "needle", text.subsequence_score(F.col("needle"), F.col("p_name")).alias("score")).where("score > 0")
 
 
-@register("SELECT o_orderkey, CAST(list_distinct([CAST(o_orderkey AS BIGINT)])[1] AS BIGINT) AS unsupported FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey <> 7")
+@register("""SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey = 16 THEN ['16'] ELSE [CAST(o_orderkey AS VARCHAR), '16.00'] END WHEN 1 THEN [CAST(o_orderkey AS VARCHAR)] WHEN 2 THEN ['37.00'] ELSE [] END) AS unsupported FROM orders""")
 def numeric_guard(v):
-    """Sentences about orders; those on even orders name a number that their facts don't hold."""
-    said = F.concat(F.lit("Under section 16(4) and GSTR-2B the sum is 1,234.50 of order "), F.col("o_orderkey").cast("string"))
-    facts = F.concat(F.lit("1234.50 7 "), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderkey").cast("string")).otherwise(""))
-    odd = text.unsupported_numbers(said, facts)
-    return v["orders"].select("o_orderkey", odd.alias("odd")).where(F.size("odd") > 0).select("o_orderkey", F.col("odd")[0].cast("bigint").alias("unsupported"))
+    """Sentences about orders with names of sections, rules, forms and years; what their facts don't hold: the order's number and a
+    bare 16; the number beside names that hold figures; a figure of a rule without its word; nothing. A number counts once."""
+    key, turn = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    names = F.lit("Under section 16(4), Sec 17(5), Rule 37A and GSTR-2B the sum is 1,234.50")
+    said = F.when(turn == 0, F.concat(names, F.lit(" of order "), key, F.lit(" and 16"))).when(turn == 1, F.concat(names, F.lit(" of order "), key)).when(turn == 2, F.concat(names, F.lit(" by 37"))).otherwise(F.concat(names, F.lit(" of order "), key))
+    facts = F.concat(F.lit("1234.50 "), F.when(turn == 3, key).otherwise(""))
+    odd = F.transform(text.unsupported_numbers(said, facts), lambda x: F.when(x == F.col("o_orderkey"), key).otherwise(x.cast("string")))
+    return v["orders"].select("o_orderkey", F.explode(odd).alias("unsupported"))
 
 
 from . import queries_findings, queries_sources  # noqa: E402, F401 - they register theirs

@@ -12,7 +12,7 @@ from .functions import dates, money, text
 from .operators import matching, parties
 from .plans import reports
 from .plans.twins import WHOLE
-from .sources import feeds, sinks
+from .sources import feeds, ingest, sinks
 from .streaming import arrivals, inbox_clock, late
 
 
@@ -389,3 +389,92 @@ def inbox_deemed(v):
         arrivals.each_batch(inbox_clock.answered(stream), f"{at}/checkpoint", keep).awaitTermination()
     done = v.spark.read.schema(inbox_clock.OUTCOME + ", batch int").parquet(f"{at}/out")
     return done.where("id >= 0").select("company_id", "id", "outcome", F.col("at").cast("date").cast("string").alias("on_day"))
+
+
+MONTH_LIKE = """WITH lb AS (SELECT DISTINCT company_id AS c, period AS g, norm_invoice_no AS l FROM books), rb AS (SELECT DISTINCT company_id AS c, period AS g, norm_invoice_no AS r FROM portal),
+bt AS (SELECT c, g, l, r, (CAST(1 AS BIGINT) << length(l)) - 1 AS f, list_transform(string_split(r, ''), lambda ch: CAST(list_sum(list_transform(range(length(l)), lambda i: CASE WHEN l[i + 1] = ch THEN CAST(1 AS BIGINT) << i ELSE CAST(0 AS BIGINT) END)) AS BIGINT)) AS hits FROM lb JOIN rb USING (c, g)),
+rt AS (SELECT c, g, l, r, 200.0::DOUBLE * (length(l) - bit_count(list_reduce(list_prepend(f, hits), lambda w, h: ((w + (w & h)) | (w - (w & h))) & f))) / (length(l) + length(r)) AS ratio FROM bt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY c, g, l ORDER BY ratio DESC, r) AS k FROM rt WHERE ratio >= 60)
+SELECT DISTINCT c AS company_id, g AS period, l AS number, r AS other, CAST(round_even(ratio * 100, 0) AS INT) AS likeness FROM rk WHERE k <= 3 AND ratio < 100"""
+
+
+@register(MONTH_LIKE)
+def numbers_searched(v):
+    """The likest numbers of each month's documents, whoever supplied them, by the search that large blocks go through."""
+    block = lambda df: df.withColumn("supplier_gstin", F.col("period"))
+    found = matching.fuzzy_pairs(block(v["books"]), block(v["portal"]), 0)
+    return found.select("company_id", F.col("l_supplier_gstin").alias("period"), F.col("l_norm_invoice_no").alias("number"), F.col("r_norm_invoice_no").alias("other"), F.bround(F.col("number_ratio") * 10_000).cast("int").alias("likeness")).distinct()
+
+
+FIRM = "upper('F' || substr(md5(CAST(party_id AS VARCHAR)), 1, 12))"
+
+
+def company_folders(v) -> str:
+    """Registers of two layouts with quoted breaks, statements and bank statements of all companies, several files each."""
+    at = folder(v, "companies")
+    name = F.concat(F.lit("F"), F.substring(F.md5(F.col("party_id").cast("string").cast("binary")), 1, 12))
+    inv = v["invoices"].withColumns({"name": name, "t": F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst") + F.col("cess")})
+    text_of = F.concat(F.lit('said "so",\nthen more '), F.col("id").cast("string"))
+    one = inv.where("id % 2 = 0").select("company_id", F.lit("purchase_register").alias("kind"), F.date_format("invoice_date", "dd-MMM-yyyy").alias("Date"), F.concat(F.lit("M/s "), "name", F.lit(" Pvt Ltd")).alias("Particulars"), F.concat(F.lit("inv/"), "norm_invoice_no").alias("Voucher No"), rupees("t").alias("Invoice Value"), text_of.alias("Narration"))
+    two = inv.where("id % 2 = 1").select("company_id", F.lit("purchase_register").alias("kind"), text_of.alias("Remarks"), rupees("t").alias("Grand Total"), F.concat(F.lit("Bill No. "), "norm_invoice_no").alias("bill-no"), F.concat("name", F.lit(" Limited")).alias("SUPPLIER NAME"), F.date_format("invoice_date", "d/M/yyyy").alias("Bill Date"))
+    paid = v["bank"].withColumn("name", name).select("company_id", F.lit("bank_stmt").alias("kind"), F.date_format("txn_date", "dd/MM/yyyy").alias("Txn Date"), F.when(F.col("party_id").isNull(), "CASH").otherwise(F.concat(F.lit("NEFT CR "), "name", F.lit(" 99887766"))).alias("Narration"), F.col("id").cast("string").alias("Ref No"), rupees("debit").alias("Withdrawal Amt."), rupees("credit").alias("Deposit Amt."))
+    for df, date in ((one, "Date"), (two, "Bill Date"), (paid, "Txn Date")):
+        df.repartition(4, F.right(F.col(date), F.lit(4))).write.mode("append").option("header", True).option("escape", '"').partitionBy("company_id", "kind").csv(at)
+    entry = F.struct(F.col("norm_invoice_no").alias("inum"), F.date_format("invoice_date", "dd-MM-yyyy").alias("idt"), rupees("taxable").alias("txval"))
+    block = F.struct(F.col("supplier_gstin").alias("ctin"), F.concat("name", F.lit(" Private Limited")).alias("trdnm"), F.array(entry).alias("inv"))
+    months = v["portal"].where("section = 'B2B' and supplier_gstin is not null").withColumn("party_id", F.substring("supplier_gstin", 2, 30).cast("bigint")).withColumn("name", name).groupBy("company_id", "period").agg(F.collect_list(block).alias("b2b"))
+    data = F.struct(F.concat(F.substring("period", 6, 2), F.substring("period", 1, 4)).alias("rtnprd"), F.struct("b2b").alias("docdata"))
+    months.select("company_id", F.lit("gstr2b").alias("kind"), F.to_json(F.struct(data.alias("data"))).alias("value")).write.mode("append").option("maxRecordsPerFile", 1).partitionBy("company_id", "kind").text(at)
+    return at
+
+
+@register(f"""SELECT company_id, 'purchase' AS kind, norm_invoice_no AS ref, CAST(invoice_date AS VARCHAR) AS day, taxable + cgst + sgst + igst + cess AS paise, CASE WHEN EXISTS (SELECT 1 FROM portal p WHERE p.section = 'B2B' AND p.company_id = i.company_id AND p.supplier_gstin = i.supplier_gstin) THEN supplier_gstin END AS who FROM invoices i
+UNION ALL SELECT company_id, 'bank', CAST(id AS VARCHAR), CAST(txn_date AS VARCHAR), coalesce(credit, debit), CASE WHEN party_id IS NOT NULL THEN {FIRM} END FROM bank WHERE coalesce(credit, debit) <> 0
+UNION ALL SELECT company_id, 'period', period, NULL, NULL, NULL FROM (SELECT company_id, period FROM invoices UNION SELECT company_id, period FROM portal WHERE section = 'B2B' AND supplier_gstin IS NOT NULL UNION SELECT company_id, period FROM bank)""")
+def companies_ingested(v):
+    """All companies' folders read at once: purchases with the tax id that the statements give their suppliers, bank lines with the
+    party that their narration names, and the periods found."""
+    out = ingest.ingest_companies(v.spark, company_folders(v))
+    who = out["parties"].select("company_id", "party_id", "key")
+    bought = out["purchase_register"].select("company_id", F.lit("purchase").alias("kind"), F.col("norm_invoice_no").alias("ref"), F.col("day").cast("string").alias("day"), money.to_paise(F.col("total")).alias("paise"), F.col("supplier_gstin").alias("who"))
+    paid = out["bank_stmt"].join(who, ["company_id", "party_id"], "left").select("company_id", F.lit("bank"), "ref_no", F.col("day").cast("string"), money.to_paise(F.coalesce("credit", "debit")), "key")
+    none = F.lit(None)
+    return bought.union(paid).union(out["periods"].select("company_id", F.lit("period"), "period", none.cast("string"), none.cast("bigint"), none.cast("string")))
+
+
+@register("SELECT DISTINCT CAST(p_partkey % 5 AS INT) AS company_id, sha256(p_brand) AS sha256 FROM part WHERE p_partkey % 5 <> 0")
+def files_arrived(v):
+    """Files of companies as they arrive, some twice and in two batches, without those that a manifest holds."""
+    at = folder(v, "arrivals")
+    files = v["part"].select((F.col("p_partkey") % 5).cast("int").alias("company_id"), (F.col("p_partkey") % 2).alias("turn"), "p_brand").distinct()
+    known = matching.stored(files.where("company_id = 0").select("company_id", F.sha2("p_brand", 256).alias("sha256")).distinct())
+    for turn in range(2):
+        files.where(F.col("turn") == turn).select("company_id", F.col("p_brand").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).option("lineSep", "\u0000").partitionBy("company_id").text(f"{at}/in")
+
+        def take(batch: DataFrame, number: int) -> None:
+            seen = v.spark.read.schema("company_id int, sha256 string").parquet(f"{at}/seen") if number else known
+            shown = batch.withColumn("sha256", F.sha2(F.rtrim(F.col("content").cast("string"), F.lit("\u0000")), 256))
+            arrivals.unseen(shown, known.union(seen)).select("company_id", "sha256").write.mode("append").parquet(f"{at}/seen")
+
+        arrivals.each_batch(arrivals.arriving_files(v.spark, f"{at}/in"), f"{at}/checkpoint", take).awaitTermination()
+    return v.spark.read.parquet(f"{at}/seen")
+
+
+@register("SELECT slug, CASE WHEN c_custkey % 3 = 0 THEN 'renamed ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 THEN 'G2' ELSE 'G1' END AS gstin, 'firm ' || CAST(CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 7 + 1 ELSE c_custkey % 7 END AS VARCHAR) AS firm FROM (SELECT *, 'c-' || CAST(c_custkey AS VARCHAR) AS slug FROM customer)")
+def companies_merged(v):
+    """Firms and companies after two runs: known companies take the new name and tax id and keep their firm, new ones come in."""
+    c = v["customer"].select("c_custkey", F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("slug"), "c_name")
+    turn = F.col("c_custkey") % 3
+    run = lambda df, firm, name, gstin, seen: df.select(F.concat(F.lit("firm "), firm.cast("string")).alias("firm"), "slug", name.alias("name"), F.lit(gstin).alias("gstin"), F.lit(seen).alias("seen"))
+    no_firms, none = v.spark.createDataFrame([], "firm_id string, name string"), v.spark.createDataFrame([], "company_id string, firm_id string, slug string, name string, gstin string")
+    firms, made = sinks.merge_companies(no_firms, none, run(c.where(turn != 1), F.col("c_custkey") % 7, F.col("c_name"), "G1", 1))
+    again = run(c.where(turn == 0), F.col("c_custkey") % 7 + 1, F.concat(F.lit("renamed "), "c_name"), "G2", 2).union(run(c.where(turn == 1), F.col("c_custkey") % 7 + 1, F.col("c_name"), "G2", 2))
+    firms, made = sinks.merge_companies(firms, made, again)
+    return made.join(firms.select("firm_id", F.col("name").alias("firm")), "firm_id").select("slug", "name", "gstin", "firm")
+
+
+@register("SELECT document, count(*) FILTER (WHERE record_type = 'purchase_invoice') AS row_count FROM sources GROUP BY 1")
+def documents_counted(v):
+    """How many rows came of each document; of some none of those that are asked for."""
+    docs = v["sources"].select("document").distinct()
+    return sinks.count_rows(docs, v["sources"].where("record_type = 'purchase_invoice'"))

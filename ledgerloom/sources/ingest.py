@@ -123,10 +123,11 @@ def ingest_folder(spark: SparkSession, folder: str, company_id: int) -> dict[str
 
 
 def kind_of(document: F.Column, kinds: Iterable[str] = FILES) -> F.Column:
-    """The kind of a file by its name; null for others."""
+    """The kind of a file, by a folder kind=... on its way or by its name; null for others."""
     name = F.element_at(F.split(document, "/"), -1)
     out = F.lit(None).cast("string")
     for kind in kinds:
+        out = F.when(F.contains(document, F.lit(f"/kind={kind}/")), kind).otherwise(out)
         out = F.when(name.rlike("^" + FILES[kind].replace(".", "\\.").replace("*", ".*") + "$"), kind).otherwise(out)
     return out
 
@@ -137,7 +138,8 @@ def company_of(document: F.Column) -> F.Column:
 
 
 def ingest_companies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """What ingest_folder gives, for all companies' folders root/company_id=N at once, each row with its company_id; besides
+    """What ingest_folder gives, for all companies' folders root/company_id=N at once, each row with its company_id; a file may also
+    lie in a folder kind=K there, under any name. Besides
     `unreadable`: files whose headers lack a field, with the reason, which stop no other file.
 
     One scan reads all CSV files and one each all statements and inboxes; so the number of jobs depends on neither the
@@ -151,8 +153,8 @@ def ingest_companies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         if frames:
             raw[kind] = stored(reduce(DataFrame.unionByName, (read(f) for f in frames)).withColumn("company_id", company_of(F.col("document"))))
     for kind, read_json in JSON.items():
-        at = f"{root.rstrip('/')}/*/{FILES[kind]}"
-        if feeds.any_file(spark, at):
+        at = [p for p in (f"{root.rstrip('/')}/*/{FILES[kind]}", f"{root.rstrip('/')}/*/kind={kind}/*") if feeds.any_file(spark, p)]
+        if at:
             raw[kind] = stored(read_json(spark, at).withColumn("company_id", company_of(F.col("document"))))
     periods = reduce(DataFrame.union, (df.select("company_id", "period") for df in raw.values()), spark.createDataFrame([], "company_id int, period string"))
     known = stored(periods.where("period is not null").distinct())

@@ -8,6 +8,7 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import stable_id
 from . import manifests
 from .columns import BANK, LEDGER, PURCHASES, SALES, Layout
 
@@ -36,6 +37,22 @@ def merge_rows(old: DataFrame, new: DataFrame, key: list[str], replace: list[str
     return met.select(*key, *(pick(c).alias(c) for c in old.columns if c not in key))
 
 
+def merge_companies(firms: DataFrame, companies: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """firms (firm_id, name) and companies (company_id, firm_id, slug, name, gstin) after a run of named companies (firm, slug, name,
+    gstin, seen): ids are those of the firm's name and the slug, a firm that is known stays, a company that is known takes the new
+    name and tax id and stays with its firm. Of several rows of a slug the last seen counts."""
+    last = named.groupBy("slug").agg(*(F.max_by(c, "seen").alias(c) for c in ("firm", "name", "gstin")))
+    new_firms = named.select(stable_id("firm", F.col("firm")).alias("firm_id"), F.col("firm").alias("name")).distinct()
+    new = last.select(stable_id("company", F.col("slug")).alias("company_id"), stable_id("firm", F.col("firm")).alias("firm_id"), "slug", "name", "gstin")
+    return merge_rows(firms, new_firms, ["firm_id"], []), merge_rows(companies, new, ["company_id"], ["name", "gstin"])
+
+
+def count_rows(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """documents (document, ...) with row_count: how many of rows (document) came of each; 0 if none did."""
+    n = rows.groupBy("document").agg(F.count("*").alias("row_count"))
+    return documents.join(n, "document", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+
+
 def mark_generated(periods: DataFrame, statements: DataFrame) -> DataFrame:
     """periods with `generated` set where statements (company_id, period) have come."""
     came = statements.select("company_id", "period").distinct().withColumn("came", F.lit(True))

@@ -63,3 +63,17 @@ def test_ratio_against_brute_force(spark):
 def test_guard_and_search(spark):
     assert values(spark, text.numbers_in, ["Section 16(4) and GSTR-2B: 2,59,012.40 of 3"]) == [[Decimal("259012.40"), Decimal("3.00")]]
     assert values(spark, lambda c: text.subsequence_score(F.lit("rg"), c), ["ring", "rg", "go", ""]) == [2, 3, 0, 0]
+
+
+def test_differences_keep_a_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc1", k=rng.randint(0, 14))) for _ in range(2))
+        d = text.char_diff(a, b)
+        assert "".join(t for op, t in d if op != "add") == a and "".join(t for op, t in d if op != "remove") == b
+        assert sum(len(t) for op, t in d if op == "keep") == text.lcs_length(a, b)
+        assert all(x[0] != y[0] for x, y in zip(d, d[1:], strict=False))
+    long = "".join(rng.choices("ab", k=1500))
+    assert sum(len(t) for op, t in text.char_diff(long, long[5:] + "x" * 5) if op == "keep") >= 1495
+    with pytest.raises(ValueError, match="characters"):
+        text.char_diff("a" * 10_001, "")
