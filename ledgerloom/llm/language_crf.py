@@ -14,7 +14,8 @@ Every value of lang that a row outside the held-out fold has is a state. Up to M
 proportion (a document of each at least), so that memory stays what it is with MANY.
 
 Texts that are null or have no letter are `und` with score 0. Without any labelled document all texts are
-`und`. Rows return as often as they stand; other columns are ignored.
+`und`. Rows return as often as they stand; other columns are ignored. Texts of over LONG characters go through the
+chain in blocks: a pass forward keeps a vector a block, a pass backward counts; so besides the text itself memory is bounded.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -44,6 +46,8 @@ TRIGRAMS, WIDTH = 12, 13
 SLOTS = 10 + TRIGRAMS
 #: Texts whose chains run side by side, and numbers (positions by languages) that they may hold, but for one long text.
 AT_ONCE, CELLS = 512, 2_000_000
+#: Characters from which a text's chain runs in blocks, and positions of a block.
+LONG, BLOCK = 400_000, 16_384
 #: Steps between rescalings of the sums: a step takes e^-40 at most, so they can't vanish.
 RESCALE = 8
 
@@ -136,22 +140,25 @@ class Emissions(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward sums up to a factor of each position, and 0 past a chain's end.
 
-    emit: (time, chains, states), chains sorted by length, longest first; transition is exponentiated.
+    emit: (time, chains, states), chains sorted by length, longest first; transition is exponentiated. If the chains are
+    parts of longer ones, before and after (chains, states) are the forward sums of the positions before them and the backward
+    sums of their last positions.
     """
     steps, chains, states = emit.shape
     live = np.searchsorted(-length, -np.arange(steps), side="left")  # chains longer than t
     alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-    a = emit[0] / emit[0].sum(axis=1, keepdims=True)
+    a = emit[0] if before is None else (before @ transition) * emit[0]
+    a = a / a.sum(axis=1, keepdims=True)
     alpha[0] = a
     for t in range(1, steps):
         a = (a[: live[t]] @ transition) * emit[t, : live[t]]
         if t % RESCALE == 0:
             a /= a.sum(axis=1, keepdims=True)
         alpha[t, : live[t]] = a
-    b = np.full((chains, states), 1 / states)
+    b = np.full((chains, states), 1 / states) if after is None else after.copy()
     for t in range(steps - 1, -1, -1):
         n = live[t]
         beta[t, :n] = b[:n]
@@ -295,6 +302,55 @@ def label_words(texts: list[str | None], model: Model, cache: Emissions) -> list
     return out
 
 
+def positions(low: str, at: int = 0, skip: int = 0) -> Iterator[tuple[str, int, int]]:
+    """The positions of a lower-cased text's chain, as chunked() gives them, from the word at `at` and its letter `skip` on: each with
+    these two places."""
+    for m in LETTERS.finditer(low, at):
+        start, n = m.start(), m.end() - m.start()
+        if n <= TRIGRAMS:
+            yield low[start : start + n], start, 0
+        else:
+            for a in range(skip, n - 2, TRIGRAMS - 2):
+                yield low[start + a : start + min(a + TRIGRAMS, n)], start, a
+        skip = 0
+
+
+def long_chain(text: str, model: Model, cache: Emissions, block: int = BLOCK) -> tuple[int, np.ndarray, int]:
+    """A text's words, the mean probabilities of its positions and its switches, as label_words would give them, block by block."""
+    low, move, states = text.lower(), np.exp(model.transitions - model.transitions.max()), len(model.languages)
+    starts, befores, n_words, n = [(0, 0)], [None], 0, 0
+    if not states:
+        return sum(1 for _ in LETTERS.finditer(low)), np.zeros(0), 0
+
+    def emissions(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cache.learn(words)
+        return cache.table[cache.rows(words)][:, None, :], np.array([len(words)])
+
+    while True:
+        part = list(islice(positions(low, *starts[-1]), block + 1))
+        n_words += sum(a == 0 for _, _, a in part[:block])
+        n += len(part[:block])
+        if len(part) <= block:
+            break
+        alpha, _ = forward_backward(*emissions([w for w, _, _ in part[:block]]), move, befores[-1])
+        befores.append(alpha[-1] / alpha[-1].sum(axis=1, keepdims=True))
+        starts.append(part[block][1:])
+    total, switches, after, next_top = np.zeros(states), 0, None, None
+    if not n:
+        return 0, np.zeros(0), 0
+    for start, before in zip(reversed(starts), reversed(befores), strict=True):
+        emit, length = emissions([w for w, _, _ in islice(positions(low, *start), block)])
+        alpha, beta = forward_backward(emit, length, move, before, after)
+        p = marginals(alpha, beta)[:, 0]
+        top = p.argmax(axis=1)
+        total += p.sum(axis=0)
+        switches += int((top[1:] != top[:-1]).sum()) + (next_top is not None and int(top[-1] != next_top))
+        next_top = top[0]
+        after = (emit[0] * beta[0]) @ move.T
+        after /= after.sum(axis=1, keepdims=True)
+    return n_words, total / n, switches
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, n_words and switches (neighbouring positions of different likeliest languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -305,19 +361,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = {"doc_id": batch["doc_id"], "lang_pred": [], "score": [], "n_words": [], "switches": []}
             for at in range(0, len(batch["text"]), at_once):
-                for words, p in label_words(batch["text"][at : at + at_once], model, cache):
-                    out["n_words"].append(len(words))
-                    if not p.size:
-                        out["lang_pred"].append("und")
-                        out["score"].append(0.0)
-                        out["switches"].append(0)
-                        continue
-                    mean = p.mean(axis=0)
-                    best = int(mean.argmax())
-                    top = p.argmax(axis=1)
-                    out["lang_pred"].append(model.languages[best])
-                    out["score"].append(min(1.0, float(mean[best])))
-                    out["switches"].append(int((top[1:] != top[:-1]).sum()))
+                texts = batch["text"][at : at + at_once]
+                long = {i for i, t in enumerate(texts) if t and len(t) > LONG}
+                short = label_words([None if i in long else t for i, t in enumerate(texts)], model, cache)
+                for i, (words, p) in enumerate(short):
+                    if i in long:
+                        n_words, mean, switches = long_chain(texts[i], model, cache)
+                    else:
+                        top = p.argmax(axis=1) if p.size else np.empty(0)
+                        n_words, mean, switches = len(words), p.mean(axis=0) if p.size else np.zeros(0), int((top[1:] != top[:-1]).sum())
+                    best = int(mean.argmax()) if mean.size else -1
+                    out["n_words"].append(n_words)
+                    out["lang_pred"].append(model.languages[best] if mean.size else "und")
+                    out["score"].append(min(1.0, float(mean[best])) if mean.size else 0.0)
+                    out["switches"].append(switches)
             yield out
 
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, n_words int, switches int")

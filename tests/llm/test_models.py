@@ -169,3 +169,36 @@ def test_language_repeated_rows_and_batches(spark):
     cache = L.Emissions(model)
     together, alone = L.label_words(texts, model, cache), [L.label_words([t], model, cache)[0] for t in texts]
     assert all(a[0] == b[0] and np.allclose(a[1], b[1]) for a, b in zip(together, alone, strict=True))
+
+
+def test_a_long_chain_in_blocks_equals_the_whole(monkeypatch, spark):
+    en, de = "the house and garden were very small", "das haus und der garten waren sehr klein"
+    model = L.train([("en", en.split())] * 40 + [("de", de.split())] * 40, epochs=4)
+    rng = np.random.default_rng(1)
+    pieces = [en, de, "thehouseandgardenwereverysmall" * 3, "hausundgarten", "12 ...", "ÄHNLICH", "x"]
+    for n in (0, 1, 5, 60):
+        text = " ".join(pieces[int(rng.integers(len(pieces)))] for _ in range(n))
+        ((words, p),) = L.label_words([text], model, L.Emissions(model))
+        for block in (1, 7, 64, 10_000):
+            n_words, mean, switches = L.long_chain(text, model, L.Emissions(model), block)
+            assert n_words == len(words)
+            if p.size:
+                top = p.argmax(axis=1)
+                assert np.allclose(mean, p.mean(axis=0)) and switches == int((top[1:] != top[:-1]).sum())
+            else:
+                assert not mean.size and not switches
+    rows = [(1, " ".join([en, de] * 30), "en"), (2, "... " * 900, None), (3, de, "de"), (4, en, "en")]
+    plain = sorted(map(tuple, L.identify(docs(spark, rows), model).collect()))
+    monkeypatch.setattr(L, "LONG", 300)
+    monkeypatch.setattr(L, "BLOCK", 11)
+    # tasks import the module anew, so the blocks are forced in this process
+    cache = L.Emissions(model)
+    n_words, mean, switches = L.long_chain(rows[0][1], model, cache, 11)
+    assert (n_words, switches) == plain[0][3:] and abs(float(mean.max()) - plain[0][2]) < 1e-9
+
+
+def test_a_very_long_text_is_labelled(spark):
+    model = L.train([("en", ["the", "house"])] * 40 + [("de", ["das", "haus"])] * 40, epochs=2)
+    rows = [(1, "the house " * 60_000, None), (2, "dashaus" * 80_000, None), (3, "das haus", None)]
+    out = {r.doc_id: r for r in L.identify(docs(spark, rows), model).collect()}
+    assert (out[1].lang_pred, out[1].n_words, out[1].switches) == ("en", 120_000, 0) and out[2].n_words == 1 and out[3].lang_pred == "de"
