@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import matching
+from ledgerloom.operators import likest, matching
 
 
 def loop(pairs):
@@ -57,10 +57,11 @@ def test_a_hot_suppliers_numbers_are_dealt(spark, monkeypatch):
     v = adapters.views(spark, "/root/testdata/sf0.001")
     one = lambda df: df.withColumn("supplier_gstin", F.lit("G1")).withColumn("company_id", F.lit(1)).limit(60)
     books, portal = one(v["books"].orderBy("id")), one(v["portal"].orderBy("id"))
-    pairs = lambda: sorted(map(tuple, matching.fuzzy_pairs(books, portal).select("l_id", "r_id", "score").collect()))
+    pairs = lambda *most: sorted(map(tuple, matching.fuzzy_pairs(books, portal, *most).select("l_id", "r_id", "score").collect()))
     whole = pairs()
-    monkeypatch.setattr(matching, "MOST_NUMBERS", 7)
-    assert whole and pairs() == whole
+    monkeypatch.setattr(likest, "LEFTS", 7)
+    monkeypatch.setattr(likest, "RIGHTS", 11)
+    assert whole and pairs(0) == whole  # searched, a task for each few numbers
 
 
 def test_a_null_block_is_a_block(spark):
