@@ -476,3 +476,14 @@ def match_breakdown(v):
     """What each part of a match's score gave, and how many of seven things agree."""
     hit = gst_matches(v).where("status = 'matched'")
     return hit.select("company_id", "left_id", "right_id", "parameters_matched", *(F.col(f"breakdown.{n}").alias(a) for n, a in (("gstin", "gstin"), ("invno", "invno"), ("amount", "amount"), ("date", "day"))))
+
+
+@register(DRAFTS + KEYED + """ SELECT company_id, planted, detected, defect_type, rule_code, kind_planted, kind_detected FROM (SELECT company_id, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh WHERE NOT extended GROUP BY 1)
+JOIN (SELECT company_id, defect_type, rule_code, count(*) AS kind_planted, count(*) FILTER (WHERE detected) AS kind_detected FROM dh GROUP BY 1, 2, 3) USING (company_id)""")
+def evaluation_report(v):
+    """The report of the evaluation as it is written, read back: each company's outcomes and those of its kinds of defects."""
+    at = matching.scratch_path(v.spark, "report")
+    evaluation.write_report(evaluation.expected(answer_key(v)), drafts(v, evidence=False, everything=True), at)
+    kinds = "by_defect_type array<struct<defect_type:string,rule_code:string,planted:bigint,detected:bigint>>"
+    told = v.spark.read.schema(f"company_id int, planted bigint, detected bigint, {kinds}").json(at)
+    return told.select("company_id", "planted", "detected", F.explode("by_defect_type").alias("k")).select("company_id", "planted", "detected", "k.defect_type", "k.rule_code", F.col("k.planted").alias("kind_planted"), F.col("k.detected").alias("kind_detected"))

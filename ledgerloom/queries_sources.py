@@ -76,7 +76,7 @@ def periods_discovered(v):
     at = folder(v, "periods")
     v["invoices"].select(F.date_format("invoice_date", "dd-MM-yyyy").alias("Date"), F.lit("x").alias("Party"), F.lit("1").alias("Voucher No"), F.lit("1").alias("Total")).union(v.spark.sql("select 'no date', 'x', '1', '1'")).write.option("header", True).csv(at)
     rows = reduce(DataFrame.unionByName, (feeds.purchases(g) for g in feeds.csv_groups(v.spark, at)))
-    return rows.where("period is not null").select("period").distinct()
+    return ingest.periods_in(rows)
 
 
 def one_file_each(df: DataFrame, at: str) -> None:
@@ -478,3 +478,19 @@ def documents_counted(v):
     """How many rows came of each document; of some none of those that are asked for."""
     docs = v["sources"].select("document").distinct()
     return sinks.count_rows(docs, v["sources"].where("record_type = 'purchase_invoice'"))
+
+
+@register("SELECT company_id, period, count(*) AS rows, CAST(sum(taxable + cgst + sgst + igst + cess) AS BIGINT) AS paise FROM invoices GROUP BY 1, 2")
+def uploads_taken(v):
+    """A register of each company uploaded twice: the rows of the first time by the periods that they touch; the second gives none."""
+    at, manifest = folder(v, "uploads"), v.spark.createDataFrame([], "company_id int, sha256 string, document string")
+    total = F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst") + F.col("cess")
+    shown = v["invoices"].withColumn("t", total).select("company_id", F.date_format("invoice_date", "d.M.yyyy").alias("Dated"), F.lit("Acme").alias("Vendor Name"), F.col("norm_invoice_no").alias("Document No"), rupees("t").alias("Gross Total"))
+    shown.repartition("company_id").write.option("header", True).partitionBy("company_id").csv(at)
+    out = []
+    for c in range(5):  # an upload is one company's
+        rows, periods, manifest = ingest.ingest_upload(v.spark, f"{at}/company_id={c}", "purchase_register", manifest, c)
+        again, _, manifest = ingest.ingest_upload(v.spark, f"{at}/company_id={c}", "purchase_register", manifest, c)
+        out += [rows.join(F.broadcast(periods), "period").select(F.lit(c).alias("company_id"), "period", "total")]  # periods are months
+        out += [] if again is None else [again.select(F.lit(c), "period", "total")]
+    return reduce(DataFrame.union, out).groupBy("company_id", "period").agg(F.count("*").alias("rows"), F.sum(money.to_paise(F.col("total"))).alias("paise"))
