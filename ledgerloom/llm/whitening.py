@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +34,27 @@ AT_ONCE = 4096
 EPS = float(np.finfo(np.float64).eps)
 
 
-def whole_rows(batch: pa.RecordBatch, column: str = "embedding") -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places of the vectors that may take part, and these as whole numbers."""
-    vectors = batch.column(column)
-    at, out = [], []
-    for k, v in enumerate(vectors):
-        if v.is_valid and len(v.values) and not v.values.null_count:
-            c = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if (np.abs(c) <= LARGEST).all():  # not true of NaN
-                at.append(k)
-                out.append(np.floor(c * STEPS).astype(np.int64) + SHIFT)
-    return np.array(at, dtype=np.int64), out
+def whole_rows(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the vectors that may take part, and a matrix of these as whole numbers."""
+    vectors = batch.column("embedding")
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
+    c = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null becomes NaN
+    row = np.repeat(np.arange(len(length)), length)
+    firm = (length > 0) & (np.bincount(row[~(np.abs(c) <= LARGEST)], minlength=len(length)) == 0)
+    out = {}
+    for size in np.unique(length[firm]).tolist():
+        at = firm & (length == size)
+        out[size] = (np.flatnonzero(at), np.floor(c[at[row]].reshape(-1, size) * STEPS).astype(np.int64) + SHIFT)
+    return out
 
 
-def matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """vec_ids and vectors of `size` whole numbers, in runs of at most AT_ONCE rows."""
     for batch in batches:
         for start in range(0, batch.num_rows, AT_ONCE):
             part = batch.slice(start, AT_ONCE)
-            at, rows = whole_rows(part)
-            fits = [k for k, r in enumerate(rows) if len(r) == size]
-            if fits:
-                yield part.column("vec_id").take(pa.array(at[fits])), np.stack([rows[k] for k in fits])
+            if size in (found := whole_rows(part)):
+                yield part.column("vec_id").take(pa.array(found[size][0])), found[size][1]
 
 
 @dataclass
@@ -75,10 +75,10 @@ def sums(vectors: DataFrame) -> Sums | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
-            for row in whole_rows(batch)[1]:
-                held = found.setdefault(len(row), [0, np.zeros(len(row), dtype=np.int64)])
-                held[0] += 1
-                held[1] += row
+            for size, (at, x) in whole_rows(batch).items():
+                held = found.setdefault(size, [0, np.zeros(size, dtype=np.int64)])
+                held[0] += len(at)
+                held[1] += x.sum(axis=0)
         for size, (n, total) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([n]), pa.array([total], pa.list_(pa.int64()))], names=["size", "n", "total"])
 
