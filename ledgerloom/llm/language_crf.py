@@ -317,10 +317,11 @@ def positions(low: str, at: int = 0, skip: int = 0) -> Iterator[tuple[str, int,
 
 def long_chain(text: str, model: Model, cache: Emissions, block: int = BLOCK) -> tuple[int, np.ndarray, int]:
     """A text's words, the mean probabilities of its positions and its switches, as label_words would give them, block by block."""
-    low, move, states = text.lower(), np.exp(model.transitions - model.transitions.max()), len(model.languages)
+    low, states = text.lower(), len(model.languages)
     starts, befores, n_words, n = [(0, 0)], [None], 0, 0
     if not states:
         return sum(1 for _ in LETTERS.finditer(low)), np.zeros(0), 0
+    move = np.exp(model.transitions - model.transitions.max())
 
     def emissions(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cache.learn(words)
