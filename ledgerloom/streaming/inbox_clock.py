@@ -7,9 +7,11 @@ counts, later ones don't. Ticks only move the watermark on. Repeated events chan
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,8 @@ OUTCOME = "company_id int, id bigint, outcome string, at timestamp"
 DEEMED = "deemed_accepted"
 #: Milliseconds for which a decided record is remembered, so that an event that is repeated doesn't start it anew.
 REMEMBERED = 400 * 86_400_000
+# Spark first starts the processor in a Python of its own beside the driver, which doesn't get the context's files; so it is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

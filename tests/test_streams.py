@@ -1,9 +1,14 @@
 """Late rows as a stream and answers by timers, against plain loops; batches that die or come again."""
 
 import datetime
+import os
 import random
+import subprocess
+import sys
 
+import pyspark
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import matching
@@ -92,3 +97,11 @@ def test_timers_and_answers(spark, tmp_path):
         stream = spark.readStream.schema(inbox_clock.EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         arrivals.each_batch(inbox_clock.answered(stream), str(tmp_path / "cp"), lambda df, n: got.extend(df.where(F.col("id") > 0).collect())).awaitTermination()
     assert sorted((r.id, r.outcome, r["at"]) for r in got) == [(1, "deemed_accepted", day(20)), (2, "accepted", day(10)), (3, "deemed_accepted", day(20)), (4, "rejected", day(9)), (5, "rejected", day(2))]
+
+
+def test_processor_loads_without_the_package(tmp_path):
+    """Spark starts it first in a Python that doesn't know this package."""
+    (tmp_path / "processor").write_bytes(cloudpickle.dumps(inbox_clock.Answers()))
+    load = "from pyspark import cloudpickle; print(type(cloudpickle.loads(open('processor', 'rb').read())).__name__)"
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(pyspark.__file__))}
+    assert subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.strip() == "Answers"
