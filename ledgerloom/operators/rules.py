@@ -253,10 +253,18 @@ def ageing(ledger: DataFrame, periods: DataFrame, bucket_days: int) -> DataFrame
 
 
 def worst_parties(ledger: DataFrame, fired: DataFrame, bucket_days: int, n: int = WORST) -> DataFrame:
-    """The parties with most aged at each (company_id, period) of fired, as evidence."""
+    """The parties with most aged at each (company_id, period) of fired, as evidence.
+
+    A party's open sum is laid out over the months for which it stands, so it meets fired by company and period, and each
+    task keeps its own first n before ranks are shuffled.
+    """
     spans = _changes(ledger, bucket_days + 1).withColumn("until", F.lead("month").over(Window.partitionBy("company_id", "party_id").orderBy("month"))).where("open > 0")
-    at = fired.select(F.col("company_id").alias("c"), "period")
-    met = spans.join(at, (F.col("company_id") == F.col("c")) & (F.col("month") <= F.col("period")) & (F.col("until").isNull() | (F.col("period") < F.col("until"))))
+    asked = fired.groupBy("company_id").agg(F.min("period").alias("first"), F.max("period").alias("last"))
+    start, end = F.greatest("month", "first"), F.least(F.coalesce(shift_period(F.col("until"), -1), "last"), "last")
+    spans = spans.join(asked, "company_id").select("company_id", "party_id", "open", start.alias("start"), end.alias("end")).where("start <= end")
+    months = F.explode(F.sequence(first_day(F.col("start")), first_day(F.col("end")), F.expr("interval 1 month")))
+    months = spans.select("company_id", "party_id", "open", months.alias("day")).select("company_id", "party_id", "open", F.date_format("day", "yyyy-MM").alias("period"))
+    met = months.join(fired.select("company_id", "period"), ["company_id", "period"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("company_id", "period").orderBy(F.desc("open"), "party_id"))
     top = met.withColumn("rank", rank).where(F.col("rank") <= n)
     rows = F.transform(F.sort_array(F.collect_list(F.struct("rank", "party_id", "open"))), lambda p: record("party", p["party_id"], told(format_inr(p["open"]), " aged")))

@@ -12,7 +12,7 @@ from .functions import dates, text
 from .operators import inbox as inbox_ops
 from .operators import matching, rules, runner
 from .plans import evaluation, nightly, reports
-from .plans.twins import BANK_STATE, DRAFTS, PCT, REC, WHOLE
+from .plans.twins import BANK_STATE, DRAFTS, NUMBERED, PCT, REC, WHOLE
 from .sources import lines
 
 BASE = ("company_id", "period", "rule_code", "risk_key", "severity", "headline")
@@ -69,9 +69,14 @@ def run_rules_all(v):
     return with_pct(drafts(v, evidence=False, everything=True))
 
 
-@register("SELECT code, title FROM (VALUES ('R4b', 'REVERSAL_RECLAIMABLE'), ('R9', 'IMS_ACTION_REQUIRED'), ('R10', 'IMS_RECOMMEND_REJECT'), ('R11', 'GSTR2B_STALE'), ('R12', 'FILING_CHAIN_BLOCKED'), ('R13', 'BLOCKED_CREDIT_17_5')) t(code, title)")
+@register("""SELECT code, title, count(fa.rule_code) AS unseen FROM (VALUES ('R4b', 'REVERSAL_RECLAIMABLE'), ('R9', 'IMS_ACTION_REQUIRED'), ('R10', 'IMS_RECOMMEND_REJECT'), ('R11', 'GSTR2B_STALE'), ('R12', 'FILING_CHAIN_BLOCKED'), ('R13', 'BLOCKED_CREDIT_17_5')) t(code, title)
+LEFT JOIN fa ON rule_code = code GROUP BY 1, 2""", DRAFTS)
 def rules_skipped(v):
-    return runner.skipped(runner.registry(v.spark))
+    """The rules that are off, and how many findings nobody sees for that."""
+    table = runner.registry(v.spark)
+    found = runner.run_rules(v, runner.enabled(table.withColumn("enabled", ~F.col("enabled"))), AS_OF, False)
+    unseen = found.groupBy(F.col("rule_code").alias("code")).agg(F.count("*").alias("unseen"))
+    return runner.skipped(table).join(unseen, "code", "left").select("code", "title", F.coalesce("unseen", F.lit(0)).alias("unseen"))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM fa WHERE rule_code = 'R4' AND severity = 'high' OR rule_code = 'R6' AND headline >= 20000000", DRAFTS)
@@ -449,6 +454,31 @@ def duplicate_occurrences(v):
     return found.select("company_id", "period", "risk_key", fact("occurrences").cast("int").alias("occurrences"), "calculation")
 
 
+SAYS = f""",
+cl AS (SELECT r2.company_id, r2.period, r2.risk_key, r2.id AS record_id, 'booked ' || {inr_sql("b.taxable")} || ' less stated ' || {inr_sql("p.taxable")} || ' is ' || {inr_sql("(b.taxable - p.taxable)")} AS calculation FROM r2 JOIN books b ON b.id = r2.id JOIN portal p ON p.id = p_id
+UNION ALL SELECT company_id, period, 'R4:' || {NUMBERED}, id, 'the statement reverses ' || {inr_sql("reversal")} FROM portal WHERE reversal > 0
+UNION ALL SELECT g.company_id, g.period, 'R4b:' || {NUMBERED}, id, {inr_sql("reversal")} || ' was reversed; the supplier has filed since, last in ' || later FROM portal g
+  JOIN (SELECT company_id, supplier_gstin AS s, max(period) AS later FROM portal WHERE reversal = 0 GROUP BY 1, 2) f ON f.company_id = g.company_id AND s = supplier_gstin WHERE reversal > 0
+UNION ALL SELECT company_id, period, 'R5:bank_books_variance', NULL, 'books ' || {inr_sql("books_net")} || ' less bank ' || {inr_sql("bank_net")} || ' is ' || {inr_sql("variance")} || ', of which unexplained ' || {inr_sql("residual")} FROM r5p
+UNION ALL SELECT company_id, period, 'R6:' || CAST(id AS VARCHAR), id, {inr_sql("credit")} || ' came in on ' || CAST(CAST(txn_date AS DATE) AS VARCHAR) || ' from nobody known and for no voucher' FROM bank WHERE credit > 0
+UNION ALL SELECT company_id, period, 'R7:customer_concentration', NULL, {inr_sql("CAST(t AS BIGINT)")} || ' of ' || {inr_sql("CAST(w AS BIGINT)")} || ' is ' || printf('%.2f', CAST(pct AS DOUBLE)) || '%' FROM r7s
+UNION ALL SELECT company_id, period, 'R8:receivables_ageing', NULL, {inr_sql("CAST(aged AS BIGINT)")} || ' older than 90 days of ' || {inr_sql("CAST(total AS BIGINT)")} || ' is ' || printf('%.2f', CAST(pct AS DOUBLE)) || '%' FROM r8s
+UNION ALL SELECT company_id, period, 'R9:deemed_accepted', NULL, CAST(n AS VARCHAR) || ' records worth ' || {inr_sql("t")} || ' await an answer' FROM (SELECT company_id, period, count(*) AS n, CAST(sum(total) AS BIGINT) AS t FROM rec WHERE portal_status = 'no_action' GROUP BY 1, 2)
+UNION ALL SELECT company_id, period, 'R10:' || {NUMBERED}, id, {inr_sql("total")} || ' in the inbox: ' || coalesce(action, 'decide') FROM rec
+UNION ALL SELECT company_id, period, 'R11:recompute_required', NULL, CAST(count(*) AS VARCHAR) || ' actions after day 14, the last on ' || CAST(max(actioned_at) AS VARCHAR) FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2
+UNION ALL SELECT company_id, strftime(CAST(period || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m'), 'R12:filing_chain', NULL, 'the return of ' || period || ' is not filed' FROM filings WHERE NOT filed
+UNION ALL SELECT company_id, period, 'R13:' || {NUMBERED}, id, {inr_sql("(cgst + sgst + igst + cess)")} || ' is stated as not available' FROM portal WHERE NOT itc_available)
+SELECT fa.company_id, fa.period, rule_code, fa.risk_key, calculation FROM fa LEFT JOIN cl ON cl.company_id = fa.company_id AND cl.period = fa.period AND cl.risk_key = fa.risk_key AND cl.record_id IS NOT DISTINCT FROM fa.record_id WHERE rule_code NOT IN ('R1', 'R3')
+"""
+
+
+@register(SAYS, DRAFTS)
+def rule_calculations(v):
+    """The arithmetic behind each finding; that of R1 and R3 stands in unmatched_reasons and duplicate_occurrences."""
+    table = runner.registry(v.spark).where("code not in ('R1', 'R3')").withColumn("enabled", F.lit(True))
+    return runner.run_rules(v, runner.enabled(table), AS_OF, False).select("company_id", "period", "rule_code", "risk_key", "calculation")
+
+
 @register("SELECT company_id, period, CAST(max(actioned_at) AS VARCHAR) AS latest_action, CAST(count(*) AS VARCHAR) || ' actions after day 14, the last on ' || CAST(max(actioned_at) AS VARCHAR) AS calculation FROM inbox WHERE day(actioned_at) > 14 GROUP BY 1, 2")
 def late_actions(v):
     return rules.r11_stale_statement(v["inbox"]).select("company_id", "period", fact("latest_action").alias("latest_action"), "calculation")

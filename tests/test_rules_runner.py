@@ -1,5 +1,8 @@
 """Registry, runner, evidence and ageing, on small tables and against loops."""
 
+import datetime
+import random
+
 from collections import defaultdict
 from datetime import date, timedelta
 
@@ -111,3 +114,20 @@ def test_report_helpers(spark, tmp_path):
     planted = spark.createDataFrame([(0, 1, "k", "R1", "2026-01", None, "a", False)], "defect long, company_id int, defect_type string, rule_code string, period string, landing_period string, risk_key string, extended boolean")
     evaluation.write_report(planted, found, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first().by_defect_type[0].detected == 1
+
+
+def test_worst_parties_equal_single_sales(spark):
+    """The parties with most aged at a period's end, against the open sales themselves; some periods didn't fire."""
+    rng = random.Random(5)
+    days = [datetime.date(2025, 1, 1) + datetime.timedelta(days=9 * k) for k in range(50)]
+    rows = [(1 + i % 2, rng.randrange(9), i, rng.choice(days), *(("Sales", 100 * rng.randrange(1, 9), None) if rng.random() < 0.6 else ("Receipt", None, 100 * rng.randrange(1, 9)))) for i in range(300)]
+    ledger = spark.createDataFrame(rows, "company_id int, party_id bigint, id bigint, entry_date date, voucher_type string, debit bigint, credit bigint")
+    fired = spark.createDataFrame([(c, f"2025-{m:02}") for c in (1, 2) for m in (3, 6, 7, 11, 12)] + [(3, "2025-06")], "company_id int, period string")
+    aged = {}
+    for r in rules.open_items(ledger, fired).where("age > 90").collect():
+        of = aged.setdefault((r["company_id"], r["period"]), {})
+        of[r["party_id"]] = of.get(r["party_id"], 0) + r["open"]
+    want = {k: [p for _, p in sorted((-x, p) for p, x in of.items() if x > 0)[:5]] for k, of in aged.items()}
+    got = {(r["company_id"], r["period"]): [e["record_id"] for e in r["worst"]] for r in rules.worst_parties(ledger, fired, 90).collect()}
+    assert got == {k: parties for k, parties in want.items() if parties}
+    assert len(got) > 5
