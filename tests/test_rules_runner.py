@@ -2,7 +2,6 @@
 
 import datetime
 import random
-
 from collections import defaultdict
 from datetime import date, timedelta
 
