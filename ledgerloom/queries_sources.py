@@ -48,7 +48,7 @@ def bank_feed(v):
     at = folder(v, "bank")
     shown = v["bank"].select(F.date_format("txn_date", "dd/MM/yyyy").alias("Txn Date"), F.concat(F.lit("NEFT "), F.col("id").cast("string")).alias("Narration"), F.col("id").cast("string").alias("Ref No"), rupees("debit").alias("Withdrawal Amt."), rupees("credit").alias("Deposit Amt."))
     shown.write.option("header", True).csv(at)
-    rows = reduce(DataFrame.unionByName, (feeds.bank(g) for g in feeds.csv_groups(v.spark, at)))
+    rows = ingest.read_kind(v.spark, [at], "bank_stmt")
     return rows.select(F.col("ref_no").cast("bigint").alias("id"), F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), money.to_paise(F.col("credit")).alias("credit"), "error")
 
 
@@ -57,7 +57,7 @@ def ledger_feed(v):
     at = folder(v, "ledger")
     shown = v["ledger"].select(F.date_format("entry_date", "yyyy-MM-dd").alias("Date"), F.col("voucher_type").alias("Vch Type"), F.col("id").cast("string").alias("Vch No"), F.concat(F.lit("P "), F.col("party_id").cast("string")).alias("Ledger Name"), rupees("debit").alias("Debit"), rupees("credit").alias("Credit"))
     shown.write.option("header", True).csv(at)
-    rows = reduce(DataFrame.unionByName, (feeds.ledger(g) for g in feeds.csv_groups(v.spark, at)))
+    rows = ingest.read_kind(v.spark, [at], "ledger")
     return rows.select(F.col("voucher_no").cast("bigint").alias("id"), "voucher_type", F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), money.to_paise(F.col("credit")).alias("credit"))
 
 
@@ -66,7 +66,7 @@ def sales_feed(v):
     at = folder(v, "sales")
     shown = v["invoices"].withColumn("t", F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst")).select(F.date_format("invoice_date", "d.M.yyyy").alias("Voucher Date"), F.concat(F.lit("Buyer "), F.col("party_id").cast("string")).alias("Customer Name"), F.col("id").cast("string").alias("Invoice No."), rupees("t").alias("Bill Amount"))
     shown.write.option("header", True).csv(at)
-    rows = reduce(DataFrame.unionByName, (feeds.sales(g) for g in feeds.csv_groups(v.spark, at)))
+    rows = ingest.read_kind(v.spark, [at], "sales_ledger")
     return rows.select(F.col("voucher_no").cast("bigint").alias("id"), F.col("day").cast("string").alias("day"), money.to_paise(F.col("debit")).alias("debit"), "voucher_type")
 
 
@@ -75,7 +75,7 @@ def periods_discovered(v):
     """The periods that a register's dates touch; unreadable ones touch none."""
     at = folder(v, "periods")
     v["invoices"].select(F.date_format("invoice_date", "dd-MM-yyyy").alias("Date"), F.lit("x").alias("Party"), F.lit("1").alias("Voucher No"), F.lit("1").alias("Total")).union(v.spark.sql("select 'no date', 'x', '1', '1'")).write.option("header", True).csv(at)
-    rows = reduce(DataFrame.unionByName, (feeds.purchases(g) for g in feeds.csv_groups(v.spark, at)))
+    rows = ingest.read_kind(v.spark, [at], "purchase_register")
     return ingest.periods_in(rows)
 
 

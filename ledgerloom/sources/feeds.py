@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..operators.inbox import pending_allowed
+from ..operators.matching import stored
 from .columns import BANK, LEDGER, PURCHASES, SALES, Layout, resolve, value
 
 # The statement's sections - code, key, child list, number field, date field, amendment, has a supplier.
@@ -33,42 +37,55 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named.withColumn("source_row", F.row_number().over(Window.partitionBy("document").orderBy("__at")) + 1).drop("__at")
 
 
-def csv_groups(spark: SparkSession, path: str) -> list[DataFrame]:
-    """read_csv of the files below path, a frame for each different header. A name and a line a file come to the driver."""
-    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.csv").select("value", F.input_file_name().alias("document"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("document").agg(F.min_by("value", "at").alias("header"))
-    return [read_csv(spark, sorted(r.files)) for r in first.groupBy("header").agg(F.collect_list("document").alias("files")).orderBy("header").collect()]
+def csv_groups(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """The records of the files below path as read_csv gives them, a frame for each different header; only headers come to the
+    driver. A name that a header has before gets its place added."""
+    records, out = stored(scan_csv(spark, path, F.lit("csv"))), []
+    for header, fields in headers(records).items():
+        names = [n or f"_c{i}" for i, n in enumerate(fields)]
+        names = [n if n not in names[:i] else f"{n}{i}" for i, n in enumerate(names)]
+        mine = with_cells(records.where(F.col("header") == header), len(names))
+        out.append(mine.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)), "document", "source_row"))
+    return out
 
 
-#: A record of a CSV file, quoted breaks included; a record's fields are read by from_csv, so many at most.
-RECORD, MOST_FIELDS = r'(?:[^"\n]++|"(?:[^"]++|"")*+(?:"|\z))++', 256
+#: A record of a CSV file, quoted breaks included.
+RECORD = r'(?:[^"\n]++|"(?:[^"]++|"")*+(?:"|\z))++'
 
 
 def scan_csv(spark: SparkSession, paths: str | list[str], kind: Column) -> DataFrame:
-    """The records of all CSV files below the paths in one scan: document, kind, source_row (the header is 1), header, cells.
+    """The records of all CSV files below the paths in one scan: document, kind, source_row (the header is 1), header, record.
 
     kind tells a file's kind from its `document`; files of no kind are left out. A file is one row of the scan, so a single one
-    must fit a task; empty lines are no records. What comes of the files doesn't depend on how many there are.
+    must fit a task; nothing is shuffled. Empty lines are no records. What comes of the files doesn't depend on how many there are.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(paths, wholetext=True)
     named = files.select(F.input_file_name().alias("document"), F.regexp_replace("value", "^\ufeff|\r(?=\n|$)", "").alias("text")).withColumn("kind", kind).where("kind is not null")
     records = F.filter(F.regexp_extract_all("text", F.lit(RECORD), F.lit(0)), lambda r: F.length(r) > 0)
-    each = named.select("document", "kind", F.posexplode(records).alias("at", "record"))
-    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(MOST_FIELDS)), {"escape": '"', "maxColumns": str(MOST_FIELDS)})
-    listed = each.withColumn("c", cells).select("document", "kind", (F.col("at") + 1).alias("source_row"), F.array(*(F.col(f"c.c{i}") for i in range(MOST_FIELDS))).alias("cells"))
-    heads = listed.where("source_row = 1").select("document", F.col("cells").alias("header"))
-    return listed.where("source_row > 1").join(heads, "document")
+    whole = named.select("document", "kind", records.alias("records"))
+    each = whole.select("document", "kind", F.get("records", F.lit(0)).alias("header"), F.posexplode("records").alias("at", "record"))
+    return each.where("at > 0").select("document", "kind", (F.col("at") + 1).alias("source_row"), "header", "record")
+
+
+def headers(records: DataFrame) -> dict[str, list[str]]:
+    """The different header lines of records with their fields, in order; one for each spelling comes to the driver."""
+    lines = sorted(r.header for r in records.select("header").distinct().collect())
+    return {line: next(csv.reader(io.StringIO(line, newline="")), []) for line in lines}
+
+
+def with_cells(records: DataFrame, width: int) -> DataFrame:
+    """records with their first `width` fields as `cells`; fields that a record hasn't are null."""
+    fields = F.from_csv("record", ", ".join(f"c{i} string" for i in range(max(width, 1))), {"escape": '"'})
+    return records.withColumn("__c", fields).withColumn("cells", F.array(*(F.col(f"__c.c{i}") for i in range(width)))).drop("__c", "record")
 
 
 def by_layout(records: DataFrame, layout: Layout) -> tuple[list[DataFrame], DataFrame]:
     """Frames with a column for each field that the files have, by its first spelling, and the documents whose headers lack a
     field: document, error. Headers go to the driver, one for each spelling of a file's first line; files of all headers with the
     same fields share a frame."""
-    heads = records.select("header").distinct().collect()
     shapes: dict[tuple[str, ...], list] = {}
     bad = []
-    for (header,) in heads:
-        names = [(h or "").strip("\ufeff") for h in header]
+    for header, names in headers(records).items():
         try:
             at = resolve([n for n in names if n], layout)
         except ValueError as e:
@@ -77,10 +94,11 @@ def by_layout(records: DataFrame, layout: Layout) -> tuple[list[DataFrame], Data
             shapes.setdefault(tuple(k for k in layout if k in at), []).append((header, {k: names.index(n) for k, n in at.items()}))
     spark, out = records.sparkSession, []
     for fields, files in shapes.items():
-        where = F.broadcast(spark.createDataFrame(files, "header array<string>, places map<string,int>"))  # as few as there are spellings of a header
+        where = F.broadcast(spark.createDataFrame(files, "header string, places map<string,int>"))  # as few as there are spellings of a header
         cell = lambda k: F.get("cells", F.col("places")[k]).alias(layout[k][1][0])
-        out.append(records.join(where, "header").select("document", "source_row", *(cell(k) for k in fields)))
-    wrong = F.broadcast(spark.createDataFrame(bad, "header array<string>, error string"))
+        width = 1 + max(n for _, places in files for n in places.values())
+        out.append(with_cells(records.join(where, "header"), width).select("document", "source_row", *(cell(k) for k in fields)))
+    wrong = F.broadcast(spark.createDataFrame(bad, "header string, error string"))
     return out, records.join(wrong, "header").select("document", "error").distinct()
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import dates, text
 from ..operators import parties
@@ -24,24 +25,18 @@ FILES = {
 }
 CSV: dict[str, Callable[[DataFrame], DataFrame]] = {"purchase_register": feeds.purchases, "sales_ledger": feeds.sales, "ledger": feeds.ledger, "bank_stmt": feeds.bank}
 LAYOUTS: dict[str, Layout] = {"purchase_register": PURCHASES, "sales_ledger": SALES, "ledger": LEDGER, "bank_stmt": BANK}
-JSON: dict[str, Callable[[SparkSession, str], DataFrame]] = {"gstr2b": feeds.statement, "ims": feeds.inbox}
+JSON: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {"gstr2b": feeds.statement, "ims": feeds.inbox}
 
 
-def files_of(spark: SparkSession, folder: str, kind: str) -> list[str]:
-    """The paths of a kind's files, by name."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{FILES[kind]}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(s.getPath().toString() for s in found or ())
-
-
-def read_kind(spark: SparkSession, paths: list[str], kind: str) -> DataFrame | None:
-    """The rows of a kind's files, whatever spellings their headers have; None without files."""
-    if not paths:
-        return None
+def read_kind(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """The rows of a kind's files below the paths, whatever spellings their headers have; a header that lacks a field is an error."""
     if kind in JSON:
-        return reduce(DataFrame.union, (JSON[kind](spark, p) for p in paths)) if len(paths) == 1 else JSON[kind](spark, paths)
-    return reduce(DataFrame.unionByName, (CSV[kind](group) for p in paths for group in feeds.csv_groups(spark, p)))
+        return JSON[kind](spark, paths)
+    frames, wrong = feeds.by_layout(stored(feeds.scan_csv(spark, paths, F.lit(kind))), LAYOUTS[kind])
+    if bad := wrong.first():
+        raise ValueError(f"{bad.document}: {bad.error}")
+    blank = StructType([StructField(names[0], StringType()) for _, names in LAYOUTS[kind].values()]).add("document", "string").add("source_row", "integer")
+    return reduce(DataFrame.unionByName, map(CSV[kind], frames or [spark.createDataFrame([], blank)]))
 
 
 def periods_in(rows: DataFrame) -> DataFrame:
@@ -49,16 +44,6 @@ def periods_in(rows: DataFrame) -> DataFrame:
     return rows.where("period is not null").select("period").distinct()
 
 
-def periods_of_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Every period that a folder's feeds touch: of statements and inboxes by name, of CSV files by their dates."""
-    named = [F.element_at(F.split(F.lit(p), "/"), -1) for k in JSON for p in files_of(spark, folder, k)]
-    out = spark.range(1).select(F.explode(F.array(*map(dates.named_period, named)) if named else F.array().cast("array<string>")).alias("period"))
-    for kind in CSV:
-        rows = read_kind(spark, files_of(spark, folder, kind), kind)
-        out = out if rows is None else out.union(periods_in(rows))
-    return out.where("period is not null").distinct()
-
-
 def seen(feed: int) -> F.Column:
     return F.struct(F.lit(feed).alias("feed"), F.col("document"), F.col("source_row"))
 
@@ -110,18 +95,6 @@ def with_parties(raw: dict[str, DataFrame], every: DataFrame, alias: DataFrame,
 MAKERS = (("purchase_register", "vendor"), ("sales_ledger", "customer"))
 
 
-def ingest_folder(spark: SparkSession, folder: str, company_id: int) -> dict[str, DataFrame]:
-    """periods, parties and the rows of each feed of one company's folder, those of known periods with their party."""
-    own = F.lit(company_id).alias("company_id")
-    raw = {kind: df.select(own, "*") for kind in FILES if (df := read_kind(spark, files_of(spark, folder, kind), kind)) is not None}
-    known = periods_of_folder(spark, folder)
-    named = [(n, raw[k], kind) for n, (k, kind) in enumerate(MAKERS, 2) if k in raw]
-    if "gstr2b" not in raw and not named:
-        return {"periods": known} | raw
-    every, alias = name_parties(spark, raw.get("gstr2b"), named)
-    return {"periods": known, "parties": every} | with_parties(raw, every, alias, F.broadcast(known.select(own, "period")))  # periods are months
-
-
 def kind_of(document: F.Column, kinds: Iterable[str] = FILES) -> F.Column:
     """The kind of a file, by a folder kind=... on its way or by its name; null for others."""
     name = F.element_at(F.split(document, "/"), -1)
@@ -137,30 +110,50 @@ def company_of(document: F.Column) -> F.Column:
     return F.regexp_extract(document, "/company_id=([0-9]+)/", 1).cast("int")
 
 
+def _ingest(spark: SparkSession, csv_at: list[str], json_at: dict[str, list[str]], company: F.Column) -> dict[str, DataFrame]:
+    """The feeds of the CSV files below csv_at and of each kind's json_at; company tells a file's company from its `document`."""
+    raw, bad = {}, []
+    if csv_at:
+        records = stored(feeds.scan_csv(spark, csv_at, kind_of(F.col("document"), CSV)))
+        for kind, read in CSV.items():
+            frames, wrong = feeds.by_layout(records.where(F.col("kind") == kind), LAYOUTS[kind])
+            bad.append(wrong)
+            if frames:
+                raw[kind] = stored(reduce(DataFrame.unionByName, (read(f) for f in frames)).withColumn("company_id", company))
+    named = spark.createDataFrame([], "company_id int, period string")
+    for kind, at in json_at.items():
+        raw[kind] = stored(JSON[kind](spark, at).withColumn("company_id", company))
+        document = spark.read.format("binaryFile").load(at).select(F.col("path").alias("document"))  # names alone, files may hold no row
+        named = named.union(document.select(company.alias("company_id"), dates.named_period(F.element_at(F.split("document", "/"), -1))))
+    periods = reduce(DataFrame.union, (df.select("company_id", "period") for df in raw.values()), named)
+    known = stored(periods.where("period is not null").distinct())
+    every, alias = name_parties(spark, raw.get("gstr2b"), [(n, raw[k], kind) for n, (k, kind) in enumerate(MAKERS, 2) if k in raw])
+    unreadable = reduce(DataFrame.union, bad, spark.createDataFrame([], "document string, error string")).withColumn("company_id", company)
+    return {"periods": known, "parties": every, "unreadable": unreadable} | with_parties(raw, every, alias, known)
+
+
+def _there(spark: SparkSession, *patterns: str) -> list[str]:
+    return [p for p in patterns if feeds.any_file(spark, p)]
+
+
+def ingest_folder(spark: SparkSession, folder: str, company_id: int) -> dict[str, DataFrame]:
+    """periods (those that rows' dates or the names of statements and inboxes tell), parties, and the rows of each feed of one
+    company's folder, those of known periods with their party. Besides `unreadable`: files whose headers lack a field, with
+    the reason, which stop no other file. Files are those named as FILES says."""
+    at = {kind: _there(spark, f"{folder.rstrip('/')}/{FILES[kind]}") for kind in FILES}
+    return _ingest(spark, [p for kind in CSV for p in at[kind]], {kind: at[kind] for kind in JSON if at[kind]}, F.lit(company_id))
+
+
 def ingest_companies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """What ingest_folder gives, for all companies' folders root/company_id=N at once, each row with its company_id; a file may also
-    lie in a folder kind=K there, under any name. Besides
-    `unreadable`: files whose headers lack a field, with the reason, which stop no other file.
+    lie in a folder kind=K there, under any name.
 
     One scan reads all CSV files and one each all statements and inboxes; so the number of jobs depends on neither the
     companies nor the files.
     """
-    records = stored(feeds.scan_csv(spark, root, kind_of(F.col("document"), CSV)))
-    raw, bad = {}, []
-    for kind, read in CSV.items():
-        frames, wrong = feeds.by_layout(records.where(F.col("kind") == kind), LAYOUTS[kind])
-        bad.append(wrong)
-        if frames:
-            raw[kind] = stored(reduce(DataFrame.unionByName, (read(f) for f in frames)).withColumn("company_id", company_of(F.col("document"))))
-    for kind, read_json in JSON.items():
-        at = [p for p in (f"{root.rstrip('/')}/*/{FILES[kind]}", f"{root.rstrip('/')}/*/kind={kind}/*") if feeds.any_file(spark, p)]
-        if at:
-            raw[kind] = stored(read_json(spark, at).withColumn("company_id", company_of(F.col("document"))))
-    periods = reduce(DataFrame.union, (df.select("company_id", "period") for df in raw.values()), spark.createDataFrame([], "company_id int, period string"))
-    known = stored(periods.where("period is not null").distinct())
-    every, alias = name_parties(spark, raw.get("gstr2b"), [(n, raw[k], kind) for n, (k, kind) in enumerate(MAKERS, 2) if k in raw])
-    unreadable = reduce(DataFrame.union, bad).withColumn("company_id", company_of(F.col("document")))
-    return {"periods": known, "parties": every, "unreadable": unreadable} | with_parties(raw, every, alias, known)
+    base = root.rstrip("/")
+    at = {kind: _there(spark, f"{base}/*/{FILES[kind]}", f"{base}/*/kind={kind}/*") for kind in JSON}
+    return _ingest(spark, [base], {kind: found for kind, found in at.items() if found}, company_of(F.col("document")))
 
 
 def ingest_upload(spark: SparkSession, path: str, kind: str, manifest: DataFrame, company_id: int) -> tuple[DataFrame | None, DataFrame, DataFrame]:
@@ -171,7 +164,7 @@ def ingest_upload(spark: SparkSession, path: str, kind: str, manifest: DataFrame
     if kind not in FILES:
         raise ValueError(f"{kind!r} is none of {', '.join(FILES)}")
     files = spark.read.format("binaryFile").load(path).select(F.lit(company_id).alias("company_id"), "path", "content")
-    rows = JSON[kind](spark, path) if kind in JSON else reduce(DataFrame.unionByName, map(CSV[kind], feeds.csv_groups(spark, path)))
+    rows = read_kind(spark, [path], kind)
     periods = periods_in(rows)
     if not periods.limit(1).count():
         raise ValueError(f"no readable date in {path}")

@@ -97,7 +97,7 @@ def test_records_of_odd_files(spark, tmp_path):
     for k, t in texts.items():
         (tmp_path / f"{k}.csv").write_bytes(t.encode())
     got = {}
-    for r in feeds.scan_csv(spark, str(tmp_path), F.lit("k")).orderBy("document", "source_row").collect():
+    for r in feeds.with_cells(feeds.scan_csv(spark, str(tmp_path), F.lit("k")), 2).orderBy("document", "source_row").collect():
         got.setdefault(r.document[-5], []).append((r.source_row, r.cells[0], r.cells[1]))
     assert got["a"] == [(2, "1", "a\nb"), (3, "2", got["a"][1][2]), (4, 'x "y",z', "3")] and not got["a"][1][2]
     assert got["b"] == [(2, "1", "2")] and len(got["c"]) == 1 and "d" not in got and got["e"][0][0] == 2
