@@ -2,7 +2,8 @@
 
 Money is in whole paise (bigint), so sums and comparisons are exact. Each order is an invoice of the books; the
 portal is the books with known disturbances by the invoice's number, so that every rule has something to find. Company 3's
-books end three months before the others'; some books name no supplier, some vouchers no party.
+books end three months before the others'; some books name no supplier, some vouchers no party; of what is booked twice the
+statement amends some.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SELECT id, CAST(party_id % 5 AS int) AS company_id, substring(CAST(day AS string
 FROM {amounts} WHERE NOT (party_id % 5 = 3 AND day >= DATE '2001-05-01')""",
     "books": """
 SELECT id, company_id, period, party_id, CASE WHEN id % 101 = 0 THEN NULL ELSE supplier_gstin END AS supplier_gstin, norm_invoice_no, invoice_date, taxable, cgst, sgst, igst, cess FROM {invoices} UNION ALL
-SELECT id + 1000000000000, company_id, period, party_id, supplier_gstin, norm_invoice_no, invoice_date, taxable, cgst, sgst, igst, cess FROM {invoices} WHERE id % 83 = 0""",
+SELECT id + 1000000000000, company_id, period, party_id, supplier_gstin, norm_invoice_no, invoice_date, taxable, cgst, sgst, igst, cess FROM {invoices} WHERE id % 83 = 0 OR id % 159 = 0""",
     "portal_all": """
 SELECT id, company_id, CASE WHEN id % 79 = 0 THEN substring(CAST(CAST(invoice_date + INTERVAL 1 MONTH AS date) AS string), 1, 7) ELSE period END AS period,
   CASE WHEN id % 41 = 0 THEN 'CDNR' WHEN id % 43 = 0 THEN 'ISD' WHEN id % 47 = 0 THEN 'IMPG' ELSE 'B2B' END AS section,

@@ -38,7 +38,7 @@ def pct_double(drafts: DataFrame) -> DataFrame:
 
 
 @register("SELECT company_id, period, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) AS total FROM st GROUP BY 1, 2", EXACT)
-def gst_coverage_by_period(v):
+def exact_coverage_by_period(v):
     return reports.coverage(exact(v)).drop("pct")
 
 
@@ -73,17 +73,17 @@ def bank_reconcile(v):
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r1", EXACT)
-def rule_r1(v):
+def exact_rule_r1(v):
     return plain(rules.r1_unmatched_credit(v["books"], exact(v), AS_OF, v["periods"]))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r2", EXACT)
-def rule_r2(v):
+def exact_rule_r2(v):
     return plain(rules.r2_amount_mismatch(v["books"], v["portal"], exact(v)))
 
 
 @register("SELECT company_id, period, rule_code, risk_key, severity, headline FROM r3", EXACT)
-def rule_r3(v):
+def exact_rule_r3(v):
     return plain(rules.r3_duplicate(v["books"], v["portal"], exact(v)))
 
 
@@ -202,13 +202,13 @@ def month_rows(v) -> DataFrame:
 
 
 @register(RANGE + "SELECT * FROM rg", EXACT)
-def range_report(v):
+def exact_range_report(v):
     return month_rows(v)
 
 
 @register(RANGE + f"""SELECT company_id, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CAST(sum(n_high) AS BIGINT) AS n_high, CAST(sum(n_medium) AS BIGINT) AS n_medium, CAST(sum(n_low) AS BIGINT) AS n_low,
 CAST(sum(headline) AS BIGINT) AS headline, count(*) AS months, {PCT.format(p="sum(matched)", w="sum(total)", n=1)} AS pct FROM rg GROUP BY 1""", EXACT)
-def range_totals(v):
+def exact_range_totals(v):
     return reports.totals(month_rows(v)).withColumn("pct", F.col("pct").cast("double"))
 
 
@@ -218,7 +218,7 @@ SELECT od.company_id, n_open, n_high, exposure, CAST(deadline AS VARCHAR) AS dea
 
 
 @register(DASHBOARD, EXACT)
-def firm_dashboard(v):
+def exact_firm_dashboard(v):
     m, d = first_rules(v)
     lost = rules.of_status(v["books"], m, "unmatched").select("company_id", dates.credit_deadline(F.col("invoice_date")).alias("deadline"), rules.tax().alias("amount"))
     return reports.dashboard(d, lost).withColumn("deadline", F.col("deadline").cast("string"))
@@ -228,12 +228,12 @@ TOP = """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY company_i
 
 
 @register(TOP, EXACT)
-def topk_findings(v):
+def exact_topk_findings(v):
     return reports.top_findings(plain(first_rules(v)[1]), 40)
 
 
-# The same over the whole reconciliation (equal and fuzzy numbers) and, in the reports, all rules that are on; the queries
-# above are the equal-number part.
+# The same over the whole reconciliation (equal and fuzzy numbers) and, in the reports, all rules that are on; the exact_*
+# queries above are the equal-number part, of R1 to R3.
 
 
 def whole(v) -> DataFrame:
@@ -297,6 +297,12 @@ def whole_topk_findings(v):
     return reports.top_findings(plain(all_rules(v)[1]), 40)
 
 
+#: The whole job under its plain names.
+PLAIN = {"gst_coverage_by_period": "whole_coverage_by_period"} | {n: f"whole_{n}" for n in ("rule_r1", "rule_r2", "rule_r3", "range_report", "range_totals", "firm_dashboard", "topk_findings")}
+QUERIES.update({name: QUERIES[job] for name, job in PLAIN.items()})
+ORACLES.update({name: ORACLES[job] for name, job in PLAIN.items()})
+
+
 @register("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '000' ELSE CAST(o_orderkey AS VARCHAR) END AS number FROM orders")
 def norm_invoice(v):
     """Three ways to write an order's number, which all have the bare number as key; zeros stay where nothing else is left."""

@@ -132,15 +132,28 @@ def inbox_feed(v):
     return rows.select(F.col("supplier_name").cast("bigint").alias("id"), "period", "supplier_gstin", "doc_type", "norm_invoice_no", "orig_norm_invoice_no", money.to_paise(F.col("total")).alias("total"), "supplier_filed", "is_amendment", "direction", "portal_status", F.col("actioned_at").cast("string").alias("actioned_at"), "pending_allowed", "reject_raises_supplier_liability")
 
 
-@register("""SELECT strftime(entry_date, '%d-%b-%Y') AS "Date", 'A & B ' || CAST(party_id AS VARCHAR) AS "Particulars", voucher_type AS "Voucher Type", CAST(id AS VARCHAR) AS "Voucher No", '' AS "Taxable Value", '' AS "CGST", '' AS "SGST", '' AS "IGST", '' AS "Cess",
-CAST(CAST(debit // 100 AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(debit % 100 AS VARCHAR), 2, '0') AS "Invoice Value", 'x' AS "Narration" FROM ledger WHERE voucher_type = 'Payment' AND entry_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'""")
-def gateway_feed(v):
-    """Vouchers of a gateway's XML, of one type and some years, with lone ampersands and control entities, as a register."""
+def gateway_vouchers(v) -> DataFrame:
     at = folder(v, "gateway")
     one = F.concat(F.lit("<VOUCHER><DATE>"), F.date_format("entry_date", "yyyyMMdd"), F.lit("</DATE><VOUCHERNUMBER>"), F.col("id").cast("string"), F.lit("</VOUCHERNUMBER><VOUCHERTYPENAME>"), "voucher_type", F.lit("</VOUCHERTYPENAME><PARTYLEDGERNAME>A & B "), F.col("party_id").cast("string"), F.lit("</PARTYLEDGERNAME><AMOUNT>-"), F.coalesce(rupees("debit"), rupees("credit")), F.lit("</AMOUNT><NARRATION>x&#4;</NARRATION></VOUCHER>"))
     body = v["ledger"].where("voucher_type <> 'Sales'").groupBy("company_id", "period").agg(F.array_join(F.collect_list(one), "").alias("x"))
     one_file_each(body.select(F.concat(F.lit("<ENVELOPE>"), "x", F.lit("</ENVELOPE>")).alias("value")), at)
-    return feeds.as_register(feeds.vouchers(v.spark, at, "Payment", "1995-01-01", "1999-12-31"))
+    return feeds.vouchers(v.spark, at, "Payment", "1995-01-01", "1999-12-31")
+
+
+@register("""SELECT strftime(entry_date, '%d-%b-%Y') AS "Date", 'A & B ' || CAST(party_id AS VARCHAR) AS "Particulars", voucher_type AS "Voucher Type", CAST(id AS VARCHAR) AS "Voucher No", '' AS "Taxable Value", '' AS "CGST", '' AS "SGST", '' AS "IGST", '' AS "Cess",
+CAST(CAST(debit // 100 AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(debit % 100 AS VARCHAR), 2, '0') AS "Invoice Value", 'x' AS "Narration" FROM ledger WHERE voucher_type = 'Payment' AND entry_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'""")
+def gateway_feed(v):
+    """Vouchers of a gateway's XML, of one type and some years, with lone ampersands and control entities, as a register."""
+    return feeds.as_register(gateway_vouchers(v))
+
+
+@register("""SELECT CAST(id AS BIGINT) AS id, CAST(entry_date AS VARCHAR) AS day, period, 'A & B ' || CAST(party_id AS VARCHAR) AS party, debit AS paise, CAST(NULL AS VARCHAR) AS error FROM ledger WHERE voucher_type = 'Payment' AND entry_date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'""")
+def gateway_exported(v):
+    """The same vouchers written as a register's files and read back by the register's reader."""
+    at = folder(v, "export")
+    sinks.export_register(feeds.as_register(gateway_vouchers(v)), at)
+    rows = ingest.read_kind(v.spark, [at], "purchase_register")
+    return rows.select(F.col("invoice_no").cast("bigint").alias("id"), F.col("day").cast("string").alias("day"), "period", "party", money.to_paise(F.col("total")).alias("paise"), "error")
 
 
 # ---- writers
@@ -154,6 +167,29 @@ def append_once(v):
     return old.union(sinks.new_rows(old, new.union(new).union(old.where("id % 8 = 0"))))
 
 
+@register("""SELECT 'purchase_register' AS kind, norm_invoice_no AS ref, CAST(invoice_date AS VARCHAR) AS day, taxable + cgst + sgst + igst + cess AS paise FROM invoices
+UNION ALL SELECT 'sales_ledger', norm_invoice_no, CAST(invoice_date AS VARCHAR), taxable FROM invoices UNION ALL SELECT 'ledger', CAST(id AS VARCHAR), CAST(entry_date AS VARCHAR), coalesce(debit, credit) FROM ledger
+UNION ALL SELECT 'bank_stmt', CAST(id AS VARCHAR), CAST(txn_date AS VARCHAR), coalesce(debit, credit) FROM bank WHERE coalesce(debit, credit) <> 0""")
+def templates_filled(v):
+    """Every kind of register written in its template's layout and read back."""
+    at, day = folder(v, "templates"), lambda c: F.date_format(c, "dd-MMM-yyyy").alias("date")
+    number, total = F.col("norm_invoice_no").alias("voucher_no"), (F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst") + F.col("cess")).alias("t")
+    who = F.concat(F.lit('"A", '), F.coalesce(F.col("party_id").cast("string"), F.lit("x"))).alias("party")
+    filled = {
+        "purchase_register": v["invoices"].withColumn("t", total).select(day("invoice_date"), who, number, rupees("t").alias("total")),
+        "sales_ledger": v["invoices"].select(day("invoice_date"), who, number, rupees("taxable").alias("total")),
+        "ledger": v["ledger"].select(day("entry_date"), who, "voucher_type", F.col("id").cast("string").alias("voucher_no"), rupees("debit").alias("debit"), rupees("credit").alias("credit")),
+        "bank_stmt": v["bank"].select(day("txn_date"), who.alias("narration"), F.col("id").cast("string").alias("ref_no"), rupees("debit").alias("debit"), rupees("credit").alias("credit")),
+    }
+    names, out = {"purchase_register": "norm_invoice_no", "bank_stmt": "ref_no"}, []
+    for kind, rows in filled.items():
+        sinks.write_layout(rows, kind, f"{at}/{kind}")
+        read = ingest.read_kind(v.spark, [f"{at}/{kind}"], kind)
+        amount = F.col("total") if kind == "purchase_register" else F.coalesce("debit", "credit")
+        out.append(read.where("error is null").select(F.lit(kind).alias("kind"), F.col(names.get(kind, "voucher_no")).alias("ref"), F.col("day").cast("string").alias("day"), money.to_paise(amount).alias("paise")))
+    return reduce(DataFrame.union, out)
+
+
 def text_files(v) -> DataFrame:
     return v["part"].select(F.lit("acme").alias("slug"), F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("name"), F.col("p_brand").cast("binary").alias("content"))
 

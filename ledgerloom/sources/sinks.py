@@ -90,5 +90,11 @@ def template(kind: str, rows: list[dict[str, str]] = ()) -> str:
     return out.getvalue()
 
 
+def write_layout(rows: DataFrame, kind: str, path: str) -> None:
+    """rows (a text column for each field of a kind that they have) as CSV files in the template's layout."""
+    shown = ((F.col(field) if field in rows.columns else F.lit("")).alias(names[0]) for field, (_, names) in LAYOUTS[kind].items())
+    rows.select(*shown).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def required_headers(kind: str) -> tuple[str, ...]:
     return tuple(names[0] for must, names in LAYOUTS[kind].values() if must)

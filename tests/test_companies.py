@@ -101,3 +101,22 @@ def test_records_of_odd_files(spark, tmp_path):
         got.setdefault(r.document[-5], []).append((r.source_row, r.cells[0], r.cells[1]))
     assert got["a"] == [(2, "1", "a\nb"), (3, "2", got["a"][1][2]), (4, 'x "y",z', "3")] and not got["a"][1][2]
     assert got["b"] == [(2, "1", "2")] and len(got["c"]) == 1 and "d" not in got and got["e"][0][0] == 2
+
+
+def test_periods_of_statements_without_rows_and_unreadable_files(spark, tmp_path):
+    at = tmp_path / "company_id=4"
+    at.mkdir()
+    (at / "gstr2b_2025_03.json").write_text('{"data": {"docdata": {}}}')
+    (at / "tally_sales_register.csv").write_text("Date,Nobody\n01-01-2026,x\n")
+    (at / "bank_statement.csv").write_text("Txn Date,Narration,Amount,Amount\n08/09/2026,CASH,-5,9\n")
+    for out in (ingest.ingest_folder(spark, str(at), 4), ingest.ingest_companies(spark, str(tmp_path))):
+        assert {(r.company_id, r.period) for r in out["periods"].collect()} == {(4, "2025-03"), (4, "2026-09")}
+        assert [(r.company_id, "party" in r.error) for r in out["unreadable"].collect()] == [(4, True)] and out["parties"].count() == 0
+        assert [(r.narration, str(r.debit), r.party_id) for r in out["bank_stmt"].collect()] == [("CASH", "5.00", None)]
+    (group,) = [g for g in feeds.csv_groups(spark, str(at)) if "Amount" in g.columns]
+    assert group.columns == ["Txn Date", "Narration", "Amount", "Amount3", "document", "source_row"] and group.first().Amount3 == "9"
+
+
+def test_no_file_at_all(spark, tmp_path):
+    out = ingest.ingest_folder(spark, str(tmp_path), 1)
+    assert {k: df.count() for k, df in out.items()} == {"periods": 0, "parties": 0, "unreadable": 0}
