@@ -12,6 +12,7 @@ from .functions import dates, text
 from .operators import inbox as inbox_ops
 from .operators import matching, rules, runner
 from .plans import evaluation, nightly, reports
+from .plans.adapters import ALL_INVOICES
 from .plans.twins import BANK_STATE, DRAFTS, NUMBERED, PCT, REC, WHOLE
 from .sources import lines
 
@@ -107,7 +108,7 @@ def findings_text(v):
     return found.select("company_id", "period", "risk_key", "calculation", facts.alias("facts"))
 
 
-@register("SELECT company_id, period, 'R4' || ' (' || CASE WHEN date_diff('day', DATE '2001-09-01', make_date(CASE WHEN month(invoice_date) >= 4 THEN year(invoice_date) ELSE year(invoice_date) - 1 END + 1, 11, 30)) <= 60 THEN 'high' ELSE 'medium' END || '): the statement reverses ' || " + inr_sql("reversal") + " || '. Reverse it.' AS explanation FROM portal WHERE reversal > 0")
+@register("SELECT company_id, period, 'R4' || ' (' || CASE WHEN date_diff('day', DATE '2001-09-01', make_date(CASE WHEN month(invoice_date) >= 4 THEN year(invoice_date) ELSE year(invoice_date) - 1 END + 1, 11, 30)) <= 60 THEN 'high' ELSE 'medium' END || '): the statement reverses ' || " + inr_sql("reversal") + " || '. Reverse it.' AS explanation FROM portal WHERE reversal > 0", texts=ALL_INVOICES)
 def findings_explained(v):
     found = rules.r4_reversal(v["portal"], AS_OF)
     return found.select("company_id", "period", text.plain_explanation(F.col("rule_code"), F.col("severity"), F.col("calculation"), F.lit("Reverse it.")).alias("explanation"))
