@@ -338,7 +338,12 @@ def stable_ids(v):
     return v["lineitem"].select("l_orderkey", "l_linenumber", text.stable_id("line", F.col("l_orderkey"), F.col("l_linenumber")).alias("id"))
 
 
-@register(f"SELECT id, CASE WHEN t >= 1000000000 THEN '₹' || CAST(CAST(round(CAST(t AS DECIMAL(18,2)) / 1000000000, 2) AS DECIMAL(18,2)) AS VARCHAR) || ' Cr' WHEN t >= 10000000 THEN '₹' || CAST(CAST(round(CAST(t AS DECIMAL(18,2)) / 10000000, 2) AS DECIMAL(18,2)) AS VARCHAR) || ' L' ELSE '₹' || {inr_sql('t')} END AS short, CASE WHEN t >= 10000000 THEN '₹' || {inr_sql('t')} END AS exact FROM (SELECT id, taxable * 7 AS t FROM invoices)")
+def hundredths(n: str) -> str:
+    """A whole number of hundredths with two decimals, in SQL."""
+    return f"CAST({n} // 100 AS VARCHAR) || '.' || lpad(CAST({n} % 100 AS VARCHAR), 2, '0')"
+
+
+@register(f"SELECT id, CASE WHEN t >= 1000000000 THEN '₹' || {hundredths('(t + 5000000) // 10000000')} || ' Cr' WHEN t >= 10000000 THEN '₹' || {hundredths('(t + 50000) // 100000')} || ' L' ELSE '₹' || {inr_sql('t')} END AS short, CASE WHEN t >= 10000000 THEN '₹' || {inr_sql('t')} END AS exact FROM (SELECT id, taxable * 7 AS t FROM invoices)")
 def short_amounts(v):
     t = F.col("taxable") * 7
     return v["invoices"].select("id", text.short_inr(t).alias("short"), text.exact_inr(t).alias("exact"))

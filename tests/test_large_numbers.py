@@ -14,6 +14,7 @@ from ledgerloom.functions import text
 TABLES = ("region", "nation", "customer", "orders", "lineitem")
 NAMES = [
     "companies_ingested",
+    "short_amounts",
 ]
 
 
