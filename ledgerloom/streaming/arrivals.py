@@ -25,9 +25,16 @@ def unseen(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.dropDuplicates(key).join(manifest.select(*key).distinct(), key, "left_anti")
 
 
-def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Runs `handle` on what has arrived and stops; the next call goes on from there."""
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], stores: int | None = None) -> StreamingQuery:
+    """Runs `handle` on what has arrived and stops; the next call goes on from there. stores: into how many partitions the state goes,
+    which stays so for the checkpoint's life; else as many as the session's shuffles have."""
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    try:
+        conf.set(name, str(stores or usual))
+        return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, usual)
 
 
 def touched(books: DataFrame, arrived: DataFrame) -> DataFrame:
