@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import AS_OF, inr_sql, register
+from .catalog import AS_OF, inr_sql, number_sql, register
 from .functions import dates, text
 from .operators import inbox as inbox_ops
 from .operators import matching, rules, runner
@@ -361,6 +361,10 @@ dn AS (SELECT row_number() OVER (ORDER BY rule_code, company_id, period, id) AS
 dh AS (SELECT dn.*, EXISTS (SELECT 1 FROM fa WHERE fa.company_id = dn.company_id AND fa.risk_key = dn.risk_key AND fa.period IN (dn.period, dn.landing_period)) AS detected FROM dn)"""
 
 
+#: The same with the numbers of blocked documents by their key, as `expected` makes it of what the key's file spells.
+SPELT = KEYED.replace("'R13:' || supplier_gstin || ':' || norm_invoice_no", "'R13:' || supplier_gstin || ':' || " + number_sql("norm_invoice_no"))
+
+
 def answer_key(v) -> DataFrame:
     """The defects of the adapter views, with numbers as feeds spell them."""
     text_ = lambda x: F.lit(x)
@@ -386,7 +390,7 @@ def evaluation_of_key(v):
     return evaluation.summary(evaluation.expected(answer_key(v)), drafts(v, evidence=False, everything=True))
 
 
-@register(DRAFTS + KEYED + " SELECT company_id, extended, defect_type, rule_code, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh GROUP BY 1, 2, 3, 4")
+@register(DRAFTS + SPELT + " SELECT company_id, extended, defect_type, rule_code, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh GROUP BY 1, 2, 3, 4")
 def evaluation_of_key_by_defect(v):
     return evaluation.by_defect(evaluation.expected(answer_key(v)), drafts(v, evidence=False, everything=True))
 

@@ -20,6 +20,7 @@ NAMES = [
     "norm_invoice",
     "templates_filled",
     "inbox_feed",
+    "evaluation_of_key_by_defect",
 ]
 
 
