@@ -518,7 +518,7 @@ def match_breakdown(v):
     return hit.select("company_id", "left_id", "right_id", "parameters_matched", *(F.col(f"breakdown.{n}").alias(a) for n, a in (("gstin", "gstin"), ("invno", "invno"), ("amount", "amount"), ("date", "day"))))
 
 
-@register(DRAFTS + KEYED + """ SELECT company_id, planted, detected, defect_type, rule_code, kind_planted, kind_detected FROM (SELECT company_id, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh WHERE NOT extended GROUP BY 1)
+@register(DRAFTS + SPELT + """ SELECT company_id, planted, detected, defect_type, rule_code, kind_planted, kind_detected FROM (SELECT company_id, count(*) AS planted, count(*) FILTER (WHERE detected) AS detected FROM dh WHERE NOT extended GROUP BY 1)
 JOIN (SELECT company_id, defect_type, rule_code, count(*) AS kind_planted, count(*) FILTER (WHERE detected) AS kind_detected FROM dh GROUP BY 1, 2, 3) USING (company_id)""")
 def evaluation_report(v):
     """The report of the evaluation as it is written, read back: each company's outcomes and those of its kinds of defects."""

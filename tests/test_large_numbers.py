@@ -21,6 +21,7 @@ NAMES = [
     "templates_filled",
     "inbox_feed",
     "evaluation_of_key_by_defect",
+    "evaluation_report",
 ]
 
 
